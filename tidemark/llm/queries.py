@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pieces, quality
+from tidemark.llm import chat, decontaminate, pieces, quality, urls
 from tidemark.llm.common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -61,12 +61,122 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(own)
+    made = chat.windows(rows)
+    read = made.select(
+        "conv_id",
+        "window",
+        chat.turns(F.col("formatted"), F.col("n_repeated")).alias("turns"),
+        chat.under_mask(F.col("formatted"), F.col("loss")).alias("loss"),
+        F.char_length("formatted").alias("chars"),
+    )
+    whole = read.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "loss", "chars"))).alias("w"))
+    turns, loss = F.flatten(F.col("w.turns")), F.array_join(F.flatten(F.col("w.loss")), "")
+    return whole.select(
+        "conv_id",
+        F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.aggregate("w", F.lit(0).cast("long"), lambda n, x: n + x["chars"]).alias("formatted_chars"),
+    )
+
+
+OP3_SQL = r"""
+WITH own AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM own),
+b AS (SELECT *, row_number() OVER o AS pos, max((role <> 'system')::INT) OVER o = 0 AS lead,
+    len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) + 4 AS n
+  FROM a WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT *, sum(CASE WHEN lead THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s,
+    sum(CASE WHEN lead THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS kept FROM b),
+d AS (SELECT *, CASE WHEN NOT lead THEN floor((s - 1) / greatest(1, floor((512 - 128 - kept) / 2))) END AS raw FROM c),
+e AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY coalesce(raw, first_raw)) - 1 AS span
+  FROM (SELECT *, coalesce(min(raw) OVER (PARTITION BY conv_id), 0) AS first_raw FROM d)),
+f AS (SELECT *, max(span) OVER (PARTITION BY conv_id) AS last, max(s) OVER (PARTITION BY conv_id, span) AS until FROM e),
+g AS (SELECT *, CASE WHEN lead THEN last - span WHEN span < last AND until - s + n <= 128 THEN 1 ELSE 0 END AS copies,
+    length(role) + length(regexp_replace(role, '[^\\<>]+', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\<>]+', '', 'g')) + 15 AS chars FROM f)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars * (1 + copies))::BIGINT AS formatted_chars
+FROM g GROUP BY conv_id
+"""
+
+#: Fixed values of the query: host, path, action.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP6_SQL = r"""
+WITH r(host, path, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+p AS (SELECT page_id, row_number() OVER () AS n, coalesce(translate(regexp_extract(url, '(?s)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+f AS (SELECT n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.action, length(r.host || r.path)) AS action
+  FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN f USING (n)
+"""
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    flagged = decontaminate.flag(documents(spark, sf_dir).select("doc_id", "text"), items)
+    return flagged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+i AS (SELECT item_id, ws[s:s + least(13, len(ws)) - 1] AS win FROM (SELECT item_id, ws, unnest(range(1, greatest(1, len(ws) - 12) + 1)) AS s FROM b WHERE len(ws) > 0)),
+l AS (SELECT DISTINCT len(win) AS n FROM i),
+t AS (SELECT doc_id, w, p, lead(w) OVER (PARTITION BY doc_id ORDER BY p) AS w2 FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d)),
+first AS (SELECT DISTINCT win[1] AS w, win[2] AS w2, win, len(win) AS n FROM i),
+j AS (SELECT t.doc_id, t.p, f.win, f.n FROM t JOIN first f ON t.w = f.w AND (f.n = 1 OR t.w2 = f.w2)),
+c AS (SELECT j.* FROM j JOIN d ON d.doc_id = j.doc_id AND d.ws[j.p:j.p + j.n - 1] = j.win),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM c) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT c.doc_id, i.item_id::VARCHAR AS id FROM c JOIN i USING (win)) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_chat_formatting": op3_chat_formatting,
+        "op6_url_filters": op6_url_filters,
+        "op7_decontamination": op7_decontamination,
         "op4_quality_rules": op4_quality_rules,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4_SQL}
+    return {
+        "op3_chat_formatting": OP3_SQL,
+        "op4_quality_rules": OP4_SQL,
+        "op6_url_filters": OP6_SQL,
+        "op7_decontamination": OP7_SQL,
+    }
