@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, pieces, quality, urls
+from tidemark.llm import chat, decontaminate, pieces, pii, quality, spans, urls
 from tidemark.llm.common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -44,6 +44,11 @@ FROM m
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = spans.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_sentences", "n_removed", F.char_length("text").cast("long").alias("kept_chars"), "text")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -107,6 +112,21 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
 FROM g GROUP BY conv_id
 """
 
+def written(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 #: Fixed values of the query: host, path, action.
 URL_RULES = [
     ("com", "/", "allow"),
@@ -166,9 +186,11 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_chat_formatting": op3_chat_formatting,
+        "op5_personal_data": op5_personal_data,
         "op6_url_filters": op6_url_filters,
         "op7_decontamination": op7_decontamination,
         "op4_quality_rules": op4_quality_rules,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
