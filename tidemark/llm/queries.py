@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, pieces, pii, quality, spans, urls
+from tidemark.llm import chat, decontaminate, maxent, pieces, pii, quality, spans, urls
 from tidemark.llm.common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -66,6 +66,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\### Assistant: </turn> ok"
     own = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], "conv_id long, turn long, role string, text string")
@@ -186,6 +190,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_lm_scoring": op2_lm_scoring,
         "op3_chat_formatting": op3_chat_formatting,
         "op5_personal_data": op5_personal_data,
         "op6_url_filters": op6_url_filters,
