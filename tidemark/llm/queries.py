@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, maxent, pieces, pii, quality, spans, urls
+from tidemark.llm import chat, decontaminate, maxent, pieces, pii, quality, spans, suffixes, urls
 from tidemark.llm.common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -44,6 +44,11 @@ FROM m
 """
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = spans.dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_sentences", "n_removed", F.char_length("text").cast("long").alias("kept_chars"), "text")
@@ -196,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_url_filters": op6_url_filters,
         "op7_decontamination": op7_decontamination,
         "op4_quality_rules": op4_quality_rules,
+        "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
