@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, maxent, pieces, pii, quality, spans, suffixes, urls
+from tidemark.llm import chat, decontaminate, jaccard, maxent, pieces, pii, quality, spans, suffixes, urls
 from tidemark.llm.common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -61,8 +61,7 @@ def vocabulary() -> str:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary()
-    coded = pieces.decode(pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), model), model)
+    coded = pieces.code(documents(spark, sf_dir).select("doc_id", "text"), vocabulary(), keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -71,6 +70,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (SELECT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT d.b, r.m FROM r JOIN d ON d.a = r.doc_id WHERE r.m < d.b)
+SELECT documents.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, min(m) AS component_id FROM documents LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
+"""
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -195,6 +210,7 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_jaccard": op1_ngram_jaccard,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_chat_formatting": op3_chat_formatting,
         "op5_personal_data": op5_personal_data,
@@ -209,6 +225,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_ngram_jaccard": OP1_SQL,
         "op3_chat_formatting": OP3_SQL,
         "op4_quality_rules": OP4_SQL,
         "op6_url_filters": OP6_SQL,
