@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidemark.plans import base, registers  # noqa: F401  the plans register themselves
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
