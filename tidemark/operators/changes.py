@@ -65,7 +65,7 @@ def manual_coverage(sources: DataFrame, reviews: DataFrame, now: Column, days: C
     """One row: manual sources that are current, unavailable, overdue, never reviewed. reviews: source_id, reviewed_at, outcome."""
     held = sources.join(reviews, "source_id", "left")
     age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("reviewed_at").cast("timestamp"))
-    fresh = age <= days * 86_400 * 1_000_000
+    fresh = age <= days.cast("long") * 86_400 * 1_000_000
     state = F.when(F.col("reviewed_at").isNull(), "never").when(~fresh, "overdue").when(F.col("outcome") == "unavailable", "unavailable").otherwise("current")
     return held.withColumn("state", state).agg(*(F.count_if(F.col("state") == s).alias(s) for s in ("current", "unavailable", "overdue", "never")))
 
