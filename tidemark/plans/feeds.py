@@ -119,8 +119,8 @@ def sources_due(t: Tables) -> DataFrame:
     return known.join(last, "source", "left").select("source", changes.due(schedule, F.col("at"), F.lit("2024-01-31").cast("timestamp_ntz")).alias("due"))
 
 
-@query(f"""WITH {LOG_SQL}, r AS (SELECT source, max(ts) AS at, arg_max(status, (ts, event_id)) AS last FROM log GROUP BY source),
-s AS (SELECT c_custkey AS source FROM customer), x AS (SELECT CASE WHEN at IS NULL THEN 'never' WHEN at < TIMESTAMP '2024-01-31' - INTERVAL 2 DAY THEN 'overdue' WHEN last = 'error' THEN 'unavailable' ELSE 'current' END AS s FROM s LEFT JOIN r USING (source))
+@query(f"""WITH {LOG_SQL}, r AS (SELECT source, max(ts) AS seen_at, arg_max(status, (ts, event_id)) AS last FROM log GROUP BY source),
+s AS (SELECT c_custkey AS source FROM customer), x AS (SELECT CASE WHEN seen_at IS NULL THEN 'never' WHEN seen_at < TIMESTAMP '2024-01-31' - INTERVAL 2 DAY THEN 'overdue' WHEN last = 'error' THEN 'unavailable' ELSE 'current' END AS s FROM s LEFT JOIN r USING (source))
 SELECT count(*) FILTER (s = 'current') AS "current", count(*) FILTER (s = 'unavailable') AS unavailable, count(*) FILTER (s = 'overdue') AS overdue, count(*) FILTER (s = 'never') AS never FROM x""")
 def manual_coverage(t: Tables) -> DataFrame:
     last = log(t).groupBy(F.col("source").alias("source_id")).agg(F.max("ts").alias("reviewed_at"), F.max_by("status", F.struct("ts", "event_id")).alias("last"))
