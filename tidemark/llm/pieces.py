@@ -1,7 +1,7 @@
 """Exact SentencePiece BPE encoding and decoding.
 
 A text is cut where no piece of the vocabulary can reach across: before a run of the space mark
-that follows another character. Each distinct segment is encoded once for a worker by backtracking:
+that follows another character, and between marks and letters that no piece joins. Each distinct segment is encoded once for a worker by backtracking:
 one Aho-Corasick scan lists the pieces that start at each character; the longest that agrees with its
 left neighbour is taken; two neighbours agree if merging their joint text anew yields just these two;
 a position from which no way leads on is marked in a bitfield and never tried again.
@@ -17,15 +17,20 @@ name is replaced; an empty table stays empty.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
-KEPT, KEPT_CHARS = 600_000, 48  # segments a worker remembers, and how long these may be; only speed depends on it
+ROWS = 200
+LETTERS = "A-Za-z\u00c0-\u024f"
+KEPT, KEPT_CHARS, KEPT_PAIRS = 120_000, 48, 300_000  # what a worker remembers; only speed and memory depend on it
 
 
 class Pieces:
@@ -52,11 +57,21 @@ class Pieces:
             self.automaton.add_word(t, t)
         self.automaton.make_automaton()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.last = np.array([self.end], np.int32).tobytes()
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        marks = "".join(map(re.escape, self.apart()))
+        clean = f"{SPACE}*[{LETTERS}]++(?=[{marks}{SPACE}]|$)|{SPACE}*[{marks}]++(?=[{LETTERS}{SPACE}]|$)|" if marks else ""
+        self.segments = re.compile(f"{clean}{SPACE}*[^{SPACE}]+|{SPACE}+").findall
         self.plain = [t.replace(SPACE, " ") for t in self.texts]
 
+    def apart(self) -> list[str]:
+        """ASCII marks and digits that no piece has next to one of LETTERS."""
+        pairs = {(a, b) for t in self.ids for a, b in zip(t, t[1:])}
+        letter = re.compile(f"[{LETTERS}]").match
+        joined = {x for a, b in pairs for x, y in ((a, b), (b, a)) if letter(y)}
+        return [c for c in map(chr, range(128)) if not c.isalpha() and c not in joined]
+
     def merge(self, text: str) -> list[str]:
         """Merge by the definition: always the adjacent pair of the best score, the leftmost first."""
         parts, scores = list(text), self.scores
@@ -72,21 +87,31 @@ class Pieces:
 
     def agree(self, left: str, right: str) -> bool:
         """Whether merging two pieces' joint text anew yields just these two; remembered."""
-        if len(self.pairs) >= KEPT:
+        if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
         found = self.pairs[left, right] = self.merge(left + right) == [left, right]
         return found
 
     def split(self, segment: str) -> list[str]:
         """The pieces of a segment by backtracking."""
-        n = len(segment)
+        pairs, n = self.pairs, len(segment)
+        longest = [piece for _, piece in self.automaton.iter_long(segment)]
+        if sum(map(len, longest)) == n:  # where the longest matches all agree, nothing is tried twice
+            for left, piece in zip(longest, longest[1:]):
+                fits = pairs.get((left, piece))
+                if fits is None:
+                    fits = self.agree(left, piece)
+                if not fits:
+                    break
+            else:
+                return longest
         starts: list[list[str]] = [[c] for c in segment]  # the pieces from here, shortest first
         for last, piece in self.automaton.iter(segment):
             if len(piece) > 1:
                 starts[last - len(piece) + 1].append(piece)
         failed = bytearray(n + 1)
         taken: list[tuple[int, int, str]] = []  # (start, index into starts[start], piece)
-        at, left, pairs = 0, "", self.pairs
+        at, left = 0, ""
         choice = len(starts[0]) - 1
         while at < n:
             options = starts[at]
@@ -133,10 +158,10 @@ class Pieces:
             for segment in self.segments(SPACE + text.replace(" ", SPACE)):
                 ids = known.get(segment)
                 if ids is None:
-                    ids = self.encode_segment(segment)
+                    ids = self.older.get(segment) or self.encode_segment(segment)
                     if len(segment) <= KEPT_CHARS:
-                        if len(known) >= KEPT:
-                            known.clear()
+                        if len(known) >= KEPT:  # what isn't asked for during a generation goes
+                            self.older, self.known = known, (known := {})
                         known[segment] = ids
                 out.append(ids)
         out.append(self.last)
@@ -175,6 +200,30 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def code(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with a text's ids, the end id last, and the text decoded from these ids.
+
+    Batches are worked off a few rows at a time, so that a task holds few results beside its batch.
+    """
+    at = docs.columns.index(text)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids, decoded)]
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    places = [docs.columns.index(c) for c in kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pieces(model)
+        for batch in batches:
+            for first in range(0, batch.num_rows, ROWS):
+                part = batch.slice(first, ROWS)
+                made = [vocabulary.encode(x) for x in part.column(at).to_pylist()]
+                ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
+                coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
+                back = pa.array([vocabulary.decode(x) for x in made], pa.string())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), coded, back], [*kept, ids, decoded])
+
+    return docs.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the ids of a text, the end id last."""
 
