@@ -55,12 +55,17 @@ def flag(docs: DataFrame, benchmark: DataFrame, size: int = 13, shingle: int = 3
     found = occurrences(docs, item_windows(benchmark, size, shingle, item, item_text), shingle, doc, text)
     span = F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1))
     hits = found.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.collect_set("items").alias("items"))
-    hits = hits.select("id", "hash", F.size(F.array_distinct(F.flatten(span))).cast("long").alias("hit"), F.array_sort(F.array_distinct(F.flatten("items")).cast("array<string>")).alias("found"))
+    hits = hits.select(
+        F.col("id").alias("_hit_id"),
+        F.col("hash").alias("_hit_hash"),
+        F.size(F.array_distinct(F.flatten(span))).cast("long").alias("_hit_n"),
+        F.array_sort(F.array_distinct(F.flatten("items")).cast("array<string>")).alias("_hit_items"),
+    )
     rows = docs.withColumn("n_words", F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long"))
-    joined = rows.join(hits, rows[doc].eqNullSafe(hits["id"]) & (F.xxhash64(rows[text]) == hits["hash"]), "left")
-    out = joined.withColumn("n_hit", F.coalesce("hit", F.lit(0).cast("long"))).withColumn("items", F.coalesce("found", F.array().cast("array<string>")))
+    joined = rows.join(hits, F.col(doc).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text) == F.col("_hit_hash")), "left")
+    out = joined.withColumn("n_hit", F.coalesce("_hit_n", F.lit(0).cast("long"))).withColumn("items", F.coalesce("_hit_items", F.array().cast("array<string>")))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
-    return out.drop("id", "hash", "hit", "found") if not {"id", "hash", "hit", "found"} & set(docs.columns) else out.select(*(rows[c] for c in docs.columns if c not in ("n_words", "n_hit", "items", "contaminated")), "n_words", "n_hit", out["items"], "contaminated")
+    return out.drop("_hit_id", "_hit_hash", "_hit_n", "_hit_items")
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, shingle: int, doc: str, text: str) -> DataFrame:

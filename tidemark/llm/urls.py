@@ -76,5 +76,6 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     under = under.withColumn("key", F.concat("hkey", "path"))
     ways = rules.select(F.concat("hkey", "path").alias("key"), F.struct(F.concat("host", "path").alias("rule"), F.col("action").alias("action")).alias("payload"))
     innermost = sweep(under.select("key").distinct(), ways, lengths).where(F.size("stack") > 0).select("key", F.element_at("stack", -1).alias("found"))
-    best = under.join(innermost, "key").groupBy("host", "path").agg(F.max_by("found", F.struct(F.char_length("found.rule"), F.char_length("hkey"))).alias("found"))
-    return addressed.join(best, ["host", "path"], "left").withColumn("rule", F.col("found.rule")).withColumn("verdict", F.coalesce("found.action", F.lit(default))).drop("found")
+    best = under.join(innermost, "key").groupBy("host", "path").agg(F.max_by("found", F.struct(F.char_length("found.rule"), F.char_length("hkey"))).alias("_found"))
+    judged = addressed.join(best, ["host", "path"], "left").withColumn("rule", F.col("_found.rule"))
+    return judged.withColumn("verdict", F.coalesce("_found.action", F.lit(default))).drop("_found")
