@@ -20,7 +20,17 @@ def words_of(text: Column, separators: str) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Bound what a Python worker holds of the texts at a time, for texts of any length."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
