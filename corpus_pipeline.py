@@ -10,35 +10,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, pieces, pii, quality
-from tidemark.llm.common import cut, documents
+from tidemark.llm.common import cut, documents, small_batches
 from tidemark.llm.queries import vocabulary
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the current policy rejects."""
+    small_batches(spark)
     return quality.ledger(docs, name="_ledger").where(~quality.fails("v1", name="_ledger")).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
+    small_batches(spark)
     others = jaccard.join(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth stands in benchmark windows."""
+    small_batches(spark)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     return decontaminate.flag(docs, items).where("NOT contaminated").select(docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the kind in the place of each span of personal data."""
+    small_batches(spark)
     masked = pii.mask(pii.detect(docs, to="_spans"), spans="_spans")
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 
 
 def to_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, the end id last."""
+    small_batches(spark)
     coded = pieces.code(docs, vocabulary(), keep=["doc_id", "lang", "source"])
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
