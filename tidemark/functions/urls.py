@@ -30,18 +30,22 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(part(url, 2)), "^.*@", ""), r":\d*$", "")
 
 
-def authority(url: Column) -> Column:
-    """Host and port, without the scheme's own port."""
-    scheme, held = F.lower(part(url, 1)), F.lower(part(url, 2))
-    return F.when((scheme == "https") & held.endswith(":443"), F.left(held, F.char_length(held) - 4)).when((scheme == "http") & held.endswith(":80"), F.left(held, F.char_length(held) - 3)).otherwise(held)
+def _built(url: Column, build) -> Column:
+    """``build`` over the url's parts, each read once; null where the text isn't a URL with a host."""
+    parts = F.struct(F.lower(part(url, 1)).alias("scheme"), F.lower(part(url, 2)).alias("authority"), part(url, 3).alias("path"), part(url, 4).alias("query"))
+    return F.get(F.transform(F.array(parts), lambda p: F.when((p["scheme"] != "") & (p["authority"] != ""), build(p))), 0)
 
 
-def _rebuilt(url: Column, path: Column, query: Column) -> Column:
-    return F.concat(F.lower(part(url, 1)), F.lit("://"), authority(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+def _authority(p: Column) -> Column:
+    """Host and port, without the scheme's own port."""
+    held = p["authority"]
+    own = ((p["scheme"] == "https") & held.endswith(":443")) | ((p["scheme"] == "http") & held.endswith(":80"))
+    return F.when(own, F.regexp_replace(held, r":\d+$", "")).otherwise(held)
 
 
-def _pairs(url: Column) -> Column:
-    return F.filter(F.split(part(url, 4), "&"), lambda p: p != "")
+def _rebuilt(p: Column, path: Column, pairs: Column) -> Column:
+    query = F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
+    return F.concat(p["scheme"], F.lit("://"), _authority(p), path, query)
 
 
 def _name(pair: Column) -> Column:
@@ -51,13 +55,15 @@ def _name(pair: Column) -> Column:
 def canonical(url: Column) -> Column:
     """The identity of a source: no fragment, no campaign parameters, the others sorted by name, no slash at
     the end of a path. Null where the text isn't a URL with a host. Escapes are left as they are."""
-    dropped = lambda p: F.lower(_name(p)).startswith("utm_") | F.lower(_name(p)).isin(*TRACKING)
-    kept = F.filter(_pairs(url), lambda p: ~dropped(p))
-    indexed = F.transform(kept, lambda p, i: F.struct(_name(p).alias("name"), i.alias("at"), p.alias("pair")))
-    query = F.array_join(F.transform(F.array_sort(indexed), lambda s: s["pair"]), "&")
-    path = F.when(part(url, 3).isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(part(url, 3), "/+$", ""))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    return F.when(is_url(url), _rebuilt(url, path, query))
+    dropped = lambda q: F.lower(_name(q)).startswith("utm_") | F.lower(_name(q)).isin(*TRACKING)
+
+    def build(p: Column) -> Column:
+        kept = F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~dropped(q))
+        indexed = F.transform(kept, lambda q, i: F.struct(_name(q).alias("name"), i.alias("at"), q.alias("pair")))
+        path = F.regexp_replace(p["path"], "/+$", "")
+        return _rebuilt(p, F.when(path == "", F.lit("/")).otherwise(path), F.transform(F.array_sort(indexed), lambda s: s["pair"]))
+
+    return _built(url, build)
 
 
 def identity(url: Column) -> Column:
@@ -67,9 +73,13 @@ def identity(url: Column) -> Column:
 
 def weak(url: Column) -> Column:
     """The weaker form: five parameters gone, order kept, one slash off the end."""
-    query = F.array_join(F.filter(_pairs(url), lambda p: ~_name(p).isin(*WEAK_TRACKING)), "&")
-    path = F.when(part(url, 3) == "", F.lit("/")).otherwise(part(url, 3))
-    return F.when(is_url(url), F.regexp_replace(_rebuilt(url, path, query), "/$", "")).otherwise(F.regexp_replace(url, "/+$", ""))
+
+    def build(p: Column) -> Column:
+        kept = F.filter(F.split(p["query"], "&"), lambda q: (q != "") & ~_name(q).isin(*WEAK_TRACKING))
+        path = F.when(p["path"] == "", F.lit("/")).otherwise(p["path"])
+        return F.regexp_replace(_rebuilt(p, path, kept), "/$", "")
+
+    return F.coalesce(_built(url, build), F.regexp_replace(url, "/+$", ""))
 
 
 def identities(*urls: Column) -> Column:
