@@ -11,8 +11,13 @@ In a cell the distinct stretches are put into one text, and its suffixes sorted
 only those that are smaller than their successors; all others by scanning the buckets in order, which
 puts each before the suffix it was found from. Then the common prefixes of neighbours say which starts repeat.
 
+Strings of one cell can only be equal at the same distance from the anchor. So in a cell of more than ``LARGE``
+distinct stretches, where a passage stands in many surroundings, two sorts do: of the suffixes from the
+anchor on, and of the texts before it read backwards. Neighbours' common prefixes in both orders give, for each
+distance, classes of equal sides, and two strings are equal if both their classes are.
+
 A cell of more than ``MOST`` occurrences is not gathered: there, each string of LENGTH bytes is a row of its
-own, and equal ones are counted by Spark with partial sums. Both ways are exact.
+own, and equal ones are counted by Spark with partial sums. All ways are exact.
 
 Defined results: null and empty texts have no bytes; matches never reach over a text's end; repeated rows are
 copies like any others, so strings in them repeat; long texts are read in pieces that overlap; other columns
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LENGTH, GRAM, MOST = 400, 100, 5000
+LENGTH, GRAM, LARGE, MOST = 400, 100, 500, 100_000
 PIECE, CHUNK = 1 << 19, 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -64,9 +69,9 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchors(data: bytes, powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first, last): anchors in order, with the first and last start that choose each."""
-    hashes, firsts, lasts = [], [], []
+def anchors(data: bytes, powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(hash, at, first, last): anchors in order, with the first and last start that choose each."""
+    hashes, ats, firsts, lasts = [], [], [], []
     low = np.uint64((1 << 20) - 1)
     for at in range(0, max(1, len(data) - length + 1), PIECE):
         text = np.frombuffer(data, np.uint8)[at : at + PIECE + length - 1]
@@ -77,10 +82,11 @@ def anchors(data: bytes, powers, length: int = LENGTH, gram: int = GRAM) -> tupl
         chosen = (least(ranked, length - gram + 1) & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
         hashes.append(h[chosen[first]].view(np.int64))
+        ats.append(chosen[first] + at)
         firsts.append(first + at)
         lasts.append(np.concatenate([first[1:], [len(chosen)]]) - 1 + at)
     none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (hashes, firsts, lasts))
+    return tuple(np.concatenate(x) if x else none for x in (hashes, ats, firsts, lasts))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -153,6 +159,42 @@ def repeated_starts(parts: list[bytes], times: list[int], length: int = LENGTH)
     return out
 
 
+def ordered(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of the texts, their neighbours' common prefixes up to ``width`` in that order, and their lengths."""
+    order = sorted(range(len(texts)), key=texts.__getitem__)
+    sizes = np.array([min(len(t), width) for t in texts])
+    grid = np.frombuffer(b"".join(texts[i][:width].ljust(width, b"\0") for i in order), np.uint8).reshape(-1, width)
+    common = np.zeros(len(texts), np.int64)  # with the one before; 0 for the first
+    for a in range(1, len(texts), 8192):
+        differ = grid[a : a + 8192] != grid[a - 1 : a - 1 + len(grid[a : a + 8192])]
+        common[a : a + 8192] = np.where(differ.any(1), differ.argmax(1), width)
+    held = sizes[order]
+    common[1:] = np.minimum(common[1:], np.minimum(held[1:], held[:-1]))
+    return np.array(order), common, sizes
+
+
+def anchored_starts(parts: list[bytes], ats: list[int], times: list[int], length: int = LENGTH) -> list[np.ndarray]:
+    """As ``repeated_starts``, for the distinct stretches of one cell whose anchors stand at ``ats``.
+
+    Equal stretches share the anchor's hash; that the bytes at it are equal too follows from the suffix order.
+    """
+    after, ahead, n_after = ordered([p[a:] for p, a in zip(parts, ats)], length)
+    before, behind, n_before = ordered([p[:a][::-1] for p, a in zip(parts, ats)], length)
+    out = [np.zeros(len(p) - length + 1, bool) for p in parts]
+    many, at = np.array(times) > 1, np.array(ats)
+    left, right = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
+    for back in range(int(at.max()) + 1):
+        fits = np.flatnonzero((n_before >= back) & (n_after >= length - back))
+        if not len(fits):
+            continue
+        left[before] = np.cumsum(behind < back)
+        right[after] = np.cumsum(ahead < length - back)
+        _, inverse, counts = np.unique(left[fits] * len(parts) + right[fits], return_inverse=True, return_counts=True)
+        for i in fits[(counts[inverse] > 1) | many[fits]].tolist():
+            out[i][ats[i] - back] = True
+    return out
+
+
 def covered(starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Byte ranges (start, end, start, end ...) under runs of starts."""
     edge = np.diff(np.concatenate([[0], starts.astype(np.int8), [0]]))
@@ -161,8 +203,8 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 # -- tasks ---------------------------------------------------------------------------------------------------
 
-ANCHORS = "k1 long, k2 long, hash long, first int, last int"
-STRETCHES = "k1 long, k2 long, hash long, first int, stretch binary"
+ANCHORS = "k1 long, k2 long, hash long, at int, first int, last int"
+STRETCHES = "k1 long, k2 long, hash long, at int, first int, stretch binary"
 RANGES = "k1 long, k2 long, ranges array<int>"
 STRINGS = "k1 long, k2 long, first int, string binary"
 
@@ -173,8 +215,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
         made = [anchors((x or "").encode(), powers) for x in batch.column(2).to_pylist()]
         n = [len(m[0]) for m in made]
-        columns = [np.repeat(k1, n), np.repeat(k2, n)] + [np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in range(3)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["k1", "k2", "hash", "first", "last"])
+        columns = [np.repeat(k1, n), np.repeat(k2, n)] + [np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["k1", "k2", "hash", "at", "first", "last"])
 
 
 def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,8 +225,8 @@ def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = []
             for k1, k2, text, owned in frame.iloc[a : a + 500].itertuples(index=False):
                 data = text.encode()
-                rows += [(k1, k2, o["hash"], o["first"], data[o["first"] : o["last"] + LENGTH]) for o in owned]
-            yield pd.DataFrame(rows, columns=["k1", "k2", "hash", "first", "stretch"])
+                rows += [(k1, k2, o["hash"], o["at"] - o["first"], o["first"], data[o["first"] : o["last"] + LENGTH]) for o in owned]
+            yield pd.DataFrame(rows, columns=["k1", "k2", "hash", "at", "first", "stretch"])
 
 
 def _strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,20 +244,24 @@ def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> pd.DataFrame:
         sure = [(p, rows) for c in cells if len(c) == 1 for p, rows in c.items()]
-        open_ = [(p, rows) for c in cells if len(c) > 1 for p, rows in c.items()]
+        large = [c for c in cells if len(c) > LARGE]
+        open_ = [(p, rows) for c in cells if 1 < len(c) <= LARGE for p, rows in c.items()]
         # a stretch that is the only one of its cell is met again if it occurs again, and nothing is to be sorted
         flags = [np.full(len(p) - LENGTH + 1, len(rows) > 1) for p, rows in sure]
         if open_:
             flags += repeated_starts([p for p, _ in open_], [len(rows) for _, rows in open_])
+        for c in large:
+            open_ += c.items()
+            flags += anchored_starts(list(c), [rows[0][3] for rows in c.values()], [len(rows) for rows in c.values()])
         out = []
         for (_, rows), starts in zip(sure + open_, flags):
             ranges = covered(starts)
             if len(ranges):
-                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first in rows]
+                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _ in rows]
         return pd.DataFrame(out, columns=["k1", "k2", "ranges"])
 
     for frame in frames:
-        for k1, k2, cell, first, stretch in frame.itertuples(index=False):
+        for k1, k2, cell, at, first, stretch in frame.itertuples(index=False):
             if cell != last:
                 if size >= CHUNK:
                     yield flush()
@@ -225,7 +271,7 @@ def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = cells[-1].setdefault(stretch, [])
             if not rows:
                 size += len(stretch)
-            rows.append((k1, k2, first))
+            rows.append((k1, k2, first, at))
     if cells:
         yield flush()
 
@@ -264,7 +310,7 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int =
     owned = found.join(again, "hash")
 
     def of(kept, task, schema):
-        lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "first", "last")).alias("owned"))
+        lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("owned"))
         return rows.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "owned").mapInPandas(task, schema)
 
     cells = of(F.col("n") <= most, _stretches, STRETCHES).repartition("hash").sortWithinPartitions("hash")
