@@ -37,6 +37,7 @@ from tidemark.llm.common import cut
 WORDS, SHARE = 5, 80
 SLOTS = 1 << 20
 BLOCK, LEAF, BROADCAST_ROWS = 2048, 32, 500_000
+COARSE, FINE = 8, 2  # tokens in a group: of the points in the tree, and of those that pairs are tried with before their sets
 GROUP_BYTES = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
 _MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
@@ -101,14 +102,24 @@ class Shingler:
                 yield np.zeros(0, np.uint64)
 
 
-def groups_for(n: int) -> int:
-    """Number of token groups for a set: about eight tokens in each, a power of two."""
-    return 1 << max(3, min(11, (max(n, 1) // 8).bit_length()))
+def groups_for(n: int, each: int) -> int:
+    """Number of token groups for a set: about ``each`` tokens in one, a power of two."""
+    return 1 << max(3, min(14, (max(n, 1) // each).bit_length()))
 
 
-def point(tokens: np.ndarray) -> np.ndarray:
-    g = groups_for(len(tokens))
-    return np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g).astype(np.uint32)
+def point(tokens: np.ndarray, each: int) -> np.ndarray:
+    g = groups_for(len(tokens), each)
+    return np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
+
+
+def packed(p: np.ndarray) -> bytes:
+    """A point in the smallest unsigned type that holds its counts."""
+    return p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes()
+
+
+def unpacked(data: bytes, n: int, each: int) -> np.ndarray:
+    g = groups_for(n, each)
+    return np.frombuffer(data, np.uint8 if len(data) == g else np.uint32).astype(np.int32)
 
 
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
@@ -135,7 +146,8 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return tokens[order[:most]]
 
 
-FACTS = "id long, k long, n long, digest binary, point binary, slot int, seen long"
+FACTS = "id long, k long, n long, digest binary, slot int, seen long"
+POINTS = "id long, n long, coarse binary, fine binary"
 CELLS = "cell long, id long"
 
 
@@ -150,14 +162,14 @@ def _facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 slots = (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
                 np.add.at(seen, slots, 1)
             total += len(tokens)
-            rows.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), point(tokens).tobytes()))
-        out = pd.DataFrame(rows, columns=["n", "digest", "point"])
+            rows.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes())))
+        out = pd.DataFrame(rows, columns=["n", "digest"])
         out.insert(0, "id", frame["id"].to_numpy())
         out.insert(1, "k", frame["k"].to_numpy())
         yield out.assign(slot=pd.array([None] * len(out), dtype="Int32"), seen=pd.array([None] * len(out), dtype="Int64"))
     heavy = np.flatnonzero(seen > 2 * total / SLOTS + 8)
     none = [None] * len(heavy)
-    yield pd.DataFrame({"id": pd.array(none, dtype="Int64"), "k": pd.array(none, dtype="Int64"), "n": pd.array(none, dtype="Int64"), "digest": none, "point": none, "slot": pd.array(heavy, dtype="Int32"), "seen": pd.array(seen[heavy], dtype="Int64")})
+    yield pd.DataFrame({"id": pd.array(none, dtype="Int64"), "k": pd.array(none, dtype="Int64"), "n": pd.array(none, dtype="Int64"), "digest": none, "slot": pd.array(heavy, dtype="Int32"), "seen": pd.array(seen[heavy], dtype="Int64")})
 
 
 def _cells(levels):
@@ -181,6 +193,15 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["id"].to_numpy(), "tokens": [x.tobytes() for x in shingler.sets(part["text"].tolist())]})
 
 
+def _points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shingler = Shingler()
+    for frame in frames:
+        rows = [(len(x), packed(point(x, COARSE)), packed(point(x, FINE))) for x in shingler.sets(frame["text"].tolist())]
+        out = pd.DataFrame(rows, columns=["n", "coarse", "fine"])
+        out.insert(0, "id", frame["id"].to_numpy())
+        yield out
+
+
 def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
     out = []
     for x, y in zip(left, right):
@@ -191,7 +212,7 @@ def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _near(p: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([may_link(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), n, m) for x, y, n, m in zip(p, q, a, b)], dtype=bool)
+    return pd.Series([may_link(unpacked(x, n, FINE), unpacked(y, m, FINE), n, m) for x, y, n, m in zip(p, q, a, b)], dtype=bool)
 
 
 class Tree:
@@ -231,7 +252,7 @@ def pairs_of(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[i
     made = []
     for side in (left, right) if right is not None else (left,):
         side = side.sort_values(["n", "id"])
-        points = [np.frombuffer(x, np.uint32) for x in side["point"]]
+        points = [unpacked(x, n, COARSE) for x, n in zip(side["coarse"], side["n"])]
         made.append((side["n"].to_numpy(), side["id"].to_numpy(), side["label"].to_numpy(), Tree(side["n"].to_numpy(), points)))
     (n, ids, labels, tree), (m, others, marks, second) = made[0], made[-1]
     for p, q in tree.leaf_pairs(second):
@@ -299,10 +320,10 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         levels[r["slot"]] = int(r["seen"]).bit_length()
     sent = context.broadcast(levels.tobytes())
     texts = table.where("slot IS NULL")
-    facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest", "point")).alias("f")).select("id", "f.*")
+    facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest")).alias("f")).select("id", "f.*")
     reps = facts.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", "point", F.coalesce("rep", "id").alias("rep")))
-    nodes = facts.where("id = rep AND n > 0").select("id", "k", "n", "point")
+    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", F.coalesce("rep", "id").alias("rep")))
+    nodes = facts.where("id = rep AND n > 0").select("id", "k")
 
     posted = given.select("id", "text").mapInArrow(_cells(sent), CELLS).repartition("cell").distinct()
     cells = posted.groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -312,38 +333,47 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     pivots = members.groupBy("cell").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
     tried = members.join(pivots, "cell").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tried = cut(tried)
-    edges = verified(bounded(tried, nodes), nodes, given)
+    met = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
+    points = cut(fetched(met, nodes, given).mapInPandas(_points, POINTS))
+    edges = verified(bounded(tried, points), nodes, given)
     labels = components(edges)
     held = members.join(pivots.select("cell", "members"), "cell").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     mixed_cells = held.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell")
-    held = held.join(mixed_cells, "cell").join(nodes.select("id", "n", "point"), "id")
+    held = held.join(mixed_cells, "cell").join(points.select("id", "n", "coarse"), "id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     held = held.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.select("cell", "id", "label", "n", "point", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+    held = held.select("cell", "id", "label", "n", "coarse", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
     more = held.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInPandas(_residual, "a long, b long")
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(verified(more, nodes, given))
+    edges = edges.unionByName(verified(bounded(more, points), nodes, given))
     labels = components(edges)
     found = facts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id").where("id IS NOT NULL").join(found, "id").unionByName(texts.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sizes and points leave an overlap that is large enough."""
-    side = lambda name, n, p: nodes.select(F.col("id").alias(name), F.col("n").alias(n), F.col("point").alias(p))
-    both = pairs.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b").where(f"100 * least(n, m) >= {SHARE} * greatest(n, m)")
+def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs whose sizes and fine points leave an overlap that is large enough."""
+    side = lambda name, n, p: points.select(F.col("id").alias(name), F.col("n").alias(n), F.col("fine").alias(p))
+    sizes = lambda name, n: points.select(F.col("id").alias(name), F.col("n").alias(n))
+    sized = pairs.join(sizes("a", "n"), "a").join(sizes("b", "m"), "b").where(f"100 * least(n, m) >= {SHARE} * greatest(n, m)").select("a", "b")
+    both = sized.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
     return both.where(F.pandas_udf(_near, "boolean")("p", "q", "n", "m")).select("a", "b")
 
 
+def fetched(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, text) of nodes by their ids: one scan of the texts, with the ids broadcast while they are few."""
+    wanted = cut(ids.join(nodes, "id").select("id", "k"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return texts.join(wanted, ["id", "k"]).select("id", "text")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs that are linked, by their whole sets."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "k"), "id")
-    wanted = cut(wanted)
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    sets = cut(texts.join(wanted, ["id", "k"]).select("id", "text").mapInPandas(_sets, "id long, tokens binary"))
+    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = cut(fetched(met, nodes, texts).mapInPandas(_sets, "id long, tokens binary"))
     left, right = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     both = pairs.join(left, "a").join(right, "b")
     return cut(both.where(F.pandas_udf(_linked, "boolean")("a_tokens", "b_tokens")).select("a", "b").distinct())

@@ -38,7 +38,7 @@ OWN, LETTER_CLASSES = 32, 32
 CLASSES = OWN + LETTER_CLASSES
 BUCKETS, TEMPLATES, BLOCK = 4096, 3, 256
 FREQUENT, WORD_BYTES = 1 << 17, 64
-ROUNDS, SMOOTH, GROUP, CHUNK = 2, 4.0, 100_000, 8192
+ROUNDS, SMOOTH, GROUP, CHUNK = 2, 4.0, 600_000, 2048
 
 
 def held_out(doc: Column) -> Column:
@@ -154,26 +154,26 @@ class Coded:
         self.features = np.stack([mix(h1, 2654435761), mix(h2, 2246822519), back(self.classes, 1) * CLASSES + back(self.classes, 2)])
 
 
-def grouped(texts: list[list[bytes]], most: int = GROUP) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """(first index, texts) with about ``most`` tokens in all; a longer text is a group by itself."""
+def grouped(texts: list[str | None], most: int = GROUP) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first index, tokens of each text) for groups of about ``most`` characters; a longer text is a group by itself."""
     first, held = 0, 0
-    for i, words in enumerate(texts):
-        if held and held + len(words) > most:
-            yield first, texts[first:i]
+    for i, text in enumerate(texts):
+        size = len(text or "") + 1
+        if held and held + size > most:
+            yield first, [tokens(x) for x in texts[first:i]]
             first, held = i, 0
-        held += len(words)
+        held += size
     if held:
-        yield first, texts[first:]
+        yield first, [tokens(x) for x in texts[first:]]
 
 
-def class_logs(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural log probability of each class for a chunk of tokens."""
+def class_sums(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Unnormalised log weights of each class for a chunk of tokens, the largest of a token at 0."""
     s = weights[0][features[0]]
     for t in range(1, TEMPLATES):
         s += weights[t][features[t]]
     s += bias
     s -= s.max(1, keepdims=True)
-    s -= np.log(np.exp(s).sum(1, keepdims=True))
     return s
 
 
@@ -185,16 +185,20 @@ def gradients(known, weights):
         lookup = vocabulary.lookup()
         seen, meant = np.zeros((TEMPLATES, BUCKETS * CLASSES)), np.zeros((TEMPLATES, BUCKETS, CLASSES), np.float32)
         for frame in frames:
-            for _, group in grouped([tokens(x) for x in frame["text"]]):
+            for _, group in grouped(frame["text"].tolist()):
                 coded = Coded(group, vocabulary, lookup)
+                for t in range(TEMPLATES):
+                    seen[t] += np.bincount(coded.features[t] * CLASSES + coded.classes, minlength=BUCKETS * CLASSES)
                 for a in range(0, len(coded.classes), CHUNK):
-                    f, c = coded.features[:, a : a + CHUNK], coded.classes[a : a + CHUNK]
-                    p = np.exp(class_logs(w, vocabulary.bias, f))
+                    f = coded.features[:, a : a + CHUNK]
+                    p = class_sums(w, vocabulary.bias, f)
+                    np.exp(p, out=p)
+                    p /= p.sum(1, keepdims=True)
                     for t in range(TEMPLATES):
-                        seen[t] += np.bincount(f[t] * CLASSES + c, minlength=BUCKETS * CLASSES)
                         order = np.argsort(f[t].astype(np.uint16), kind="stable")
-                        buckets, first = np.unique(f[t][order], return_index=True)
-                        meant[t, buckets] += np.add.reduceat(p[order], first)
+                        held = f[t][order]
+                        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+                        meant[t, held[first]] += np.add.reduceat(p[order], first)
         a, b = (x.astype(np.float32).reshape(-1, BLOCK * CLASSES) for x in (seen, meant))
         yield pd.DataFrame({"block": range(len(a)), "seen": [x.tobytes() for x in a], "meant": [x.tobytes() for x in b]})
 
@@ -233,14 +237,14 @@ def scores(known, weights):
         vocabulary, w = known.value, weights.value
         lookup = vocabulary.lookup()
         for frame in frames:
-            texts = [tokens(x) for x in frame["text"]]
-            for first, group in grouped(texts):
+            for first, group in grouped(frame["text"].tolist()):
                 coded = Coded(group, vocabulary, lookup)
                 classed = -vocabulary.within[coded.classes]
                 for a in range(0, len(classed), CHUNK):
                     c = coded.classes[a : a + CHUNK]
-                    logs = class_logs(w, vocabulary.bias, coded.features[:, a : a + CHUNK])
-                    classed[a : a + CHUNK] += logs[np.arange(len(c)), c] / np.log(10)
+                    sums = class_sums(w, vocabulary.bias, coded.features[:, a : a + CHUNK])
+                    own = sums[np.arange(len(c)), c]
+                    classed[a : a + CHUNK] += (own - np.log(np.exp(sums, out=sums).sum(1))) / np.log(10)
                 out = frame.iloc[first : first + len(group)][["row", "id"]].copy()
                 out["n_tokens"] = coded.sizes
                 flags = np.ones(len(coded.classes), np.int64)

@@ -223,7 +223,7 @@ def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for a in range(0, len(frame), 500):
             rows = []
-            for k1, k2, text, owned in frame.iloc[a : a + 500].itertuples(index=False):
+            for k1, k2, text, owned in frame[["k1", "k2", "text", "owned"]].iloc[a : a + 500].itertuples(index=False):
                 data = text.encode()
                 rows += [(k1, k2, o["hash"], o["at"] - o["first"], o["first"], data[o["first"] : o["last"] + LENGTH]) for o in owned]
             yield pd.DataFrame(rows, columns=["k1", "k2", "hash", "at", "first", "stretch"])
@@ -231,7 +231,7 @@ def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for k1, k2, text, owned in frame.itertuples(index=False):
+        for k1, k2, text, owned in frame[["k1", "k2", "text", "owned"]].itertuples(index=False):
             data = text.encode()
             starts = [s for o in owned for s in range(o["first"], o["last"] + 1)]
             yield pd.DataFrame({"k1": k1, "k2": k2, "first": starts, "string": [xxhash.xxh3_128_digest(data[s : s + LENGTH]) for s in starts]})
@@ -311,7 +311,8 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int =
 
     def of(kept, task, schema):
         lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("owned"))
-        return rows.join(lists, ["k1", "k2"]).select("k1", "k2", "text", "owned").mapInPandas(task, schema)
+        # all columns of the texts go along, so that one shuffle of them serves this join and the last one
+        return rows.join(lists, ["k1", "k2"]).select(*rows.columns, "owned").mapInPandas(task, schema)
 
     cells = of(F.col("n") <= most, _stretches, STRETCHES).repartition("hash").sortWithinPartitions("hash")
     ranges = cells.mapInPandas(_sorted_cells, RANGES)
