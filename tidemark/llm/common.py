@@ -20,7 +20,7 @@ def words_of(text: Column, separators: str) -> Column:
     return F.filter(pieces, lambda w: w != "")
 
 
-ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 8 << 20
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 2 << 20
 
 
 def small_batches(spark) -> None:

@@ -38,7 +38,7 @@ WORDS, SHARE = 5, 80
 SLOTS = 1 << 20
 BLOCK, LEAF, BROADCAST_ROWS = 2048, 32, 500_000
 COARSE, FINE = 8, 2  # tokens in a group: of the points in the tree, and of those that pairs are tried with before their sets
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
 _MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
 

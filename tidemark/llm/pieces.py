@@ -167,6 +167,11 @@ class Pieces:
         out.append(self.last)
         return np.frombuffer(b"".join(out), np.int32)
 
+    def forget(self) -> None:
+        """Drop what is remembered, so that a worker that goes on to other work holds the vocabulary alone."""
+        self.known, self.older = {}, {}
+        self.pairs.clear()
+
     def decode(self, ids) -> str:
         if ids is None or not len(ids):
             return ""
@@ -220,6 +225,7 @@ def code(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", deco
                 coded = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
                 back = pa.array([vocabulary.decode(x) for x in made], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), coded, back], [*kept, ids, decoded])
+        vocabulary.forget()
 
     return docs.mapInArrow(run, schema)
 
