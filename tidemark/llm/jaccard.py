@@ -11,7 +11,7 @@ Cells with the same members are one. In a cell every member is first tried with
 groups of near copies without writing out their pairs. Cells that still hold several components then get
 an R-tree over their points, with the largest corner of each leaf: leaf pairs whose corners can't reach the
 overlap that their sizes need are passed over, the others give the pairs of different components
-that the bound leaves. All pairs are verified on whole sets, and components follow by alternating stars.
+that the bound leaves, first over few groups, then over all. All pairs are verified on whole sets, and components follow by alternating stars.
 
 A cell with more than ``BLOCK`` members is dealt to tasks as pairs of blocks; no task holds more than two
 blocks, and no pair is left out. Ids of the nodes to verify are broadcast up to ``BROADCAST_ROWS``, else joined.
@@ -37,8 +37,8 @@ from tidemark.llm.common import cut
 WORDS, SHARE = 5, 80
 SLOTS = 1 << 20
 BLOCK, LEAF, BROADCAST_ROWS = 2048, 32, 500_000
-COARSE, FINE = 8, 2  # tokens in a group: of the points in the tree, and of those that pairs are tried with before their sets
-GROUP_BYTES = 1 << 18
+FINE, FOLDS = 2, 4  # tokens in a group of a point, and how many of these groups are one in the tree's boxes
+GROUP_BYTES, CHUNK = 1 << 18, 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
 _MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
 
@@ -102,23 +102,30 @@ class Shingler:
                 yield np.zeros(0, np.uint64)
 
 
-def groups_for(n: int, each: int) -> int:
-    """Number of token groups for a set: about ``each`` tokens in one, a power of two."""
-    return 1 << max(3, min(14, (max(n, 1) // each).bit_length()))
+def groups_for(n: int) -> int:
+    """Number of token groups for a set: about ``FINE`` tokens in one, a power of two."""
+    return 1 << max(3, min(14, (max(n, 1) // FINE).bit_length()))
 
 
-def point(tokens: np.ndarray, each: int) -> np.ndarray:
-    g = groups_for(len(tokens), each)
+def point(tokens: np.ndarray) -> np.ndarray:
+    g = groups_for(len(tokens))
     return np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (g - 1), minlength=g)
 
 
 def packed(p: np.ndarray) -> bytes:
-    """A point in the smallest unsigned type that holds its counts."""
+    """A point in half bytes, bytes or words: the smallest that hold its counts."""
+    if p.max() < 16:
+        q = p.astype(np.uint8)
+        return (q[0::2] | (q[1::2] << 4)).tobytes()
     return p.astype(np.uint8 if p.max() < 256 else np.uint32).tobytes()
 
 
-def unpacked(data: bytes, n: int, each: int) -> np.ndarray:
-    g = groups_for(n, each)
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    g = groups_for(n)
+    if 2 * len(data) == g:
+        raw, out = np.frombuffer(data, np.uint8), np.empty(g, np.int32)
+        out[0::2], out[1::2] = raw & 15, raw >> 4
+        return out
     return np.frombuffer(data, np.uint8 if len(data) == g else np.uint32).astype(np.int32)
 
 
@@ -127,6 +134,11 @@ def folded(p: np.ndarray, groups: int) -> np.ndarray:
     return p.reshape(-1, groups).sum(0)
 
 
+def coarser(held: np.ndarray, groups: int) -> np.ndarray:
+    """Points in rows over fewer groups."""
+    return held.reshape(len(held), -1, groups).sum(1, dtype=np.int32)
+
+
 def needed(a, b, share: int = SHARE):
     """Smallest overlap of linked sets with these sizes."""
     return -((-share * (a + b)) // (100 + share))
@@ -147,7 +159,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 FACTS = "id long, k long, n long, digest binary, slot int, seen long"
-POINTS = "id long, n long, coarse binary, fine binary"
+POINTS = "id long, n long, point binary"
 CELLS = "cell long, id long"
 
 
@@ -196,8 +208,8 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for frame in frames:
-        rows = [(len(x), packed(point(x, COARSE)), packed(point(x, FINE))) for x in shingler.sets(frame["text"].tolist())]
-        out = pd.DataFrame(rows, columns=["n", "coarse", "fine"])
+        rows = [(len(x), packed(point(x))) for x in shingler.sets(frame["text"].tolist())]
+        out = pd.DataFrame(rows, columns=["n", "point"])
         out.insert(0, "id", frame["id"].to_numpy())
         yield out
 
@@ -212,7 +224,7 @@ def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def _near(p: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([may_link(unpacked(x, n, FINE), unpacked(y, m, FINE), n, m) for x, y, n, m in zip(p, q, a, b)], dtype=bool)
+    return pd.Series([may_link(unpacked(x, n), unpacked(y, m), n, m) for x, y, n, m in zip(p, q, a, b)], dtype=bool)
 
 
 class Tree:
@@ -222,8 +234,10 @@ class Tree:
         self.leaves, self.parents = [], []
         for a in range(0, len(points), LEAF):
             g = min(len(p) for p in points[a : a + LEAF])
-            held = np.stack([folded(p, g) for p in points[a : a + LEAF]])
-            self.leaves.append((held.max(0), int(sizes[a]), int(sizes[a : a + LEAF][-1]), held, a))
+            whole = np.stack([folded(p, g) for p in points[a : a + LEAF]])
+            held = coarser(whole, max(8, g // FOLDS))
+            whole = whole.astype(np.uint16 if whole.max() < 1 << 16 else np.uint32)
+            self.leaves.append((held.max(0), int(sizes[a]), int(sizes[a : a + LEAF][-1]), held, a, whole))
         for a in range(0, len(self.leaves), LEAF):
             under = self.leaves[a : a + LEAF]
             g = min(len(x[0]) for x in under)
@@ -252,19 +266,27 @@ def pairs_of(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[i
     made = []
     for side in (left, right) if right is not None else (left,):
         side = side.sort_values(["n", "id"])
-        points = [unpacked(x, n, COARSE) for x, n in zip(side["coarse"], side["n"])]
+        points = [unpacked(x, n) for x, n in zip(side["point"], side["n"])]
         made.append((side["n"].to_numpy(), side["id"].to_numpy(), side["label"].to_numpy(), Tree(side["n"].to_numpy(), points)))
     (n, ids, labels, tree), (m, others, marks, second) = made[0], made[-1]
     for p, q in tree.leaf_pairs(second):
         g = min(p[3].shape[1], q[3].shape[1])
-        a, b = (x[3].reshape(len(x[3]), -1, g).sum(1) for x in (p, q))
+        a, b = coarser(p[3], g), coarser(q[3], g)
         i, j = np.arange(p[4], p[4] + len(a)), np.arange(q[4], q[4] + len(b))
         bound = np.minimum(a[:, None], b[None]).sum(2)
         fits = (bound >= needed(n[i][:, None], m[j][None])) & (labels[i][:, None] != marks[j][None])
         fits &= 100 * np.minimum(n[i][:, None], m[j][None]) >= SHARE * np.maximum(n[i][:, None], m[j][None])
         if right is None:
             fits &= i[:, None] < j[None]
-        for u, v in zip(*np.nonzero(fits)):
+        us, vs = np.nonzero(fits)
+        if not len(us):
+            continue
+        g = min(p[5].shape[1], q[5].shape[1])
+        a, b = coarser(p[5], g), coarser(q[5], g)
+        some = max(1, CHUNK // g)  # pairs whose whole points are held against each other at a time
+        bound = np.concatenate([np.minimum(a[us[k : k + some]], b[vs[k : k + some]]).sum(1) for k in range(0, len(us), some)])
+        near = bound >= needed(n[i][us], m[j][vs])
+        for u, v in zip(us[near], vs[near]):
             x, y = int(ids[i[u]]), int(others[j[v]])
             yield (x, y) if x < y else (y, x)
 
@@ -339,13 +361,13 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     labels = components(edges)
     held = members.join(pivots.select("cell", "members"), "cell").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
     mixed_cells = held.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell")
-    held = held.join(mixed_cells, "cell").join(points.select("id", "n", "coarse"), "id")
+    held = held.join(mixed_cells, "cell").join(points.select("id", "n", "point"), "id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     held = held.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.select("cell", "id", "label", "n", "coarse", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
+    held = held.select("cell", "id", "label", "n", "point", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
     more = held.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInPandas(_residual, "a long, b long")
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(verified(bounded(more, points), nodes, given))
+    edges = edges.unionByName(verified(more, nodes, given))
     labels = components(edges)
     found = facts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id").where("id IS NOT NULL").join(found, "id").unionByName(texts.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
@@ -354,7 +376,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
 
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """The pairs whose sizes and fine points leave an overlap that is large enough."""
-    side = lambda name, n, p: points.select(F.col("id").alias(name), F.col("n").alias(n), F.col("fine").alias(p))
+    side = lambda name, n, p: points.select(F.col("id").alias(name), F.col("n").alias(n), F.col("point").alias(p))
     sizes = lambda name, n: points.select(F.col("id").alias(name), F.col("n").alias(n))
     sized = pairs.join(sizes("a", "n"), "a").join(sizes("b", "m"), "b").where(f"100 * least(n, m) >= {SHARE} * greatest(n, m)").select("a", "b")
     both = sized.join(side("a", "n", "p"), "a").join(side("b", "m", "q"), "b")
