@@ -166,19 +166,28 @@ CELLS = "cell long, id long"
 def _facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A row for each text, and at the end one for each slot that is heavy in this task."""
     shingler, seen, total = Shingler(), np.zeros(SLOTS, np.int64), 0
+    held: list[np.ndarray] = []
+    waiting = 0
+
+    def count() -> None:
+        if held:
+            np.add(seen, np.bincount((np.concatenate(held) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS), out=seen)
+            held.clear()
+
     for frame in frames:
         rows = []
         for tokens in shingler.sets(frame["text"].tolist()):
-            seen += np.bincount((tokens & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) if len(tokens) > SLOTS // 8 else 0
-            if len(tokens) <= SLOTS // 8:
-                slots = (tokens & np.uint64(SLOTS - 1)).astype(np.int64)
-                np.add.at(seen, slots, 1)
-            total += len(tokens)
+            held.append(tokens)
+            total, waiting = total + len(tokens), waiting + len(tokens)
+            if waiting > SLOTS:
+                count()
+                waiting = 0
             rows.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes())))
         out = pd.DataFrame(rows, columns=["n", "digest"])
         out.insert(0, "id", frame["id"].to_numpy())
         out.insert(1, "k", frame["k"].to_numpy())
         yield out.assign(slot=pd.array([None] * len(out), dtype="Int32"), seen=pd.array([None] * len(out), dtype="Int64"))
+    count()
     heavy = np.flatnonzero(seen > 2 * total / SLOTS + 8)
     none = [None] * len(heavy)
     yield pd.DataFrame({"id": pd.array(none, dtype="Int64"), "k": pd.array(none, dtype="Int64"), "n": pd.array(none, dtype="Int64"), "digest": none, "slot": pd.array(heavy, dtype="Int32"), "seen": pd.array(seen[heavy], dtype="Int64")})
@@ -234,7 +243,7 @@ class Tree:
         self.leaves, self.parents = [], []
         for a in range(0, len(points), LEAF):
             g = min(len(p) for p in points[a : a + LEAF])
-            whole = np.stack([folded(p, g) for p in points[a : a + LEAF]])
+            whole = np.stack([p if len(p) == g else folded(p, g) for p in points[a : a + LEAF]])
             held = coarser(whole, max(8, g // FOLDS))
             whole = whole.astype(np.uint16 if whole.max() < 1 << 16 else np.uint32)
             self.leaves.append((held.max(0), int(sizes[a]), int(sizes[a : a + LEAF][-1]), held, a, whole))
@@ -261,13 +270,14 @@ class Tree:
                                 yield p, q
 
 
-def pairs_of(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that the bound leaves; right None: within left."""
+def pairs_of(left, right=None) -> Iterator[tuple[int, int]]:
+    """Pairs of different components that the bound leaves; right None: within left. Sides have columns n, id, label, point."""
     made = []
     for side in (left, right) if right is not None else (left,):
-        side = side.sort_values(["n", "id"])
-        points = [unpacked(x, n) for x, n in zip(side["point"], side["n"])]
-        made.append((side["n"].to_numpy(), side["id"].to_numpy(), side["label"].to_numpy(), Tree(side["n"].to_numpy(), points)))
+        n, ids, labels, data = (np.asarray(side[c]) for c in ("n", "id", "label", "point"))
+        order = np.lexsort((ids, n))
+        n = n[order]
+        made.append((n, ids[order], labels[order], Tree(n, [unpacked(x, k) for x, k in zip(data[order], n.tolist())])))
     (n, ids, labels, tree), (m, others, marks, second) = made[0], made[-1]
     for p, q in tree.leaf_pairs(second):
         g = min(p[3].shape[1], q[3].shape[1])
@@ -291,27 +301,41 @@ def pairs_of(left: pd.DataFrame, right: pd.DataFrame | None) -> Iterator[tuple[i
             yield (x, y) if x < y else (y, x)
 
 
-def _residual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    held, last = [], None
+CELL = ("cell", "one", "two")
+SIDE = ("n", "id", "label", "side", "point")
 
-    def flush() -> pd.DataFrame:
-        whole = pd.concat(held)
-        one, two = whole["one"].iloc[0], whole["two"].iloc[0]
-        if one == two:
-            found = pairs_of(whole, None)
+
+def _residual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs to verify, from rows in the order of their cells; a cell's rows may come in several frames."""
+    held: list[dict] = []
+    last, found = None, set()
+
+    def close() -> None:
+        whole = {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in SIDE}
+        if last[1] == last[2]:
+            found.update(pairs_of(whole))
         else:
-            found = pairs_of(whole[whole["side"] == one], whole[whole["side"] == two]) if whole["side"].nunique() == 2 else ()
-        return pd.DataFrame(set(found), columns=["a", "b"])
+            one, two = (whole["side"] == k for k in last[1:])
+            if one.any() and two.any():
+                found.update(pairs_of({c: v[one] for c, v in whole.items()}, {c: v[two] for c, v in whole.items()}))
 
     for frame in frames:
-        for key, part in frame.groupby(["cell", "one", "two"], sort=False):
+        columns = {c: frame[c].to_numpy() for c in SIDE}
+        keys = np.stack([frame[c].to_numpy(np.int64) for c in CELL], 1)
+        starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else keys[:0, 0]
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+            key = tuple(keys[a].tolist())
             if key != last and held:
-                yield flush()
+                close()
                 held = []
+                if len(found) > 100_000:
+                    yield pd.DataFrame(list(found), columns=["a", "b"])
+                    found.clear()
             last = key
-            held.append(part)
+            held.append({c: v[a:b] for c, v in columns.items()})
     if held:
-        yield flush()
+        close()
+    yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
 
 def components(edges: DataFrame) -> DataFrame:
