@@ -273,7 +273,7 @@ def audit_compare(t: Tables) -> DataFrame:
     return audit.linked_documents(docs.where("l_linenumber <= 4").drop("l_linenumber"), docs.where("l_linenumber >= 3").drop("l_linenumber"))
 
 
-@query(f"""WITH {REGISTER_SQL}, {REVIEWS_SQL}, last AS (SELECT target_id AS id, arg_max(status, (sequence, review_id)) AS review FROM rev WHERE target_id IS NOT NULL GROUP BY target_id),
+@query(f"""WITH {REGISTER_SQL}, {REVIEWS_SQL}, last AS (SELECT target_id AS id, arg_max(status, (sequence, review_id, status)) AS review FROM rev WHERE target_id IS NOT NULL GROUP BY target_id),
 d AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'dismissed' ELSE 'detected' END AS status FROM reg WHERE id % 2 = 0)
 SELECT id, s AS status FROM (SELECT coalesce(d.id, last.id) AS id, CASE WHEN review = 'rejected' AND status IS NOT NULL THEN 'dismissed' WHEN review = 'published' AND status = 'detected' THEN 'promoted'
   WHEN status IS NULL AND review IN ('pending_review', 'approved') THEN 'detected' ELSE status END AS s FROM d FULL JOIN last ON d.id = last.id) WHERE s IS NOT NULL""")
@@ -281,7 +281,7 @@ def reconcile_developments(t: Tables) -> DataFrame:
     from tidemark.operators.workflow import reconciled
 
     held = register(t).where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "dismissed").otherwise("detected").alias("status"))
-    told = reviews(t).where("target_id IS NOT NULL").select(F.col("target_id").alias("development_id"), "status", F.struct("sequence", "review_id").alias("ord"))
+    told = reviews(t).where("target_id IS NOT NULL").select(F.col("target_id").alias("development_id"), "status", F.struct("sequence", "review_id", "status").alias("ord"))
     return reconciled(held, told)
 
 
