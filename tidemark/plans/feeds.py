@@ -173,12 +173,12 @@ def thread_versions(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last"), F.max_by("role", F.struct("turn", "role", "text")).alias("role"))
 
 
-@query("""SELECT key, v AS value FROM (SELECT o_orderkey AS key, coalesce(l, o_orderstatus) AS v FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey)) AS l FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) ON o_orderkey = l_orderkey)""")
+@query("""SELECT key, v AS value FROM (SELECT o_orderkey AS key, coalesce(l, o_orderstatus) AS v FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_linestatus, (l_linenumber, l_partkey, l_suppkey, l_linestatus)) AS l FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1) ON o_orderkey = l_orderkey)""")
 def reviews_upsert(t: Tables) -> DataFrame:
-    """Keyed upsert, the last update wins."""
+    """Keyed upsert, the last update wins; of updates equal in their order the greatest value."""
     held = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), F.struct(F.col("o_orderkey").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("_s"))
     told = t.lineitem.where("l_orderkey % 2 = 0").select(F.col("l_orderkey").alias("key"), F.col("l_linestatus").alias("value"), F.struct(F.col("l_linenumber").cast("long").alias("a"), F.col("l_partkey").alias("b"), F.col("l_suppkey").alias("c")).alias("_s"))
-    last = told.groupBy("key").agg(F.max_by("value", "_s").alias("new"))
+    last = told.groupBy("key").agg(F.max_by("value", F.struct("_s", "value")).alias("new"))
     return held.join(last, "key", "left").select("key", F.coalesce("new", "value").alias("value"))
 
 
