@@ -137,6 +137,41 @@ def test_spans(docs, none):
         assert not units or "".join((t or "")[a:b] for a, b, _ in units) == t
 
 
+def all_repeats(texts):
+    """By brute force over all runs: for each text, in order, the sentences that a repeated run covers."""
+    cut = [[words for _, _, words in spans.sentences(t)] for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for d, units in enumerate(cut):
+        for a in range(len(units)):
+            for b in range(a + 1, len(units) + 1):
+                words = tuple(w for u in units[a:b] for w in u)
+                if len(units[a]) > spans.LONG if b - a == 1 else len(words) >= spans.LEAST:
+                    if words in seen:
+                        gone[d] |= set(range(a, b))
+                    seen.add(words)
+    return gone
+
+
+def test_spans_against_all_runs(spark):
+    import random
+
+    rng = random.Random(9)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + ". "
+    tails = ["".join(map(sentence, ns)) for ns in ([20, 20, 5, 6], [3, 12, 30, 3], [30, 3], [2, 30, 1, 1], [10, 10, 3])]
+    stock = [sentence(rng.choice([1, 2, 3, 5, 8, 13, 20, 23])) for _ in range(60)]
+    texts = [*tails, *(sentence(9) + t + sentence(4) for t in tails), *tails]
+    for _ in range(60):  # passages of the stock between other sentences
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            a = rng.randrange(60)
+            parts += [*stock[a : a + rng.randint(1, 9)], *(sentence(rng.randint(1, 30)) for _ in range(rng.randint(0, 2)))]
+        texts.append("".join(parts))
+    want = [(i, "".join(t[a:b] for k, (a, b, _) in enumerate(spans.sentences(t)) if k not in gone)) for i, (t, gone) in enumerate(zip(texts, all_repeats(texts)))]
+    got = spans.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.text) for r in got] == want
+    assert all(r.text == "" for r in got[10:15])  # exact copies go whole
+
+
 def test_suffixes(docs, none):
     got = suffixes.dedup(docs).select("doc_id", "kept", "n_bytes", "n_removed").collect()
     want = []

@@ -4,9 +4,11 @@ A text is cut into sentences: at full stops, exclamation and question marks befo
 ends. In a stretch of more than ``LONG`` words without such an end, further cuts follow words that
 their own hash picks, at least ``EDGE`` words from its ends, so that copies of a passage are cut alike
 wherever they stand. From every sentence starts one run: the shortest of at least two sentences (or one
-of more than ``LONG`` words) with ``least`` words in all. All runs are hashed and joined over the whole
-corpus; of equal runs the first (by document id, then place) stays, and each sentence that another
-one covers is removed.
+of more than ``LONG`` words) with ``least`` words in all. At every sentence ends one more: the shortest of at
+least two sentences with ``least`` words. Of a longer repeated passage each sentence is in one of these that the
+passage holds whole: in the run from it, or, where that goes on beyond the passage, in the one that ends
+with the passage. All runs are hashed and joined over the whole corpus; of equal runs the first (by
+document id, then place) stays, and each sentence that another one covers is removed.
 
 Runs are hashed from their words in lower case, so that white space doesn't tell copies apart. Equal
 runs are met by grouping with partial sums and a join on the hash, never gathered.
@@ -19,6 +21,7 @@ other columns are kept unless an output has their name; an empty table stays emp
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 from zlib import crc32
 
 import pandas as pd
@@ -62,21 +65,28 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
 
 
 def runs(text: str | None, least: int = LEAST) -> list[dict]:
-    """The run that starts at each sentence: hash, index of the sentence, number of sentences."""
+    """The runs that start and end at each sentence: hash, index of the first sentence, number of sentences."""
     units = sentences(text or "")
-    out = []
+    held = [w for _, _, words in units for w in words]
+    ends = [0, *accumulate(len(words) for _, _, words in units)]
+    found: dict[tuple[int, int], None] = {}
+    j = 0
     for i, (_, _, words) in enumerate(units):
         if len(words) > LONG:
-            held, n = words, 1
-        else:
-            held, n = list(words), 1
-            while (n < 2 or len(held) < least) and i + n < len(units):
-                held += units[i + n][2]
-                n += 1
-            if n < 2 or len(held) < least:
-                break
-        out.append({"hash": xxhash.xxh3_128_digest(" ".join(held)), "at": i, "n": n})
-    return out
+            found[i, i + 1] = None
+            continue
+        j = max(j, i + 2)
+        while j < len(ends) and ends[j] - ends[i] < least:
+            j += 1
+        if j < len(ends):
+            found[i, j] = None
+    i = 0
+    for j in range(2, len(ends)):
+        while i + 3 <= j and ends[j] - ends[i + 1] >= least:
+            i += 1
+        if ends[j] - ends[i] >= least:
+            found[i, j] = None
+    return [{"hash": xxhash.xxh3_128_digest(" ".join(held[ends[i] : ends[j]])), "at": i, "n": j - i} for i, j in found]
 
 
 def without(text: str | None, spans) -> tuple[str, int, int]:
