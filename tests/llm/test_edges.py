@@ -172,6 +172,19 @@ def test_spans_against_all_runs(spark):
     assert all(r.text == "" for r in got[10:15])  # exact copies go whole
 
 
+def test_spans_of_texts_with_one_id(spark):
+    part = lambda name: " ".join(f"{name}{k}" for k in range(20)) + ". "
+    shared = part("s") + part("t")
+    for one in (None, 7):
+        rows = [(1, shared), (one, shared + part("a") + part("b")), (one, part("c") + part("d") + part("e")), (one, part("u") + part("v") + part("f")), (one, part("u") + part("v") + part("g")), (one, part("c") + part("d") + part("e"))]
+        got = Counter((r.doc_id, r.n_removed, r.text) for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        clean = part("c") + part("d") + part("e")
+        assert got[one, 0, clean] == 2  # identical rows stay alike, and lose nothing to other texts
+        assert (got[1, 2, ""], got[one, 2, part("a") + part("b")]) == ((1, 0) if one is None else (0, 1))  # a null id sorts first
+        assert sum(n for (i, _, t), n in got.items() if i == one and part("u") + part("v") in t) == 1  # one of two texts keeps the passage
+        assert sum(n for (i, _, t), n in got.items() if i == one and t in (part("f"), part("g"))) == 1
+
+
 def test_suffixes(docs, none):
     got = suffixes.dedup(docs).select("doc_id", "kept", "n_bytes", "n_removed").collect()
     want = []

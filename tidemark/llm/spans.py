@@ -14,7 +14,8 @@ Runs are hashed from their words in lower case, so that white space doesn't tell
 runs are met by grouping with partial sums and a join on the hash, never gathered.
 
 Defined results: null and empty texts have no sentences and come back empty; a null id sorts first; rows with
-equal ids count as one document and are cut alike; texts of fewer words than a run have none and stay;
+equal id and text count as one document and are cut alike; rows with an equal id and different texts are
+documents of their own, in the order of their texts' hashes; texts of fewer words than a run have none and stay;
 other columns are kept unless an output has their name; an empty table stays empty.
 """
 
@@ -108,11 +109,13 @@ def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
 
 def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its text cut, n_sentences and n_removed."""
-    found = docs.select(F.col(doc).alias("id"), F.inline(F.pandas_udf(_runs_of, RUNS)(F.col(text))))
-    place = F.struct(F.col("id").isNotNull().alias("given"), "id", "at")
-    firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("hash", "first")
+    key = F.xxhash64(F.coalesce(text, F.lit("")))
+    found = docs.select(F.col(doc).alias("id"), key.alias("k"), F.inline(F.pandas_udf(_runs_of, RUNS)(F.col(text))))
+    place = F.struct(F.col("id").isNotNull().alias("given"), "id", "k", "at")
+    # a run that only identical rows hold has a count above one too, but no later place
+    firsts = found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("hash", "first")
     later = found.join(firsts, "hash").where(place > F.col("first"))
-    gone = later.groupBy(F.col("id").alias("_gone_id")).agg(F.collect_set(F.struct("at", "n")).alias("_gone"))
-    held = docs.join(gone, F.col(doc).eqNullSafe(F.col("_gone_id")), "left")
+    gone = later.groupBy(F.col("id").alias("_gone_id"), F.col("k").alias("_gone_k")).agg(F.collect_set(F.struct("at", "n")).alias("_gone"))
+    held = docs.join(gone, F.col(doc).eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_k")), "left")
     made = held.withColumn("_cut", F.pandas_udf(_without, CUT)(F.col(text), F.col("_gone")))
-    return made.withColumns({text: F.col("_cut.text"), "n_sentences": F.col("_cut.n_sentences"), "n_removed": F.col("_cut.n_removed")}).drop("_gone_id", "_gone", "_cut")
+    return made.withColumns({text: F.col("_cut.text"), "n_sentences": F.col("_cut.n_sentences"), "n_removed": F.col("_cut.n_removed")}).drop("_gone_id", "_gone_k", "_gone", "_cut")
