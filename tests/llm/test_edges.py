@@ -78,6 +78,17 @@ def test_pii(docs, none):
     assert pii.detect(none).count() == 0
 
 
+def test_pii_masks_the_union_of_overlapping_spans(spark):
+    texts = ["call +1 555 123 4567-jane@x.com now", "abcdefghijklmnop"]
+    found = pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    first = pii.mask(found).where("doc_id = 0").first()
+    assert [(s.kind, s.start, s.end) for s in first.spans if s.base] == [("email", 16, 31), ("phone", 5, 20)]
+    assert first.text == "call [PHONE] now"
+    made = [("phone", 2, 6, True), ("email", 4, 9, True), ("ip", 5, 7, True), ("card", 8, 11, True)], [("ip", 1, 3, True), ("email", 3, 8, True), ("card", 3, 5, True), ("phone", 7, 9, False)]
+    rows = spark.createDataFrame([(i, texts[1], s) for i, s in enumerate(made)], f"n int, text string, spans {pii.SPANS}")
+    assert [r.text for r in pii.mask(rows).orderBy("n").collect()] == ["ab[PHONE]lmnop", "a[IP][EMAIL]jklmnop"]
+
+
 def test_pii_held_out():
     x, _, texts, labels = pii.labelled(300, 77)
     right = found = meant = 0

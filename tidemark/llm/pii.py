@@ -398,7 +398,7 @@ def detect(docs: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
 
 
 def mask(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
-    """``docs`` with each span of the text replaced by its kind in brackets; of spans that overlap, the earliest and longest."""
+    """``docs`` with each span of the text replaced by its kind in brackets; spans that overlap by one mark for their union, with the kind of the first (of equal starts the longest)."""
 
     def masked(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
@@ -407,7 +407,7 @@ def mask(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame
             for s in sorted(rows, key=lambda s: (s["start"], -s["end"])):
                 if s["start"] >= done:
                     parts += [x[done : s["start"]], f"[{s['kind'].upper()}]"]
-                    done = s["end"]
+                done = max(done, s["end"])
             out.append("".join([*parts, x[done:]]) if parts else x)
         return pd.Series(out, dtype=object)
 
