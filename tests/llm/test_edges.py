@@ -227,6 +227,34 @@ def test_suffixes_periodic_and_overfull_cells(spark):
         assert {r.doc_id: bytes(r.kept) for r in suffixes.dedup(docs, most=most).collect()} == want
 
 
+def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
+    text = " ".join(f"t{i}x{i * i}" for i in range(250))
+    rows = [*[(None, text)] * 20, *[(3, text + "z" * 90)] * 2, (4, "head " * 9 + text[:700]), (5, "alone " * 30 + text[::-1])]
+    docs, dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.sparkContext.accumulator(0)
+    task = suffixes._sorted_cells
+
+    def counted(frames):
+        def seen():
+            for frame in frames:
+                dealt.add(len(frame))
+                yield frame
+
+        yield from task(seen())
+
+    monkeypatch.setattr(suffixes, "_sorted_cells", counted)
+    seen = Counter(t[s : s + 400] for _, t in rows for s in range(len(t) - 399))
+    want = []
+    for i, t in rows:
+        gone = {k for s in range(len(t) - 399) if seen[t[s : s + 400]] > 1 for k in range(s, s + 400)}
+        want.append((i, "".join(c for k, c in enumerate(t) if k not in gone), len(t), len(gone)))
+    for most in (suffixes.MOST, 2):
+        got = [(r.doc_id, bytes(r.kept).decode(), r.n_bytes, r.n_removed) for r in suffixes.dedup(docs, most=most).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        if most > 2:
+            powers = suffixes._powers(suffixes.PIECE + suffixes.LENGTH)
+            assert 0 < dealt.value <= sum(len(suffixes.anchors(t.encode(), powers)[0]) for _, t in set(rows))
+
+
 def test_jaccard(docs, none):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
     n = len(TWICE.split()) - 4

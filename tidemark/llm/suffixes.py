@@ -16,6 +16,9 @@ distinct stretches, where a passage stands in many surroundings, two sorts do: o
 anchor on, and of the texts before it read backwards. Neighbours' common prefixes in both orders give, for each
 distance, classes of equal sides, and two strings are equal if both their classes are.
 
+Identical rows are one text with a multiplicity: it is read, dealt and cut once, each of its strings repeats, and
+its result is given as often as it has rows.
+
 A cell of more than ``MOST`` occurrences is not gathered: there, each string of LENGTH bytes is a row of its
 own, and equal ones are counted by Spark with partial sums. All ways are exact.
 
@@ -203,38 +206,38 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
 
 # -- tasks ---------------------------------------------------------------------------------------------------
 
-ANCHORS = "k1 long, k2 long, hash long, at int, first int, last int"
-STRETCHES = "k1 long, k2 long, hash long, at int, first int, stretch binary"
+ANCHORS = "k1 long, k2 long, times long, hash long, at int, first int, last int"
+STRETCHES = "k1 long, k2 long, times long, hash long, at int, first int, stretch binary"
 RANGES = "k1 long, k2 long, ranges array<int>"
-STRINGS = "k1 long, k2 long, first int, string binary"
+STRINGS = "k1 long, k2 long, times long, first int, string binary"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = _powers(PIECE + LENGTH)
     for batch in batches:
-        k1, k2 = (batch.column(i).to_numpy() for i in (0, 1))
-        made = [anchors((x or "").encode(), powers) for x in batch.column(2).to_pylist()]
+        keys = [batch.column(i).to_numpy() for i in (0, 1, 2)]
+        made = [anchors((x or "").encode(), powers) for x in batch.column(3).to_pylist()]
         n = [len(m[0]) for m in made]
-        columns = [np.repeat(k1, n), np.repeat(k2, n)] + [np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["k1", "k2", "hash", "at", "first", "last"])
+        columns = [np.repeat(k, n) for k in keys] + [np.concatenate([m[i] for m in made]) if made else np.zeros(0, np.int64) for i in range(4)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["k1", "k2", "times", "hash", "at", "first", "last"])
 
 
 def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         for a in range(0, len(frame), 500):
             rows = []
-            for k1, k2, text, owned in frame[["k1", "k2", "text", "owned"]].iloc[a : a + 500].itertuples(index=False):
+            for k1, k2, times, text, owned in frame[["k1", "k2", "times", "text", "owned"]].iloc[a : a + 500].itertuples(index=False):
                 data = text.encode()
-                rows += [(k1, k2, o["hash"], o["at"] - o["first"], o["first"], data[o["first"] : o["last"] + LENGTH]) for o in owned]
-            yield pd.DataFrame(rows, columns=["k1", "k2", "hash", "at", "first", "stretch"])
+                rows += [(k1, k2, times, o["hash"], o["at"] - o["first"], o["first"], data[o["first"] : o["last"] + LENGTH]) for o in owned]
+            yield pd.DataFrame(rows, columns=["k1", "k2", "times", "hash", "at", "first", "stretch"])
 
 
 def _strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        for k1, k2, text, owned in frame[["k1", "k2", "text", "owned"]].itertuples(index=False):
+        for k1, k2, times, text, owned in frame[["k1", "k2", "times", "text", "owned"]].itertuples(index=False):
             data = text.encode()
             starts = [s for o in owned for s in range(o["first"], o["last"] + 1)]
-            yield pd.DataFrame({"k1": k1, "k2": k2, "first": starts, "string": [xxhash.xxh3_128_digest(data[s : s + LENGTH]) for s in starts]})
+            yield pd.DataFrame({"k1": k1, "k2": k2, "times": times, "first": starts, "string": [xxhash.xxh3_128_digest(data[s : s + LENGTH]) for s in starts]})
 
 
 def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -244,24 +247,25 @@ def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> pd.DataFrame:
         sure = [(p, rows) for c in cells if len(c) == 1 for p, rows in c.items()]
+        often = lambda rows: sum(r[4] for r in rows)
         large = [c for c in cells if len(c) > LARGE]
         open_ = [(p, rows) for c in cells if 1 < len(c) <= LARGE for p, rows in c.items()]
         # a stretch that is the only one of its cell is met again if it occurs again, and nothing is to be sorted
-        flags = [np.full(len(p) - LENGTH + 1, len(rows) > 1) for p, rows in sure]
+        flags = [np.full(len(p) - LENGTH + 1, often(rows) > 1) for p, rows in sure]
         if open_:
-            flags += repeated_starts([p for p, _ in open_], [len(rows) for _, rows in open_])
+            flags += repeated_starts([p for p, _ in open_], [often(rows) for _, rows in open_])
         for c in large:
             open_ += c.items()
-            flags += anchored_starts(list(c), [rows[0][3] for rows in c.values()], [len(rows) for rows in c.values()])
+            flags += anchored_starts(list(c), [rows[0][3] for rows in c.values()], [often(rows) for rows in c.values()])
         out = []
         for (_, rows), starts in zip(sure + open_, flags):
             ranges = covered(starts)
             if len(ranges):
-                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _ in rows]
+                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _, _ in rows]
         return pd.DataFrame(out, columns=["k1", "k2", "ranges"])
 
     for frame in frames:
-        for k1, k2, cell, at, first, stretch in frame.itertuples(index=False):
+        for k1, k2, times, cell, at, first, stretch in frame.itertuples(index=False):
             if cell != last:
                 if size >= CHUNK:
                     yield flush()
@@ -271,7 +275,7 @@ def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = cells[-1].setdefault(stretch, [])
             if not rows:
                 size += len(stretch)
-            rows.append((k1, k2, first, at))
+            rows.append((k1, k2, first, at, times))
     if cells:
         yield flush()
 
@@ -305,20 +309,22 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int =
     """(id, kept bytes, n_bytes, n_removed, n_spans), a row for each document."""
     value = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(doc).alias("id"), value.alias("text"), F.xxhash64(doc, value, F.lit(1)).alias("k1"), F.xxhash64(value, doc, F.lit(2)).alias("k2"))
-    found = rows.select("k1", "k2", "text").mapInArrow(_anchors, ANCHORS)
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+    texts = rows.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
+    found = texts.select("k1", "k2", "times", "text").mapInArrow(_anchors, ANCHORS)
+    again = found.groupBy("hash").agg(F.count("*").alias("n"), F.sum("times").alias("met")).where("met > 1").select("hash", "n")
     owned = found.join(again, "hash")
 
     def of(kept, task, schema):
         lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("owned"))
         # all columns of the texts go along, so that one shuffle of them serves this join and the last one
-        return rows.join(lists, ["k1", "k2"]).select(*rows.columns, "owned").mapInPandas(task, schema)
+        return texts.join(lists, ["k1", "k2"]).select(*texts.columns, "owned").mapInPandas(task, schema)
 
     cells = of(F.col("n") <= most, _stretches, STRETCHES).repartition("hash").sortWithinPartitions("hash")
     ranges = cells.mapInPandas(_sorted_cells, RANGES)
     single = of(F.col("n") > most, _strings, STRINGS)
-    often = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
+    often = single.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
     ranges = ranges.unionByName(single.join(often, "string").select("k1", "k2", F.array(F.col("first"), F.col("first") + LENGTH).alias("ranges")))
     gone = ranges.groupBy("k1", "k2").agg(F.collect_list("ranges").alias("ranges"))
-    held = rows.join(gone, ["k1", "k2"], "left").withColumn("cut", F.pandas_udf(_without, CUT)(F.col("text"), F.col("ranges")))
-    return held.select(F.col("id").alias(doc), "cut.*")
+    held = texts.join(gone, ["k1", "k2"], "left").withColumn("cut", F.pandas_udf(_without, CUT)(F.col("text"), F.col("ranges")))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
+    return held.select(F.col("id").alias(doc), "cut.*", each.alias("_copy")).drop("_copy")
