@@ -310,13 +310,13 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int =
     value = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(doc).alias("id"), value.alias("text"), F.xxhash64(doc, value, F.lit(1)).alias("k1"), F.xxhash64(value, doc, F.lit(2)).alias("k2"))
     texts = rows.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
-    found = texts.select("k1", "k2", "times", "text").mapInArrow(_anchors, ANCHORS)
+    found = texts.select("k1", "k2", "times", "text", "id").mapInArrow(_anchors, ANCHORS)
     again = found.groupBy("hash").agg(F.count("*").alias("n"), F.sum("times").alias("met")).where("met > 1").select("hash", "n")
     owned = found.join(again, "hash")
 
     def of(kept, task, schema):
         lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("owned"))
-        # all columns of the texts go along, so that one shuffle of them serves this join and the last one
+        # all columns of the texts go along, here and to the anchors, so that one shuffle of them serves all
         return texts.join(lists, ["k1", "k2"]).select(*texts.columns, "owned").mapInPandas(task, schema)
 
     cells = of(F.col("n") <= most, _stretches, STRETCHES).repartition("hash").sortWithinPartitions("hash")
