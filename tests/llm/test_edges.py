@@ -397,6 +397,23 @@ def test_urls_against_brute_force(spark):
         assert r.verdict == (rules[best] if best else "none") and r.rule == (best[0] + best[1] if best else None), r
 
 
+def test_urls_with_rules_for_whole_hosts(spark):
+    import random
+
+    rng = random.Random(6)
+    host = lambda: ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    path = lambda: rng.choice(["", "/"]) and "/" + "".join(rng.choice("xy/") for _ in range(rng.randint(0, 4)))
+    for n in (1, 40):
+        rules = {("com", ""): "allow", ("example.com", "/en/"): "block", ("//x.com", ""): "block"} | ({} if n == 1 else {(host(), path()): rng.choice(["allow", "block"]) for _ in range(n)})
+        pages = [(0, "http://example.com/en/"), (1, "http://example.com/fr"), (2, "http://com//x./"), *((i, f"http://{host()}{path()}?q#f") for i in range(3, 300))]
+        got = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(*k, v) for k, v in rules.items()], "host string, path string, action string"), "none").collect()
+        assert len(got) == 300
+        for r in got:
+            fits = [(h, p) for h, p in rules if (r.host == h or r.host.endswith("." + h)) and r.path.startswith(p)]
+            best = max(fits, key=lambda k: (len(k[0] + k[1]), len(k[0])), default=None)
+            assert r.verdict == (rules[best] if best else "none") and r.rule == (best[0] + best[1] if best else None), r
+
+
 def test_decontamination(spark, docs, none):
     items = spark.createDataFrame([(1, "one"), (2, None), (3, ""), (4, TWICE), (4, TWICE), (5, "Mail a"), (6, "never seen anywhere at all")], "item_id long, text string")
     got = decontaminate.flag(docs.withColumn("hit", F.lit(1)), items).orderBy("n").collect()

@@ -4,6 +4,7 @@ A host is keyed by its labels in reverse, each with a dot behind it, so that a h
 subdomains are the keys that begin with the host's own: an interval. The rules of one host are nested
 in the same way by their paths. Both are swept alike: keys and interval ends are dealt to ranges, sorted
 there, and one window over the sorted rows keeps the stack of open intervals, a column for each level.
+A slash, which no host has, parts host key and path, so that only rules of one host nest there.
 An interval that reaches over several ranges is opened in each. The first sweep gives each host the
 stack of its ancestors that have rules, the second the innermost path of each. The longest rule wins.
 
@@ -12,7 +13,7 @@ taken from the keys with the smallest hashes; they shape the work, not the resul
 
 Defined results: a null address, or one without ``://``, has an empty host and path, which no rule fits;
 repeated pages are judged alike; of rules with equal host and path the greatest action holds; a rule
-with a null host or path is ignored; other columns are kept aside and come back unless an output has
+with a null host or path, or with one of ``/?#`` in its host, is ignored; other columns are kept aside and come back unless an output has
 their name; empty tables give every address the default.
 """
 
@@ -63,7 +64,7 @@ def sweep(keys: DataFrame, prefixes: DataFrame, depth: int) -> DataFrame:
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
     """``pages`` with host, path, rule (host and path of the longest that fits, else null) and verdict."""
-    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).groupBy(lower_ascii(F.col("host")).alias("host"), "path").agg(F.max("action").alias("action"))
+    rules = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull() & ~F.col("host").rlike("[/?#]")).groupBy(lower_ascii(F.col("host")).alias("host"), "path").agg(F.max("action").alias("action"))
     rules = rules.withColumn("hkey", host_key(F.col("host")))
     depths = rules.agg(F.count_distinct(F.size(F.split("hkey", r"\.")))).first()[0]
     lengths = rules.groupBy("hkey").agg(F.count_distinct(F.char_length("path")).alias("n")).agg(F.max("n")).first()[0] or 0
@@ -73,8 +74,8 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     addresses = addressed.select("host", "path").where("host <> ''").distinct().withColumn("hkey", host_key(F.col("host")))
     hosts = sweep(addresses.select(F.col("hkey").alias("key")).distinct(), rules.select(F.col("hkey").alias("key"), F.col("hkey").alias("payload")).distinct(), depths)
     under = addresses.join(hosts.where(F.size("stack") > 0).withColumnRenamed("key", "hkey"), "hkey").select("host", "path", F.explode("stack").alias("hkey"))
-    under = under.withColumn("key", F.concat("hkey", "path"))
-    ways = rules.select(F.concat("hkey", "path").alias("key"), F.struct(F.concat("host", "path").alias("rule"), F.col("action").alias("action")).alias("payload"))
+    under = under.withColumn("key", F.concat("hkey", F.lit("/"), "path"))
+    ways = rules.select(F.concat("hkey", F.lit("/"), "path").alias("key"), F.struct(F.concat("host", "path").alias("rule"), F.col("action").alias("action")).alias("payload"))
     innermost = sweep(under.select("key").distinct(), ways, lengths).where(F.size("stack") > 0).select("key", F.element_at("stack", -1).alias("found"))
     best = under.join(innermost, "key").groupBy("host", "path").agg(F.max_by("found", F.struct(F.char_length("found.rule"), F.char_length("hkey"))).alias("_found"))
     judged = addressed.join(best, ["host", "path"], "left").withColumn("rule", F.col("_found.rule"))
