@@ -303,6 +303,15 @@ def test_jaccard_chains_and_crowded_cells(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == brute_components(texts)
 
 
+def test_jaccard_fetches_a_repeated_row_once(spark):
+    words = [f"w{i}" for i in range(90)]
+    rows = [*[(1, " ".join(words))] * 30, *[(2, " ".join([*words, "end"]))] * 30, (3, "some other text of seven words here"), (2, "short")]
+    texts = spark.createDataFrame(rows, "id long, text string").withColumn("k", F.xxhash64("text"))
+    nodes = texts.where("text <> 'short'").groupBy("id", "k").agg(F.count("*").alias("copies"))
+    got = jaccard.fetched(nodes.select("id"), nodes, texts).collect()
+    assert sorted((r.id, r.text) for r in got) == sorted(set(rows) - {(2, "short")})
+
+
 def test_jaccard_tree_loses_no_pair():
     import numpy as np
     import pandas as pd

@@ -366,10 +366,10 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
         levels[r["slot"]] = int(r["seen"]).bit_length()
     sent = context.broadcast(levels.tobytes())
     texts = table.where("slot IS NULL")
-    facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest")).alias("f")).select("id", "f.*")
+    facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest")).alias("f"), F.count("*").alias("copies")).select("id", "copies", "f.*")
     reps = facts.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", F.coalesce("rep", "id").alias("rep")))
-    nodes = facts.where("id = rep AND n > 0").select("id", "k")
+    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", "copies", F.coalesce("rep", "id").alias("rep")))
+    nodes = facts.where("id = rep AND n > 0").select("id", "k", "copies")
 
     posted = given.select("id", "text").mapInArrow(_cells(sent), CELLS).repartition("cell").distinct()
     cells = posted.groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
@@ -408,11 +408,16 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def fetched(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, text) of nodes by their ids: one scan of the texts, with the ids broadcast while they are few."""
-    wanted = cut(ids.join(nodes, "id").select("id", "k"))
-    if wanted.count() <= BROADCAST_ROWS:
+    """(id, text) of nodes by their ids, a row for each: one scan of the texts, and one more for ids with several rows;
+    the ids are broadcast while they are few."""
+    wanted = cut(ids.join(nodes, "id").select("id", "k", "copies"))
+    size, most = wanted.agg(F.count("*"), F.max("copies")).first()
+    if size <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    return texts.join(wanted, ["id", "k"]).select("id", "text")
+    found = texts.join(wanted, ["id", "k"])
+    if size and most > 1:
+        found = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["id"]))
+    return found.select("id", "text")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
