@@ -285,7 +285,7 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-def test_jaccard_chains_and_crowded_cells(spark):
+def test_jaccard_chains_and_crowded_cells(spark, monkeypatch):
     import random
 
     rng, texts = random.Random(3), {}
@@ -299,8 +299,29 @@ def test_jaccard_chains_and_crowded_cells(spark):
         texts[i] = " ".join([f"u{i}a{k}" for k in range(20)] + common + [f"u{i}b{k}" for k in range(rng.randint(1, 6))])
     for i in range(120, 150):
         texts[i] = " ".join(f"s{k}" for k in range(rng.randint(1, 9)))
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == brute_components(texts)
+    docs, want = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), brute_components(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()} == want
+    # every cell dealt to several tasks, trees over few points, and ids joined instead of broadcast
+    monkeypatch.setattr(jaccard, "BLOCK", 7)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, hot=-3, broadcast_rows=0).collect()} == want
+
+
+def test_jaccard_sketches_bound_the_overlap():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 900, 7000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        kept = x[rng.random(len(x)) < 0.9]
+        y = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, n // 8).astype(np.uint64) << np.uint64(1)]))
+        u, v = jaccard.filled(jaccard.sketch(x), len(x)), jaccard.filled(jaccard.sketch(y), len(y))
+        assert u.tolist() == (x >> np.uint64(64 - jaccard._depth(len(x)))).tolist()
+        both = len(np.intersect1d(x, y))
+        if len(y):
+            shift = jaccard._depth(len(x)) - jaccard._depth(len(y))
+            met = jaccard.meeting(u >> max(0, shift), v >> max(0, -shift))
+            assert both <= met <= both + 0.02 * n + 2
+            assert jaccard.close((len(x), u), (len(y), v)) or not jaccard.linked(x, y)
 
 
 def test_jaccard_fetches_a_repeated_row_once(spark):
@@ -308,7 +329,8 @@ def test_jaccard_fetches_a_repeated_row_once(spark):
     rows = [*[(1, " ".join(words))] * 30, *[(2, " ".join([*words, "end"]))] * 30, (3, "some other text of seven words here"), (2, "short")]
     texts = spark.createDataFrame(rows, "id long, text string").withColumn("k", F.xxhash64("text"))
     nodes = texts.where("text <> 'short'").groupBy("id", "k").agg(F.count("*").alias("copies"))
-    got = jaccard.fetched(nodes.select("id"), nodes, texts).collect()
+    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    got = jaccard._Fetch(texts, nodes, 10).of(pairs).collect()
     assert sorted((r.id, r.text) for r in got) == sorted(set(rows) - {(2, "short")})
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +40,29 @@ def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; on one machine, as in tests, one under the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return str(named).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
-
-    Where the setting is absent, as in tests on one machine, a folder under the warehouse is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    """Cut the lineage: the rows written to the shared folder as a table, and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._written = path
+    return held
+
+
+def drop(*cuts: DataFrame) -> None:
+    """Delete what ``cut`` wrote, where nothing is to be computed from it any more."""
+    for held in cuts:
+        context = held.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(held._written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,18 +3,27 @@
 A document's set holds the 64-bit hashes of its distinct runs of ``WORDS`` words. Documents with equal sets
 are one node from the start, named by their smallest id. A node's tokens are hashed into groups, and the
 counts of the groups are its point; the sum of the smaller coordinates of two points bounds the overlap of
-their sets, so that most pairs fall without their sets being read.
+their sets, so that most pairs fall without their sets being read. Points are made in the first pass.
 
 Which points can meet at all: sorted by one order over all tokens (the corpus' heavy ones last), two
-linked sets share one of their first n - ceil(0.8 n) + 1 tokens. Each such token is a cell of the index.
-Cells with the same members are one. In a cell every member is first tried with one pivot, which connects
-groups of near copies without writing out their pairs. Cells that still hold several components then get
-an R-tree over their points, with the largest corner of each leaf: leaf pairs whose corners can't reach the
-overlap that their sizes need are passed over, the others give the pairs of different components
-that the bound leaves, first over few groups, then over all. All pairs are verified on whole sets, and components follow by alternating stars.
-
-A cell with more than ``BLOCK`` members is dealt to tasks as pairs of blocks; no task holds more than two
-blocks, and no pair is left out. Ids of the nodes to verify are broadcast up to ``BROADCAST_ROWS``, else joined.
+linked sets share one of their first n - ceil(0.8 n) + 1 tokens. Each such token is a cell, a part of the
+index that one task can hold. Only nodes are posted to cells, once. Cells with the same members are one. In a
+cell every member is first tried with one pivot, which connects groups of near copies without writing out
+their pairs. Cells that still hold several components then get an R-tree over their points, with the largest
+corner of each leaf: leaf pairs whose corners can't reach the overlap that their sizes need are passed over,
+the others give the pairs of different components that the bound leaves, first over few groups, then over
+all. What is left is bounded once more over ``SPREAD`` groups for each token, kept as gaps between filled
+groups, and then verified on whole sets; components follow by alternating stars.
+
+Skew: the tokens' counts are known before they are posted, so the cell of a token that more than 2 ** ``HOT``
+places hold is dealt to several tasks from the start and put together from their counts. A cell with more
+than ``BLOCK`` members is dealt to trees as pairs of blocks; no task holds more than two blocks, and no pair is
+left out. Pairs are verified in a stream: one text of a pair is sent with each pair, the other once for
+``DEAL`` pairs. Ids of nodes and copies are broadcast up to ``BROADCAST_ROWS``, else joined.
+
+Sets are hashes: two runs of words with one 64-bit hash count as equal. Among 10 ** 4 tokens of a pair that is
+one chance in 10 ** 11; it is the only way in which a result could differ from that on the words themselves.
+Cells hold 48 bits of a hash; a clash there only costs a try.
 
 Defined results: a null or empty text has no shingles and stays alone; fewer words than a run are one shingle;
 a null id has a null component and links with nothing; rows with equal ids are one document, of which the
@@ -29,14 +38,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, drop
 
 WORDS, SHARE = 5, 80
 SLOTS = 1 << 20
 BLOCK, LEAF, BROADCAST_ROWS = 2048, 32, 500_000
+HOT, SPREAD, DEAL = 17, 16, 256
 FINE, FOLDS = 2, 4  # tokens in a group of a point, and how many of these groups are one in the tree's boxes
 GROUP_BYTES, CHUNK = 1 << 18, 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
@@ -158,9 +168,45 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return tokens[order[:most]]
 
 
-FACTS = "id long, k long, n long, digest binary, slot int, seen long"
-POINTS = "id long, n long, point binary"
-CELLS = "cell long, id long"
+def sketch(tokens: np.ndarray) -> bytes:
+    """A point over about ``SPREAD`` groups for each of the sorted tokens: gaps between the filled groups, a byte for each token."""
+    gaps = np.diff(tokens >> np.uint64(64 - _depth(len(tokens))), prepend=np.uint64(0))
+    wide = gaps >= 255
+    return np.minimum(gaps, 255).astype(np.uint8).tobytes() + gaps[wide].astype(np.uint32).tobytes()
+
+
+def _depth(n: int) -> int:
+    return max(8, min(31, (max(n, 1) * SPREAD).bit_length()))
+
+
+def filled(data: bytes, n: int) -> np.ndarray:
+    """The group of each token, in order, from a sketch of n tokens."""
+    gaps = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    gaps[gaps == 255] = np.frombuffer(data, np.uint32, -1, n)
+    return np.cumsum(gaps)
+
+
+def meeting(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of the smaller counts over all groups, from the tokens' groups in order."""
+
+    def apart(v):  # the k-th token of a group gets a place of its own
+        at = np.arange(len(v))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], v[1:] != v[:-1]]), at, 0))
+        return (v << 32) + at - first
+
+    both = np.sort(np.concatenate([apart(x), apart(y)]), kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def close(x: tuple[int, np.ndarray], y: tuple[int, np.ndarray]) -> bool:
+    """Whether sketches (size, groups) leave an overlap that is large enough."""
+    (n, u), (m, v) = x, y
+    shift = _depth(n) - _depth(m)
+    return meeting(u >> max(0, shift), v >> max(0, -shift)) >= needed(n, m)
+
+
+FACTS = "id long, k long, n long, digest binary, point binary, slot int, seen long"
+CELLS = "key long, id long"
 
 
 def _facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,54 +228,73 @@ def _facts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if waiting > SLOTS:
                 count()
                 waiting = 0
-            rows.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes())))
-        out = pd.DataFrame(rows, columns=["n", "digest"])
+            rows.append((len(tokens), xxhash.xxh3_128_digest(tokens.tobytes()), packed(point(tokens))))
+        out = pd.DataFrame(rows, columns=["n", "digest", "point"])
         out.insert(0, "id", frame["id"].to_numpy())
         out.insert(1, "k", frame["k"].to_numpy())
         yield out.assign(slot=pd.array([None] * len(out), dtype="Int32"), seen=pd.array([None] * len(out), dtype="Int64"))
     count()
     heavy = np.flatnonzero(seen > 2 * total / SLOTS + 8)
     none = [None] * len(heavy)
-    yield pd.DataFrame({"id": pd.array(none, dtype="Int64"), "k": pd.array(none, dtype="Int64"), "n": pd.array(none, dtype="Int64"), "digest": none, "slot": pd.array(heavy, dtype="Int32"), "seen": pd.array(seen[heavy], dtype="Int64")})
+    yield pd.DataFrame({"id": pd.array(none, dtype="Int64"), "k": pd.array(none, dtype="Int64"), "n": pd.array(none, dtype="Int64"), "digest": none, "point": none, "slot": pd.array(heavy, dtype="Int32"), "seen": pd.array(seen[heavy], dtype="Int64")})
+
 
+def _cells(levels, hot: int):
+    """(key, id): the first tokens of each set as cells, 48 bits, and 16 that deal a hot token's cell (0: not dealt)."""
 
-def _cells(levels):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, held = Shingler(), np.frombuffer(levels.value, np.uint8)
         for batch in batches:
             made = [prefix(x, held) if len(x) else x for x in shingler.sets(batch.column(1).to_pylist())]
             ids = np.repeat(batch.column(0).to_numpy(), [len(m) for m in made])
-            cells = (np.concatenate(made) >> np.uint64(16)).view(np.int64) if made else np.zeros(0, np.int64)  # 48 bits; a clash only costs a try
+            tokens = np.concatenate(made) if made else np.zeros(0, np.uint64)
+            over = np.maximum(held[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.int64) - hot, 0)
+            deal = mixed(ids.view(np.uint64)) & ((np.uint64(1) << np.minimum(over, 15).astype(np.uint64)) - np.uint64(1))
+            keys = (tokens >> np.uint64(16) << np.uint64(16)) | np.where(over > 0, deal + np.uint64(1), np.uint64(0))
             for a in range(0, len(ids), 1 << 20):
-                yield pa.RecordBatch.from_arrays([pa.array(cells[a : a + (1 << 20)]), pa.array(ids[a : a + (1 << 20)])], ["cell", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + (1 << 20)].view(np.int64)), pa.array(ids[a : a + (1 << 20)])], ["key", "id"])
 
     return run
 
 
-def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     shingler = Shingler()
     for frame in frames:
-        for a in range(0, len(frame), 500):
-            part = frame.iloc[a : a + 500]
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "tokens": [x.tobytes() for x in shingler.sets(part["text"].tolist())]})
-
-
-def _points(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    shingler = Shingler()
-    for frame in frames:
-        rows = [(len(x), packed(point(x))) for x in shingler.sets(frame["text"].tolist())]
-        out = pd.DataFrame(rows, columns=["n", "point"])
+        rows = [(len(x), sketch(x)) for x in shingler.sets(frame["text"].tolist())]
+        out = pd.DataFrame(rows, columns=["n", "value"])
         out.insert(0, "id", frame["id"].to_numpy())
         yield out
 
 
-def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(left, right):
-        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        out.append(100 * both >= SHARE * (len(a) + len(b) - both))
-    return pd.Series(out, dtype=bool)
+def linked(x: np.ndarray, y: np.ndarray, share: int = SHARE) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= share * (len(x) + len(y) - both)
+
+
+def _streamed(read, test):
+    """Pairs that pass a test, from rows in the order (a, deal, b): each part has a's own row first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
+        for frame in frames:
+            left, right, keep = frame["a"].tolist(), frame["b"].tolist(), []
+            for i, value in enumerate(read(frame)):
+                if right[i] is None or right[i] != right[i]:  # null sorts first
+                    own = value
+                elif test(own, value):
+                    keep.append((left[i], int(right[i])))
+            yield pd.DataFrame(keep, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _texts(frame: pd.DataFrame) -> Iterator[np.ndarray]:
+    return Shingler().sets(frame["value"].tolist())
+
+
+def _filled(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    for data, n in zip(frame["value"], frame["n"].tolist()):
+        yield n, filled(data, n)
 
 
 def _near(p: pd.Series, q: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
@@ -348,51 +413,77 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        held = cut(small)
+        last, held = held, cut(small)
+        drop(last)
         now = held.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == state:
-            return held.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
+            found = held.withColumnsRenamed({"a": "node", "b": "component"})
+            found._written = held._written
+            return found
         state = now
 
 
-def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def posted(nodes: DataFrame, sent, hot: int = HOT, repeated: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Members (cell, id) of the cells with several nodes, of cells with equal members one, and those cells (cell, members, pivot).
+
+    The postings are shuffled once and never written: a window counts each key's, and what stands alone goes there.
+    """
+    rows = nodes.mapInArrow(_cells(sent, hot), CELLS).repartition("key")
+    rows = rows.distinct() if repeated else rows
+    key = Window.partitionBy("key")
+    counted = {"members": F.count("*"), "pivot": F.min("id"), "x": F.bit_xor(F.xxhash64("id")), "y": F.bit_xor(F.xxhash64("id", F.lit(1)))}
+    dealt = F.col("key").bitwiseAND(F.lit(0xFFFF)) != 0
+    kept = cut(rows.withColumns({name: value.over(key) for name, value in counted.items()}).where(dealt | (F.col("members") > 1)))
+    parts = kept.drop("id").distinct().withColumn("cell", F.shiftleft(F.shiftright("key", 16), 16))
+    whole = parts.where(dealt).groupBy("cell").agg(F.sum("members").alias("members"), F.min("pivot").alias("pivot"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    cells = parts.where(~dealt).select(*whole.columns).unionByName(whole.where("members > 1"))
+    cells = cut(cells.groupBy("members", "x", "y").agg(F.min("cell").alias("cell"), F.min("pivot").alias("pivot")).drop("x", "y"))
+    keys = parts.select("key", "cell").join(cells.select("cell"), "cell", "left_semi")
+    members = cut(kept.select("key", "id").join(keys, "key").select("cell", "id"))
+    drop(kept)
+    return members, cells
+
+
+def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(id, n_shingles, component_id), a row for each document."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k"), F.col(text).alias("text"))
     given = rows.where("id IS NOT NULL")
     table = cut(rows.mapInPandas(_facts, FACTS))
     levels = np.zeros(SLOTS, np.uint8)
-    for r in table.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():
+    for r in table.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SLOTS rows at most
         levels[r["slot"]] = int(r["seen"]).bit_length()
     sent = context.broadcast(levels.tobytes())
     texts = table.where("slot IS NULL")
-    facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest")).alias("f"), F.count("*").alias("copies")).select("id", "copies", "f.*")
+    facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest", "point")).alias("f"), F.count("*").alias("copies")).select("id", "copies", "f.*")
     reps = facts.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", "copies", F.coalesce("rep", "id").alias("rep")))
-    nodes = facts.where("id = rep AND n > 0").select("id", "k", "copies")
-
-    posted = given.select("id", "text").mapInArrow(_cells(sent), CELLS).repartition("cell").distinct()
-    cells = posted.groupBy("cell").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
-    cells = cells.where("members > 1").groupBy("members", "x", "y").agg(F.min("cell").alias("cell"))
-    members = posted.join(cells.select("cell"), "cell").join(nodes.select("id"), "id")
-    members = cut(members.select("cell", "id"))
-    pivots = members.groupBy("cell").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    tried = members.join(pivots, "cell").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", "copies", "point", F.coalesce("rep", "id").alias("rep")))
+    is_node = (F.col("id") == F.col("rep")) & (F.col("n") > 0)
+    nodes, points = facts.where(is_node).select("id", "k", "copies"), facts.where(is_node).select("id", "n", "point")
+    others = facts.where(~is_node).select("id")
+    fetch = _Fetch(given, nodes, broadcast_rows)
+
+    few = others.count() <= broadcast_rows
+    first = given.join(F.broadcast(others) if few else others, "id", "left_anti").select("id", "text")
+    repeated = (facts.agg(F.max("copies")).first()[0] or 0) > 1
+    members, cells = posted(first, sent, hot, repeated)
+    tried = members.join(cells.select("cell", F.col("pivot").alias("a")), "cell").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     tried = cut(tried)
-    met = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
-    points = cut(fetched(met, nodes, given).mapInPandas(_points, POINTS))
-    edges = verified(bounded(tried, points), nodes, given)
+    edges = fetch.verified(bounded(tried, points))
     labels = components(edges)
-    held = members.join(pivots.select("cell", "members"), "cell").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
+    held = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     mixed_cells = held.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("cell")
-    held = held.join(mixed_cells, "cell").join(points.select("id", "n", "point"), "id")
+    held = held.join(cells.join(mixed_cells, "cell", "left_semi").select("cell", "members"), "cell").join(points, "id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     held = held.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     held = held.select("cell", "id", "label", "n", "point", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
     more = held.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInPandas(_residual, "a long, b long")
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(verified(more, nodes, given))
-    labels = components(edges)
+    drop(members, cells, tried, labels)
+    both = cut(edges.unionByName(fetch.verified(fetch.nearer(more))))
+    drop(edges, more)
+    labels = components(both)
+    drop(both)
     found = facts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
     out = rows.select("id").where("id IS NOT NULL").join(found, "id").unionByName(texts.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
     return out.select(F.col("id").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -407,24 +498,41 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return both.where(F.pandas_udf(_near, "boolean")("p", "q", "n", "m")).select("a", "b")
 
 
-def fetched(ids: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, text) of nodes by their ids, a row for each: one scan of the texts, and one more for ids with several rows;
-    the ids are broadcast while they are few."""
-    wanted = cut(ids.join(nodes, "id").select("id", "k", "copies"))
-    size, most = wanted.agg(F.count("*"), F.max("copies")).first()
-    if size <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    found = texts.join(wanted, ["id", "k"])
-    if size and most > 1:
-        found = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["id"]))
-    return found.select("id", "text")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that are linked, by their whole sets."""
-    pairs = cut(pairs)
-    met = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = cut(fetched(met, nodes, texts).mapInPandas(_sets, "id long, tokens binary"))
-    left, right = (sets.select(F.col("id").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    return cut(both.where(F.pandas_udf(_linked, "boolean")("a_tokens", "b_tokens")).select("a", "b").distinct())
+class _Fetch:
+    """Pairs of nodes held against each other on what is read from their texts."""
+
+    def __init__(self, texts: DataFrame, nodes: DataFrame, broadcast_rows: int):
+        self.texts, self.nodes, self.broadcast_rows = texts, nodes, broadcast_rows
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """(id, text) of the pairs' nodes, a row for each: one scan of the texts, and one more for ids with several rows."""
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        wanted = cut(ids.join(self.nodes, "id").select("id", "k", "copies"))
+        size, most = wanted.agg(F.count("*"), F.max("copies")).first()
+        found = self.texts.join(F.broadcast(wanted) if size <= self.broadcast_rows else wanted, ["id", "k"])
+        if size and most > 1:
+            found = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["id"]))
+        return found.select("id", "text")
+
+    def held(self, pairs: DataFrame, values: DataFrame, read, test) -> DataFrame:
+        """The pairs that pass the test on their values: b's is sent with each pair, a's once for ``DEAL`` pairs."""
+        degrees = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEAL).cast("int").alias("deals"))
+        dealt = pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"))
+        own = degrees.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("a", F.lit(None).cast("long").alias("b"), "deal")
+        rows = own.join(values.withColumnRenamed("id", "a"), "a").unionByName(dealt.join(values.withColumnRenamed("id", "b"), "b"))
+        return rows.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first()).mapInPandas(_streamed(read, test), "a long, b long")
+
+    def nearer(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sketches leave an overlap that is large enough."""
+        values = cut(self.of(pairs).mapInPandas(_sketches, "id long, n long, value binary"))
+        out = cut(self.held(pairs, values, _filled, close))
+        drop(values)
+        return out
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked, by their whole sets."""
+        pairs = cut(pairs)
+        values = cut(self.of(pairs).withColumnRenamed("text", "value"))
+        out = cut(self.held(pairs, values, _texts, linked))
+        drop(values, pairs)
+        return out
