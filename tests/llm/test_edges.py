@@ -89,13 +89,83 @@ def test_pii_masks_the_union_of_overlapping_spans(spark):
     assert [r.text for r in pii.mask(rows).orderBy("n").collect()] == ["ab[PHONE]lmnop", "a[IP][EMAIL]jklmnop"]
 
 
+def other_texts(n, seed=3):
+    """Labelled prose with forms of other templates than the tagger is trained on."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    words = "the of and to in that it is was for on are with as be this from or at by an not have which one had but were all their there will each about how up out them then she many some".split()
+    pick, num = (lambda xs: xs[rng.integers(len(xs))]), (lambda k: "".join(map(str, rng.integers(0, 10, k))))
+
+    def item():
+        kind = pick(pii.KINDS)
+        if kind == "email":
+            name = pick(["anna", "j.doe", "peter_b", "m-lund", "info", "k.o.brien"]) + pick(["", "7", "42"])
+            return kind, pick(["write to ", "Contact: "]), name + pick(["@", " @ "]) + pick(["mail.example.org", "corp.example.com", "uni-x.example.edu"]), pick([" ", ". ", ", "])
+        if kind == "ip":
+            return kind, pick(["host ", "from "]), ".".join(str(v) for v in rng.integers(0, 256, 4)), pick([" ", ". "])
+        if kind == "card":
+            return kind, pick(["card ", "Visa: "]), pii.card_number(rng), pick([" ", ", "])
+        if kind == "phone":
+            return kind, pick(["call ", "Tel. ", "fax "]), pick([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"+{num(2)} {num(3)} {num(4)}"]), pick([" ", ", "])
+        before, after = pick([('token = "', '" '), ("api_key: ", " "), ('password="', '" ')])
+        return kind, before, pick([pii._of(rng, pii.HEX, 40, 41), pii._of(rng, pii.MIXED, 28, 37)]), after
+
+    texts, labels = [], []
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(rng.integers(1, 6)):
+            text += " ".join(pick(words) for _ in range(rng.integers(5, 30))) + pick([". ", " ", "\n", ", "])
+            if rng.random() < 0.6:
+                kind, before, form, after = item()
+                spans.append((kind, len(text) + len(before), len(text) + len(before) + len(form)))
+                text += before + form + after
+            else:
+                text += pick(["In 1994, ", "on 2001-03-05 ", "version 2.0 ", "for 1,250,000 ", "page 312 ", "at 12:30 "])
+        texts.append(text)
+        labels.append(spans)
+    return texts, labels
+
+
 def test_pii_held_out():
-    x, _, texts, labels = pii.labelled(300, 77)
-    right = found = meant = 0
-    for tags, want in zip(pii.train().decode(x), labels):
-        got = set(pii.spans_of(tags))
-        right, found, meant = right + len(got & set(want)), found + len(got), meant + len(want)
-    assert right / found > 0.8 and right / meant > 0.75
+    # the trainer's own forms hold harder ones, such as secrets without a digit
+    for bar, (texts, labels) in ((0.9, other_texts(400)), (0.8, pii.labelled(300, 77)[2:])):
+        for kind, (right, found, meant) in pii.measured(pii.train().w, texts, labels).items():
+            assert right >= 0.9 * found and right >= bar * meant, (kind, right, found, meant)
+
+
+def test_pii_reads_all_windows():
+    """Decoding in windows gives what Viterbi over each window gives, and long texts lose no span at a window's edge."""
+    import numpy as np
+
+    tagger = pii.train()
+    texts, labels = other_texts(40)
+    whole, spans = "", []
+    for text, own in zip(texts, labels):
+        spans += [(k, a + len(whole), b + len(whole)) for k, a, b in own]
+        whole += text
+    got = {(s["kind"], s["start"], s["end"]) for s in pii.find([whole], tagger.w)[0]}
+    alone, at = set(), 0
+    for text, found in zip(texts, pii.find(texts, tagger.w)):
+        alone |= {(s["kind"], s["start"] + at, s["end"] + at) for s in found}
+        at += len(text)
+    assert len(whole) > 4 * pii.WINDOW and len(got ^ alone) <= 0.05 * len(alone) and len(got & set(spans)) >= 0.9 * len(spans)
+    x = np.stack([pii.classes((t + " " * 80)[:80]) for t in texts])
+    s = tagger.scores(np.ascontiguousarray(x.T)).transpose(2, 1, 0)
+    e = tagger.w["e"][x.astype(np.int64)]
+    kept = np.concatenate([tagger.run(e, "f"), tagger.run(e, "b")], 2) @ tagger.w["out"] + tagger.w["bias"]
+    assert np.abs(s - kept).max() < 1e-3
+    moves, tags = tagger.w["t"] + tagger.closed, tagger.decode(x)
+    for i in range(len(x)):
+        best, ways = kept[i, 0] + tagger.first, []
+        for t in range(1, 80):
+            step = best[:, None] + moves
+            ways.append(step.argmax(0))
+            best = step.max(0) + kept[i, t]
+        path = [int(best.argmax())]
+        for back in reversed(ways):
+            path.append(int(back[path[-1]]))
+        assert (tags[i].tolist() if i in tags else [0] * 80) == path[::-1]
 
 
 def test_pii_gradient():
@@ -110,7 +180,7 @@ def test_pii_gradient():
             row[0] -= 1
 
     def loss():
-        s, moves = tagger.scores(x), tagger.w["t"] + tagger.closed
+        s, moves = tagger.scores(np.ascontiguousarray(x.T)).transpose(2, 1, 0), tagger.w["t"] + tagger.closed
         ahead = s[:, 0] + tagger.first
         for t in range(1, s.shape[1]):
             ways = ahead[:, :, None] + moves
@@ -486,8 +556,9 @@ def test_pipeline(spark):
 
 
 def _rejected(text):
-    n, chars, symbols, lines, again, repeated = quality.measure(text)
-    return n < 50 or 100 * repeated > 50 * n or symbols > n or (lines >= 4 and 2 * again > lines) or chars > 24 * n
+    n, chars, symbols, lines, again, repeated, bullets, dots, letters, pair, fives, _ = quality.measure(text)
+    listed = lines >= 4 and (2 * again > lines or 10 * bullets > 9 * lines or 10 * dots > 3 * lines)
+    return n < 50 or 100 * repeated > 50 * n or symbols > n or listed or chars > 24 * n or 10 * letters < 6 * n or 10 * pair > 2 * n or 100 * fives > 40 * n
 
 
 def _contaminated(text, items):
@@ -506,6 +577,21 @@ def _contaminated(text, items):
     return bool(hit) and 20 * len(hit) >= len(words)
 
 
+def contract_spans(text):
+    """The base spans, by plain expressions and checks on each match."""
+    import re
+
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    card = lambda x: 16 <= len(digits(x)) <= 19 and sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(digits(x)[::-1])) % 10 == 0
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", card),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(digits(x)) <= 15),
+    }
+    return [(kind, m.start(), m.end()) for kind, (pattern, fits) in rules.items() for m in re.finditer(pattern, text) if fits(m[0])]
+
+
 def test_query_digests(spark):
     from tests.conftest import DATA
     from tidemark.llm import queries
@@ -513,7 +599,8 @@ def test_query_digests(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
     for r in queries.queries()["op5_personal_data"](spark, DATA).collect():
-        base = pii.base_spans(texts[r.doc_id])
-        base.sort(key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        base = contract_spans(texts[r.doc_id] or "")
+        whole = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)]
+        assert set(base) <= set(whole) and whole == sorted(whole, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2])) and len(whole) == len(base) + r.n_added
         assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
-        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.KINDS)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.BASE)

@@ -456,8 +456,11 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HO
     sent = context.broadcast(levels.tobytes())
     texts = table.where("slot IS NULL")
     facts = texts.where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("k", "n", "digest", "point")).alias("f"), F.count("*").alias("copies")).select("id", "copies", "f.*")
-    reps = facts.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    facts = cut(facts.join(reps, "digest", "left").select("id", "k", "n", "copies", "point", F.coalesce("rep", "id").alias("rep")))
+    each = cut(facts)
+    # cut as well, so that the join on a digest that very many share is broadcast while it is small, and else split
+    reps = cut(each.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("alike")).where("alike > 1").drop("alike"))
+    facts = cut(each.join(reps, "digest", "left").select("id", "k", "n", "copies", "point", F.coalesce("rep", "id").alias("rep")))
+    drop(each, reps)
     is_node = (F.col("id") == F.col("rep")) & (F.col("n") > 0)
     nodes, points = facts.where(is_node).select("id", "k", "copies"), facts.where(is_node).select("id", "n", "point")
     others = facts.where(~is_node).select("id")

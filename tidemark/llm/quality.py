@@ -11,6 +11,7 @@ and a column that has the ledger's name is replaced.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Mapping
 
@@ -18,54 +19,79 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules in the order of their bits: SQL over the measurements that is true when the rule fails.
+#: Rules in the order of their bits, new ones last: SQL over the measurements that is true when the rule fails.
 RULES = {
     "few_words": "n_words < 50",
     "repeated_words": "100 * n_repeat_words > 50 * n_words",
     "symbol_heavy": "n_symbols > n_words",
     "repeated_lines": "n_lines >= 4 AND 2 * n_dup_lines > n_lines",
     "word_length": "word_chars > 24 * n_words",
+    "bullet_lines": "n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines",
+    "ellipsis_lines": "n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines",
+    "few_letters": "n_words > 0 AND 10 * n_letter_words < 6 * n_words",
+    "top_pair": "n_words > 1 AND 10 * n_top_pair > 2 * n_words",
+    "long_repeats": "100 * n_repeat_5 > 40 * n_words",
+    "no_stop_words": "n_words >= 50 AND n_stop_words < 2",
 }
 #: A policy names the rules that reject; versions are only ever added.
 POLICIES = {
     "base": ("few_words", "repeated_words"),
     "v1": ("few_words", "repeated_words", "symbol_heavy", "repeated_lines", "word_length"),
+    "v2": ("few_words", "repeated_words", "symbol_heavy", "repeated_lines", "word_length", "bullet_lines", "ellipsis_lines", "few_letters", "top_pair", "long_repeats"),
+    "english": ("few_words", "repeated_words", "no_stop_words"),
 }
-MEASURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
+FIELDS = (
+    "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
+    "n_bullet_lines", "n_ellipsis_lines", "n_letter_words", "n_top_pair", "n_repeat_5", "n_stop_words",
+)
+MEASURES = ", ".join(f"{x} long" for x in FIELDS)
+#: English words that any longer prose has, and marks that open a list's line.
+STOP_WORDS = frozenset(b"the be to of and that have with".split())
+BULLETS = ("-", "*", "\u2022", "\u2023")
+#: End of fixed values.
+_LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words that stand in a window of three words found twice or more."""
-    windows = list(zip(words, words[1:], words[2:]))
+def repeated_words(words: list[bytes], width: int = 3) -> int:
+    """Words that stand in a window of ``width`` words found twice or more."""
+    windows = list(zip(*(words[i:] for i in range(width))))
     if len(set(windows)) == len(windows):
         return 0
     counts = Counter(windows)
     total, covered = 0, 0  # covered: the first position that no repeated window has reached
     for at, window in enumerate(windows):
         if counts[window] > 1:
-            total += at + 3 - max(at, covered)
-            covered = at + 3
+            total += at + width - max(at, covered)
+            covered = at + width
     return total
 
 
 def measure(text: str | None) -> tuple[int, ...]:
     text = text or ""
     words = text.encode().split()  # bytes split at exactly the six ASCII spaces
-    lines = [x for x in text.split("\n") if x.strip(SPACES)]
+    lines = [y for x in text.split("\n") if (y := x.strip(SPACES))]
+    whole = [x for x in text.split("\n") if x.strip(SPACES)]
+    threes = repeated_words(words)
     return (
         len(words),
         len(text) - sum(map(text.count, SPACES)),
         sum(map(text.count, SYMBOLS)),
-        len(lines),
-        len(lines) - len(set(lines)),
-        repeated_words(words),
+        len(whole),
+        len(whole) - len(set(whole)),
+        threes,
+        sum(x.startswith(BULLETS) for x in lines),
+        sum(x.endswith(("...", "\u2026")) for x in lines),
+        sum(_LETTER(w) is not None for w in words),
+        max(Counter(zip(words, words[1:])).values(), default=0),
+        repeated_words(words, 5) if threes else 0,  # a repeated window of five holds repeated ones of three
+        sum(map(STOP_WORDS.__contains__, text.lower().encode().split())),
     )
 
 
 def measured(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(x) for x in texts], columns=[x.split()[0] for x in MEASURES.split(", ")])
+    return pd.DataFrame([measure(x) for x in texts], columns=list(FIELDS))
 
 
 def mask(names) -> int:
@@ -78,8 +104,8 @@ def ledger(docs: DataFrame, text: str = "text", name: str = "ledger") -> DataFra
     raw = docs.withColumn(name, F.pandas_udf(measured, MEASURES)(F.col(text)))
     bits = F.lit(0)
     for i, rule in enumerate(RULES.values()):
-        for m in MEASURES.split(", "):  # the measurements live in the struct
-            rule = _within(rule, m.split()[0], name)
+        for m in FIELDS:  # the measurements live in the struct
+            rule = _within(rule, m, name)
         bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)))
     return raw.withColumn(name, F.col(name).withField("failed", bits))
 

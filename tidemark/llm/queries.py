@@ -15,32 +15,63 @@ WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.ledger(documents(spark, sf_dir).select("doc_id", "text"))
-    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     base = quality.fails("base")
     return judged.select(
         "doc_id",
-        *(F.col(f"ledger.{x}").alias(x) for x in fields),
+        *(F.col(f"ledger.{x}").alias(x) for x in quality.FIELDS),
+        F.col("ledger.failed").alias("failed"),
         base.alias("base_failed"),
-        (~base & ~quality.fails("v1")).alias("kept"),
+        (~base & ~quality.fails("v2")).alias("kept"),
     )
 
 
-OP4_SQL = rf"""
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each rule of the newest policy: documents that fail it, and those that it alone rejects."""
+    return quality.ablation(quality.ledger(documents(spark, sf_dir).select("doc_id", "text")), "v2")
+
+
+def repeats_sql(width: int) -> str:
+    """Words in windows of ``width`` that a text has twice or more, from the words table w."""
+    more = range(1, width)
+    return (
+        f"SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w, {', '.join(f'w{i}' for i in more)}) AS c "
+        f"FROM (SELECT doc_id, p, w, {', '.join(f'lead(w, {i}) OVER o AS w{i}' for i in more)} FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE w{width - 1} IS NOT NULL), "
+        f"(VALUES {', '.join(f'({i})' for i in range(width))}) v(k) WHERE c >= 2 GROUP BY doc_id"
+    )
+
+
+OP4_MEASURES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS_SQL} AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
-t AS (SELECT doc_id, p, w, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-g AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w, w1, w2) AS c FROM t WHERE w2 IS NOT NULL),
-r AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM g, (VALUES (0), (1), (2)) v(k) WHERE c >= 2 GROUP BY doc_id),
+r AS ({repeats_sql(3)}), q AS ({repeats_sql(5)}),
+b AS (SELECT doc_id, max(c) AS n FROM (SELECT doc_id, count(*) AS c FROM (SELECT doc_id, w, lead(w) OVER (PARTITION BY doc_id ORDER BY p) AS x FROM w) WHERE x IS NOT NULL GROUP BY doc_id, w, x) GROUP BY doc_id),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 m AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
-    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
-  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id))
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_symbols > n_words OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) OR word_chars > 24 * n_words) AS kept
-FROM m
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+    len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•‣]')))::BIGINT AS n_bullet_lines,
+    len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$')))::BIGINT AS n_ellipsis_lines,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]')))::BIGINT AS n_letter_words,
+    coalesce(b.n, 0)::BIGINT AS n_top_pair, coalesce(q.n, 0)::BIGINT AS n_repeat_5,
+    len(list_filter(ws, lambda x: lower(x) IN ('the', 'be', 'to', 'of', 'and', 'that', 'have', 'with')))::BIGINT AS n_stop_words
+  FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN b USING (doc_id)),
+f AS (
+  SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, n_symbols > n_words AS f2, n_lines >= 4 AND 2 * n_dup_lines > n_lines AS f3,
+    word_chars > 24 * n_words AS f4, n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines AS f5, n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines AS f6,
+    n_words > 0 AND 10 * n_letter_words < 6 * n_words AS f7, n_words > 1 AND 10 * n_top_pair > 2 * n_words AS f8, 100 * n_repeat_5 > 40 * n_words AS f9,
+    n_words >= 50 AND n_stop_words < 2 AS f10 FROM m)
+"""
+OP4_SQL = OP4_MEASURES + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_bullet_lines, n_ellipsis_lines, n_letter_words, n_top_pair, n_repeat_5, n_stop_words,
+  (f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT + 128 * f7::INT + 256 * f8::INT + 512 * f9::INT + 1024 * f10::INT)::INT AS failed,
+  f0 OR f1 AS base_failed, NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6 OR f7 OR f8 OR f9) AS kept
+FROM f
+"""
+ABLATION_SQL = OP4_MEASURES + """,
+g AS (SELECT unnest(['few_words', 'repeated_words', 'symbol_heavy', 'repeated_lines', 'word_length', 'bullet_lines', 'ellipsis_lines', 'few_letters', 'top_pair', 'long_repeats']) AS rule,
+  unnest([f0, f1, f2, f3, f4, f5, f6, f7, f8, f9]) AS bad, f0::INT + f1::INT + f2::INT + f3::INT + f4::INT + f5::INT + f6::INT + f7::INT + f8::INT + f9::INT AS n FROM f)
+SELECT rule, count(*) FILTER (bad) AS n_failed, count(*) FILTER (bad AND n = 1) AS n_only FROM g GROUP BY rule
 """
 
 
@@ -146,9 +177,10 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform(base, lambda s: s["kind"])
     return found.select(
         "doc_id",
-        *((F.size(base) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
+        *((F.size(base) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.BASE),
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_added"),
     )
 
 
@@ -220,6 +252,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "quality_ablation": quality_ablation,
     }
 
 
@@ -230,4 +263,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": OP4_SQL,
         "op6_url_filters": OP6_SQL,
         "op7_decontamination": OP7_SQL,
+        "quality_ablation": ABLATION_SQL,
     }
