@@ -17,7 +17,7 @@ from tidemark.llm.queries import vocabulary
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of the current policy rejects."""
     small_batches(spark)
-    return quality.ledger(docs, name="_ledger").where(~quality.fails("v1", name="_ledger")).select(docs.columns)
+    return quality.ledger(docs, name="_ledger").where(~quality.fails("v2", name="_ledger")).select(docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,9 +55,9 @@ def formal_edges(nodes: DataFrame, reference: str = "superseded_by") -> DataFram
 
 def oriented(edges: DataFrame) -> DataFrame:
     """Each edge from both of its ends: node, other, outgoing."""
-    a = edges.withColumn("node", F.col("source")).withColumn("other", F.col("target")).withColumn("outgoing", F.lit(True))
-    b = edges.withColumn("node", F.col("target")).withColumn("other", F.col("source")).withColumn("outgoing", F.lit(False))
-    return a.unionByName(b).drop("source", "target")
+    end = lambda node, other, outgoing: F.struct(F.col(node).alias("node"), F.col(other).alias("other"), F.lit(outgoing).alias("outgoing"))
+    ends = F.explode(F.array(end("source", "target", True), end("target", "source", False)))
+    return edges.select(*(c for c in edges.columns if c not in ("source", "target")), ends.alias("_end")).select("*", "_end.*").drop("_end")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,11 +86,20 @@ def connections(node: Column, edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: records, connected, isolated, cross and formal edges, and the node with most edges."""
-    of = degrees(nodes, edges).withColumn("all", F.col("thematic") + F.col("formal"))
-    counts = of.agg(F.count("*").alias("records"), F.count_if(F.col("all") > 0).alias("connected"), F.count_if(F.col("all") == 0).alias("isolated"), F.max_by("id", F.struct("all", -F.col("id"))).alias("lead"))
-    kinds = edges.agg(F.count_if((F.col("kind") == "thematic") & F.col("cross")).alias("cross_links"), F.count_if(F.col("kind") == "formal").alias("formal_links"))
-    return counts.crossJoin(kinds)  # one row each
+    """One row: records, connected, isolated, cross and formal edges, and the node with most edges; edges are read once."""
+    thematic, formal, outgoing = F.col("kind") == "thematic", F.col("kind") == "formal", F.col("outgoing")
+    at = oriented(edges.select("source", "target", "kind", "cross")).groupBy(F.col("node").alias("id")).agg(
+        F.count("*").alias("all"), F.count_if(outgoing & thematic & F.col("cross")).alias("crossing"), F.count_if(outgoing & formal).alias("replaced")
+    )
+    of = nodes.select("id").join(at, "id", "left").na.fill(0, ["all", "crossing", "replaced"])
+    return of.agg(
+        F.count("*").alias("records"),
+        F.count_if(F.col("all") > 0).alias("connected"),
+        F.count_if(F.col("all") == 0).alias("isolated"),
+        F.max_by("id", F.struct("all", -F.col("id"))).alias("lead"),
+        F.coalesce(F.sum("crossing"), F.lit(0)).alias("cross_links"),
+        F.coalesce(F.sum("replaced"), F.lit(0)).alias("formal_links"),
+    )
 
 
 def centroids(groups: DataFrame, width: float, height: float) -> DataFrame:

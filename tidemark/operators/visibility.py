@@ -53,11 +53,12 @@ def withheld_ids(reviews: DataFrame, records: DataFrame) -> DataFrame:
 
     reviews: target_id, url, status, draft_id, draft_revision; records: id, url, revision.
     """
-    own = records.select("id", identity(F.col("url")).alias("identity"), "revision")
-    active = reviews.where(F.col("status").isin(*ACTIVE_REVIEWS)).withColumn("identity", identity(F.col("url")))
-    targeted = active.select(F.col("target_id").alias("id"), "identity").join(own, ["id", "identity"]).select("id")
-    drafted = active.where("status = 'approved' AND target_id IS NULL").select(F.col("draft_id").alias("id"), "identity", F.col("draft_revision").alias("revision"))
-    return targeted.unionByName(drafted.join(own, ["id", "identity", "revision"]).select("id")).distinct()
+    status, target = F.col("status"), F.col("target_id")
+    drafted = target.isNull() & (status == "approved")
+    active = reviews.where(status.isin(*ACTIVE_REVIEWS)).select(F.coalesce(target, F.when(drafted, F.col("draft_id"))).alias("id"), F.col("url").alias("_url"), F.when(drafted, F.col("draft_revision")).alias("_draft"), drafted.alias("_drafted"))
+    # joined on the id first, so that identities are worked out for rows that meet only
+    met = active.join(records.select("id", "url", "revision"), "id").where(~F.col("_drafted") | (F.col("_draft") == F.col("revision")))
+    return met.where((F.col("_url") == F.col("url")) | (identity(F.col("_url")) == identity(F.col("url")))).select("id").distinct()
 
 
 def mask_reference(rows: DataFrame, column: str, visible: DataFrame, key: str = "id") -> DataFrame:
