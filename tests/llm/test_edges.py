@@ -207,6 +207,61 @@ def test_pii_gradient():
             assert abs((up - down) / 2e-3 - grads[k][at]) < 2e-3, (k, at)
 
 
+def brute_spans(rows):
+    """n_removed and kept text of each row (id, text), from every run of consecutive sentences with enough words."""
+    cut = {k: spans.sentences(r[1] or "") for k, r in enumerate(rows)}
+    place = lambda k: (rows[k][0] is not None, rows[k][0] or 0, rows[k][2])
+    first, held = {}, []
+    for k, units in cut.items():
+        for i in range(len(units)):
+            words: list = []
+            for j in range(i, len(units)):
+                words = words + units[j][2]
+                if (j > i and len(words) >= spans.LEAST) or len(words) > spans.LONG:
+                    at, run = (*place(k), i), tuple(words)
+                    held.append((k, i, j, at, run))
+                    first[run] = min(first.get(run, at), at)
+    gone = {k: set() for k in cut}
+    for k, i, j, at, run in held:
+        if at > first[run]:
+            gone[k] |= set(range(i, j + 1))
+    return [(rows[k][0], len(units), len(gone[k]), "".join(rows[k][1][a:b] for n, (a, b, _) in enumerate(units) if n not in gone[k])) for k, units in cut.items()]
+
+
+def test_spans_against_every_run(spark):
+    import random
+
+    rng = random.Random(6)
+    sentence = lambda: " ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.choice([3, 5, 6, 9, 20, 30]))) + ". "
+    passages = [[sentence() for _ in range(rng.randint(2, 6))] for _ in range(8)]
+    texts = []
+    for _ in range(50):
+        parts = [sentence() for _ in range(rng.randint(0, 4))]
+        for _ in range(rng.randint(0, 2)):
+            parts += rng.choice(passages) + [sentence()]
+        texts.append("".join(parts))
+    rows = [(i if i % 7 else None, t) for i, t in enumerate(texts)] + [(3, texts[4]), (3, texts[9]), (5, "".join(passages[0])), (None, "".join(passages[1])), (6, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = [(r.doc_id, r.text, r.k) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()]
+    got = sorted(map(repr, ((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in spans.dedup(docs).collect())))
+    want = brute_spans(keyed)
+    assert got == sorted(map(repr, want)) and sum(w[2] for w in want) > 50
+
+
+def test_spans_query_against_every_run(spark):
+    from tests.conftest import DATA
+    from tidemark.llm import queries
+
+    # texts of up to 60 sentences, for which every run can be written out
+    keyed = [(r.doc_id, r.text, r.k) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k")).collect()]
+    short = [r for r in keyed if len(spans.sentences(r[1] or "")) <= 60]
+    docs = spark.createDataFrame([r[:2] for r in short], "doc_id long, text string")
+    got = sorted(map(repr, ((r.doc_id, r.n_sentences, r.n_removed, r.text) for r in spans.dedup(docs).collect())))
+    assert got == sorted(map(repr, brute_spans(short)))
+    whole = {r.doc_id: r for r in queries.queries()["op9_substring_dedup"](spark, DATA).collect()}
+    assert len(whole) == len(keyed) and all(r.kept_chars == len(r.text) for r in whole.values())
+
+
 def test_spans(docs, none):
     got = spans.dedup(docs).orderBy("n").collect()
     assert [r.text for r in got[:3]] == ["", "", " \n\t "]
@@ -281,6 +336,25 @@ def test_suffixes(docs, none):
     assert suffixes.dedup(none).count() == 0
 
 
+def test_suffix_query_against_brute_force(spark):
+    """All columns of the query, from every string of 400 bytes of the table."""
+    from tests.conftest import DATA
+    from tidemark.llm import queries
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    seen = Counter(hash(t[s : s + 400]) for t in texts.values() for s in range(len(t) - 399))
+    want = []
+    for i, t in texts.items():
+        gone = bytearray(len(t))
+        for s in range(len(t) - 399):
+            if seen[hash(t[s : s + 400])] > 1:
+                gone[s : s + 400] = b"x" * 400
+        runs = bytes(gone).replace(b"\0", b" ").split()
+        want.append((i, len(t), sum(map(len, runs)), len(runs), hashlib.sha256(bytes(c for c, g in zip(t, gone) if not g)).hexdigest()))
+    got = queries.queries()["op8_suffix_array_dedup"](spark, DATA).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(w[3] for w in want) > 20
+
+
 def test_suffixes_periodic_and_overfull_cells(spark):
     rows = [(1, "abcab" * 300), (2, "xyz" + "abcab" * 90), (3, "q" * 1000), (4, "w" * 401), (5, "v" * 400)] + [(10 + i, f"{i} " * 50 + "p" * 150 + "boiler plate text " * 30 + f" {i}" * 99) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -451,11 +525,87 @@ def test_maxent_is_a_distribution(spark):
 
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b c a b", "a b d", "c c a"] * 5)], "doc_id long, text string")
     size = maxent.vocabulary(maxent.count(docs))
-    within = 10.0 ** (size.logs - size.within[size.classes])
-    sums = np.bincount(size.classes, within, maxent.CLASSES)
+    at = size.classes * maxent.SLOTS + maxent.slots(size.hashes) * (size.classes >= maxent.OWN)
+    within = 10.0 ** (size.logs - size.within.ravel()[at])
+    sums = np.bincount(at, within, maxent.CLASSES * maxent.SLOTS)
     assert (sums <= 1 + 1e-9).all()
-    p = np.exp(maxent.class_sums(np.zeros((maxent.TEMPLATES, maxent.BUCKETS, maxent.CLASSES), np.float32), size.bias, np.zeros((maxent.TEMPLATES, 1), np.int64)))
+    p = np.exp(maxent.log_weights(np.zeros((maxent.TEMPLATES, maxent.BUCKETS, maxent.CLASSES), np.float32), size.bias[None], np.zeros((maxent.TEMPLATES, 1), np.int64)))
     assert abs((p / p.sum()).sum() - 1) < 1e-6
+    assert abs(np.exp(size.bias_within).sum(1) - 1).max() < 1e-5
+
+
+def test_maxent_score_against_brute_force(spark):
+    """The whole model again, token by token in plain Python: counts, classes, parts, gradient rounds, scores."""
+    import math
+    import random
+    from zlib import crc32
+
+    rng = random.Random(8)
+    words = [f"{a}{b}" for a in ("ab", "cd", "ef", "gh", "Ij") for b in range(30)]
+    docs = [(i, " ".join(rng.choice(words[: 40 if i % 2 else 150]) for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(None, "ab1 cd2"), (3, None)]
+    texts = [(i, maxent.tokens(t)) for i, t in docs]
+    out = lambda i: i is not None and crc32(str(i).encode()) % 10 == 0
+    part_of = lambda i: 0 if i is None else crc32(str(i).encode()) // 10 % maxent.ROUNDS
+    counts = Counter(w for i, ws in texts if not out(i) for w in ws)
+    common = sorted(counts, key=lambda w: (w != b"", -counts[w], w))[: maxent.OWN]
+    class_of = lambda w: common.index(w) if w in common else maxent.OWN + crc32(w[:2]) % maxent.LETTER_CLASSES
+    slot_of = lambda w: crc32(w) >> 12 & maxent.SLOTS - 1
+    totals, kinds = Counter(), Counter()
+    for w, n in counts.items():
+        if w not in common:
+            totals[class_of(w), slot_of(w)] += n
+            kinds[class_of(w), slot_of(w)] += 1
+    every, parts = range(maxent.CLASSES), range(maxent.SLOTS)
+    of_class = [counts[common[c]] if c < len(common) else sum(totals[c, p] for p in parts) for c in every]
+    bias = [math.log(x + 0.5) for x in of_class]
+    inner_bias = {c: [math.log(totals[c, p] + 0.5) for p in parts] for c in every}
+    mix = lambda h, by: (h * by & 0xFFFFFFFF) >> 20
+
+    def steps(ws):
+        """(features, outcome, bias) of both softmaxes for each token."""
+        hashed, kept = [crc32(w) for w in ws], [class_of(w) for w in ws]
+        for j in range(len(ws)):
+            h1, h2 = (hashed[j - k] if j >= k else 0 for k in (1, 2))
+            c1, c2 = (kept[j - k] if j >= k else 0 for k in (1, 2))
+            first = ((0, 0, mix(h1, 2654435761)), (0, 1, mix(h2, 2246822519)), (0, 2, c1 * maxent.CLASSES + c2))
+            by = kept[j] * 0x9E3779B1 & 0xFFFFFFFF
+            second = ((1, 0, mix(h1 ^ by, 2654435761)), (1, 1, mix(h2 ^ by, 2246822519)), (1, 2, c1 * maxent.CLASSES + kept[j]))
+            yield j, first, kept[j], bias
+            if kept[j] >= maxent.OWN:
+                yield j, second, slot_of(ws[j]), inner_bias[kept[j]]
+
+    def chances(weights, features, base):
+        sums = [b + sum(weights.get((*f, k), 0.0) for f in features) for k, b in enumerate(base)]
+        top = max(sums)
+        p = [math.exp(x - top) for x in sums]
+        return [x / sum(p) for x in p]
+
+    weights: dict = {}
+    for k in range(maxent.ROUNDS):
+        seen, meant = Counter(), Counter()
+        for i, ws in texts:
+            if not out(i) and part_of(i) == k:
+                for _, features, outcome, base in steps(ws):
+                    for f in features:
+                        seen[*f, outcome] += 1
+                        for c, p in enumerate(chances(weights, features, base)):
+                            meant[*f, c] += p
+        for at in meant:
+            weights[at] = weights.get(at, 0.0) + maxent.RATE * (seen[at] - meant[at]) / (max(seen[at], meant[at]) + maxent.SMOOTH)
+    want = []
+    for i, ws in texts:
+        score = 0.0
+        for j, features, outcome, base in steps(ws):
+            score += math.log10(chances(weights, features, base)[outcome])
+        for w in ws:
+            if w not in common:
+                at = class_of(w), slot_of(w)
+                score += math.log10((counts[w] + 0.1) / (totals[at] + 0.1 * (kinds[at] + 1)))
+        want.append((repr(i), len(ws), score))
+    for frequent in (70, 1000):
+        got = [(repr(r.doc_id), r.n_tokens, r.score) for r in maxent.score(spark.createDataFrame(docs, "doc_id long, text string"), frequent=frequent).collect()]
+        for x, y in zip(sorted(got), sorted(want), strict=True):
+            assert x[:2] == y[:2] and abs(x[2] - y[2]) < 1e-3 * (1 + abs(y[2])), (x, y)
 
 
 def test_chat(spark):

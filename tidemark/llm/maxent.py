@@ -1,15 +1,18 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
 A text's tokens are its words in lower case and one end. The softmax is factored by class: the end and
-the commonest words are classes of their own, all other words fall into classes by their first bytes. The
-class of a token follows from hashed features of what stands before it (the last word, the one before
-that with a skip, and the classes of both); a word within its class follows from the corpus counts.
+the commonest words are classes of their own, all other words fall into classes by their first bytes. A word
+within its class is reached by a second softmax, over ``SLOTS`` parts of the class; both follow from hashed
+features of what stands before it (the last word, the one before that with a skip, and classes), the second
+with the class in each feature. Within its part, of about a two hundred and fiftieth of the words, a word has the
+probability that the corpus counts give.
 
 Training: word counts over all training documents are summed by Spark and stay distributed. The weights
 are fitted in rounds, each over another slice of the training documents; tasks add up the observed and
 expected counts of their documents, Spark sums these by block, and the driver moves the weights of
-fixed size (``TEMPLATES * BUCKETS * CLASSES`` numbers). The number of gradient tasks follows the cluster's
-cores, not the data, so that each block's sum stays small.
+fixed size (``TEMPLATES * BUCKETS * (CLASSES + SLOTS)`` numbers). A task's sums have that size too, 5 MB before
+compression, for each part of the table that it reads, 128 MB by default; what is shuffled is thus a small share
+of the input.
 
 Scoring: numpy over batches with sparse features. The ``FREQUENT`` commonest words, proven to be no more by a
 histogram, are sent to all tasks; the counts of all other words are joined by shuffle, so every score uses
@@ -34,11 +37,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 END = b""
-OWN, LETTER_CLASSES = 32, 32
+OWN, LETTER_CLASSES, SLOTS = 16, 16, 16
 CLASSES = OWN + LETTER_CLASSES
-BUCKETS, TEMPLATES, BLOCK = 4096, 3, 256
+BUCKETS, TEMPLATES, BLOCK = 4096, 3, 1 << 14
 FREQUENT, WORD_BYTES = 1 << 17, 64
-ROUNDS, SMOOTH, GROUP, CHUNK = 2, 4.0, 600_000, 2048
+ROUNDS, SMOOTH, RATE, GROUP, CHUNK = 3, 4.0, 0.5, 600_000, 2048
 
 
 def held_out(doc: Column) -> Column:
@@ -79,9 +82,9 @@ class Lookup(dict):
 
 
 class Vocabulary:
-    """What every task holds of the counts: the frequent words, the classes' totals, the size of the whole."""
+    """What every task holds of the counts: the frequent words, the totals of the classes' parts, the size of the whole."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, letters: dict[int, tuple[int, int]]):
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, parts: dict[tuple[int, int], tuple[int, int]]):
         order = sorted(range(len(words)), key=lambda i: (words[i] != END, -counts[i], words[i]))
         self.words, n = [words[i] for i in order], np.array([counts[i] for i in order], np.float64)
         self.total, self.distinct = total, distinct
@@ -90,17 +93,19 @@ class Vocabulary:
         by_letters = np.array([letter_class(w) for w in self.words], np.int64)
         self.classes = np.where(own, np.arange(len(self.words)), by_letters) if len(self.words) else by_letters
         self.logs = np.log10(n + 0.1)
-        sums, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-        for k, (s, v) in letters.items():
-            sums[k], kinds[k] = s, v
-        np.subtract.at(sums, by_letters[:OWN], n[:OWN])
-        np.subtract.at(kinds, by_letters[:OWN], 1)
-        #: A word's log10 probability within its class is log10(c + 0.1) less this; 0 in all for own classes.
+        sums, kinds = np.zeros((CLASSES, SLOTS)), np.zeros((CLASSES, SLOTS))
+        for at, (total_of, n_of) in parts.items():
+            sums[at], kinds[at] = total_of, n_of
+        first = (by_letters[:OWN], slots(self.hashes[:OWN]))
+        np.subtract.at(sums, first, n[:OWN])
+        np.subtract.at(kinds, first, 1)
+        #: A word's log10 probability within its part is log10(c + 0.1) less this; 0 in all for own classes.
         self.within = np.log10(sums + 0.1 * (kinds + 1))
-        self.within[: min(OWN, len(self.words))] = self.logs[:OWN]
-        prior = sums.copy()
+        self.within[: min(OWN, len(self.words))] = self.logs[:OWN, None]
+        prior = sums.sum(1)
         prior[: min(OWN, len(self.words))] = n[:OWN]
         self.bias = np.log((prior + 0.5) / (prior + 0.5).sum()).astype(np.float32)
+        self.bias_within = np.log((sums + 0.5) / (sums + 0.5).sum(1, keepdims=True)).astype(np.float32)
 
     def lookup(self) -> Lookup:
         return Lookup(zip(self.words, range(len(self.words))))
@@ -110,6 +115,11 @@ def letter_class(word: bytes) -> int:
     return OWN + crc32(word[:2]) % LETTER_CLASSES
 
 
+def slots(hashes):
+    """The part of its class that a word is in, from its hash."""
+    return (hashes >> 12) & (SLOTS - 1)
+
+
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     level = F.floor(F.log2("n") * 8).cast("int")
     steps = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
@@ -121,8 +131,9 @@ def vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     chosen = counts.where(((level >= least) if least is not None else F.lit(False)) & (F.octet_length("word") <= WORD_BYTES) | (F.col("word") == END))
     table = chosen.toPandas()
     rest = (F.crc32(F.substring("word", 1, 2)) % LETTER_CLASSES + OWN).cast("int")
-    letters = {r["k"]: (r["s"], r["v"]) for r in counts.groupBy(rest.alias("k")).agg(F.sum("n").alias("s"), F.count("*").alias("v")).collect()}
-    return Vocabulary([bytes(w) for w in table["word"]], table["n"].tolist(), sum(s for s, _ in letters.values()), sum(v for _, v in letters.values()), letters)
+    slot = F.shiftright(F.crc32("word"), 12).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+    parts = {(r["k"], r["p"]): (r["s"], r["v"]) for r in counts.groupBy(rest.alias("k"), slot.alias("p")).agg(F.sum("n").alias("s"), F.count("*").alias("v")).collect()}  # LETTER_CLASSES * SLOTS rows at most
+    return Vocabulary([bytes(w) for w in table["word"]], table["n"].tolist(), sum(s for s, _ in parts.values()), sum(v for _, v in parts.values()), parts)
 
 
 class Coded:
@@ -151,7 +162,14 @@ class Coded:
 
         h1, h2 = back(hashes, 1), back(hashes, 2)
         mix = lambda h, by: ((h * np.uint32(by)) >> np.uint32(20)).astype(np.int64)
-        self.features = np.stack([mix(h1, 2654435761), mix(h2, 2246822519), back(self.classes, 1) * CLASSES + back(self.classes, 2)])
+        before = back(self.classes, 1)
+        self.features = np.stack([mix(h1, 2654435761), mix(h2, 2246822519), before * CLASSES + back(self.classes, 2)])
+        #: Tokens whose class has more than one word, their part of it, and the features of that.
+        self.inner = np.flatnonzero(self.classes >= OWN)
+        own = self.classes[self.inner]
+        self.slots = slots(hashes[self.inner]).astype(np.int64)
+        by = own.astype(np.uint32) * np.uint32(0x9E3779B1)
+        self.inner_features = np.stack([mix(h1[self.inner] ^ by, 2654435761), mix(h2[self.inner] ^ by, 2246822519), before[self.inner] * CLASSES + own])
 
 
 def grouped(texts: list[str | None], most: int = GROUP) -> Iterator[tuple[int, list[list[bytes]]]]:
@@ -167,8 +185,8 @@ def grouped(texts: list[str | None], most: int = GROUP) -> Iterator[tuple[int, l
         yield first, [tokens(x) for x in texts[first:]]
 
 
-def class_sums(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Unnormalised log weights of each class for a chunk of tokens, the largest of a token at 0."""
+def log_weights(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Unnormalised log weights of each outcome for a chunk of tokens, the largest of a token at 0."""
     s = weights[0][features[0]]
     for t in range(1, TEMPLATES):
         s += weights[t][features[t]]
@@ -177,53 +195,80 @@ def class_sums(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> n
     return s
 
 
+SIZES = (TEMPLATES * BUCKETS * CLASSES, TEMPLATES * BUCKETS * SLOTS)
+
+
+def weights_of(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of the classes and of the parts, from one array of numbers."""
+    return flat[: SIZES[0]].reshape(TEMPLATES, BUCKETS, CLASSES), flat[SIZES[0] :].reshape(TEMPLATES, BUCKETS, SLOTS)
+
+
+def _expect(meant: np.ndarray, features: np.ndarray, p: np.ndarray) -> None:
+    """Add each token's probabilities to the rows of its features."""
+    for t in range(TEMPLATES):
+        order = np.argsort(features[t].astype(np.uint16), kind="stable")
+        held = features[t][order]
+        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        meant[t, held[first]] += np.add.reduceat(p[order], first)
+
+
 def gradients(known, weights):
     """A task's observed and expected counts, by block."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, w = known.value, weights.value
-        lookup = vocabulary.lookup()
-        seen, meant = np.zeros((TEMPLATES, BUCKETS * CLASSES)), np.zeros((TEMPLATES, BUCKETS, CLASSES), np.float32)
+        lookup, learned = vocabulary.lookup(), weights_of(w)
+        seen, meant = np.zeros(sum(SIZES)), np.zeros(sum(SIZES), np.float32)
+        seen_of, meant_of, even = weights_of(seen), weights_of(meant), not w.any()
         for frame in frames:
             for _, group in grouped(frame["text"].tolist()):
                 coded = Coded(group, vocabulary, lookup)
-                for t in range(TEMPLATES):
-                    seen[t] += np.bincount(coded.features[t] * CLASSES + coded.classes, minlength=BUCKETS * CLASSES)
-                for a in range(0, len(coded.classes), CHUNK):
-                    f = coded.features[:, a : a + CHUNK]
-                    p = class_sums(w, vocabulary.bias, f)
-                    np.exp(p, out=p)
-                    p /= p.sum(1, keepdims=True)
+                held = ((coded.features, coded.classes, vocabulary.bias[None]), (coded.inner_features, coded.slots, vocabulary.bias_within[coded.classes[coded.inner]]))
+                for k, (features, outcome, bias) in enumerate(held):
+                    width = seen_of[k].shape[2]
                     for t in range(TEMPLATES):
-                        order = np.argsort(f[t].astype(np.uint16), kind="stable")
-                        held = f[t][order]
-                        first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
-                        meant[t, held[first]] += np.add.reduceat(p[order], first)
-        a, b = (x.astype(np.float32).reshape(-1, BLOCK * CLASSES) for x in (seen, meant))
+                        seen_of[k][t] += np.bincount(features[t] * width + outcome, minlength=BUCKETS * width).reshape(BUCKETS, width)
+                    if even and k == 0:  # without weights every token has the same probabilities
+                        p = np.exp(bias[0]) / np.exp(bias[0]).sum()
+                        for t in range(TEMPLATES):
+                            meant_of[0][t] += np.bincount(features[t], minlength=BUCKETS)[:, None] * p
+                        continue
+                    for a in range(0, len(outcome), CHUNK):
+                        f, b = features[:, a : a + CHUNK], bias if len(bias) == 1 else bias[a : a + CHUNK]
+                        p = log_weights(learned[k], b, f)
+                        np.exp(p, out=p)
+                        p /= p.sum(1, keepdims=True)
+                        _expect(meant_of[k], f, p)
+        a, b = (x.astype(np.float32).reshape(-1, BLOCK) for x in (seen, meant))
         yield pd.DataFrame({"block": range(len(a)), "seen": [x.tobytes() for x in a], "meant": [x.tobytes() for x in b]})
 
     return run
 
 
-def _sum_blocks(frame: pd.DataFrame) -> pd.DataFrame:
-    add = lambda xs: sum(np.frombuffer(x, np.float32).astype(np.float64) for x in xs).astype(np.float32).tobytes()
-    return pd.DataFrame({"block": [frame["block"].iloc[0]], "seen": [add(frame["seen"])], "meant": [add(frame["meant"])]})
+def _sum_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of each block, for rows in any order; a task holds its blocks' sums only."""
+    sums: dict[int, list[np.ndarray]] = {}
+    for frame in frames:
+        for block, *parts in frame[["block", "seen", "meant"]].itertuples(index=False):
+            held = sums.setdefault(block, [np.zeros(BLOCK), np.zeros(BLOCK)])
+            for x, part in zip(held, parts):
+                x += np.frombuffer(part, np.float32)
+    yield pd.DataFrame({"block": list(sums), "seen": [x.astype(np.float32).tobytes() for x, _ in sums.values()], "meant": [y.astype(np.float32).tobytes() for _, y in sums.values()]})
 
 
 def fit(docs: DataFrame, known, doc: str, rounds: int = ROUNDS) -> np.ndarray:
-    """The class weights after one round over each slice of the training documents."""
+    """The weights after one round over each slice of the training documents."""
     context = docs.sparkSession.sparkContext
-    weights = np.zeros((TEMPLATES, BUCKETS, CLASSES), np.float32)
+    weights = np.zeros(sum(SIZES), np.float32)
     schema = "block int, seen binary, meant binary"
     for k in range(rounds):
         sent = context.broadcast(weights)
-        part = docs.where(slice_of(F.col(doc), rounds) == k).select("text").coalesce(2 * context.defaultParallelism)
-        blocks = part.mapInPandas(gradients(known, sent), schema).groupBy("block").applyInPandas(_sum_blocks, schema).collect()
-        seen, meant = np.zeros_like(weights).reshape(-1, BLOCK * CLASSES), np.zeros_like(weights).reshape(-1, BLOCK * CLASSES)
+        part = docs.where(slice_of(F.col(doc), rounds) == k).select("text")
+        blocks = part.mapInPandas(gradients(known, sent), schema).repartition("block").mapInPandas(_sum_blocks, schema).collect()
+        seen, meant = np.zeros_like(weights).reshape(-1, BLOCK), np.zeros_like(weights).reshape(-1, BLOCK)
         for r in blocks:
             seen[r["block"]], meant[r["block"]] = np.frombuffer(r["seen"], np.float32), np.frombuffer(r["meant"], np.float32)
-        step = (seen - meant) / (np.maximum(seen, meant) + SMOOTH)
-        weights = weights + (step * (1.5 / TEMPLATES)).reshape(weights.shape)
+        weights = weights + ((seen - meant) / (np.maximum(seen, meant) + SMOOTH) * RATE).ravel()
     return weights
 
 
@@ -234,17 +279,22 @@ def scores(known, weights):
     """Each text's sums over its tokens, and its words that aren't frequent."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, w = known.value, weights.value
+        vocabulary, learned = known.value, weights_of(weights.value)
         lookup = vocabulary.lookup()
         for frame in frames:
             for first, group in grouped(frame["text"].tolist()):
                 coded = Coded(group, vocabulary, lookup)
-                classed = -vocabulary.within[coded.classes]
-                for a in range(0, len(classed), CHUNK):
-                    c = coded.classes[a : a + CHUNK]
-                    sums = class_sums(w, vocabulary.bias, coded.features[:, a : a + CHUNK])
-                    own = sums[np.arange(len(c)), c]
-                    classed[a : a + CHUNK] += (own - np.log(np.exp(sums, out=sums).sum(1))) / np.log(10)
+                part = np.zeros(len(coded.classes), np.int64)
+                part[coded.inner] = coded.slots
+                classed = -vocabulary.within[coded.classes, part]
+                every = np.arange(len(part))
+                held = ((coded.features, coded.classes, vocabulary.bias[None], every), (coded.inner_features, coded.slots, vocabulary.bias_within[coded.classes[coded.inner]], coded.inner))
+                for k, (features, outcome, bias, at) in enumerate(held):
+                    for a in range(0, len(outcome), CHUNK):
+                        c = outcome[a : a + CHUNK]
+                        sums = log_weights(learned[k], bias if len(bias) == 1 else bias[a : a + CHUNK], features[:, a : a + CHUNK])
+                        own = sums[np.arange(len(c)), c]
+                        classed[at[a : a + CHUNK]] += (own - np.log(np.exp(sums, out=sums).sum(1))) / np.log(10)
                 out = frame.iloc[first : first + len(group)][["row", "id"]].copy()
                 out["n_tokens"] = coded.sizes
                 flags = np.ones(len(coded.classes), np.int64)
