@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import base, feeds, registers, texts  # noqa: F401  the plans register themselves
+from tidemark.plans import base, feeds, registers, rules, texts  # noqa: F401  the plans register themselves
 
 
 def queries() -> dict:
