@@ -28,7 +28,7 @@ RULES = {
     "word_length": "word_chars > 24 * n_words",
     "bullet_lines": "n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines",
     "ellipsis_lines": "n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines",
-    "few_letters": "n_words > 0 AND 10 * n_letter_words < 6 * n_words",
+    "few_letters": "n_words > 0 AND 10 * n_letter_words < 4 * n_words",
     "top_pair": "n_words > 1 AND 10 * n_top_pair > 2 * n_words",
     "long_repeats": "100 * n_repeat_5 > 40 * n_words",
     "no_stop_words": "n_words >= 50 AND n_stop_words < 2",

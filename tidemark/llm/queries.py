@@ -59,7 +59,7 @@ m AS (
 f AS (
   SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, n_symbols > n_words AS f2, n_lines >= 4 AND 2 * n_dup_lines > n_lines AS f3,
     word_chars > 24 * n_words AS f4, n_lines >= 4 AND 10 * n_bullet_lines > 9 * n_lines AS f5, n_lines >= 4 AND 10 * n_ellipsis_lines > 3 * n_lines AS f6,
-    n_words > 0 AND 10 * n_letter_words < 6 * n_words AS f7, n_words > 1 AND 10 * n_top_pair > 2 * n_words AS f8, 100 * n_repeat_5 > 40 * n_words AS f9,
+    n_words > 0 AND 10 * n_letter_words < 4 * n_words AS f7, n_words > 1 AND 10 * n_top_pair > 2 * n_words AS f8, 100 * n_repeat_5 > 40 * n_words AS f9,
     n_words >= 50 AND n_stop_words < 2 AS f10 FROM m)
 """
 OP4_SQL = OP4_MEASURES + """
