@@ -495,8 +495,9 @@ def test_jaccard_tree_loses_no_pair():
             sets.append(np.unique(rng.integers(0, 1 << 63, rng.integers(5, 400)).astype(np.uint64)))
     frame = pd.DataFrame({"id": range(150), "label": range(150), "n": [len(s) for s in sets], "point": [jaccard.packed(jaccard.point(s)) for s in sets], "side": [i % 2 for i in range(150)]})
     linked = {(i, j) for i in range(150) for j in range(i + 1, 150) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
-    assert linked and linked <= set(jaccard.pairs_of(frame, None))
-    parts = set(jaccard.pairs_of(frame[frame.side == 0], None)) | set(jaccard.pairs_of(frame[frame.side == 1], None)) | set(jaccard.pairs_of(frame[frame.side == 0], frame[frame.side == 1]))
+    pairs = lambda *sides: {tuple(p) for rows in jaccard.pairs_of(*sides) for p in rows.tolist()}
+    assert linked and linked <= pairs(frame, None)
+    parts = pairs(frame[frame.side == 0], None) | pairs(frame[frame.side == 1], None) | pairs(frame[frame.side == 0], frame[frame.side == 1])
     assert linked <= parts
 
 

@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop
+from tidemark.llm.common import cut, drop, tidy
 
 WORDS, SHARE = 5, 80
 SLOTS = 1 << 20
 BLOCK, LEAF, BROADCAST_ROWS = 2048, 32, 500_000
 HOT, SPREAD, DEAL = 17, 16, 256
 FINE, FOLDS = 2, 4  # tokens in a group of a point, and how many of these groups are one in the tree's boxes
-GROUP_BYTES, CHUNK = 1 << 18, 1 << 18
+GROUP_BYTES, CHUNK, FRAME = 1 << 18, 1 << 18, 50_000
 FACTOR = 0x9E3779B97F4A7C15
 _MIX = ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53))
 
@@ -335,8 +335,11 @@ class Tree:
                                 yield p, q
 
 
-def pairs_of(left, right=None) -> Iterator[tuple[int, int]]:
-    """Pairs of different components that the bound leaves; right None: within left. Sides have columns n, id, label, point."""
+def pairs_of(left, right=None) -> Iterator[np.ndarray]:
+    """Pairs (smaller, larger id) of different components that the bound leaves, a few rows at a time; right None: within left.
+
+    Sides have columns n, id, label, point.
+    """
     made = []
     for side in (left, right) if right is not None else (left,):
         n, ids, labels, data = (np.asarray(side[c]) for c in ("n", "id", "label", "point"))
@@ -361,9 +364,8 @@ def pairs_of(left, right=None) -> Iterator[tuple[int, int]]:
         some = max(1, CHUNK // g)  # pairs whose whole points are held against each other at a time
         bound = np.concatenate([np.minimum(a[us[k : k + some]], b[vs[k : k + some]]).sum(1) for k in range(0, len(us), some)])
         near = bound >= needed(n[i][us], m[j][vs])
-        for u, v in zip(us[near], vs[near]):
-            x, y = int(ids[i[u]]), int(others[j[v]])
-            yield (x, y) if x < y else (y, x)
+        if near.any():
+            yield np.sort(np.stack([ids[i[us[near]]], others[j[vs[near]]]], 1), 1)
 
 
 CELL = ("cell", "one", "two")
@@ -373,17 +375,27 @@ SIDE = ("n", "id", "label", "side", "point")
 def _residual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs to verify, from rows in the order of their cells; a cell's rows may come in several frames."""
     held: list[dict] = []
-    last, found = None, set()
+    last = None
 
-    def close() -> None:
+    def close() -> Iterator[pd.DataFrame]:
+        """A cell's pairs, in frames of bounded size; Spark drops those that other cells give too."""
         whole = {c: np.concatenate([h[c] for h in held]) if len(held) > 1 else held[0][c] for c in SIDE}
         if last[1] == last[2]:
-            found.update(pairs_of(whole))
+            found = pairs_of(whole)
         else:
             one, two = (whole["side"] == k for k in last[1:])
-            if one.any() and two.any():
-                found.update(pairs_of({c: v[one] for c, v in whole.items()}, {c: v[two] for c, v in whole.items()}))
-
+            found = pairs_of({c: v[one] for c, v in whole.items()}, {c: v[two] for c, v in whole.items()}) if one.any() and two.any() else ()
+        for pairs in found:
+            waiting.append(pairs)
+            if sum(map(len, waiting)) > FRAME:
+                yield flushed()
+
+    def flushed() -> pd.DataFrame:
+        pairs = np.unique(np.concatenate(waiting), axis=0) if waiting else np.zeros((0, 2), np.int64)
+        waiting.clear()
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    waiting: list[np.ndarray] = []
     for frame in frames:
         columns = {c: frame[c].to_numpy() for c in SIDE}
         keys = np.stack([frame[c].to_numpy(np.int64) for c in CELL], 1)
@@ -391,16 +403,13 @@ def _residual(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
             key = tuple(keys[a].tolist())
             if key != last and held:
-                close()
+                yield from close()
                 held = []
-                if len(found) > 100_000:
-                    yield pd.DataFrame(list(found), columns=["a", "b"])
-                    found.clear()
             last = key
             held.append({c: v[a:b] for c, v in columns.items()})
     if held:
-        close()
-    yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
+        yield from close()
+    yield flushed()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -428,7 +437,7 @@ def posted(nodes: DataFrame, sent, hot: int = HOT, repeated: bool = False) -> tu
 
     The postings are shuffled once and never written: a window counts each key's, and what stands alone goes there.
     """
-    rows = nodes.mapInArrow(_cells(sent, hot), CELLS).repartition("key")
+    rows = nodes.mapInArrow(tidy(_cells(sent, hot)), CELLS).repartition("key")
     rows = rows.distinct() if repeated else rows
     key = Window.partitionBy("key")
     counted = {"members": F.count("*"), "pivot": F.min("id"), "x": F.bit_xor(F.xxhash64("id")), "y": F.bit_xor(F.xxhash64("id", F.lit(1)))}
@@ -449,7 +458,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HO
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k"), F.col(text).alias("text"))
     given = rows.where("id IS NOT NULL")
-    table = cut(rows.mapInPandas(_facts, FACTS))
+    table = cut(rows.mapInPandas(tidy(_facts), FACTS))
     levels = np.zeros(SLOTS, np.uint8)
     for r in table.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("seen").alias("seen")).collect():  # SLOTS rows at most
         levels[r["slot"]] = int(r["seen"]).bit_length()
@@ -480,7 +489,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HO
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     held = held.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     held = held.select("cell", "id", "label", "n", "point", "side", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"))
-    more = held.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInPandas(_residual, "a long, b long")
+    more = held.repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two").mapInPandas(tidy(_residual), "a long, b long")
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"))
     drop(members, cells, tried, labels)
     both = cut(edges.unionByName(fetch.verified(fetch.nearer(more))))
@@ -523,11 +532,11 @@ class _Fetch:
         dealt = pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int").alias("deal"))
         own = degrees.withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1))).select("a", F.lit(None).cast("long").alias("b"), "deal")
         rows = own.join(values.withColumnRenamed("id", "a"), "a").unionByName(dealt.join(values.withColumnRenamed("id", "b"), "b"))
-        return rows.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first()).mapInPandas(_streamed(read, test), "a long, b long")
+        return rows.repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first()).mapInPandas(tidy(_streamed(read, test)), "a long, b long")
 
     def nearer(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches leave an overlap that is large enough."""
-        values = cut(self.of(pairs).mapInPandas(_sketches, "id long, n long, value binary"))
+        values = cut(self.of(pairs).mapInPandas(tidy(_sketches), "id long, n long, value binary"))
         out = cut(self.held(pairs, values, _filled, close))
         drop(values)
         return out

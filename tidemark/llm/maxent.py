@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, tidy
 
 END = b""
 OWN, LETTER_CLASSES, SLOTS = 16, 16, 16
@@ -71,7 +71,7 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def count(docs: DataFrame) -> DataFrame:
     """(word, n) over all texts."""
-    return docs.select("text").mapInPandas(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInPandas(tidy(_counts), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lookup(dict):
@@ -264,7 +264,7 @@ def fit(docs: DataFrame, known, doc: str, rounds: int = ROUNDS) -> np.ndarray:
     for k in range(rounds):
         sent = context.broadcast(weights)
         part = docs.where(slice_of(F.col(doc), rounds) == k).select("text")
-        blocks = part.mapInPandas(gradients(known, sent), schema).repartition("block").mapInPandas(_sum_blocks, schema).collect()
+        blocks = part.mapInPandas(tidy(gradients(known, sent)), schema).repartition("block").mapInPandas(_sum_blocks, schema).collect()
         seen, meant = np.zeros_like(weights).reshape(-1, BLOCK), np.zeros_like(weights).reshape(-1, BLOCK)
         for r in blocks:
             seen[r["block"]], meant[r["block"]] = np.frombuffer(r["seen"], np.float32), np.frombuffer(r["meant"], np.float32)
@@ -321,7 +321,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", frequent: in
     weights = context.broadcast(fit(training, known, "id", rounds))
     kind = rows.schema["id"].dataType.simpleString()
     # The row numbers hold from here on, since the scored rows are kept.
-    scored = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text").mapInPandas(scores(known, weights), SCORED.format(id=kind)))
+    scored = cut(rows.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text").mapInPandas(tidy(scores(known, weights)), SCORED.format(id=kind)))
     rare = scored.select("row", F.inline(F.arrays_zip("words", "times")).alias("word", "times"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * (F.log10(F.col("n") + 0.1) + 1)).alias("above"))
     missed = F.col("known") - F.col("n_tokens")  # each unknown word has log10(0.1) = -1

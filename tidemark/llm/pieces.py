@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.common import tidy
+
 SPACE = "▁"
 ROWS = 200
 LETTERS = "A-Za-z\u00c0-\u024f"
@@ -227,7 +229,7 @@ def code(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", deco
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in places), coded, back], [*kept, ids, decoded])
         vocabulary.forget()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", to: str = "ids") -> DataFrame:

@@ -20,6 +20,7 @@ replaced; an empty table stays empty.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import tidy
+
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -483,10 +486,11 @@ def detect(docs: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
     """``docs`` with the spans of personal data in a text, in code points, the end exclusive."""
     weights = train().w
 
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series(find(texts, weights), dtype=object)
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(find(texts, weights), dtype=object)
 
-    return docs.withColumn(to, F.pandas_udf(found, SPANS)(F.col(text)))
+    return docs.withColumn(to, F.pandas_udf(tidy(found), SPANS, F.PandasUDFType.SCALAR_ITER)(F.col(text)))
 
 
 def mask(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, tidy
 
 LENGTH, GRAM, LARGE, MOST = 400, 100, 500, 100_000
 PIECE, CHUNK = 1 << 19, 1 << 18
@@ -312,20 +312,20 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int =
     value = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(doc).alias("id"), value.alias("text"), F.xxhash64(doc, value, F.lit(1)).alias("k1"), F.xxhash64(value, doc, F.lit(2)).alias("k2"))
     texts = rows.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
-    found = texts.select("k1", "k2", "times", "text", "id").mapInArrow(_anchors, ANCHORS)
+    found = texts.select("k1", "k2", "times", "text", "id").mapInArrow(tidy(_anchors), ANCHORS)
     # counted over all rows, so that this pass needs no shuffle of texts; cut, so that the join on a hash that very
     # many share is broadcast while it is small, and else split where it is skewed
-    every = rows.select("k1", "k2", F.lit(1).cast("long").alias("times"), "text", "id").mapInArrow(_anchors, ANCHORS)
+    every = rows.select("k1", "k2", F.lit(1).cast("long").alias("times"), "text", "id").mapInArrow(tidy(_anchors), ANCHORS)
     again = cut(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
     owned = found.join(again, "hash")
 
     def of(kept, task, schema):
         lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("owned"))
         # all columns of the texts go along, here and to the anchors, so that one shuffle of them serves both
-        return texts.join(lists, ["k1", "k2"]).select(*texts.columns, "owned").mapInPandas(task, schema)
+        return texts.join(lists, ["k1", "k2"]).select(*texts.columns, "owned").mapInPandas(tidy(task), schema)
 
     cells = of(F.col("n") <= most, _stretches, STRETCHES).repartition("hash").sortWithinPartitions("hash")
-    ranges = cells.mapInPandas(_sorted_cells, RANGES)
+    ranges = cells.mapInPandas(tidy(_sorted_cells), RANGES)
     single = of(F.col("n") > most, _strings, STRINGS)
     often = single.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
     ranges = ranges.unionByName(single.join(often, "string").select("k1", "k2", F.array(F.col("first"), F.col("first") + LENGTH).alias("ranges")))
