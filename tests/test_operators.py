@@ -204,3 +204,91 @@ def test_stream_equals_batch_and_once(spark, tmp_path):
     sink(events, 0)
     sink(events, 1)
     assert len(wrote) == 1
+
+
+def test_collection_run(spark):
+    from tidemark.streaming import collector
+
+    at = datetime(2024, 5, 1)
+    found = spark.createDataFrame(
+        [("s", "https://a.example.org/1/", "A notice about the rules", None, at), ("s", "https://a.example.org/1#x", "A notice again", None, datetime(2024, 5, 2)), ("s", "https://a.example.org/2", "Tracked already", None, at),
+         ("s", "https://a.example.org/2", "Tracked, but changed", "h2", at), ("t", "https://b.example.org/9", "A notice about the rules", None, at), ("t", "https://b.example.org/8", "Weak words only here", None, at)],
+        "source_id string, url string, title string, hash string, found timestamp_ntz",
+    )
+    old = spark.createDataFrame([("https://b.example.org/7", "t", "https://b.example.org/7", "Failing for the last time", None, "pending", 4, at, at, "timeout"), ("https://b.example.org/6", "t", "https://b.example.org/6", "Done", None, "processed", 1, at, at, None)], collector.STATE)
+    tracked = spark.createDataFrame([("https://a.example.org/2?utm_source=x",)], "url string")
+    told = spark.createDataFrame(
+        [("https://a.example.org/1", None, 0.9, None, None), ("https://a.example.org/2#change=h2", "h1", 0.9, None, None), ("https://b.example.org/9", None, 0.8, None, None), ("https://b.example.org/8", None, 0.2, None, None), ("https://b.example.org/7", None, None, "timeout", None)],
+        "key string, hash string, score double, error string, fatal boolean",
+    )
+    run = collector.collect(found, old, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz"))
+    states = {r.key: (r.status, r.attempts) for r in run.state.collect()}
+    assert states == {
+        "https://a.example.org/1": ("processed", 1),
+        "https://a.example.org/2#change=h2": ("pending", 1),  # the verdict is on another version
+        "https://b.example.org/9": ("dismissed", 1),  # the headline is taken in this month
+        "https://b.example.org/8": ("dismissed", 1),
+        "https://b.example.org/7": ("failed", 5),
+        "https://b.example.org/6": ("processed", 1),
+    }
+    assert [(r.source_id, r.score) for r in run.developments.collect()] == [("s", 0.9)] and run.developments.first().id.startswith("dev-a-notice-about-the-rules-")
+    assert [r.development_id for r in run.reviews.collect()] == [run.developments.first().id]
+    assert {r.source_id: (r.selected, r.errors, r.accepted) for r in run.health.collect()} == {"s": (2, 0, 1), "t": (3, 1, 0)}
+
+
+def test_collector_batches_are_written_once(spark, tmp_path):
+    from tidemark.streaming import collector
+
+    none = spark.createDataFrame([], collector.STATE)
+    tracked, told = spark.createDataFrame([], "url string"), spark.createDataFrame([("https://a.example.org/1", None, 0.9, None, None)], "key string, hash string, score double, error string, fatal boolean")
+    batch = spark.createDataFrame([("s", "https://a.example.org/1", "A notice about the rules", None, datetime(2024, 5, 1))], "source_id string, url string, title string, hash string, found timestamp_ntz")
+    write = collector.sink(lambda: none, lambda rows, state: collector.collect(rows, state, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz")), str(tmp_path))
+    for _ in range(2):
+        write(batch, 0)
+    assert spark.read.parquet(f"{tmp_path}/developments").count() == 1 and spark.read.parquet(f"{tmp_path}/state").count() == 1
+
+
+def test_changed_review(spark):
+    from tidemark.streaming import collector
+
+    versions = spark.createDataFrame([("s", "https://a.example.org/1/", "h2", "changed", 2, False, 5), ("s", "https://a.example.org/1", "h1", "changed", 3, True, 6), ("s", "https://a.example.org/1", "h1", "unchanged", 3, False, 7)], "source_id string, url string, hash string, change string, sequence long, reverted boolean, at long")
+    targets = spark.createDataFrame([("p1", "https://a.example.org/1", "The rules")], "id string, url string, title string")
+    got = {r.id: r.summary for r in collector.changed_review(versions, targets).collect()}
+    assert got == {"source-review-p1-2": "The rules changed at its source.", "source-review-p1-3": "The rules went back to an earlier text."}
+
+
+def test_helpers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from tidemark.functions import dates, hashing, text, urls
+    from tidemark.operators import ranking, relevance, workflow
+    from tidemark.sources import html, records
+
+    one = lambda *columns: tuple(spark.range(1).select(*columns).first())
+    lit = F.lit
+    assert one(urls.landed_on_home(lit("https://a.org/x"), lit("https://a.org/")), urls.landed_on_home(lit("https://a.org/"), lit("https://a.org/"))) == (True, False)
+    assert one(hashing.state_key(lit("u"), lit("h:2")), hashing.state_key(lit("u"), lit(None).cast("string"))) == ("u#change=h:2", "u")
+    linked = F.array(F.struct(lit("b").alias("url"), lit("2").alias("hash")), F.struct(lit("a").alias("url"), lit("1").alias("hash")))
+    assert one(hashing.composite(lit("p"), linked)) == one(F.sha2(lit("p|a=1|b=2"), 256))
+    assert one(text.balanced_excerpt(F.array(lit("x" * 30), lit("yy")), 20)) == ("x" * 10 + "\n\nyy",)
+    assert one(text.requirements(lit("- " + "Agencies must publish a statement about it.\n\nshort")))[0] == ["Agencies must publish a statement about it."]
+    assert one(text.xml_plain(lit("a &lt;b&gt; &amp;amp; c"))) == ("a <b> &amp; c",)
+    assert one(dates.is_timestamp(lit("2024-05-01T00:00:00Z")), dates.is_timestamp(lit("2024-02-30T00:00:00Z"))) == (True, False)
+    assert one(workflow.monotone(lit(3), lit(None)), workflow.monotone(lit(3), lit(2))) == (3, 3)
+    assert one(html.json_array(lit('Sure: [{"id": 1}] done'), "id int")) == ([(1,)],) and one(html.json_array(lit("none"), "id int")) == (None,)
+    assert one(relevance.is_strong(lit("Policy on artificial intelligence"), lit("https://a.org/p")), relevance.wanted(lit(0.4), lit(True), lit("AI policy"), lit("https://a.org/p"), lit(""), False))[1] is False
+    log = spark.createDataFrame([(i,) for i in range(9)], "n int")
+    assert [r.n for r in ranking.keep_newest(log, 3, F.col("n").desc()).collect()] == [8, 7, 6]
+    assert records.read_or_legacy(log.where("n > 99"), log).count() == 9 and records.read_or_legacy(log.where("n > 5"), log).count() == 3
+    (tmp_path / "doc.json").write_text('{"a": 1}')
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    assert tuple(records.read_document(spark, str(tmp_path / "doc.json"), schema, {"b": F.lit("x")}).first()) == (1, "x")
+    (tmp_path / "f").mkdir()
+    for name, data in (("a.pdf", b"%PDF-1.7"), ("c.pdf", b"%PDF" + b"x" * 99)):
+        (tmp_path / "f" / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.kind, r.error) for r in records.read_captured(spark, str(tmp_path / "f"), most=50).collect()}
+    assert got == {"a.pdf": ("pdf", None), "c.pdf": (None, "too large")}
+    reviews = spark.createDataFrame([(1, "h", "h", datetime(2024, 5, 1), False), (2, "h", "g", datetime(2024, 5, 1), False), (3, "h", "h", datetime(2024, 4, 1), False), (4, "h", "h", datetime(2024, 5, 1), True)], "id int, live string, approved string, checked timestamp_ntz, superseded boolean")
+    assert [r.id for r in workflow.publishable(reviews, F.lit("2024-05-01 12:00:00").cast("timestamp_ntz"), "live", "approved", "checked").collect()] == [1]
+    title = spark.createDataFrame([("Guide SOUTHWEST",), ("Guide_east",), ("North",), ("Plan (Opens in new tab) DOCX 12 KB",), ("Northern rules",)], "t string").select(text.link_title(F.col("t")).alias("t"))
+    assert [r.t for r in title.collect()] == ["Guide", "Guide", "", "Plan", "Northern rules"]

@@ -226,12 +226,13 @@ def latest_review(t: Tables) -> DataFrame:
     return ranking.last_value_by(rows, "target_id", "status", "order").withColumnRenamed("target_id", "id")
 
 
-@query(f"WITH {REGISTER_SQL}, {REVIEWS_SQL}, a AS (SELECT DISTINCT target_id AS id, url AS alias FROM rev WHERE target_id IS NOT NULL UNION SELECT id, identity FROM uid), s AS (SELECT alias FROM a GROUP BY alias HAVING min(id) <> max(id)) SELECT id, alias FROM a JOIN s USING (alias)")
+@query(f"WITH {REGISTER_SQL}, {REVIEWS_SQL}, a AS (SELECT DISTINCT target_id AS id, url AS alias FROM rev WHERE target_id IS NOT NULL UNION SELECT id, identity FROM uid UNION SELECT id, 'https://www.example.com/orders/' || superseded_by FROM reg WHERE superseded_by IS NOT NULL), s AS (SELECT alias FROM a GROUP BY alias HAVING min(id) <> max(id)) SELECT id, alias FROM a JOIN s USING (alias)")
 def identity_alias_collisions(t: Tables) -> DataFrame:
     """Records that share an alias of their sources."""
     own = register(t).select("id", urls.identity(F.col("url")).alias("alias"))
     told = reviews(t).where("target_id IS NOT NULL").select(F.col("target_id").alias("id"), urls.identity(F.col("url")).alias("alias"))
-    held = own.unionByName(told).groupBy("id").agg(F.collect_set("alias").alias("aliases"))
+    moved = register(t).where("superseded_by IS NOT NULL").select("id", urls.identity(F.concat(F.lit("https://www.example.com/orders/"), "superseded_by", F.lit("/"))).alias("alias"))
+    held = own.unionByName(told).unionByName(moved).groupBy("id").agg(F.collect_set("alias").alias("aliases"))
     return audit.collisions(held)
 
 
@@ -274,13 +275,13 @@ def audit_compare(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {REGISTER_SQL}, {REVIEWS_SQL}, last AS (SELECT target_id AS id, arg_max(status, (sequence, review_id, status)) AS review FROM rev WHERE target_id IS NOT NULL GROUP BY target_id),
-d AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'dismissed' ELSE 'detected' END AS status FROM reg WHERE id % 2 = 0)
+d AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'dismissed' ELSE 'detected' END AS status FROM reg WHERE jurisdiction <> 'ASIA')
 SELECT id, s AS status FROM (SELECT coalesce(d.id, last.id) AS id, CASE WHEN review = 'rejected' AND status IS NOT NULL THEN 'dismissed' WHEN review = 'published' AND status = 'detected' THEN 'promoted'
   WHEN status IS NULL AND review IN ('pending_review', 'approved') THEN 'detected' ELSE status END AS s FROM d FULL JOIN last ON d.id = last.id) WHERE s IS NOT NULL""")
 def reconcile_developments(t: Tables) -> DataFrame:
     from tidemark.operators.workflow import reconciled
 
-    held = register(t).where("id % 2 = 0").select("id", F.when(F.col("id") % 3 == 0, "dismissed").otherwise("detected").alias("status"))
+    held = register(t).where("jurisdiction <> 'ASIA'").select("id", F.when(F.col("id") % 3 == 0, "dismissed").otherwise("detected").alias("status"))
     told = reviews(t).where("target_id IS NOT NULL").select(F.col("target_id").alias("development_id"), "status", F.struct("sequence", "review_id", "status").alias("ord"))
     return reconciled(held, told)
 

@@ -243,7 +243,7 @@ MONITOR_ROWS = """SELECT ps_key AS _ord, CASE WHEN ps_key % 9 = 0 THEN 'gone' ||
   CASE WHEN ps_key % 5 = 0 THEN 'today' WHEN ps_key % 5 = 1 THEN '2001-05-01T00:00:00Z' ELSE '2001-01-01T00:00:00Z' END AS reviewed, CASE WHEN ps_key % 6 = 0 THEN '' ELSE 'R' END AS reviewer, CASE WHEN ps_key % 7 = 0 THEN 'short' ELSE 'Read the page from top to end.' END AS notes,
   CASE WHEN ps_key % 8 = 0 THEN '' WHEN ps_key % 8 = 1 THEN 'https://www.example.org/s/' || ps_key || '/' ELSE 'https://www.example.org/s/' || ps_key END AS url, CASE WHEN ps_key % 10 = 0 THEN 'https://www.other.com/' WHEN ps_key % 10 = 1 THEN 'https://www.example.org/f#x' END AS final_url,
   CASE WHEN ps_key % 11 = 0 THEN 'late' END AS retrieved, CASE WHEN ps_key % 12 = 0 THEN 'zz' END AS hash, CASE WHEN ps_key % 13 = 0 THEN '2001-02-30' END AS published, CASE WHEN ps_key % 14 = 0 THEN 'day' WHEN ps_key % 14 = 1 THEN 'hour' END AS precision, CASE WHEN ps_key % 15 = 0 THEN ' ' END AS title
-  FROM (SELECT p_partkey AS ps_key FROM {part} WHERE p_size % 2 = 0)"""
+  FROM (SELECT p_partkey AS ps_key FROM {part} WHERE p_size <= 25)"""
 MONITOR_RULES = {
     "unknown source": "_by IS NULL",
     "not by hand": "_by <> 'manual'",

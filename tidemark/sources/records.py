@@ -64,11 +64,12 @@ def read_posts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_captured(spark: SparkSession, path: str, most: int = 32 << 20) -> DataFrame:
-    """(path, content, kind) of files of 1 byte to ``most``, by their first bytes."""
+    """(path, content, kind, error) of files, by their first bytes; those over ``most`` bytes come without content and with an error. Spark lists no empty files."""
     from tidemark.functions.hashing import kind_of
 
-    files = spark.read.format("binaryFile").load(path).where(F.col("length").between(1, most))
-    return files.select("path", "content", kind_of(F.col("content")).alias("kind"))
+    files = spark.read.format("binaryFile").load(path).withColumn("error", F.when(F.col("length") > most, "too large"))
+    content = F.when(F.col("error").isNull(), F.col("content"))
+    return files.select("path", content.alias("content"), kind_of(content).alias("kind"), "error")
 
 
 def with_order(rows: DataFrame, *order: Column | str) -> DataFrame:

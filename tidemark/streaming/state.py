@@ -25,6 +25,7 @@ def seen_versions(events: DataFrame) -> DataFrame:
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, sequence, newest = state.get if state.exists else (None, 0, -1)
+        # a key's events of one micro-batch, which the source's limit on a batch bounds, are put in order first
         for frame in [pd.concat(list(frames))]:
             out = []
             for ts, event, value in frame.sort_values(["ts", "event_id"])[["ts", "event_id", "hash"]].itertuples(index=False):
