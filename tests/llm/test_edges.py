@@ -757,3 +757,32 @@ def test_query_digests(spark):
         assert set(base) <= set(whole) and whole == sorted(whole, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2])) and len(whole) == len(base) + r.n_added
         assert r.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[0] == k for s in base) for k in pii.BASE)
+
+
+def test_pipeline_stages_on_edges(spark):
+    """Each stage by itself: nulls, empty and long texts, repeated rows, equal ids with different texts, extra columns that clash, an empty table."""
+    import corpus_pipeline
+    from tests.conftest import DATA
+
+    prose = " ".join(f"word{i} and" for i in range(60))
+    other = " ".join(f"thing{i} or" for i in range(60))
+    rows = [(1, None), (2, ""), (3, "few words"), (4, prose), (5, prose + " end"), (5, prose + " end"), (6, other), (6, prose), (None, prose), (7, LONG), (8, " ".join(f"item{i} but" for i in range(60)) + " call +1 (555) 123-4567 or a.b@c.org or none")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, ledger string, _spans string, component_id string, n_words string, ids string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "a", "b", "c", "d", "e") for i, t in rows], columns)
+    stages = dict(corpus_pipeline.STAGES)
+    run = lambda name, given=docs: stages[name](spark, given, DATA)
+    ids = lambda frame: sorted((str(r.doc_id) for r in frame.select("doc_id").collect()))
+    kept = run("quality rules")
+    assert kept.columns == docs.columns and ids(kept) == sorted(["4", "5", "5", "6", "6", "None", "7", "8"])
+    single = run("n-gram Jaccard join")
+    # 5 is a near copy of 4; the text of 6 that counts is one of its two, and both rows stay or go together; a null id stays
+    assert single.columns == docs.columns and Counter(ids(single)) >= Counter(["1", "2", "3", "4", "7", "8", "None"]) and "5" not in ids(single)
+    assert ids(single).count("6") in (0, 2)
+    clean = run("benchmark decontamination")
+    assert clean.columns == docs.columns and ids(clean) == ids(docs)
+    masked = {(r.doc_id, r.text, r.n_chars) for r in run("personal data").select("doc_id", "text", "n_chars").collect()}
+    assert {(1, None, None), (2, "", 0), (3, "few words", 9)} <= masked and any("call [PHONE] or [EMAIL] or" in (t or "") for _, t, _ in masked) and len(masked) == 10
+    coded = run("SentencePiece encoding").collect()
+    assert len(coded) == len(rows) and {(r.doc_id, r.n_tokens) for r in coded if r.doc_id in (1, 2)} == {(1, 1), (2, 1)}
+    for name in stages:
+        assert run(name, docs.where("doc_id = 99")).count() == 0
