@@ -73,8 +73,11 @@ def _squeeze(text: str) -> str:
 
 
 def semantic(html: str | None) -> str:
+    return _semantic(parsed(html))
+
+
+def _semantic(page: _Page) -> str:
     """Text of the first of main, article or body, without the page's frame."""
-    page = parsed(html)
     for name in ("main", "article", "body", None):
         found = [t for stack, t in page.texts if (name is None or name in stack) and CHROME.isdisjoint(stack)]
         if name is None or any(name in stack for stack, _ in page.texts):
@@ -98,22 +101,22 @@ def links(html: Column) -> Column:
 
 
 def page_fields(html: Column) -> Column:
-    """og title, first heading, title, and the dates a page shows in its metadata."""
+    """og title, first heading, title, the date a page shows in its metadata, and its text; a page is parsed once."""
 
     def fields(x):
         page = parsed(x)
         inside = lambda tag: _squeeze(" ".join(t for stack, t in page.texts if tag in stack))
         date = next((page.meta[k] for k in ("article:published_time", "dcterms.issued", "date", "DC.date") if page.meta.get(k)), None) or (page.times[0] if page.times else None)
-        return {"og": page.meta.get("og:title") or None, "h1": inside("h1") or None, "title": inside("title") or None, "date": date}
+        return {"og": page.meta.get("og:title") or None, "h1": inside("h1") or None, "title": inside("title") or None, "date": date, "text": _semantic(page)}
 
-    made = F.pandas_udf(lambda xs: pd.DataFrame([fields(x) for x in xs], columns=["og", "h1", "title", "date"]), "og string, h1 string, title string, date string")
+    made = F.pandas_udf(lambda xs: pd.DataFrame([fields(x) for x in xs], columns=["og", "h1", "title", "date", "text"]), "og string, h1 string, title string, date string, text string")
     return made(html)
 
 
 def document_candidate(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(url, title, text, date): one candidate a page; the first title that isn't empty, else the url."""
-    held = pages.select(url, page_fields(F.col(html)).alias("f"), semantic_text(F.col(html)).alias("text"))
-    return held.select(url, F.coalesce("f.og", "f.h1", "f.title", url).alias("title"), "text", F.col("f.date").alias("date"))
+    held = pages.select(url, page_fields(F.col(html)).alias("f"))
+    return held.select(url, F.coalesce("f.og", "f.h1", "f.title", url).alias("title"), "f.text", "f.date")
 
 
 def index_candidates(pages: DataFrame, relevant: Callable[[Column, Column], Column], most: int = 25, page: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
