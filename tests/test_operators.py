@@ -221,7 +221,7 @@ def test_collection_run(spark):
         [("https://a.example.org/1", None, 0.9, None, None), ("https://a.example.org/2#change=h2", "h1", 0.9, None, None), ("https://b.example.org/9", None, 0.8, None, None), ("https://b.example.org/8", None, 0.2, None, None), ("https://b.example.org/7", None, None, "timeout", None)],
         "key string, hash string, score double, error string, fatal boolean",
     )
-    run = collector.collect(found, old, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz"))
+    run = collector.collect(found, old, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz"), cut=lambda rows: rows.cache())
     states = {r.key: (r.status, r.attempts) for r in run.state.collect()}
     assert states == {
         "https://a.example.org/1": ("processed", 1),
@@ -242,7 +242,7 @@ def test_collector_batches_are_written_once(spark, tmp_path):
     none = spark.createDataFrame([], collector.STATE)
     tracked, told = spark.createDataFrame([], "url string"), spark.createDataFrame([("https://a.example.org/1", None, 0.9, None, None)], "key string, hash string, score double, error string, fatal boolean")
     batch = spark.createDataFrame([("s", "https://a.example.org/1", "A notice about the rules", None, datetime(2024, 5, 1))], "source_id string, url string, title string, hash string, found timestamp_ntz")
-    write = collector.sink(lambda: none, lambda rows, state: collector.collect(rows, state, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz")), str(tmp_path))
+    write = collector.sink(lambda: none, lambda rows, state, cut: collector.collect(rows, state, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz"), cut=cut), str(tmp_path))
     for _ in range(2):
         write(batch, 0)
     assert spark.read.parquet(f"{tmp_path}/developments").count() == 1 and spark.read.parquet(f"{tmp_path}/state").count() == 1

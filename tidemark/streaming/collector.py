@@ -36,14 +36,15 @@ def fresh(discovered: DataFrame, state: DataFrame, tracked: DataFrame) -> DataFr
     return new.join(state.select("key"), "key", "left_anti")
 
 
-def collect(discovered: DataFrame, state: DataFrame, tracked: DataFrame, verdicts: DataFrame, now: Column, most: int = 5) -> Run:
+def collect(discovered: DataFrame, state: DataFrame, tracked: DataFrame, verdicts: DataFrame, now: Column, most: int = 5, cut: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Run:
     """discovered: source_id, url, title, hash, found; state: as ``STATE``; tracked: url; verdicts: key, hash, score (null:
     none), error, fatal.
 
     Fresh candidates become pending; a source's fresh ones and retries share ``most`` places. Of those selected, one that its
     verdict accepts is processed and gives a development, and a review where a person must see it. A verdict on another
     version of the text than the candidate's counts for nothing. Pending candidates under the newest version of their source
-    are dismissed, and of accepted ones with one headline in a month only the first is kept.
+    are dismissed, and of accepted ones with one headline in a month only the first is kept. ``cut`` may write the candidates
+    with their outcomes and read them again, so that the tables of the run don't each compute them.
     """
     new = fresh(discovered, state, tracked).select("key", "source_id", "url", "title", "hash", F.lit("pending").alias("status"), F.lit(0).alias("attempts"), F.col("found").alias("first_seen"), F.lit(None).cast("timestamp_ntz").alias("last_attempt"), F.lit(None).cast("string").alias("error"))
     held = state.unionByName(new)
@@ -61,6 +62,7 @@ def collect(discovered: DataFrame, state: DataFrame, tracked: DataFrame, verdict
     first = F.row_number().over(Window.partitionBy("_headline", "_accepted").orderBy("first_seen", "key")) == 1
     kept = F.col("_accepted") & (F.col("_headline").isNull() | first)
     moved = moved.withColumn("_kept", kept).withColumn("_next", F.when(F.col("_accepted") & ~F.col("_kept"), "dismissed").otherwise(F.col("_next")))
+    moved = cut(moved)
     ended = moved.select("key", "source_id", "url", "title", "hash", F.col("_next").alias("status"), "attempts", "first_seen", F.when(F.col("_chosen").isNotNull(), now).otherwise(F.col("last_attempt")).alias("last_attempt"), F.when(F.col("_outcome").isin("error", "fatal"), F.col("_error")).when(F.col("_outcome") == "scored", F.lit(None)).otherwise(F.col("error")).alias("error"))
     developments = moved.where("_kept").select(development_id(F.col("title"), F.col("url")).alias("id"), "source_id", "title", "url", "hash", F.col("_score").alias("score"), F.lit("detected").alias("status"), now.alias("detected"))
     reviews = developments.where(predicates.wants_review(F.lit("ai"), F.col("score"))).select(F.concat(F.lit("source-review-"), "id").alias("id"), F.col("id").alias("development_id"), "url", "hash", F.lit("pending_review").alias("status"), F.col("detected").alias("discovered"))
@@ -82,12 +84,17 @@ def changed_review(versions: DataFrame, targets: DataFrame) -> DataFrame:
     return changed.select(F.concat_ws("-", F.lit("source-review"), "target_id", "sequence").alias("id"), "target_id", "url", "hash", F.col("sequence"), summary.alias("summary"), F.lit("pending_review").alias("status"), F.col("at").alias("discovered"))
 
 
-def sink(read_state: Callable[[], DataFrame], step: Callable[[DataFrame, DataFrame], Run], folder: str) -> Callable[[DataFrame, int], None]:
+def sink(read_state: Callable[[], DataFrame], step: Callable[[DataFrame, DataFrame, Callable], Run], folder: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: each batch's tables are written under its own number, over what an earlier try left, and the
     state last, so that a batch that runs again gives the same files."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        made = step(batch, read_state())
+        def cut(rows: DataFrame) -> DataFrame:
+            path = f"{folder}/outcomes/batch={batch_id}"
+            rows.write.mode("overwrite").parquet(path)
+            return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+        made = step(batch, read_state(), cut)
         for name in ("developments", "reviews", "health", "state"):
             getattr(made, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
 
