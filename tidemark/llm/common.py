@@ -73,18 +73,28 @@ def shared_folder(spark) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows written to the shared folder as a table, and read from there."""
+    """Cut the lineage: the rows written to the shared folder as a table, and read from there.
+
+    ``drop`` deletes the table; what a result still needs goes when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place, files = _files(spark, path)
+    files.deleteOnExit(place)
     held = spark.read.schema(df.schema).parquet(path)
     held._written = path
     return held
 
 
+def _files(spark, path: str):
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(context._jsc.hadoopConfiguration())
+
+
 def drop(*cuts: DataFrame) -> None:
     """Delete what ``cut`` wrote, where nothing is to be computed from it any more."""
     for held in cuts:
-        context = held.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(held._written)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = _files(held.sparkSession, held._written)
+        files.delete(path, True)

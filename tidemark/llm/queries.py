@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontaminate, jaccard, maxent, pieces, pii, quality, spans, suffixes, urls
+from tidemark.llm import chat, decontaminate, jaccard, lloyd, maxent, packing, pieces, pii, quality, spans, suffixes, urls, variants
 from tidemark.llm.common import documents
 
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -240,6 +240,49 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def byte_vocabulary() -> tuple[str, str, str]:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(documents(spark, sf_dir).select("doc_id", "text"), byte_vocabulary())
+    small = cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(small).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lloyd.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_sql(rounds: int = 10) -> str:
+    """The rounds one after another, as tables c0, c1, ... of centroids."""
+    gap = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i])))"
+    lines = [
+        "WITH e AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings "
+        "WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS k, v AS m FROM e ORDER BY sha256('3:' || vec_id), v LIMIT 8)",
+    ]
+    for i in range(rounds + 1):
+        lines.append(f"a{i} AS MATERIALIZED (SELECT row, vec_id, v, min(struct_pack(d := d, k := k)) AS n FROM (SELECT row, vec_id, v, k, {gap} AS d FROM e, c{i}) GROUP BY ALL)")
+        if i < rounds:
+            lines.append(
+                f"c{i + 1} AS MATERIALIZED (SELECT k, coalesce(f, m) AS m FROM c{i} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS f FROM "
+                f"(SELECT n.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) r(i) GROUP BY ALL) GROUP BY k) USING (k))"
+            )
+    return (
+        ",\n".join(lines) + f" SELECT vec_id, n.k::INTEGER AS cluster, n.d::BIGINT AS distance, sum(n.d) OVER (PARTITION BY n.k)::BIGINT AS cluster_inertia, "
+        f"sum(n.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = n.k"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard": op1_ngram_jaccard,
@@ -252,6 +295,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array_dedup": op8_suffix_array_dedup,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_best_fit_packing": op12_best_fit_packing,
+        "op13_centroid_clustering": op13_centroid_clustering,
         "quality_ablation": quality_ablation,
     }
 
@@ -263,5 +309,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": OP4_SQL,
         "op6_url_filters": OP6_SQL,
         "op7_decontamination": OP7_SQL,
+        "op13_centroid_clustering": op13_sql(),
         "quality_ablation": ABLATION_SQL,
     }
