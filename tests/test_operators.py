@@ -239,13 +239,16 @@ def test_collection_run(spark):
 def test_collector_batches_are_written_once(spark, tmp_path):
     from tidemark.streaming import collector
 
-    none = spark.createDataFrame([], collector.STATE)
     tracked, told = spark.createDataFrame([], "url string"), spark.createDataFrame([("https://a.example.org/1", None, 0.9, None, None)], "key string, hash string, score double, error string, fatal boolean")
     batch = spark.createDataFrame([("s", "https://a.example.org/1", "A notice about the rules", None, datetime(2024, 5, 1))], "source_id string, url string, title string, hash string, found timestamp_ntz")
-    write = collector.sink(lambda: none, lambda rows, state, cut: collector.collect(rows, state, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz"), cut=cut), str(tmp_path))
+    write = collector.sink(collector.state_before(spark, str(tmp_path)), lambda rows, state, cut: collector.collect(rows, state, tracked, told, F.lit("2024-05-03 00:00:00").cast("timestamp_ntz"), cut=cut), str(tmp_path))
     for _ in range(2):
         write(batch, 0)
     assert spark.read.parquet(f"{tmp_path}/developments").count() == 1 and spark.read.parquet(f"{tmp_path}/state").count() == 1
+    for _ in range(2):  # the next one finds the state of the first, and a second try of it doesn't find its own
+        write(batch.unionByName(batch.withColumns({"url": F.lit("https://a.example.org/2"), "title": F.lit("Another notice about it")})), 1)
+    assert spark.read.parquet(f"{tmp_path}/developments").count() == 1
+    assert {r.key: r.attempts for r in spark.read.parquet(f"{tmp_path}/state/batch=1").collect()} == {"https://a.example.org/1": 1, "https://a.example.org/2": 1}
 
 
 def test_changed_review(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import base, feeds, records, registers, rules, texts, views  # noqa: F401  the plans register themselves
+from tidemark.plans import base, feeds, records, registers, rules, texts, views, workflow  # noqa: F401  the plans register themselves
 
 
 def queries() -> dict:

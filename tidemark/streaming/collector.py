@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing, text
@@ -84,9 +84,20 @@ def changed_review(versions: DataFrame, targets: DataFrame) -> DataFrame:
     return changed.select(F.concat_ws("-", F.lit("source-review"), "target_id", "sequence").alias("id"), "target_id", "url", "hash", F.col("sequence"), summary.alias("summary"), F.lit("pending_review").alias("status"), F.col("at").alias("discovered"))
 
 
-def sink(read_state: Callable[[], DataFrame], step: Callable[[DataFrame, DataFrame, Callable], Run], folder: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: each batch's tables are written under its own number, over what an earlier try left, and the
-    state last, so that a batch that runs again gives the same files."""
+def state_before(spark: SparkSession, folder: str) -> Callable[[int], DataFrame]:
+    """The state that the batch before the given one has written; none before the first."""
+
+    def read(batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return spark.createDataFrame([], STATE)
+        return spark.read.schema(STATE).parquet(f"{folder}/state/batch={batch_id - 1}")
+
+    return read
+
+
+def sink(read_state: Callable[[int], DataFrame], step: Callable[[DataFrame, DataFrame, Callable], Run], folder: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch starts from the state before its number, never from what an earlier try of its
+    own has left, and writes its tables under its number, the state last. A batch that runs again gives the same files."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         def cut(rows: DataFrame) -> DataFrame:
@@ -94,7 +105,7 @@ def sink(read_state: Callable[[], DataFrame], step: Callable[[DataFrame, DataFra
             rows.write.mode("overwrite").parquet(path)
             return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-        made = step(batch, read_state(), cut)
+        made = step(batch, read_state(batch_id), cut)
         for name in ("developments", "reviews", "health", "state"):
             getattr(made, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
 
