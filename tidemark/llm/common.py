@@ -93,6 +93,11 @@ def _files(spark, path: str):
     return place, place.getFileSystem(context._jsc.hadoopConfiguration())
 
 
+def exists(spark, path: str) -> bool:
+    place, files = _files(spark, path)
+    return files.exists(place)
+
+
 def drop(*cuts: DataFrame) -> None:
     """Delete what ``cut`` wrote, where nothing is to be computed from it any more."""
     for held in cuts:
