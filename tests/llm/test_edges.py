@@ -377,7 +377,7 @@ def test_suffix_query_against_brute_force(spark):
     assert sorted(map(tuple, got)) == sorted(want) and sum(w[3] for w in want) > 20
 
 
-def test_suffixes_periodic_and_overfull_cells(spark):
+def test_suffixes_periodic_and_overfull_cells(spark, monkeypatch):
     rows = [(1, "abcab" * 300), (2, "xyz" + "abcab" * 90), (3, "q" * 1000), (4, "w" * 401), (5, "v" * 400)] + [(10 + i, f"{i} " * 50 + "p" * 150 + "boiler plate text " * 30 + f" {i}" * 99) for i in range(9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = {i: t.encode() for i, t in rows}
@@ -389,8 +389,42 @@ def test_suffixes_periodic_and_overfull_cells(spark):
             if seen[b[s : s + 400]] > 1:
                 gone[s : s + 400] = b"\1" * 400
         want[i] = bytes(c for c, g in zip(b, gone) if not g)
-    for most in (suffixes.MOST, 2):
-        assert {r.doc_id: bytes(r.kept) for r in suffixes.dedup(docs, most=most).collect()} == want
+    for large in (500, 1, 2):
+        monkeypatch.setattr(suffixes, "LARGE", large)
+        assert {r.doc_id: bytes(r.kept) for r in suffixes.dedup(docs).collect()} == want
+
+
+def test_suffixes_split_a_passage_in_many_surroundings(spark, monkeypatch):
+    """No task gets more than so many distinct stretches of a cell, and every string of the passage is met."""
+    import random
+
+    monkeypatch.setattr(suffixes, "LARGE", 20)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = word(900)
+    # some hold a part of the passage only, of which strings still repeat where two hold the same part
+    rows = [(i, word(rng.randrange(300, 700)) + passage[: 900 - 2 * (i % 300)] + word(500)) for i in range(1500)]
+    docs, cells = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.sparkContext.accumulator(0)
+    task = suffixes._sorted_cells
+
+    def bounded(frames):
+        def seen():
+            for frame in frames:
+                cells.add(int((frame.groupby("hash")["stretch"].nunique() > 20).sum()))
+                yield frame
+
+        yield from task(seen())
+
+    monkeypatch.setattr(suffixes, "_sorted_cells", bounded)
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.dedup(docs).collect()}
+    seen = Counter(hash(t[s : s + 400]) for _, t in rows for s in range(len(t) - 399))
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for s in range(len(t) - 399):
+            if seen[hash(t[s : s + 400])] > 1:
+                gone[s : s + 400] = b"x" * 400
+        assert got[i] == "".join(c for c, g in zip(t, gone) if not g)
+    assert cells.value == 0
 
 
 def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
@@ -413,10 +447,11 @@ def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
     for i, t in rows:
         gone = {k for s in range(len(t) - 399) if seen[t[s : s + 400]] > 1 for k in range(s, s + 400)}
         want.append((i, "".join(c for k, c in enumerate(t) if k not in gone), len(t), len(gone)))
-    for most in (suffixes.MOST, 2):
-        got = [(r.doc_id, bytes(r.kept).decode(), r.n_bytes, r.n_removed) for r in suffixes.dedup(docs, most=most).collect()]
+    for large in (500, 1):
+        monkeypatch.setattr(suffixes, "LARGE", large)
+        got = [(r.doc_id, bytes(r.kept).decode(), r.n_bytes, r.n_removed) for r in suffixes.dedup(docs).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
-        if most > 2:
+        if large > 1:
             powers = suffixes._powers(suffixes.PIECE + suffixes.LENGTH)
             assert 0 < dealt.value <= sum(len(suffixes.anchors(t.encode(), powers)[0]) for _, t in set(rows))
 

@@ -103,3 +103,19 @@ def drop(*cuts: DataFrame) -> None:
     for held in cuts:
         path, files = _files(held.sparkSession, held._written)
         files.delete(path, True)
+
+
+HOT_KEYS, HOT_ROWS, WAYS = 4096, 1000, 64
+
+
+def salted(rows: DataFrame, keyed: DataFrame, on: str, weight: str, by: Column) -> DataFrame:
+    """rows joined with ``keyed``, which has each key once and its ``weight``, about how many rows share it.
+
+    Rows of the heaviest keys, at most ``HOT_KEYS``, are dealt over ``WAYS`` tasks by ``by``, and those keys repeated for each, so
+    that no task gets all rows of a key that very many share.
+    """
+    top = cut(keyed.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight), on).limit(HOT_KEYS).select(on, F.lit(True).alias("_hot")))
+    left = rows.join(F.broadcast(top), on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(WAYS)).cast("int")).otherwise(0)).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    right = keyed.join(F.broadcast(top), on, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [on, "_salt"]).drop("_salt")

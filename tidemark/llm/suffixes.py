@@ -11,17 +11,15 @@ In a cell the distinct stretches are put into one text, and its suffixes sorted
 only those that are smaller than their successors; all others by scanning the buckets in order, which
 puts each before the suffix it was found from. Then the common prefixes of neighbours say which starts repeat.
 
-Strings of one cell can only be equal at the same distance from the anchor. So in a cell of more than ``LARGE``
-distinct stretches, where a passage stands in many surroundings, two sorts do: of the suffixes from the
-anchor on, and of the texts before it read backwards. Neighbours' common prefixes in both orders give, for each
-distance, classes of equal sides, and two strings are equal if both their classes are.
+Stretches of large cells are met once with their number first, and a cell of more than ``LARGE`` distinct ones is split
+by its next bytes: a string's distance from its anchor is in one half of the range or the other, and all strings
+of a half hold the same bytes around the anchor if they are equal, whose hash names the new cell. A passage that
+stands in many surroundings is thus one stretch where the half lies inside it, and goes on being split where it
+reaches over its ends, until a cell has few distinct stretches, at the last one; each is sorted by the same method.
 
 Identical rows are one text with a multiplicity: it is read, dealt and cut once, each of its strings repeats, and
 its result is given as often as it has rows.
 
-A cell of more than ``MOST`` occurrences is not gathered: there, each string of LENGTH bytes is a row of its
-own, and equal ones are counted by Spark with partial sums. All ways are exact.
-
 Defined results: null and empty texts have no bytes; matches never reach over a text's end; repeated rows are
 copies like any others, so strings in them repeat; long texts are read in pieces that overlap; other columns
 aren't read; an empty table gives no rows.
@@ -38,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, tidy
+from tidemark.llm.common import cut, salted, tidy
 
-LENGTH, GRAM, LARGE, MOST = 400, 100, 500, 100_000
+LENGTH, GRAM, LARGE = 400, 100, 500
 PIECE, CHUNK = 1 << 19, 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -164,42 +162,6 @@ def repeated_starts(parts: list[bytes], times: list[int], length: int = LENGTH)
     return out
 
 
-def ordered(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order of the texts, their neighbours' common prefixes up to ``width`` in that order, and their lengths."""
-    order = sorted(range(len(texts)), key=texts.__getitem__)
-    sizes = np.array([min(len(t), width) for t in texts])
-    grid = np.frombuffer(b"".join(texts[i][:width].ljust(width, b"\0") for i in order), np.uint8).reshape(-1, width)
-    common = np.zeros(len(texts), np.int64)  # with the one before; 0 for the first
-    for a in range(1, len(texts), 8192):
-        differ = grid[a : a + 8192] != grid[a - 1 : a - 1 + len(grid[a : a + 8192])]
-        common[a : a + 8192] = np.where(differ.any(1), differ.argmax(1), width)
-    held = sizes[order]
-    common[1:] = np.minimum(common[1:], np.minimum(held[1:], held[:-1]))
-    return np.array(order), common, sizes
-
-
-def anchored_starts(parts: list[bytes], ats: list[int], times: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """As ``repeated_starts``, for the distinct stretches of one cell whose anchors stand at ``ats``.
-
-    Equal stretches share the anchor's hash; that the bytes at it are equal too follows from the suffix order.
-    """
-    after, ahead, n_after = ordered([p[a:] for p, a in zip(parts, ats)], length)
-    before, behind, n_before = ordered([p[:a][::-1] for p, a in zip(parts, ats)], length)
-    out = [np.zeros(len(p) - length + 1, bool) for p in parts]
-    many, at = np.array(times) > 1, np.array(ats)
-    left, right = np.empty(len(parts), np.int64), np.empty(len(parts), np.int64)
-    for back in range(int(at.max()) + 1):
-        fits = np.flatnonzero((n_before >= back) & (n_after >= length - back))
-        if not len(fits):
-            continue
-        left[before] = np.cumsum(behind < back)
-        right[after] = np.cumsum(ahead < length - back)
-        _, inverse, counts = np.unique(left[fits] * len(parts) + right[fits], return_inverse=True, return_counts=True)
-        for i in fits[(counts[inverse] > 1) | many[fits]].tolist():
-            out[i][ats[i] - back] = True
-    return out
-
-
 def covered(starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Byte ranges (start, end, start, end ...) under runs of starts."""
     edge = np.diff(np.concatenate([[0], starts.astype(np.int8), [0]]))
@@ -211,7 +173,7 @@ def covered(starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
 ANCHORS = "k1 long, k2 long, times long, hash long, at int, first int, last int"
 STRETCHES = "k1 long, k2 long, times long, hash long, at int, first int, stretch binary"
 RANGES = "k1 long, k2 long, ranges array<int>"
-STRINGS = "k1 long, k2 long, times long, first int, string binary"
+ROOTED = STRETCHES + ", lo int, hi int, r1 long, r2 long"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,12 +196,27 @@ def _stretches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["k1", "k2", "times", "hash", "at", "first", "stretch"])
 
 
-def _strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rooted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with the name of what they hold: equal for equal stretches of a cell with the anchor at the same place."""
     for frame in frames:
-        for k1, k2, times, text, owned in frame[["k1", "k2", "times", "text", "owned"]].itertuples(index=False):
-            data = text.encode()
-            starts = [s for o in owned for s in range(o["first"], o["last"] + 1)]
-            yield pd.DataFrame({"k1": k1, "k2": k2, "times": times, "first": starts, "string": [xxhash.xxh3_128_digest(data[s : s + LENGTH]) for s in starts]})
+        names = [xxhash.xxh3_128_digest(b"%d %d " % (cell, at) + stretch) for cell, at, stretch in zip(frame["hash"], frame["at"], frame["stretch"])]
+        both = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+        yield frame.assign(r1=both[:, 0], r2=both[:, 1])
+
+
+def _halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each stretch's two parts by the distance of their strings from the anchor, in cells that the bytes around it name."""
+    for frame in frames:
+        rows = []
+        for k1, k2, times, cell, at, stretch, lo, hi in frame[["k1", "k2", "times", "hash", "at", "stretch", "lo", "hi"]].itertuples(index=False):
+            middle = (lo + hi) // 2
+            for near, far in ((lo, middle), (middle + 1, hi)):
+                first, last = max(0, at - far), min(len(stretch) - LENGTH, at - near)
+                if near <= far and first <= last:
+                    shared = stretch[at - near : at - far + LENGTH]
+                    name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (cell, near, far) + shared) - (1 << 63)
+                    rows.append((k1, k2, times, name, at - first, first, stretch[first : last + LENGTH], near, far))
+        yield pd.DataFrame(rows, columns=["k1", "k2", "times", "hash", "at", "first", "stretch", "lo", "hi"])
 
 
 def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,25 +226,21 @@ def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> pd.DataFrame:
         sure = [(p, rows) for c in cells if len(c) == 1 for p, rows in c.items()]
-        often = lambda rows: sum(r[4] for r in rows)
-        large = [c for c in cells if len(c) > LARGE]
-        open_ = [(p, rows) for c in cells if 1 < len(c) <= LARGE for p, rows in c.items()]
+        often = lambda rows: sum(r[3] for r in rows)
+        open_ = [(p, rows) for c in cells if len(c) > 1 for p, rows in c.items()]
         # a stretch that is the only one of its cell is met again if it occurs again, and nothing is to be sorted
         flags = [np.full(len(p) - LENGTH + 1, often(rows) > 1) for p, rows in sure]
         if open_:
             flags += repeated_starts([p for p, _ in open_], [often(rows) for _, rows in open_])
-        for c in large:
-            open_ += c.items()
-            flags += anchored_starts(list(c), [rows[0][3] for rows in c.values()], [often(rows) for rows in c.values()])
         out = []
         for (_, rows), starts in zip(sure + open_, flags):
             ranges = covered(starts)
             if len(ranges):
-                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _, _ in rows]
+                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _ in rows]
         return pd.DataFrame(out, columns=["k1", "k2", "ranges"])
 
     for frame in frames:
-        for k1, k2, times, cell, at, first, stretch in frame.itertuples(index=False):
+        for k1, k2, times, cell, first, stretch in frame[["k1", "k2", "times", "hash", "first", "stretch"]].itertuples(index=False):
             if cell != last:
                 if size >= CHUNK:
                     yield flush()
@@ -277,7 +250,7 @@ def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = cells[-1].setdefault(stretch, [])
             if not rows:
                 size += len(stretch)
-            rows.append((k1, k2, first, at, times))
+            rows.append((k1, k2, first, times))
     if cells:
         yield flush()
 
@@ -307,28 +280,51 @@ def _without(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kept", "n_bytes", "n_removed", "n_spans"])
 
 
-def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
+def in_small_cells(cells: DataFrame) -> DataFrame:
+    """(k1, k2, ranges) of stretches whose cells are small enough for a task."""
+    return cells.repartition("hash").sortWithinPartitions("hash").mapInPandas(tidy(_sorted_cells), RANGES)
+
+
+def in_large_cells(stretches: DataFrame) -> DataFrame:
+    """(k1, k2, ranges) of stretches (``STRETCHES``, lo, hi) of cells of any size; the distances lo to hi are halved as often
+    as it takes, nine times at most."""
+    rows = cut(stretches.mapInPandas(tidy(_rooted), ROOTED))
+    some = {c: F.first(c).alias(c) for c in ("hash", "at", "stretch", "lo", "hi")}
+    roots = cut(rows.groupBy("r1", "r2").agg(F.sum("times").alias("times"), *some.values()).select(F.col("r1").alias("k1"), F.col("r2").alias("k2"), "times", "hash", "at", F.lit(0).alias("first"), "stretch", "lo", "hi"))
+    large = cut(roots.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > LARGE))
+    found = in_small_cells(roots.join(large, "hash", "left_anti"))
+    if not large.isEmpty():
+        halves = salted(roots, large, "hash", "n", F.col("k1")).mapInPandas(tidy(_halves), STRETCHES + ", lo int, hi int")
+        found = found.unionByName(in_large_cells(halves))
+    met = found.groupBy(F.col("k1").alias("r1"), F.col("k2").alias("r2")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))  # of one stretch
+    many = rows.groupBy("r1", "r2").agg(F.count("*").alias("n"))
+    named = met.join(many, ["r1", "r2"]).withColumn("r", F.struct("r1", "r2")).select("r", "ranges", "n")
+    back = salted(rows.select("k1", "k2", "first", F.struct("r1", "r2").alias("r")), cut(named), "r", "n", F.col("k1"))
+    return back.select("k1", "k2", F.transform("ranges", lambda x: x + F.col("first")).alias("ranges"))
+
+
+def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, kept bytes, n_bytes, n_removed, n_spans), a row for each document."""
     value = F.coalesce(text, F.lit(""))
     rows = docs.select(F.col(doc).alias("id"), value.alias("text"), F.xxhash64(doc, value, F.lit(1)).alias("k1"), F.xxhash64(value, doc, F.lit(2)).alias("k2"))
     texts = rows.groupBy("k1", "k2").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
     found = texts.select("k1", "k2", "times", "text", "id").mapInArrow(tidy(_anchors), ANCHORS)
     # counted over all rows, so that this pass needs no shuffle of texts; cut, so that the join on a hash that very
-    # many share is broadcast while it is small, and else split where it is skewed
+    # many share is broadcast while it is small, and else dealt over many tasks
     every = rows.select("k1", "k2", F.lit(1).cast("long").alias("times"), "text", "id").mapInArrow(tidy(_anchors), ANCHORS)
     again = cut(every.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
-    owned = found.join(again, "hash")
-
-    def of(kept, task, schema):
-        lists = owned.where(kept).groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last")).alias("owned"))
-        # all columns of the texts go along, here and to the anchors, so that one shuffle of them serves both
-        return texts.join(lists, ["k1", "k2"]).select(*texts.columns, "owned").mapInPandas(tidy(task), schema)
-
-    cells = of(F.col("n") <= most, _stretches, STRETCHES).repartition("hash").sortWithinPartitions("hash")
-    ranges = cells.mapInPandas(tidy(_sorted_cells), RANGES)
-    single = of(F.col("n") > most, _strings, STRINGS)
-    often = single.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
-    ranges = ranges.unionByName(single.join(often, "string").select("k1", "k2", F.array(F.col("first"), F.col("first") + LENGTH).alias("ranges")))
+    owned = salted(found, again, "hash", "n", F.col("k1"))
+    lists = owned.groupBy("k1", "k2").agg(F.collect_list(F.struct("hash", "at", "first", "last", "n")).alias("owned"))
+    # all columns of the texts go along, here and to the anchors, so that one shuffle of them serves both
+    cells = texts.join(lists, ["k1", "k2"]).select(*texts.columns, "owned")
+
+    def of(kept):
+        return cells.select("k1", "k2", "times", "text", F.filter("owned", kept).alias("owned")).where(F.size("owned") > 0).mapInPandas(tidy(_stretches), STRETCHES)
+
+    ranges = in_small_cells(of(lambda o: o["n"] <= LARGE))
+    if not again.where(F.col("n") > LARGE).isEmpty():
+        whole = of(lambda o: o["n"] > LARGE).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - GRAM))
+        ranges = ranges.unionByName(in_large_cells(whole))
     gone = ranges.groupBy("k1", "k2").agg(F.collect_list("ranges").alias("ranges"))
     held = texts.join(gone, ["k1", "k2"], "left").withColumn("cut", F.pandas_udf(_without, CUT)(F.col("text"), F.col("ranges")))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
