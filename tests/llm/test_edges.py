@@ -486,6 +486,26 @@ def brute_components(texts):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_jaccard_links_by_all_texts_of_an_id(spark):
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    rows = [(1, word(0, 40)), (2, word(100, 140)), (2, word(0, 41)), (3, word(100, 141)), (4, word(300, 340)), (2, word(0, 41)), (None, word(0, 40)), (5, None), (5, "x"), (6, "X")]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None), (5, 5), (6, 5)}
+    assert jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+
+
+def test_jaccard_leaves_no_more_than_its_result_is_read_from(spark, tmp_path, monkeypatch):
+    import os
+
+    from tidemark.llm import common
+
+    monkeypatch.setattr(common, "shared_folder", lambda spark: str(tmp_path))
+    word = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    docs = spark.createDataFrame([(i, word(i % 3, 60)) for i in range(30)], "doc_id long, text string")
+    assert jaccard.join(docs).where("component_id = 0").count() == 30
+    assert len(os.listdir(tmp_path)) <= 4
+
+
 def test_jaccard_chains_and_crowded_cells(spark, monkeypatch):
     import random
 

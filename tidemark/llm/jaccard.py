@@ -26,8 +26,9 @@ one chance in 10 ** 11; it is the only way in which a result could differ from t
 Cells hold 48 bits of a hash; a clash there only costs a try.
 
 Defined results: a null or empty text has no shingles and stays alone; fewer words than a run are one shingle;
-a null id has a null component and links with nothing; rows with equal ids are one document, of which the
-text with the greatest hash counts; very long texts are read whole; other columns aren't read.
+a null id has a null component and links with nothing; rows with equal ids are one document, which links by each of
+its texts and has the number of shingles of the one with the greatest hash; very long texts are read whole; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -454,7 +455,35 @@ def posted(nodes: DataFrame, sent, hot: int = HOT, repeated: bool = False) -> tu
 
 
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HOT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(id, n_shingles, component_id), a row for each document."""
+    """(id, n_shingles, component_id), a row for each row of ``docs``.
+
+    Of an id with different texts, all but one get a number of their own beyond all ids; what their texts link is then
+    put together with what the id's other text links.
+    """
+    rows = docs.select(F.col(doc).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k"), F.col(text).alias("text"))
+    keys = rows.where("id IS NOT NULL").groupBy("id").agg(F.max("k").alias("top"), F.min("k").alias("low"))
+    several = cut(keys.where("low <> top").select("id", "top"))
+    if several.isEmpty():
+        drop(several)
+        return _joined(docs, doc, text, hot, broadcast_rows)
+    base = keys.agg(F.max("id")).first()[0] + 1
+    spare = rows.join(several, "id").where("k <> top").dropDuplicates(["id", "k"])
+    spare = cut(spare.select((F.monotonically_increasing_id() + base).alias("own"), "id", "text"))
+    main = rows.join(several, "id", "left").where("top IS NULL OR k = top").select("id", "text")
+    found = cut(_joined(main.unionByName(spare.select(F.col("own").alias("id"), "text")), "id", "text", hot, broadcast_rows))
+    each = found.where("id IS NOT NULL").select("id", "n_shingles", "component_id").dropDuplicates(["id"])
+    by = lambda key, name: each.select(F.col("id").alias(key), F.col("component_id").alias(name))
+    labels = components(spare.join(by("own", "a"), "own").join(by("id", "b"), "id").select("a", "b"))
+    whole = each.join(labels.withColumnRenamed("node", "component_id"), "component_id", "left")
+    whole = cut(whole.select("id", "n_shingles", F.coalesce("component", "component_id").alias("component_id")))
+    lone = found.where("id IS NULL")
+    out = rows.select("id").where("id IS NOT NULL").join(whole, "id").unionByName(lone)
+    drop(several, spare, labels)
+    return out.select(F.col("id").alias(doc), "n_shingles", "component_id")
+
+
+def _joined(docs: DataFrame, doc: str, text: str, hot: int, broadcast_rows: int) -> DataFrame:
+    """As ``join``, where of an id's texts the one with the greatest hash counts."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(doc).cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("k"), F.col(text).alias("text"))
     given = rows.where("id IS NOT NULL")
@@ -497,7 +526,10 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text", hot: int = HO
     labels = components(both)
     drop(both)
     found = facts.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", "n", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id").where("id IS NOT NULL").join(found, "id").unionByName(texts.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
+    found = cut(found)
+    lone = cut(texts.where("id IS NULL").select("id", "n", F.lit(None).cast("long").alias("component")))
+    drop(facts, labels, table)
+    out = rows.select("id").where("id IS NOT NULL").join(found, "id").unionByName(lone)
     return out.select(F.col("id").alias(doc), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
@@ -524,7 +556,9 @@ class _Fetch:
         found = self.texts.join(F.broadcast(wanted) if size <= self.broadcast_rows else wanted, ["id", "k"])
         if size and most > 1:
             found = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["id"]))
-        return found.select("id", "text")
+        found = found.select("id", "text")
+        found._wanted = wanted
+        return found
 
     def held(self, pairs: DataFrame, values: DataFrame, read, test) -> DataFrame:
         """The pairs that pass the test on their values: b's is sent with each pair, a's once for ``DEAL`` pairs."""
@@ -536,15 +570,17 @@ class _Fetch:
 
     def nearer(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sketches leave an overlap that is large enough."""
-        values = cut(self.of(pairs).mapInPandas(tidy(_sketches), "id long, n long, value binary"))
+        texts = self.of(pairs)
+        values = cut(texts.mapInPandas(tidy(_sketches), "id long, n long, value binary"))
         out = cut(self.held(pairs, values, _filled, close))
-        drop(values)
+        drop(values, texts._wanted)
         return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are linked, by their whole sets."""
         pairs = cut(pairs)
-        values = cut(self.of(pairs).withColumnRenamed("text", "value"))
+        texts = self.of(pairs)
+        values = cut(texts.withColumnRenamed("text", "value"))
         out = cut(self.held(pairs, values, _texts, linked))
-        drop(values, pairs)
+        drop(values, pairs, texts._wanted)
         return out

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, salted
 
 LONG, EDGE, PICK, LEAST = 24, 12, 8, 16
 RUNS = "array<struct<hash:binary,at:int,n:int>>"
@@ -115,9 +115,9 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     found = docs.select(F.col(doc).alias("id"), key.alias("k"), F.inline(F.pandas_udf(_runs_of, RUNS)(F.col(text))))
     place = F.struct(F.col("id").isNotNull().alias("given"), "id", "k", "at")
     # a run that only identical rows hold has a count above one too, but no later place
-    # cut, so that the join on a run that very many share is broadcast while it is small, and else split where it is skewed
-    firsts = cut(found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("hash", "first"))
-    later = found.join(firsts, "hash").where(place > F.col("first"))
+    # cut, so that the join is broadcast while it is small, and else a run that very many share is dealt over many tasks
+    firsts = cut(found.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("rows")).where("rows > 1"))
+    later = salted(found, firsts, "hash", "rows", F.struct("id", "k", "at")).where(place > F.col("first"))
     gone = later.groupBy(F.col("id").alias("_gone_id"), F.col("k").alias("_gone_k")).agg(F.collect_set(F.struct("at", "n")).alias("_gone"))
     held = docs.join(gone, F.col(doc).eqNullSafe(F.col("_gone_id")) & (key == F.col("_gone_k")), "left")
     made = held.withColumn("_cut", F.pandas_udf(_without, CUT)(F.col(text), F.col("_gone")))
