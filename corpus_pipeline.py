@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, jaccard, pieces, pii, quality
-from tidemark.llm.common import cut, documents, small_batches
+from tidemark.llm.common import cut, documents, drop, small_batches
 from tidemark.llm.queries import vocabulary
 
 
@@ -62,5 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        last, docs = docs, cut(stage(spark, docs, sf_dir))
+        if hasattr(last, "_written"):  # the next one is written, so nothing is computed from its input any more
+            drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
