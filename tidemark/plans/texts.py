@@ -163,20 +163,55 @@ def document_facets(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))
 
 
-@query()
+def index_pages(t: Tables) -> DataFrame:
+    """Pages whose menu stands in their content as a list of news, each item with a date."""
+    listed = F.replace(F.replace("html", F.lit("<nav><ul>"), F.lit('<main><ul class="news">')), F.lit("</nav>"), F.lit("</main>"))
+    return t.pages.select("page_id", "url", F.replace(listed, F.lit("<li>"), F.lit("<li><time>5 March 2024</time> ")).alias("html"))
+
+
+CLEAN_SQL = r"""trim(regexp_replace(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '(?i)(\s+|_)?(north_?east|north_?west|south_?east|south_?west|north|south|east|west)$', ''), '\s+', ' ', 'g'))"""
+PLAIN_SQL = "replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&quot;', chr(34)), '&amp;', '&')"
+ITEMS_SQL = "regexp_extract_all(html, '<li><a href=\"[^\"]*\">[^<]*</a></li>')"
+
+
+@query(rf"""WITH a AS (SELECT page_id, url, unnest({ITEMS_SQL}) AS li, generate_subscripts({ITEMS_SQL}, 1) AS pos FROM pages),
+b AS (SELECT page_id, pos, lower(regexp_extract(url, '^[^/]*//[^/?#]*')) || '/' || regexp_replace(regexp_extract(li, 'href="/([^"?#]*)', 1), '/+$', '') AS link, {PLAIN_SQL.format(x="li")} AS words FROM a),
+c AS (SELECT page_id, link, arg_min(words, pos) AS words, min(pos) AS pos FROM (SELECT *, {CLEAN_SQL.format(x="words")} AS title FROM b) WHERE length(title) >= 8 GROUP BY page_id, link)
+SELECT page_id AS page, (row_number() OVER (PARTITION BY page_id ORDER BY pos))::INTEGER AS place, link AS url, {CLEAN_SQL.format(x="words")} AS title,
+  '5 March 2024 ' || trim(words) AS text, '2024-03-05' AS date, 'day' AS precision, count(*) OVER (PARTITION BY page_id) AS items FROM c QUALIFY place <= 25""")
 def extract_links(t: Tables) -> DataFrame:
-    """Links of pages, resolved, the first of each url, in document order."""
-    return html.index_candidates(t.pages, lambda title, url: F.lit(True))
+    """Entries of index pages: resolved, the first of each url, with the date that stands beside them, in document order."""
+    return html.index_candidates(index_pages(t), lambda title, url: F.lit(True))
+
+
+ARTICLE_SQL = "trim(regexp_replace(" + PLAIN_SQL.format(x="regexp_extract(html, '(?s)<article>(.*?)</article>', 1)") + r", '\s+', ' ', 'g'))"
+HEADING_SQL = CLEAN_SQL.format(x=PLAIN_SQL.format(x="regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)"))
 
 
-@query()
+@query(f"SELECT page_id, {ARTICLE_SQL} AS text FROM pages")
 def semantic_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html.semantic_text(F.col("html")).alias("text"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT page_id, url, {ARTICLE_SQL} AS text, {HEADING_SQL} AS title FROM pages)
+SELECT url, CASE WHEN title = '' THEN url ELSE title END AS title, left(text, 600) AS text, '2024-02-0' || (1 + page_id % 9) AS date, 'day' AS precision FROM a""")
 def document_candidates(t: Tables) -> DataFrame:
-    return html.document_candidate(t.pages)
+    """One candidate a page, dated by a time that the words before it say is that of publication, not by that of an update."""
+    times = F.concat(F.lit('<p>Updated <time datetime="2023-01-01"></time></p><p>Published <time datetime="2024-02-0'), 1 + F.col("page_id") % 9, F.lit('T10:00:00Z"></time></p>'))
+    return html.document_candidate(t.pages.select("url", F.concat(F.regexp_replace("html", "(?s)<footer>.*", ""), times).alias("html")))
+
+
+@query("""SELECT url, CASE WHEN page_id % 5 <> 4 THEN list_sort(['https://www.example.com/files/policy-' || page_id || '.pdf', 'https://www.example.com/download/' || page_id]) END AS files,
+  CASE WHEN page_id % 5 = 4 THEN 'unsafe file' END AS error FROM pages""")
+def linked_files(t: Tables) -> DataFrame:
+    """Files of pages: by their own words, or by a bare link under a heading on the topic; others aren't."""
+    key = F.col("page_id").cast("string")
+    body = F.concat(
+        F.lit('<article><h1>Guidance</h1><a href="https://www.example.com/files/policy-'), key, F.lit('.pdf?utm_source=x#p">Here</a> <a href="https://www.example.com/download/'), key, F.lit('">Download the file</a>'),
+        F.lit('<a href="https://www.example.com/lunch.pdf">Lunch menu</a><nav><a href="/policy.pdf">Policy</a></nav><a href="/policy">AI policy</a>'),
+        F.when(F.col("page_id") % 5 == 4, F.lit('<iframe src="http://www.example.com/framework.pdf"></iframe>')).otherwise(""), F.lit("</article>"),
+    )
+    return html.linked_files(t.pages.select("url", F.concat(body, F.regexp_replace("html", "(?s)<article>.*", "")).alias("html")))
 
 
 @query("SELECT page_id AS feed, 0::INTEGER AS at, 'Page ' || page_id || ' & more' AS title, '2024-01-02' AS date FROM pages")

@@ -6,83 +6,32 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import json_text
+from tidemark.functions.dates import source_date
 from tidemark.functions.text import link_title, squeezed, xml_plain
-from tidemark.functions.urls import absolute, identity
-
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-SILENT = {"script", "style", "noscript", "template", "svg"}
-CHROME = {"nav", "header", "footer", "aside", "form"} | SILENT
-CONTAINERS = {"article", "li", "tr", "section", "td", "p", "div"}
-
-
-class _Page(HTMLParser):
-    """Links with their context, headings, titles, and text by the element it stands in."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[str] = []
-        self.links: list[dict] = []
-        self.open_link: dict | None = None
-        self.texts: list[tuple[tuple[str, ...], str]] = []
-        self.meta: dict[str, str] = {}
-        self.times: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        held = dict(attrs)
-        if tag == "meta":
-            self.meta.setdefault(held.get("property") or held.get("name") or "", held.get("content") or "")
-        if tag == "time" and held.get("datetime"):
-            self.times.append(held["datetime"])
-        if tag == "a" and held.get("href"):
-            self.open_link = {"href": held["href"], "title": "", "at": len(self.links)}
-            self.links.append(self.open_link)
-        if tag not in VOID:
-            name = "main" if held.get("role") == "main" else tag
-            self.stack.append(name)
-
-    def handle_endtag(self, tag):
-        if tag == "a":
-            self.open_link = None
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at] == tag or (self.stack[at] == "main" and tag in ("div", "main", "section")):
-                del self.stack[at:]
-                return
-
-    def handle_data(self, data):
-        if SILENT.isdisjoint(self.stack):
-            if self.open_link is not None:
-                self.open_link["title"] += data
-            self.texts.append((tuple(self.stack), data))
-
-
-def parsed(html: str | None) -> _Page:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    return page
-
-
-def _squeeze(text: str) -> str:
-    return re.sub(r"\s+", " ", text).strip()
+from tidemark.functions.urls import absolute, identity, is_public_https
+from tidemark.sources import page_tree
 
+# Wordings that pages use around dates and files.
+PUBLISHED = ("date published", "published on", "published", "publication date", "date issued", "issued on", "release date")
+TIMED = ("published", "publication", "date issued", "issued on", "release date")
+OTHERWISE_TIMED = ("updated", "modified", "reviewed", "deadline", "closing", "close", "closes", "event date", "effective")
+WEEKDAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+TOPICS = ("artificial intelligence", "ai", "policy", "standard", "framework", "guidance", "guideline", "practice note", "regulation", "legislation", "instrument")
+FILE_ENDINGS, FILE_TYPES = ("pdf", "doc", "docx", "rtf"), ("pdf", "msword", "wordprocessingml", "rtf")
+FILE_ACTIONS, FILE_NAMES = ("download", "view", "open", "read"), ("document", "file", "pdf", "word", "doc", "docx", "rtf")
+# End of fixed values.
 
-def semantic(html: str | None) -> str:
-    return _semantic(parsed(html))
-
-
-def _semantic(page: _Page) -> str:
-    """Text of the first of main, article or body, without the page's frame."""
-    for name in ("main", "article", "body", None):
-        found = [t for stack, t in page.texts if (name is None or name in stack) and CHROME.isdisjoint(stack)]
-        if name is None or any(name in stack for stack, _ in page.texts):
-            return _squeeze(" ".join(found))
-    return ""
+LINK = "array<struct<at:int,href:string,title:string,text:string,dates:array<string>>>"
+EVIDENCE = "struct<shown:string,metas:array<string>,times:array<struct<value:string,property:string,context:string>>,others:array<string>>"
+FIELDS = f"og string, h1 string, title string, evidence {EVIDENCE}, text string"
+FILE = "array<struct<at:int,tag:string,value:string,words:string,type:string,download:boolean,headings:string>>"
 
 
 def _rows(function: Callable, schema: str) -> Callable[[Column], Column]:
@@ -92,41 +41,86 @@ def _rows(function: Callable, schema: str) -> Callable[[Column], Column]:
     return applied
 
 
-semantic_text = lambda html: _rows(semantic, "string")(html)
+def _one_of(words: tuple[str, ...]) -> str:
+    """A pattern for whole words, with any white space between them."""
+    return r"\b(?:" + "|".join(w.replace(" ", r"\s+") for w in words) + r")\b"
+
+
+def semantic(html: str | None) -> str:
+    return page_tree.semantic_text(page_tree.page(html))
+
+
+def semantic_text(html: Column) -> Column:
+    """Text of the first of main, article or body, without the page's frame."""
+    return _rows(semantic, "string")(html)
 
 
 def links(html: Column) -> Column:
-    """Links of a page in order: at, href, title."""
-    return _rows(lambda x: [{"at": d["at"], "href": d["href"], "title": _squeeze(d["title"])} for d in parsed(x).links], "array<struct<at:int,href:string,title:string>>")(html)
+    """The links of an index page that stand for entries, in order, with their entry's text and what may date it."""
+    return _rows(lambda x: page_tree.entry_links(page_tree.page(x)), LINK)(html)
 
 
 def page_fields(html: Column) -> Column:
-    """og title, first heading, title, the date a page shows in its metadata, and its text; a page is parsed once."""
+    """og title, first heading, title, what may date the page, and its text; a page is parsed once."""
+    made = F.pandas_udf(lambda xs: pd.DataFrame([page_tree.fields(page_tree.page(x)) for x in xs], columns=["og", "h1", "title", "evidence", "text"]), FIELDS)
+    return made(html)
 
-    def fields(x):
-        page = parsed(x)
-        inside = lambda tag: _squeeze(" ".join(t for stack, t in page.texts if tag in stack))
-        date = next((page.meta[k] for k in ("article:published_time", "dcterms.issued", "date", "DC.date") if page.meta.get(k)), None) or (page.times[0] if page.times else None)
-        return {"og": page.meta.get("og:title") or None, "h1": inside("h1") or None, "title": inside("title") or None, "date": date, "text": _semantic(page)}
 
-    made = F.pandas_udf(lambda xs: pd.DataFrame([fields(x) for x in xs], columns=["og", "h1", "title", "date", "text"]), "og string, h1 string, title string, date string, text string")
-    return made(html)
+def _first_date(texts: Column) -> Column:
+    return F.get(F.filter(F.transform(texts, source_date), lambda d: d.isNotNull()), 0)
+
+
+def published(evidence: Column) -> Column:
+    """(date, precision): the date after a visible label, else from metadata, else of a time that the words around it say is
+    that of publication and of nothing else, else from what metadata call a date. Null if there is none."""
+    day = rf"(?:(?:{'|'.join(WEEKDAYS)})\s*)?"
+    form = r"((?:\d{1,2}\s+[a-z]+\s+\d{4})|(?:[a-z]+\s+\d{4})|(?:\d{4}-\d{2}(?:-\d{2})?))"
+    label = r"(?i)\b(?:" + "|".join(w.replace(" ", r"\s+") for w in PUBLISHED) + r")\s*:?\s*" + day + form
+    shown = source_date(F.nullif(F.regexp_extract(evidence["shown"], label, 1), F.lit("")))
+    said = lambda t: F.rlike(t["context"], F.lit("(?i)" + _one_of(TIMED))) & ~F.rlike(t["context"], F.lit("(?i)" + _one_of(OTHERWISE_TIMED)))
+    times = F.transform(F.filter(evidence["times"], lambda t: (t["property"] == "datepublished") | said(t)), lambda t: t["value"])
+    return F.coalesce(shown, _first_date(evidence["metas"]), _first_date(times), _first_date(evidence["others"]))
 
 
-def document_candidate(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(url, title, text, date): one candidate a page; the first title that isn't empty, else the url."""
-    held = pages.select(url, page_fields(F.col(html)).alias("f"))
-    return held.select(url, F.coalesce("f.og", "f.h1", "f.title", url).alias("title"), "f.text", "f.date")
+def document_candidate(pages: DataFrame, html: str = "html", url: str = "url", fallback: str | None = None, most: int = 600) -> DataFrame:
+    """(url, title, text, date, precision): one candidate a page; the first title that isn't empty, cleaned, else ``fallback``."""
+    held = pages.select(url, F.col(fallback or url).alias("_fallback"), page_fields(F.col(html)).alias("f"))
+    full = lambda c: F.nullif(c, F.lit(""))
+    title = full(link_title(F.coalesce(full(F.col("f.og")), full(F.col("f.h1")), full(F.col("f.title")), F.col("_fallback"))))
+    dated = held.withColumn("_d", published(F.col("f.evidence")))
+    return dated.select(url, F.coalesce(title, "_fallback").alias("title"), F.left("f.text", F.lit(most)).alias("text"), F.col("_d.date").alias("date"), F.col("_d.precision").alias("precision"))
 
 
-def index_candidates(pages: DataFrame, relevant: Callable[[Column, Column], Column], most: int = 25, page: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """Candidate links of index pages: titles of eight characters or more, the first of each url, then relevant
-    ones, at most ``most`` a page in document order. ``items`` counts before relevance."""
+def index_candidates(pages: DataFrame, relevant: Callable[[Column, Column], Column], most: int = 25, page: str = "page_id", html: str = "html", url: str = "url", allowed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Candidates of index pages: links of entries to other pages on ``allowed`` hosts with titles of eight characters or more,
+    the first of each url, then relevant ones, at most ``most`` a page in document order. ``items`` counts before
+    relevance. One gathering of each page's links, which the page bounds, gives places and counts."""
     each = pages.select(F.col(page).alias("page"), F.col(url).alias("base"), F.inline(links(F.col(html))))
-    named = each.withColumn("title", link_title(F.col("title"))).where(F.char_length("title") >= 8).withColumn("url", absolute(F.col("href"), F.col("base"))).where("url IS NOT NULL")
-    first = named.withColumn("n", F.row_number().over(Window.partitionBy("page", "url").orderBy("at"))).where("n = 1")
-    counted = first.withColumn("items", F.count("*").over(Window.partitionBy("page"))).where(relevant(F.col("title"), F.col("url")))
-    return counted.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("at"))).where(F.col("place") <= most).select("page", "place", "url", "title", "items")
+    named = each.withColumn("title", link_title(F.col("title"))).where(F.char_length("title") >= 8).withColumn("url", absolute(F.col("href"), F.col("base")))
+    kept = named.where(F.col("url").isNotNull() & (F.col("url") != identity(F.col("base"))) & (allowed(F.col("url")) if allowed else F.lit(True)))
+    candidate = F.struct("at", "url", "title", F.left("text", F.lit(300)).alias("text"), _first_date(F.col("dates")).alias("d"))
+    firsts = kept.groupBy("page", "url").agg(F.min_by(candidate, "at").alias("c"))
+    listed = firsts.groupBy("page").agg(F.array_sort(F.collect_list("c")).alias("cs")).select("page", F.size("cs").alias("items"), F.filter("cs", lambda c: relevant(c["title"], c["url"])).alias("cs"))
+    out = listed.select("page", F.col("items").cast("long").alias("items"), F.posexplode(F.slice("cs", 1, most)).alias("place", "c"))
+    return out.select("page", (F.col("place") + 1).alias("place"), "c.url", "c.title", "c.text", F.col("c.d.date").alias("date"), F.col("c.d.precision").alias("precision"), "items")
+
+
+def linked_files(pages: DataFrame, html: str = "html", url: str = "url", most: int = 8) -> DataFrame:
+    """(url, files, error): the addresses of the policy files that a page's content refers to, in order. A reference counts if it
+    looks like a file and its own words say that it is on the topic, or if it only says to open it and the headings do.
+    More than ``most``, or one that isn't public and safe, is an error and not a shorter list."""
+    held = pages.select(F.monotonically_increasing_id().alias("_row"), url, _rows(lambda x: page_tree.file_references(page_tree.page(x)), FILE)(F.col(html)).alias("_files"))
+    each = held.select("_row", url, F.inline_outer("_files"))
+    like = lambda c, pattern: F.rlike(c, F.lit("(?i)" + pattern))
+    ending = rf"\.(?:{'|'.join(FILE_ENDINGS)})(?:$|[?#])"
+    action = rf"^(?:{'|'.join(FILE_ACTIONS)})(?:\s+(?:the\s+)?(?:{'|'.join(FILE_NAMES)}))?$"
+    is_file = like(F.col("value"), ending) | like(F.col("type"), "|".join(FILE_TYPES)) | F.col("download") | like(F.col("value"), r"(?:^|/)(?:download|attachment)(?:/|$|[?#])")
+    bare = (F.col("tag") != "a") | like(F.col("words"), action) | (F.col("download") & (F.col("words") == ""))
+    topical = like(F.concat_ws(" ", "words", "value"), _one_of(TOPICS)) | (bare & like(F.col("headings"), _one_of(TOPICS)))
+    found = each.withColumn("_to", F.when(is_file & topical & ~F.lower("value").startswith("javascript:"), absolute(F.col("value"), F.col(url))))
+    listed = found.groupBy("_row", url).agg(F.array_sort(F.collect_set("_to")).alias("files"), F.bool_or(F.col("_to").isNotNull() & ~is_public_https(F.col("_to"))).alias("_unsafe"))
+    error = F.when(F.col("_unsafe"), "unsafe file").when(F.size("files") > most, "too many files")
+    return listed.select(url, F.when(error.isNull(), F.col("files")).alias("files"), error.alias("error"))
 
 
 def feed_items(feeds: DataFrame, xml: str = "xml", key: str = "feed_id") -> DataFrame:
@@ -146,25 +140,27 @@ def feed_valid(xml: Column) -> Column:
     return F.rlike(xml, F.lit(r"<(?:channel|feed)\b"))
 
 
-def docx(content: bytes | None, most: int = 4 << 20) -> str | None:
-    """Text of a Word file; null if it isn't one, is encrypted, or its text is larger than ``most`` bytes."""
+def docx(content: bytes | None, most: int = 4 << 20) -> dict:
+    """(text, error) of a Word file; the error says whether it is none, is encrypted, or is larger than ``most`` bytes inside."""
     try:
         with zipfile.ZipFile(io.BytesIO(content or b"")) as held:
             info = held.getinfo("word/document.xml")
-            if info.flag_bits & 1 or info.file_size > most:
-                return None
+            if info.flag_bits & 1:
+                return {"text": None, "error": "encrypted"}
+            if info.file_size > most:
+                return {"text": None, "error": "too large"}
             xml = held.read(info).decode("utf-8", "replace")
     except (zipfile.BadZipFile, KeyError, RuntimeError):
-        return None
+        return {"text": None, "error": "not a Word file"}
     text = re.sub(r"<w:tab\b[^>]*/>", "\t", re.sub(r"<w:br\b[^>]*/>|</w:p>", "\n", xml))
-    text = re.sub(r"<[^>]+>", "", text)
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        text = text.replace(name, char)
-    return re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)).strip()
+    text = unescape(re.sub(r"<[^>]+>", "", text))
+    return {"text": re.sub(r"[ \t]+", " ", re.sub(r"\n{3,}", "\n\n", text)).strip(), "error": None}
 
 
 def docx_text(content: Column) -> Column:
-    return _rows(docx, "string")(content)
+    """(text, error)."""
+    made = F.pandas_udf(lambda xs: pd.DataFrame([docx(x) for x in xs], columns=["text", "error"]), "text string, error string")
+    return made(content)
 
 
 def retrieve(targets: DataFrame, fetch: Callable[[str], dict], url: str = "url", attempts: int = 2) -> DataFrame:
@@ -191,5 +187,6 @@ def retrieve(targets: DataFrame, fetch: Callable[[str], dict], url: str = "url",
 
 
 def json_array(reply: Column, schema: str) -> Column:
-    """The rows of the array between a reply's first [ and last ]; null where it doesn't parse."""
-    return F.from_json(F.regexp_extract(reply, r"(?s)(\[.*\])", 1), f"array<struct<{schema}>>")
+    """The rows of a reply's first array; null where there is none that is closed and parses."""
+    array = F.regexp_extract(reply, r"(?s)\[.*", 0)
+    return F.from_json(json_text.balanced(array), f"array<struct<{schema}>>")
