@@ -17,6 +17,10 @@ WEAK_TRACKING = ("utm_source", "utm_medium", "utm_campaign", "ref", "fbclid")
 SHAPE = r"^(?i)([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+#: An address in canonical form that has no query.
+PLAIN = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/(?:[^?#\s]*[^?#/\s])?$"
+
+
 def part(url: Column, group: int) -> Column:
     return F.regexp_extract(F.trim(url), SHAPE, group)
 
@@ -63,7 +67,8 @@ def canonical(url: Column) -> Column:
         path = F.regexp_replace(p["path"], "/+$", "")
         return _rebuilt(p, F.when(path == "", F.lit("/")).otherwise(path), F.transform(F.array_sort(indexed), lambda s: s["pair"]))
 
-    return _built(url, build)
+    # most addresses have nothing to be changed, which one look shows
+    return F.when(F.rlike(url, F.lit(PLAIN)), url).otherwise(_built(url, build))
 
 
 def identity(url: Column) -> Column:

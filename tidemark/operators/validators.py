@@ -85,7 +85,7 @@ def verification_rules(url: Column, scope: Scope) -> dict[str, Column]:
         "verification status": outside(c["status"], VERIFICATION),
         "verification source": blank(c["url"]),
         "verification source form": ~blank(c["url"]) & spelled(c["url"]),
-        "verification source differs": ~blank(c["url"]) & (urls.identity(c["url"]) != urls.identity(url)),
+        "verification source differs": ~blank(c["url"]) & ~same(c["url"], url),
         "verification source host": ~blank(c["url"]) & ~scope.official(c["url"]),
         "verification final host": given(c["final_url"]) & ~scope.official(c["final_url"]),
         "verification final form": given(c["final_url"]) & scope.official(c["final_url"]) & spelled(c["final_url"]),
@@ -129,6 +129,60 @@ def agencies(rows: DataFrame, scope: Scope, order: str = "_ord") -> DataFrame:
     return quality.merged(identified(rows, "agencies", order), quality.broken(rows, "agencies", "id", rules), waiting(rows, "agencies"))
 
 
+def policies(rows: DataFrame, scope: Scope, types: Sequence[str], statuses: Sequence[str], date_types: Sequence[str], order: str = "_ord") -> DataFrame:
+    """rows: id, title, description, jurisdiction, type, status, effective, tags, agencies, content, summary, created, updated,
+    last_review, url, superseded_by, the verification, and dates: type, date, precision, primary, s_url, s_published,
+    s_precision, r_date, r_precision (evidence of a date: its source, what that says, and what a person read there)."""
+    verified, day = F.coalesce(F.col("v_status") == "verified", F.lit(False)), F.lit("day")
+    primary = F.filter("dates", lambda d: F.coalesce(d["primary"], F.lit(False)))
+    first = F.get(primary, 0)
+    hollow = lambda c: F.exists(c, blank)
+    backed = lambda d: F.coalesce((d["s_published"] == d["date"]) & (F.coalesce(d["s_precision"], day) == d["precision"]), F.lit(False)) | F.coalesce((d["r_date"] == d["date"]) & (F.coalesce(d["r_precision"], day) == d["precision"]), F.lit(False))
+    rules = {
+        **{c: blank(F.col(c)) for c in ("title", "description", "content", "summary")},
+        "jurisdiction": outside(F.col("jurisdiction"), scope.jurisdictions),
+        "type": outside(F.col("type"), types),
+        "status": outside(F.col("status"), statuses),
+        "effective": ~dates.is_date(F.col("effective")),
+        "no dates": F.coalesce(F.size("dates") <= 0, F.lit(True)),
+        "not one primary date": (F.size("dates") > 0) & (F.size(primary) != 1),
+        "effective isn't the primary date": dates.is_date(first["date"]) & dates.is_date(F.col("effective")) & (first["date"] != F.col("effective")),
+        "primary date not backed": verified & dates.is_date(first["date"]) & ~outside(first["precision"], PRECISIONS) & ~backed(first),
+        "no tags": F.col("tags").isNull(),
+        "empty tag": hollow("tags"),
+        "no agencies": F.col("agencies").isNull(),
+        "empty agency": hollow("agencies"),
+        "created": ~dates.is_timestamp(F.col("created")),
+        "updated": ~dates.is_timestamp(F.col("updated")),
+        "last review": given(F.col("last_review")) & ~dates.is_timestamp(F.col("last_review")) & ~dates.is_date(F.col("last_review")),
+        "created after update": time(F.col("created")) > time(F.col("updated")),
+        "no source": blank(F.col("url")),
+        "source host": ~blank(F.col("url")) & ~scope.official(F.col("url")),
+        "source form": ~blank(F.col("url")) & spelled(F.col("url")),
+        "superseded by no id": F.col("superseded_by").isNotNull() & blank(F.col("superseded_by").cast("string")),
+        **verification_rules(F.coalesce("url", F.lit("")), scope),
+    }
+    each = rows.select("id", "dates", F.posexplode("dates").alias("_at", "d"))
+    each = each.select(F.concat_ws("/", F.coalesce("id", F.lit("")), F.col("_at").cast("string")).alias("key"), "d", F.exists(F.slice("dates", F.lit(1), F.col("_at")), lambda e: F.coalesce(e["type"] == F.col("d.type"), F.lit(False))).alias("_again"))
+    date, precision, valid = F.col("d.date"), F.col("d.precision"), dates.is_date(F.col("d.date"))
+    official = ~blank(F.col("d.s_url")) & scope.official(F.col("d.s_url"))
+    sourced = F.col("d.s_url").isNotNull() | F.col("d.r_date").isNotNull()
+    date_rules = {
+        "date type": outside(F.col("d.type"), date_types),
+        "date type repeats": ~outside(F.col("d.type"), date_types) & F.col("_again"),
+        "date": ~valid,
+        "date precision": outside(precision, PRECISIONS),
+        "date year not on its first day": (precision == "year") & valid & ~date.endswith("-01-01"),
+        "date month not on its first day": (precision == "month") & valid & ~date.endswith("-01"),
+        "date source host": sourced & ~official,
+        "reviewed date": sourced & official & given(F.col("d.r_date")) & (~dates.is_date(F.col("d.r_date")) | outside(F.col("d.r_precision"), PRECISIONS)),
+        "reviewed date differs": sourced & official & given(F.col("d.r_date")) & valid & ~(F.col("d.r_date").eqNullSafe(date) & F.col("d.r_precision").eqNullSafe(precision)),
+    }
+    again = quality.duplicates(rows, "policies", "id", F.when(~blank(F.col("url")), urls.identity(F.col("url"))), order, "source repeats")
+    lost = quality.dangling(rows, "policies", "id", "superseded_by", rows, "id", "superseded by none", "warning")
+    return quality.merged(identified(rows, "policies", order), quality.broken(rows, "policies", "id", rules), quality.broken(each, "policies", "key", date_rules), again, lost, waiting(rows, "policies"))
+
+
 def timeline(rows: DataFrame, policies: DataFrame, scope: Scope, order: str = "_ord") -> DataFrame:
     """rows: id, title, description, date, precision, type, jurisdiction, related, url, and the verification; policies: id."""
     date, precision, verified = F.col("date"), F.col("precision"), F.coalesce(F.col("v_status") == "verified", F.lit(False))
@@ -218,7 +272,7 @@ def source_reviews(rows: DataFrame, policies: DataFrame, events: DataFrame, scop
         "discovered": ~dates.is_timestamp(F.col("discovered")),
         "updated": ~dates.is_timestamp(F.col("updated")),
         "no evidence": blank(F.col("e_url")),
-        "evidence differs": ~blank(F.col("e_url")) & (urls.identity(F.col("e_url")) != urls.identity(F.coalesce("url", F.lit("")))),
+        "evidence differs": ~blank(F.col("e_url")) & ~same(F.col("e_url"), F.coalesce("url", F.lit(""))),
         "evidence form": ~blank(F.col("e_url")) & spelled(F.col("e_url")),
         "evidence retrieved": given(F.col("e_retrieved")) & ~dates.is_timestamp(F.col("e_retrieved")),
         "evidence published": given(F.col("e_published")) & ~dates.is_date(F.col("e_published")),
@@ -228,40 +282,42 @@ def source_reviews(rows: DataFrame, policies: DataFrame, events: DataFrame, scop
         "reviewed before discovery": final & precedes("discovered", "reviewed"),
         "reviewed before retrieval": final & precedes("e_retrieved", "reviewed"),
         "reviewed before creation": final & F.col("kind").eqNullSafe("policy") & precedes("draft_created", "reviewed"),
-        "final draft differs": final & given(F.col("draft_url")) & (urls.identity(F.col("draft_url")) != urls.identity(F.coalesce("url", F.lit("")))),
+        "final draft differs": final & given(F.col("draft_url")) & ~same(F.col("draft_url"), F.coalesce("url", F.lit(""))),
     }
-    doubtful = quality.broken(rows, "reviews", "id", {"source isn't official": web & ~official & ~final}, "warning")
+    named = lambda targets, url: targets.groupBy(F.col("id").alias(f"{url}_of")).agg(F.min("url").alias(url), F.lit(True).alias(f"{url}_there"))
+    met = rows.join(named(policies, "_policy"), F.col("policy") == F.col("_policy_of"), "left").join(named(events, "_event"), F.col("event") == F.col("_event_of"), "left")
+    # of a policy's reviews, published ones that replaced its source: what another review published before is then right too
+    later = rows.where((F.col("status") == "published") & given(F.col("previous_url"))).groupBy(F.col("policy").alias("_by"), urls.identity(F.col("previous_url")).alias("_old"), urls.identity(F.col("url")).alias("_new"))
+    later = later.agg(F.min("id").alias("_one"), F.max("id").alias("_two"))
+    met = met.withColumn("_was", urls.identity(F.col("url"))).withColumn("_is", urls.identity(F.col("_policy")))
+    met = met.join(later, (F.col("policy") == F.col("_by")) & (F.col("_was") == F.col("_old")) & (F.col("_is") == F.col("_new")), "left")
+    followed = F.coalesce((F.col("_one") != F.col("id")) | (F.col("_two") != F.col("id")), F.lit(False)) & F.coalesce(F.col("status") == "published", F.lit(False)) & ~given(F.col("previous_url"))
+    moved = F.when(given(F.col("previous_url")), _no_replacement()).otherwise(~same(F.col("url"), F.col("_policy")))
+    rules |= {
+        "policy target is none": to_policy & F.col("_policy_there").isNull(),
+        "event target is none": to_event & F.col("_event_there").isNull(),
+        "source isn't the policy target's": to_policy & F.col("_policy_there").isNotNull() & F.coalesce(moved, F.lit(False)) & ~followed,
+        "source isn't the event target's": to_event & F.col("_event_there").isNotNull() & ~same(F.col("url"), F.col("_event")),
+    }
+    found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit("error").alias("severity"))) for name, bad in rules.items()]
+    found.append(F.when(F.coalesce(web & ~official & ~final, F.lit(False)), F.struct(F.lit("source isn't official").alias("rule"), F.lit("warning").alias("severity"))))
+    each = met.select(F.lit("reviews").alias("relation"), F.col("id").cast("string").alias("key"), F.explode(F.array_compact(F.array(*found))).alias("f")).select("relation", "key", "f.rule", "f.severity")
     open_ = rows.where(web & ~F.col("status").eqNullSafe("rejected") & ~to_policy & ~to_event & ~given(F.col("event_hash")))
     again = quality.duplicates(open_, "reviews", "id", urls.identity(F.col("url")), order, "source repeats")
-    return quality.merged(
-        identified(rows, "reviews", order), quality.broken(rows, "reviews", "id", rules), doubtful, again,
-        quality.dangling(rows.where(to_policy), "reviews", "id", "policy", policies, "id", "policy target is none"),
-        quality.dangling(rows.where(to_event), "reviews", "id", "event", events, "id", "event target is none"),
-        _moved(rows, policies, "policy", "source isn't the policy target's"), _moved(rows, events, "event", "source isn't the event target's"),
-    )
-
+    return quality.merged(identified(rows, "reviews", order), each, again)
 
-def _moved(rows: DataFrame, targets: DataFrame, name: str, rule: str) -> DataFrame:
-    """Reviews whose source is neither their target's nor a replacement of it.
 
-    A policy review that names its previous source replaces it: the target still has the previous one, or,
-    once the review is final, the new one. A published review is also right where a published replacement of the same target followed it.
-    """
-    same = lambda a, b: urls.identity(a) == urls.identity(b)
-    met = rows.where(given(F.col(name))).alias("r").join(targets.select(F.col("id").alias("_id"), F.col("url").alias("_url")), F.col(f"r.{name}") == F.col("_id"))
-    moved = ~same(F.col("r.url"), F.col("_url"))
-    bad = met.where(moved if name == "event" else F.when(given(F.col("previous_url")), _no_replacement(same)).otherwise(moved))
-    if name == "policy":
-        later = rows.where((F.col("status") == "published") & given(F.col("previous_url"))).select(F.col("policy").alias("l_policy"), F.col("id").alias("l_id"), urls.identity(F.col("previous_url")).alias("l_old"), urls.identity(F.col("url")).alias("l_new"))
-        followed = (F.col("l_policy") == F.col("policy")) & (F.col("l_old") == urls.identity(F.col("r.url"))) & (F.col("l_new") == urls.identity(F.col("_url"))) & (F.col("l_id") != F.col("r.id"))
-        bad = bad.join(later, followed & (F.col("r.status") == "published") & ~given(F.col("previous_url")), "left_anti")
-    return bad.select(F.lit("reviews").alias("relation"), F.col("r.id").cast("string").alias("key"), F.lit(rule).alias("rule"), F.lit("error").alias("severity"))
+def same(a: Column, b: Column) -> Column:
+    """Whether two addresses are one source; identities are made only where the texts differ."""
+    return F.when(a == b, True).otherwise(urls.identity(a) == urls.identity(b))
 
 
-def _no_replacement(same) -> Column:
-    url, old, held = F.col("r.url"), F.col("previous_url"), F.col("_url")
+def _no_replacement() -> Column:
+    """Whether a review that names its previous source doesn't replace it: its target still has the previous one, or, once the
+    review is final, the new one."""
+    url, old, held = F.col("url"), F.col("previous_url"), F.col("_policy")
     drafted = F.coalesce(same(F.col("draft_url"), url), F.lit(False))
-    before, done = same(held, old) & ~same(held, url), F.col("r.status").isin("approved", "published") & same(held, url) & ~same(held, old)
+    before, done = same(held, old) & ~same(held, url), F.col("status").isin("approved", "published") & same(held, url) & ~same(held, old)
     return ~drafted | ~(before | done)
 
 

@@ -343,6 +343,66 @@ def validate_source_reviews(t: Tables) -> DataFrame:
     return validators.source_reviews(role(t, REVIEW_ROWS), targets, targets, scope())
 
 
+DATE_TYPES, POLICY_TYPES, POLICY_STATES = ("published", "introduced", "amended"), ("law", "guide"), ("active", "repealed")
+POLICY_ROWS = f"""SELECT *, {V_COLUMNS} FROM (SELECT l_orderkey * 8 + l_linenumber AS k, (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey * 1000 + l_suppkey AS _ord, CASE WHEN l_tax = 0.03 AND l_quantity < 9 THEN ' ' ELSE 'p' || l_orderkey || '-' || l_linenumber END AS id,
+  CASE WHEN l_quantity = 7 THEN '' ELSE 'Title' END AS title, CASE WHEN l_quantity = 8 THEN NULL ELSE 'Text' END AS description, CASE WHEN l_quantity = 9 THEN '' ELSE 'Content' END AS content, CASE WHEN l_quantity = 10 THEN ' ' ELSE 'Summary' END AS summary,
+  CASE WHEN l_suppkey % 7 = 3 THEN 'MARS' ELSE 'ASIA' END AS jurisdiction, CASE WHEN l_returnflag = 'R' THEN 'law' WHEN l_partkey % 5 = 0 THEN 'odd' ELSE 'guide' END AS type, CASE WHEN l_linestatus = 'O' THEN 'active' WHEN l_partkey % 4 = 0 THEN 'gone' ELSE 'repealed' END AS status,
+  CASE WHEN l_quantity = 11 THEN '2001-02-30' ELSE '2001-0' || (1 + l_linenumber) || '-01' END AS effective,
+  CASE WHEN l_quantity = 12 THEN NULL WHEN l_quantity = 13 THEN array('a', '') ELSE array('a', 'b') END AS tags, CASE WHEN l_quantity = 14 THEN NULL WHEN l_quantity = 15 THEN array(' ') ELSE array('x') END AS agencies,
+  CASE WHEN l_quantity = 16 THEN 'once' ELSE '2001-01-0' || (1 + l_linenumber) || 'T00:00:00Z' END AS created, CASE WHEN l_quantity = 17 THEN NULL WHEN l_tax = 0.05 THEN '2001-01-03T00:00:00Z' ELSE '2001-02-01T00:00:00Z' END AS updated,
+  CASE WHEN l_quantity = 18 THEN 'never' WHEN l_quantity > 30 THEN '2001-01-05' END AS last_review,
+  CASE WHEN l_quantity = 19 THEN '' WHEN l_quantity = 20 THEN 'https://www.other.com/p' WHEN l_quantity = 21 THEN 'https://www.example.org/p/#x' ELSE 'https://www.example.org/p/' || l_partkey || '/' || (l_orderkey % 50) END AS url,
+  CASE WHEN l_quantity = 22 THEN '' WHEN l_quantity > 40 THEN 'p' || (l_orderkey - 1) || '-' || l_linenumber END AS superseded_by,
+  l_discount, l_linenumber, l_tax, l_partkey, l_suppkey, l_quantity FROM {{lineitem}})"""
+DATE_ROWS = [  # type, date, precision, primary, s_url, s_published, s_precision, r_date, r_precision
+    ("CASE WHEN l_discount = 0.05 THEN 'odd' ELSE 'published' END", "CASE WHEN l_discount = 0.06 THEN 'soon' ELSE '2001-0' || (1 + l_linenumber) || '-01' END", "CASE WHEN l_tax = 0.01 THEN 'year' WHEN l_tax = 0.02 THEN 'month' ELSE 'day' END", "TRUE",
+     "CASE WHEN l_suppkey % 3 = 0 THEN 'https://www.other.com/d' WHEN l_suppkey % 3 = 1 THEN 'https://www.example.org/d' END", "CASE WHEN l_partkey % 2 = 0 THEN '2001-0' || (1 + l_linenumber) || '-01' END", "CASE WHEN l_partkey % 3 = 0 THEN 'day' END",
+     "CASE WHEN l_partkey % 7 = 1 THEN '2001-0' || (1 + l_linenumber) || '-01' WHEN l_partkey % 7 = 2 THEN 'bad' END", "CASE WHEN l_partkey % 5 = 2 THEN 'hour' ELSE 'day' END"),
+    ("CASE WHEN l_linenumber = 2 THEN 'published' ELSE 'amended' END", "'2001-06-05'", "CASE WHEN l_discount = 0.07 THEN 'month' WHEN l_discount = 0.08 THEN NULL ELSE 'day' END", "l_quantity = 23", "NULL", "NULL", "NULL", "NULL", "NULL"),
+]
+DATE_FIELDS = ("type", "date", "precision", "primary", "s_url", "s_published", "s_precision", "r_date", "r_precision")
+DATE_KINDS = ("string", "string", "string", "boolean", "string", "string", "string", "string", "string")
+P_OK = "try_cast({0} AS DATE) IS NOT NULL"
+P_RULES = {
+    "title": "coalesce(title, '') = ''", "description": "coalesce(description, '') = ''", "content": "content = ''", "summary": "trim(summary) = ''", "jurisdiction": "jurisdiction = 'MARS'", "type": "type = 'odd'", "status": "status = 'gone'",
+    "effective": "try_cast(effective AS DATE) IS NULL", "no dates": "l_quantity = 24", "not one primary date": "l_quantity = 23",
+    "effective isn't the primary date": f"l_quantity <> 24 AND {P_OK.format('d0')} AND {P_OK.format('effective')} AND d0 <> effective",
+    "primary date not backed": f"l_quantity <> 24 AND v_status = 'verified' AND {P_OK.format('d0')} AND NOT coalesce(sp0 = d0 AND coalesce(ss0, 'day') = pr0, FALSE) AND NOT coalesce(rd0 = d0 AND coalesce(rp0, 'day') = pr0, FALSE)",
+    "no tags": "tags IS NULL", "empty tag": "list_contains(tags, '')", "no agencies": "agencies IS NULL", "empty agency": "list_contains(agencies, ' ')", "created": "created = 'once'", "updated": "updated IS NULL", "last review": "last_review = 'never'",
+    "created after update": "created <> 'once' AND created > updated", "no source": "url = ''", "source host": "url LIKE '%other.com%'", "source form": "url LIKE '%#x'", "superseded by no id": "superseded_by = ''",
+    **v_rules(),
+    "verification source form": "v_url IS NOT NULL AND v_url <> '' AND v_url <> 'https://www.other.com/x' AND (v_url LIKE '%/' OR v_url LIKE '%#%')",
+    "verification source host": "v_url <> '' AND v_url NOT LIKE '%example.org%'",
+    "verification final host": "(v_status IS NOT NULL OR v_url IS NOT NULL) AND v_final_url <> '' AND v_final_url NOT LIKE '%example.org%'",
+    "verification final form": "(v_status IS NOT NULL OR v_url IS NOT NULL) AND v_final_url LIKE '%example.org%#%'",
+    "verification source differs": f"v_url <> '' AND (v_url = '/' OR {CUT_URL.format('v_url')} <> {CUT_URL.format('url')})",
+}
+
+
+def date_sql(i: int) -> str:
+    return "SELECT k, id, l_quantity, " + f"{i} AS place, {DATE_ROWS[0][0]} AS first_type, " + ", ".join(f"{x} AS {n}" for x, n in zip(DATE_ROWS[i], ("type", "date", "precision", "prim", "s_url", "s_published", "s_precision", "r_date", "r_precision"))) + " FROM a"
+
+
+D_RULES = {
+    "date type": "type = 'odd'", "date type repeats": "place = 1 AND type = first_type", "date": "try_cast(date AS DATE) IS NULL", "date precision": "precision IS NULL",
+    "date year not on its first day": f"precision = 'year' AND {P_OK.format('date')} AND date NOT LIKE '%-01-01'", "date month not on its first day": f"precision = 'month' AND {P_OK.format('date')} AND date NOT LIKE '%-01'",
+    "date source host": "(s_url IS NOT NULL OR r_date IS NOT NULL) AND coalesce(s_url NOT LIKE '%example.org%', TRUE)", "reviewed date": "s_url LIKE '%example.org%' AND (r_date = 'bad' OR (r_date IS NOT NULL AND r_precision = 'hour'))",
+    "reviewed date differs": f"s_url LIKE '%example.org%' AND r_date IS NOT NULL AND {P_OK.format('date')} AND (r_date <> date OR r_precision <> precision)",
+}
+
+
+@query(f"""WITH r AS ({plain(POLICY_ROWS).replace("array(", "list_value(")}),
+a AS (SELECT *, {DATE_ROWS[0][1]} AS d0, {DATE_ROWS[0][2]} AS pr0, {DATE_ROWS[0][5]} AS sp0, {DATE_ROWS[0][6]} AS ss0, {DATE_ROWS[0][7]} AS rd0, {DATE_ROWS[0][8]} AS rp0 FROM r),
+d AS (SELECT * FROM ({date_sql(0)} UNION ALL {date_sql(1)}) WHERE l_quantity <> 24)
+{listed('policies', 'id', 'a', NO_ID)} UNION ALL {repeated('policies', 'id', 'a', HELD_ID, 'id repeats')} UNION ALL {listed('policies', 'id', 'a', P_RULES)} UNION ALL {listed('policies', "concat_ws('/', id, place)", 'd', D_RULES)}
+UNION ALL {repeated('policies', 'id', 'a', "CASE WHEN url <> '' THEN " + CUT_URL.format('url') + ' END', 'source repeats')} UNION ALL {missing('policies', 'id', 'a', 'superseded_by', 'a', 'superseded by none').replace("'error'", "'warning'")} UNION ALL {AWAIT.format('policies', 'a')}""")
+def validate_policies(t: Tables) -> DataFrame:
+    rows = role(t, POLICY_ROWS)
+    held = [F.struct(*(F.expr(x).cast(k).alias(n) for x, n, k in zip(of, DATE_FIELDS, DATE_KINDS))) for of in DATE_ROWS]
+    rows = rows.withColumn("dates", F.when(F.col("l_quantity") != 24, F.array(*held)))
+    return validators.policies(rows, scope(), POLICY_TYPES, POLICY_STATES, DATE_TYPES)
+
+
 FRAMEWORK_SQL = """WITH a AS (SELECT s_suppkey AS k, 'f' || s_suppkey AS id, CASE WHEN s_suppkey % 9 = 0 THEN '' ELSE 'Order ' || s_suppkey END AS title, CASE WHEN s_suppkey % 8 = 0 THEN '2001-13-01' ELSE '2001-01-01' END AS effective, CASE WHEN s_suppkey % 11 = 0 THEN -1 WHEN s_suppkey % 12 = 0 THEN NULL ELSE s_suppkey END AS related FROM supplier),
 p AS (SELECT k, id || '/' || i AS key, CASE WHEN k % 7 = 0 AND i > 0 THEN 'p0' ELSE 'p' || i END AS pid, i, k % 5 = 0 AS hollow FROM a, range(0, 4) r(i) WHERE i < k % 4),
 q AS (SELECT *, key || '/' || n AS nkey, CASE WHEN n = 2 THEN 'q0' ELSE 'q' || n END AS qid, CASE (k + n) % 4 WHEN 0 THEN 'mandatory' WHEN 1 THEN 'recommended' WHEN 2 THEN 'odd' ELSE 'consideration' END AS type FROM p, range(0, 3) r(n) WHERE NOT hollow),
