@@ -389,16 +389,19 @@ def test_suffixes_periodic_and_overfull_cells(spark, monkeypatch):
             if seen[b[s : s + 400]] > 1:
                 gone[s : s + 400] = b"\1" * 400
         want[i] = bytes(c for c, g in zip(b, gone) if not g)
-    for large in (500, 1, 2):
+    for large, most in ((500, 100_000), (1, 100_000), (2, 2)):
         monkeypatch.setattr(suffixes, "LARGE", large)
+        monkeypatch.setattr(suffixes, "MOST", most)
         assert {r.doc_id: bytes(r.kept) for r in suffixes.dedup(docs).collect()} == want
 
 
-def test_suffixes_split_a_passage_in_many_surroundings(spark, monkeypatch):
+@pytest.mark.parametrize("most", [30, 100_000])
+def test_suffixes_split_a_passage_in_many_surroundings(spark, monkeypatch, most):
     """No task gets more than so many distinct stretches of a cell, and every string of the passage is met."""
     import random
 
     monkeypatch.setattr(suffixes, "LARGE", 20)
+    monkeypatch.setattr(suffixes, "MOST", most)
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     passage = word(900)
@@ -407,13 +410,16 @@ def test_suffixes_split_a_passage_in_many_surroundings(spark, monkeypatch):
     docs, cells = spark.createDataFrame(rows, "doc_id long, text string").repartition(8), spark.sparkContext.accumulator(0)
     task = suffixes._sorted_cells
 
-    def bounded(frames):
-        def seen():
-            for frame in frames:
-                cells.add(int((frame.groupby("hash")["stretch"].nunique() > 20).sum()))
-                yield frame
+    def bounded(large):
+        def run(frames):
+            def seen():
+                for frame in frames:
+                    cells.add(int((frame.groupby("hash")["stretch"].nunique() > 30).sum()))
+                    yield frame
 
-        yield from task(seen())
+            yield from task(large)(seen())
+
+        return run
 
     monkeypatch.setattr(suffixes, "_sorted_cells", bounded)
     got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffixes.dedup(docs).collect()}
@@ -424,7 +430,7 @@ def test_suffixes_split_a_passage_in_many_surroundings(spark, monkeypatch):
             if seen[hash(t[s : s + 400])] > 1:
                 gone[s : s + 400] = b"x" * 400
         assert got[i] == "".join(c for c, g in zip(t, gone) if not g)
-    assert cells.value == 0
+    assert (cells.value == 0) == (most == 30)
 
 
 def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
@@ -433,13 +439,16 @@ def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
     docs, dealt = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.sparkContext.accumulator(0)
     task = suffixes._sorted_cells
 
-    def counted(frames):
-        def seen():
-            for frame in frames:
-                dealt.add(len(frame))
-                yield frame
+    def counted(large):
+        def run(frames):
+            def seen():
+                for frame in frames:
+                    dealt.add(len(frame))
+                    yield frame
+
+            yield from task(large)(seen())
 
-        yield from task(seen())
+        return run
 
     monkeypatch.setattr(suffixes, "_sorted_cells", counted)
     seen = Counter(t[s : s + 400] for _, t in rows for s in range(len(t) - 399))
@@ -447,8 +456,9 @@ def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
     for i, t in rows:
         gone = {k for s in range(len(t) - 399) if seen[t[s : s + 400]] > 1 for k in range(s, s + 400)}
         want.append((i, "".join(c for k, c in enumerate(t) if k not in gone), len(t), len(gone)))
-    for large in (500, 1):
+    for large, most in ((500, 100_000), (1, 1)):
         monkeypatch.setattr(suffixes, "LARGE", large)
+        monkeypatch.setattr(suffixes, "MOST", most)
         got = [(r.doc_id, bytes(r.kept).decode(), r.n_bytes, r.n_removed) for r in suffixes.dedup(docs).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
         if large > 1:

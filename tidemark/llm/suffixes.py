@@ -11,11 +11,12 @@ In a cell the distinct stretches are put into one text, and its suffixes sorted
 only those that are smaller than their successors; all others by scanning the buckets in order, which
 puts each before the suffix it was found from. Then the common prefixes of neighbours say which starts repeat.
 
-Stretches of large cells are met once with their number first, and a cell of more than ``LARGE`` distinct ones is split
-by its next bytes: a string's distance from its anchor is in one half of the range or the other, and all strings
-of a half hold the same bytes around the anchor if they are equal, whose hash names the new cell. A passage that
-stands in many surroundings is thus one stretch where the half lies inside it, and goes on being split where it
-reaches over its ends, until a cell has few distinct stretches, at the last one; each is sorted by the same method.
+A cell of more than ``LARGE`` distinct stretches is split by its next bytes first: a string's distance from its anchor
+is in one half of the range or the other, and all strings of a half hold the same bytes around the anchor if they
+are equal, which name the new cell. A passage that stands in many surroundings is thus one stretch where the half
+lies inside it, and goes on being split where it reaches over its ends, until a cell has few distinct stretches,
+at the last one; each is sorted by the same method. Cells of more than ``MOST`` occurrences are split by Spark, equal
+stretches being met once with their number, smaller ones inside the task that holds them.
 
 Identical rows are one text with a multiplicity: it is read, dealt and cut once, each of its strings repeats, and
 its result is given as often as it has rows.
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, salted, tidy
 
-LENGTH, GRAM, LARGE = 400, 100, 500
+LENGTH, GRAM, LARGE, MOST = 400, 100, 500, 100_000
 PIECE, CHUNK = 1 << 19, 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -162,6 +163,33 @@ def repeated_starts(parts: list[bytes], times: list[int], length: int = LENGTH)
     return out
 
 
+def halves(at: int, stretch: bytes, lo: int, hi: int) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+    """(near, far, first, shared bytes, part) of a stretch's two parts by the distance of their strings from the anchor."""
+    middle = (lo + hi) // 2
+    for near, far in ((lo, middle), (middle + 1, hi)):
+        first, last = max(0, at - far), min(len(stretch) - LENGTH, at - near)
+        if near <= far and first <= last:
+            yield near, far, first, stretch[at - near : at - far + LENGTH], stretch[first : last + LENGTH]
+
+
+def cell_starts(parts: list[bytes], ats: list[int], times: list[int], large: int, lo: int = 0, hi: int = LENGTH - GRAM) -> list[np.ndarray]:
+    """As ``repeated_starts``, for the distinct stretches of one cell of any size, whose anchors stand at ``ats``."""
+    if len(parts) <= large or lo == hi:  # of one distance, equal bytes around the anchor are all there is
+        return repeated_starts(parts, times)
+    cells: dict[tuple[int, int, bytes], dict[bytes, list]] = {}
+    for i, (part, at) in enumerate(zip(parts, ats)):
+        for near, far, first, shared, held in halves(at, part, lo, hi):
+            cells.setdefault((near, far, shared), {}).setdefault(held, []).append((i, first))
+    out = [np.zeros(len(p) - LENGTH + 1, bool) for p in parts]
+    for (near, far, _), held in cells.items():
+        places = list(held.values())
+        flags = cell_starts(list(held), [ats[of[0][0]] - of[0][1] for of in places], [sum(times[i] for i, _ in of) for of in places], large, near, far)
+        for of, starts in zip(places, flags):
+            for i, first in of:
+                out[i][first : first + len(starts)] |= starts
+    return out
+
+
 def covered(starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Byte ranges (start, end, start, end ...) under runs of starts."""
     edge = np.diff(np.concatenate([[0], starts.astype(np.int8), [0]]))
@@ -205,54 +233,58 @@ def _rooted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _halves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each stretch's two parts by the distance of their strings from the anchor, in cells that the bytes around it name."""
+    """Each stretch's halves, in cells that the bytes around the anchor name."""
     for frame in frames:
         rows = []
         for k1, k2, times, cell, at, stretch, lo, hi in frame[["k1", "k2", "times", "hash", "at", "stretch", "lo", "hi"]].itertuples(index=False):
-            middle = (lo + hi) // 2
-            for near, far in ((lo, middle), (middle + 1, hi)):
-                first, last = max(0, at - far), min(len(stretch) - LENGTH, at - near)
-                if near <= far and first <= last:
-                    shared = stretch[at - near : at - far + LENGTH]
-                    name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (cell, near, far) + shared) - (1 << 63)
-                    rows.append((k1, k2, times, name, at - first, first, stretch[first : last + LENGTH], near, far))
+            for near, far, first, shared, held in halves(at, stretch, lo, hi):
+                name = xxhash.xxh3_64_intdigest(b"%d %d %d " % (cell, near, far) + shared) - (1 << 63)
+                rows.append((k1, k2, times, name, at - first, first, held, near, far))
         yield pd.DataFrame(rows, columns=["k1", "k2", "times", "hash", "at", "first", "stretch", "lo", "hi"])
 
 
-def _sorted_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Ranges to remove, for rows in the order of their cells."""
-    cells: list[dict[bytes, list]] = []
-    last, size = None, 0
-
-    def flush() -> pd.DataFrame:
-        sure = [(p, rows) for c in cells if len(c) == 1 for p, rows in c.items()]
-        often = lambda rows: sum(r[3] for r in rows)
-        open_ = [(p, rows) for c in cells if len(c) > 1 for p, rows in c.items()]
-        # a stretch that is the only one of its cell is met again if it occurs again, and nothing is to be sorted
-        flags = [np.full(len(p) - LENGTH + 1, often(rows) > 1) for p, rows in sure]
-        if open_:
-            flags += repeated_starts([p for p, _ in open_], [often(rows) for _, rows in open_])
-        out = []
-        for (_, rows), starts in zip(sure + open_, flags):
-            ranges = covered(starts)
-            if len(ranges):
-                out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _ in rows]
-        return pd.DataFrame(out, columns=["k1", "k2", "ranges"])
-
-    for frame in frames:
-        for k1, k2, times, cell, first, stretch in frame[["k1", "k2", "times", "hash", "first", "stretch"]].itertuples(index=False):
-            if cell != last:
-                if size >= CHUNK:
-                    yield flush()
-                    cells, size = [], 0
-                cells.append({})
-                last = cell
-            rows = cells[-1].setdefault(stretch, [])
-            if not rows:
-                size += len(stretch)
-            rows.append((k1, k2, first, times))
-    if cells:
-        yield flush()
+def _sorted_cells(large: int):
+    """A task that gives the ranges to remove, for rows in the order of their cells."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells: list[dict[bytes, list]] = []
+        last, size = None, 0
+
+        def flush() -> pd.DataFrame:
+            often = lambda rows: sum(r[3] for r in rows)
+            sure = [(p, rows) for c in cells if len(c) == 1 for p, rows in c.items()]
+            open_ = [(p, rows) for c in cells if 1 < len(c) <= large for p, rows in c.items()]
+            # a stretch that is the only one of its cell is met again if it occurs again, and nothing is to be sorted
+            flags = [np.full(len(p) - LENGTH + 1, often(rows) > 1) for p, rows in sure]
+            if open_:
+                flags += repeated_starts([p for p, _ in open_], [often(rows) for _, rows in open_])
+            for c in cells:
+                if len(c) > large:
+                    open_ += c.items()
+                    flags += cell_starts(list(c), [rows[0][4] for rows in c.values()], [often(rows) for rows in c.values()], large)
+            out = []
+            for (_, rows), starts in zip(sure + open_, flags):
+                ranges = covered(starts)
+                if len(ranges):
+                    out += [(k1, k2, (ranges + first).astype(np.int32)) for k1, k2, first, _, _ in rows]
+            return pd.DataFrame(out, columns=["k1", "k2", "ranges"])
+
+        for frame in frames:
+            for k1, k2, times, cell, at, first, stretch in frame[["k1", "k2", "times", "hash", "at", "first", "stretch"]].itertuples(index=False):
+                if cell != last:
+                    if size >= CHUNK:
+                        yield flush()
+                        cells, size = [], 0
+                    cells.append({})
+                    last = cell
+                rows = cells[-1].setdefault(stretch, [])
+                if not rows:
+                    size += len(stretch)
+                rows.append((k1, k2, first, times, at))
+        if cells:
+            yield flush()
+
+    return task
 
 
 CUT = "kept binary, n_bytes long, n_removed long, n_spans long"
@@ -282,7 +314,7 @@ def _without(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
 
 def in_small_cells(cells: DataFrame) -> DataFrame:
     """(k1, k2, ranges) of stretches whose cells are small enough for a task."""
-    return cells.repartition("hash").sortWithinPartitions("hash").mapInPandas(tidy(_sorted_cells), RANGES)
+    return cells.repartition("hash").sortWithinPartitions("hash").mapInPandas(tidy(_sorted_cells(LARGE)), RANGES)
 
 
 def in_large_cells(stretches: DataFrame) -> DataFrame:
@@ -321,10 +353,11 @@ def dedup(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     def of(kept):
         return cells.select("k1", "k2", "times", "text", F.filter("owned", kept).alias("owned")).where(F.size("owned") > 0).mapInPandas(tidy(_stretches), STRETCHES)
 
-    ranges = in_small_cells(of(lambda o: o["n"] <= LARGE))
-    if not again.where(F.col("n") > LARGE).isEmpty():
-        whole = of(lambda o: o["n"] > LARGE).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - GRAM))
-        ranges = ranges.unionByName(in_large_cells(whole))
+    if again.where(F.col("n") > MOST).isEmpty():
+        ranges = in_small_cells(cells.mapInPandas(tidy(_stretches), STRETCHES))
+    else:
+        whole = of(lambda o: o["n"] > MOST).withColumn("lo", F.lit(0)).withColumn("hi", F.lit(LENGTH - GRAM))
+        ranges = in_small_cells(of(lambda o: o["n"] <= MOST)).unionByName(in_large_cells(whole))
     gone = ranges.groupBy("k1", "k2").agg(F.collect_list("ranges").alias("ranges"))
     held = texts.join(gone, ["k1", "k2"], "left").withColumn("cut", F.pandas_udf(_without, CUT)(F.col("text"), F.col("ranges")))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))
