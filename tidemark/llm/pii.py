@@ -42,7 +42,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-WINDOW, STEP, BATCH, SHOWN = 384, 320, 512, 80  # SHOWN: characters of a training text
+WINDOW, STEP, UNIT, BATCH, SHOWN = 640, 576, 64, 512, 80  # SHOWN: characters of a training text
 MARGIN = (WINDOW - STEP) // 2  # of a window, what its neighbour sees better
 #: Fixed classes of characters for the tagger; every other one is the last class, ASCII letters and digits have their own.
 MARKS = " \n\t@.-_+%()/:=\"',;#*&$!?"
@@ -489,28 +489,31 @@ def find(texts, weights: dict) -> list[list[dict]]:
     tagger.w = weights
     texts = [x or "" for x in texts]
     base, opened = [base_spans(x) for x in texts], {}
-    where, rows = [], []
+    waiting: dict[int, tuple[list, list]] = {}  # by the windows' size: a text's last one is as long as it must be
 
-    def flush() -> None:
-        for k, tags in tagger.decode(np.stack(rows)).items() if rows else ():
+    def flush(size: int) -> None:
+        where, rows = waiting.pop(size)
+        for k, tags in tagger.decode(np.stack(rows)).items():
             i, start = where[k]
             a = MARGIN if start else 0
             b = min(len(texts[i]) - start, WINDOW if start + WINDOW >= len(texts[i]) else WINDOW - MARGIN)
             opened.setdefault(i, []).append((start + a, tags[a:b]))
-        where.clear()
-        rows.clear()
 
     for i, text in enumerate(texts):
         coded = np.concatenate([classes(text), np.full(WINDOW, CLASSES, np.int8)])
         for start in windows(len(text)):
+            size = min(WINDOW, -(-(len(text) - start) // UNIT) * UNIT)
+            where, rows = waiting.setdefault(size, ([], []))
             where.append((i, start))
-            rows.append(coded[start : start + WINDOW])
+            rows.append(coded[start : start + size])
             if len(rows) == BATCH:
-                flush()
-    flush()
+                flush(size)
+    for size in list(waiting):
+        flush(size)
     out = []
     for i, text in enumerate(texts):
-        found = [(kind, *whole_key(text, a, b)) if kind == "secret" else (kind, a, b) for kind, a, b in stitched(opened.get(i, ()))]
+        # the windows of a text come in the order of their sizes, not of their places
+        found = [(kind, *whole_key(text, a, b)) if kind == "secret" else (kind, a, b) for kind, a, b in stitched(sorted(opened.get(i, ()), key=lambda part: part[0]))]
         new = reconcile(text, base[i], found)
         all_spans = [(k, a, b, True) for k, a, b in base[i]] + [(k, a, b, False) for k, a, b in new]
         all_spans.sort(key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
