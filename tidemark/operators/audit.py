@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.urls import host, identity
+
+# Answers that say a source is gone.
+GONE = (404, 410)
+# End of fixed values.
+
 
 def linked_documents(before: DataFrame, now: DataFrame, owner: str = "id") -> DataFrame:
     """(owner, same_set, same_content) over linked documents (owner, identity, hash, ord); of equal identities the last counts."""
@@ -19,6 +25,30 @@ def compared(old_method: Column, new_method: Column, old_hash: Column, new_hash:
     return F.when(~old_method.eqNullSafe(new_method) | old_hash.isNull() | new_hash.isNull(), "incomparable").when(old_hash == new_hash, "unchanged").otherwise("changed")
 
 
+def audited(records: DataFrame, retrieved: DataFrame, only: Column | None = None) -> DataFrame:
+    """(id, outcome, http_status, checked_at, error): what an audit of records' sources finds.
+
+    records: id, status, url, hash, method; retrieved: url, ok, http_status, final_url, hash, method, at, error, an answer for
+    each address that was asked, met by the source's identity; of several the latest counts. Outcomes: baseline_missing,
+    unchanged, changed, incomparable (read in another way than the record's evidence), source_missing (gone, or led to
+    another host) and retrieval_failed. Trashed records, and those that ``only`` leaves out, aren't audited.
+    """
+    answers = retrieved.withColumn("_identity", identity(F.col("url"))).groupBy("_identity").agg(F.max_by(F.struct("ok", "http_status", "final_url", F.col("hash").alias("new_hash"), F.col("method").alias("new_method"), "at", "error"), F.struct("at", F.coalesce("final_url", F.lit("")))).alias("a"))
+    due = records.where(F.col("status") != "trashed")
+    due = (due.where(only) if only is not None else due).withColumn("_identity", identity(F.col("url")))
+    held = due.join(answers, "_identity", "left").select("id", "url", "hash", "method", "a.*")
+    moved = F.coalesce(host(F.col("final_url")) != host(F.col("url")), F.lit(False))
+    gone = F.coalesce(F.col("http_status").isin(*GONE), F.lit(False)) | moved
+    outcome = (
+        F.when(gone, "source_missing")
+        .when(~F.coalesce("ok", F.lit(False)), "retrieval_failed")
+        .when(F.col("hash").isNull(), "baseline_missing")
+        .otherwise(compared(F.col("method"), F.col("new_method"), F.col("hash"), F.col("new_hash")))
+    )
+    said = F.when(F.col("at").isNull(), "not retrieved").when(moved, "led to another host").otherwise(F.col("error"))
+    return held.select("id", outcome.alias("outcome"), "http_status", F.col("at").alias("checked_at"), said.alias("error"))
+
+
 def applied(records: DataFrame, results: DataFrame, at: Column) -> DataFrame:
     """Records with the verification that an audit leaves: id, status, last_audit; results: id, outcome."""
     held = records.join(results, "id", "left")

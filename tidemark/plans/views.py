@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, graph, predicates, views, visibility
+from tidemark.operators import audit, batches, changes, graph, predicates, views, visibility
 from tidemark.plans.base import NOW, REGISTER_SQL, REVIEWS_SQL, Tables, now, query, register
 from tidemark.plans.feeds import NODES_SQL, edges, nodes
 from tidemark.plans.registers import PUBLIC_SQL, public
@@ -198,10 +198,58 @@ def source_audit(t: Tables) -> DataFrame:
     return views.audit_summary(t.supplier.select(F.col("s_name").alias("source"), (k % 5 != 0).alias("reached"), (k % 2 == 0).alias("critical")))
 
 
-@query("SELECT CASE WHEN o_orderkey % 6 = 0 THEN 'changed' WHEN o_orderkey % 6 = 1 THEN 'unavailable' WHEN o_orderkey % 6 = 2 THEN 'missing' ELSE 'unchanged' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def audit_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Orders as records and lineitems as answers of their sources; what they say varies by columns of their own."""
+    site = F.concat(F.lit("https://www.example.com/o/"), "o_orderkey")
+    records = t.orders.select(
+        F.col("o_orderkey").alias("id"), F.when(F.col("o_orderpriority").startswith("5"), "trashed").otherwise("active").alias("status"), site.alias("url"),
+        F.when(F.col("o_totalprice") > 50_000, F.sha2((F.col("o_custkey") % 3).cast("string"), 256)).alias("hash"), F.when(F.col("o_orderstatus") == "F", "browser").otherwise("http").alias("method"),
+    )
+    code = F.when(F.col("l_quantity") > 45, 404).when(F.col("l_quantity") > 40, 410).when(F.col("l_quantity") > 35, 503).otherwise(200)
+    asked = F.concat(F.lit("https://www.example.com/o/"), "l_orderkey", F.lit("/?utm_source=audit"))
+    answers = t.lineitem.select(
+        asked.alias("url"), (code == 200).alias("ok"), code.alias("http_status"), F.when(F.col("l_tax") == 0.08, F.concat(F.lit("https://elsewhere.example.com/"), "l_partkey")).otherwise(asked).alias("final_url"),
+        F.when(code == 200, F.sha2((F.col("l_suppkey") % 3).cast("string"), 256)).alias("hash"), F.when(F.col("l_linestatus") == "F", "browser").otherwise("http").alias("method"),
+        (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("l_partkey") % 50_000 + F.col("l_linenumber") / 10 + F.col("l_suppkey") / 100_000)).alias("at"), F.when(code != 200, F.concat(F.lit("answered "), code)).alias("error"),
+    )
+    return records, answers
+
+
+AUDIT_SQL = """WITH a AS (SELECT *, CASE WHEN l_quantity > 45 THEN 404 WHEN l_quantity > 40 THEN 410 WHEN l_quantity > 35 THEN 503 ELSE 200 END AS code,
+    l_shipdate + to_microseconds(((l_partkey % 50000) * 1000000 + l_linenumber * 100000 + l_suppkey * 10)::BIGINT) AS asked FROM lineitem),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY asked DESC, l_tax = 0.08, l_partkey DESC) AS n FROM a),
+c AS (SELECT o.*, b.*, CASE WHEN o_orderstatus = 'F' THEN 'browser' ELSE 'http' END AS how, CASE WHEN l_linestatus = 'F' THEN 'browser' ELSE 'http' END AS now_how FROM orders o LEFT JOIN b ON l_orderkey = o_orderkey AND n = 1 WHERE o_orderpriority NOT LIKE '5%'),
+d AS (SELECT o_orderkey AS id, CASE WHEN code IN (404, 410) OR l_tax = 0.08 THEN 'source_missing' WHEN coalesce(code, 0) <> 200 THEN 'retrieval_failed' WHEN o_totalprice <= 50000 THEN 'baseline_missing'
+    WHEN how <> now_how THEN 'incomparable' WHEN o_custkey % 3 = l_suppkey % 3 THEN 'unchanged' ELSE 'changed' END AS outcome, code AS http_status,
+    CASE WHEN code IS NULL THEN 'not retrieved' WHEN l_tax = 0.08 THEN 'led to another host' WHEN code <> 200 THEN 'answered ' || code END AS error FROM c)
+"""
+
+
+@query(AUDIT_SQL + "SELECT id, outcome, http_status, error FROM d")
+def register_audit(t: Tables) -> DataFrame:
+    """What an audit of all records' sources finds."""
+    return audit.audited(*audit_rows(t)).select("id", "outcome", "http_status", "error")
+
+
+@query(AUDIT_SQL + "SELECT outcome AS status, count(*) AS n FROM d GROUP BY outcome")
 def register_audit_counts(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey") % 6
-    return t.orders.select(F.when(k == 0, "changed").when(k == 1, "unavailable").when(k == 2, "missing").otherwise("unchanged").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+    return audit.audited(*audit_rows(t)).groupBy(F.col("outcome").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i, length(coalesce(text, '')) AS n, coalesce(contains(left(text, 600), '###'), FALSE) AS bad FROM documents),
+b AS (SELECT *, i // 20 AS batch, bool_or(bad) OVER (PARTITION BY i // 20) AS failed FROM a)
+SELECT doc_id, batch, (i % 20)::INTEGER AS place, CASE WHEN NOT bad THEN least(n, 600)::DOUBLE END AS score, CASE WHEN bad THEN 'ValueError: refused' END AS error, failed AS again FROM b""")
+def scored_in_batches(t: Tables) -> DataFrame:
+    """Documents scored in batches of twenty by a scorer that refuses a batch for one of its texts."""
+
+    def score(texts: list[str]) -> list[float]:
+        if any("###" in x for x in texts):
+            raise ValueError("refused")
+        return [len(x) for x in texts]
+
+    held = batches.numbered(t.documents.select("doc_id", "text"), "doc_id")
+    told = batches.scored(held, "doc_id", "text", score)
+    return held.select("doc_id", "batch", "place").join(told, "doc_id").select("doc_id", "batch", "place", "score", "error", (F.col("calls") > 1).alias("again"))
 
 
 @query("SELECT l_orderkey AS page, l_linenumber::BIGINT AS url, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING) <= 60 AS kept FROM lineitem")
@@ -211,28 +259,39 @@ def attachments_in_budget(t: Tables) -> DataFrame:
     return views.attached_within(rows, "page", 60).select("page", F.col("url.l_linenumber").cast("long").alias("url"), "kept")
 
 
-@query("""WITH r AS (SELECT event_id, event_type, (event_id % 700) AS code, event_id % 5 AS errors FROM events)
-SELECT event_id, code IN (408, 429) OR code >= 500 AS retry, event_type = 'error' OR (event_id % 2 = 0 AND errors > 0) AS failed FROM r""")
+@query("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, coalesce(l_partkey IN (408, 429) OR l_partkey >= 500, FALSE) AS retry,
+  o_orderstatus = 'F' OR (l_returnflag = 'R' AND l_quantity > 10) AS failed FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def request_outcomes(t: Tables) -> DataFrame:
-    k = F.col("event_id")
-    health = F.when(F.col("event_type") == "error", "failed").otherwise("healthy")
-    return t.events.select("event_id", predicates.is_retryable(k % 700).alias("retry"), predicates.run_failed(health, k % 5, k % 2 == 0).alias("failed"))
+    """Requests that are tried again by their code, and runs that failed by their health, their errors and their aim."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    health, errors = F.when(F.col("o_orderstatus") == "F", "failed").otherwise("healthy"), F.greatest(F.col("l_quantity") - 10, F.lit(0))
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), predicates.is_retryable(F.col("l_partkey")).alias("retry"), predicates.run_failed(health, errors, F.col("l_returnflag") == "R").alias("failed"))
 
 
-@query("""WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'dev-' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'other' END AS explicit, 'source-review-' || CASE WHEN o_orderkey % 2 = 0 THEN 'dev-' ELSE '' END || o_orderkey AS review FROM orders)
-SELECT id, CASE WHEN explicit LIKE 'dev-%' THEN explicit WHEN id % 2 = 0 THEN 'dev-' || id END AS development, CASE WHEN id % 4 = 0 THEN id WHEN id % 4 = 1 THEN -id END AS event FROM r""")
+@query("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+  CASE WHEN l_returnflag = 'A' THEN 'dev-' || l_partkey WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '3%' THEN 'dev-' || o_custkey END AS development,
+  CASE WHEN l_quantity < 20 THEN l_suppkey WHEN l_tax > 0.04 THEN o_custkey END AS event FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def review_targets(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    explicit = F.when(k % 3 == 0, F.concat(F.lit("dev-"), k)).when(k % 3 == 1, "other")
-    review = F.concat(F.lit("source-review-"), F.when(k % 2 == 0, "dev-").otherwise(""), k)
-    event = predicates.event_target(F.when(k % 4 == 0, k), -k, F.when(k % 4 == 1, "hash"))
-    return t.orders.select(k.alias("id"), predicates.linked_development(explicit, review).alias("development"), event.alias("event"))
+    """The development and the event that a review is about: what it names, what its id says, what it drafts."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    explicit = F.when(F.col("l_returnflag") == "A", F.concat(F.lit("dev-"), "l_partkey")).when(F.col("l_returnflag") == "R", F.concat(F.lit("item-"), "l_partkey"))
+    own = F.col("o_orderpriority").startswith("1") | F.col("o_orderpriority").startswith("3")
+    review = F.concat(F.lit("source-review-"), F.when(own, "dev-").otherwise("page-"), "o_custkey")
+    event = predicates.event_target(F.when(F.col("l_quantity") < 20, F.col("l_suppkey")), F.col("o_custkey"), F.when(F.col("l_tax") > 0.04, F.sha2(F.col("o_orderdate").cast("string"), 256)))
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), predicates.linked_development(explicit, review).alias("development"), event.alias("event"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'A baseline of ' || o_orderpriority || ' was missing; the current text was recorded.' WHEN o_orderkey % 3 = 1 THEN o_orderpriority || ' went back to an earlier text.' ELSE o_orderpriority || ' changed at its source.' END AS summary FROM orders""")
+CHANGES_SQL = """WITH l AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS again, event_id FROM events)"""
+
+
+@query(CHANGES_SQL + """ SELECT event_id AS id, CASE WHEN n = 1 THEN 'A baseline of ' || c_name || ' was missing; the current text was recorded.' WHEN again > 1 THEN c_name || ' went back to an earlier text.' ELSE c_name || ' changed at its source.' END AS summary
+FROM l JOIN customer ON c_custkey = user_id WHERE n = 1 OR event_type <> last""")
 def change_summaries(t: Tables) -> DataFrame:
-    k = F.col("o_orderkey")
-    return t.orders.select(k.alias("id"), predicates.change_summary(F.col("o_orderpriority"), k % 3 == 0, k % 3 == 1).alias("summary"))
+    """What the reviews of changed sources say: users' events as texts of their customer's page, each change in its turn."""
+    log = changes.versions(t.events, "user_id", "event_type", "ts", "event_id").where("change <> 'unchanged'")
+    told = log.join(t.customer, F.col("user_id") == F.col("c_custkey"))
+    return told.select(F.col("event_id").alias("id"), predicates.change_summary(F.col("c_name"), F.col("change") == "first", F.col("reverted")).alias("summary"))
 
 
 @query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'html' ELSE 'rtf' END AS ext, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'rtf' END AS typ, html FROM pages)
@@ -245,20 +304,26 @@ def payload_kinds(t: Tables) -> DataFrame:
     return t.pages.select("page_id", predicates.document_kind(url, mime).alias("kind"), html.alias("html"))
 
 
-@query("""SELECT o_orderkey AS id, (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0) OR (o_orderkey % 5 = 0 AND o_orderkey % 4 < 2) AS backed FROM orders""")
+@query("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+  coalesce(date_trunc('month', l_shipdate) = date_trunc('month', o_orderdate) AND l_returnflag = 'N', FALSE) OR coalesce(l_quantity < 10 AND l_linestatus = 'O', FALSE) AS backed FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def backed_dates(t: Tables) -> DataFrame:
-    """A record's date against the source's own and the one that a reviewer read there, at equal precision."""
-    k, date = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
-    found = predicates.backs_date(date, F.lit("day"), F.when(k % 3 == 0, date), F.when(k % 2 != 0, "month"), F.when(k % 5 == 0, date), F.when(k % 4 >= 2, "year").otherwise("day"))
-    return t.orders.select(k.alias("id"), found.alias("backed"))
+    """A record's month against that of its source, and against the one that a reviewer read there, at equal precision."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    first = lambda c: F.date_format(F.trunc(c, "month"), "yyyy-MM-dd")
+    precision = F.when(F.col("l_returnflag") == "N", "month").when(F.col("l_returnflag") == "A", "year")
+    read = F.when(F.col("l_quantity") < 10, first("o_orderdate"))
+    found = predicates.backs_date(first("o_orderdate"), F.lit("month"), first("l_shipdate"), precision, read, F.when(F.col("l_linestatus") == "O", "month").otherwise("day"))
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), found.alias("backed"))
 
 
-@query(f"""SELECT s_suppkey AS id, s_suppkey % 3 = 0 AND s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AS accepted FROM supplier""")
+@query("""SELECT o_orderkey AS id, c_mktsegment = 'BUILDING' AND length(trim(o_orderpriority || CASE WHEN o_totalprice > 100000 THEN ' ' || c_name ELSE '   ' END)) >= 20 AND o_orderdate <= TIMESTAMP '2001-03-01' AS accepted
+FROM orders JOIN customer ON o_custkey = c_custkey""")
 def manual_reviews_accepted(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey")
-    notes = F.when(k % 4 == 0, " too short ").otherwise("Read the whole page and its list.")
-    reviewed = F.when(k % 5 == 0, "2001-03-02 00:00:00").otherwise(NOW)
-    return t.supplier.select(k.alias("id"), predicates.manual_review_accepted(F.when(k % 3 == 0, "manual").otherwise("automatic"), notes, reviewed, now()).alias("accepted"))
+    """Inspections by hand that may be recorded: of manual sources, with notes, not from the future."""
+    rows = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    notes = F.concat("o_orderpriority", F.when(F.col("o_totalprice") > 100_000, F.concat(F.lit(" "), "c_name")).otherwise("   "))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "manual").otherwise("automatic")
+    return rows.select(F.col("o_orderkey").alias("id"), predicates.manual_review_accepted(kind, notes, F.col("o_orderdate"), now()).alias("accepted"))
 
 
 @query("""WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN 'policy' ELSE 'timeline_event' END AS kind, l_orderkey AS draft, CASE WHEN l_partkey % 3 = 0 THEN 'other' ELSE 'r' || l_orderkey END AS revision FROM lineitem)
