@@ -148,6 +148,17 @@ def test_pii_finds_secrets_of_any_length_at_any_place(size):
     assert sum(met) >= 36
 
 
+def test_pii_bound_leaves_out_no_window_with_a_span():
+    import numpy as np
+
+    tagger, (x, _, _, _) = pii.train(), pii.labelled(400, 5)
+    s = tagger.scores(np.ascontiguousarray(x.T))
+    for scale in (1.0, 0.4, 0.1):  # weaker scores, so that transitions decide
+        near, may = tagger.near((s * scale).astype(np.float32)), tagger.may_hold((s * scale).astype(np.float32))
+        assert not (may & ~near).any()
+    assert may.any() or near.any()
+
+
 def test_pii_weights_are_kept(spark, monkeypatch):
     first = pii.fitted(spark)
     monkeypatch.setattr(pii, "train", type("Train", (), {"__wrapped__": pii.train.__wrapped__}))  # can't be called

@@ -7,7 +7,8 @@ together from templates with a fixed seed, so no corpus row is read for training
 precision and recall by kind on labelled texts of other templates than the trainer's.
 
 A text is cut into overlapping windows, ``STEP`` characters apart. Windows are scored in batches and decoded by Viterbi. A
-first pass over all keeps only the best score; the way back is read for windows where "outside" throughout isn't best.
+bound over two tags, "outside" and the best of all others with the dearest transitions, leaves the windows that may hold
+a span; of these the best score is made first, and the way back only where "outside" throughout isn't best.
 Each character has the tag of the window that sees most around it, and spans are read from the tags of all windows
 in a row, so that they may be of any length; a secret goes on to the ends of the run of key characters that it is
 in. Spans are then reconciled over the text: of spans that overlap, the longer and then the earlier one stays, none
@@ -42,7 +43,7 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = KINDS[:4]
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
-WINDOW, STEP, UNIT, BATCH, SHOWN = 640, 576, 64, 512, 80  # SHOWN: characters of a training text
+WINDOW, STEP, UNIT, BATCH, SHOWN = 1024, 960, 64, 512, 80  # SHOWN: characters of a training text
 MARGIN = (WINDOW - STEP) // 2  # of a window, what its neighbour sees better
 #: Fixed classes of characters for the tagger; every other one is the last class, ASCII letters and digits have their own.
 MARKS = " \n\t@.-_+%()/:=\"',;#*&$!?"
@@ -203,6 +204,25 @@ class Tagger:
         s += self.w["bias"].astype(np.float32)[:, None]
         return s
 
+    def near(self, s: np.ndarray) -> np.ndarray:
+        """Windows of scores (time, tag, batch) in which a path with a span could be better than "outside" throughout.
+
+        Spans between two places outside are bounded one by one: at each place the best tag that isn't outside counts, between
+        places the most that any transition gives, so that no path has more.
+        """
+        moves = self.w["t"] + self.closed - self.w["t"][0, 0]
+        enter, leave, stay = moves[0, 1::2].max(), moves[1:, 0].max(), moves[1:, 1:].max()
+        begin = s[:, 1::2].max(1) - s[:, 0]
+        other = np.maximum(begin, s[:, 2::2].max(1) - s[:, 0])
+        begin += enter
+        other += stay
+        run = begin[0] - enter
+        best = run + max(leave, 0.0)
+        for a, b in zip(begin[1:], other[1:]):
+            run = np.maximum(run + b, a)
+            np.maximum(best, run + leave, out=best)
+        return np.maximum(best, run) > -1e-3  # a span may go on beyond the last place
+
     def may_hold(self, s: np.ndarray) -> np.ndarray:
         """Which windows of scores (time, tag, batch) have a better path than "outside" throughout: Viterbi without the way back.
 
@@ -224,7 +244,9 @@ class Tagger:
     def decode(self, x: np.ndarray) -> dict[int, np.ndarray]:
         """The best tags of those windows (batch, time) that hold a span, by Viterbi."""
         s = self.scores(np.ascontiguousarray(x.T))
-        open_, moves = np.flatnonzero(self.may_hold(s)), self.w["t"] + self.closed
+        open_, moves = np.flatnonzero(self.near(s)), self.w["t"] + self.closed
+        if len(open_):
+            open_ = open_[self.may_hold(np.ascontiguousarray(s[:, :, open_]))]
         s = np.ascontiguousarray(s[:, :, open_].transpose(0, 2, 1))
         best = s[0] + self.first
         back = np.empty(s.shape, np.int8)
