@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.json_text import revision
 from tidemark.operators import publication
-from tidemark.sources.store import Stale, Store, export
+from tidemark.sources.store import Stale, Store, export, stored
 
 
 def rows(df):
@@ -73,6 +73,25 @@ def test_export_is_whole_or_old(spark, tmp_path):
     assert export(store.pin(), views, public) == 2 and rows(public.pin().read("few")) == [(5,)]
 
 
+def test_batches_are_stored_exactly_once(spark, tmp_path):
+    store, dies = Store(spark, str(tmp_path)), [True]
+
+    def step(held, batch):
+        rows = held.read("sums").unionByName(batch) if held.tables else batch
+        total = rows.agg(F.sum("x").cast("long").alias("x"))
+        return {"sums": total, "last": broken(spark) if dies and batch.first()["x"] == 20 else batch}
+
+    write = stored(store, step)
+    write(numbers(spark, 10), 0)
+    with pytest.raises(Exception, match="dies"):
+        write(numbers(spark, 20), 1)  # sums is written, last isn't
+    assert rows(store.pin().read("sums")) == [(10,)]
+    dies.clear()
+    for batch_id, x in ((1, 20), (1, 20), (0, 10), (2, 30)):
+        write(numbers(spark, x), batch_id)
+    assert rows(store.pin().read("sums")) == [(60,)] and rows(store.pin().read("last")) == [(30,)]
+
+
 RECORD = "id long, url string, content string"
 REVIEW = "id string, status string, url string, hash string, sequence int, discovered timestamp_ntz, target_id long, previous_url string, target_revision string, proposed_id long, proposed string, reviewed timestamp_ntz, published timestamp_ntz, reason string"
 REQUEST = "request_id string, review_id string, live_hash string, at timestamp_ntz, by string, expected string"

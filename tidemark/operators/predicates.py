@@ -9,6 +9,8 @@ from tidemark.functions.urls import part
 
 # The candidate machine's limits, and codes after which a request is tried again.
 ATTEMPTS, LEAST_SCORE, REVIEW_SCORE = 5, 0.5, 0.7
+NEW_DAYS, NOTES_LENGTH = 30, 20
+TITLE_KINDS = (("consult", "Consultation"), ("release", "New"), ("publish", "New"), ("update", "Update"), ("amend", "Update"))
 RETRY_CODES, SERVER_ERRORS = (408, 429), 500
 EXTENSIONS = {"pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "doc": "application/msword", "rtf": "application/rtf"}
 # End of fixed values.
@@ -100,3 +102,31 @@ def published_from(review: DataFrame, records: DataFrame) -> DataFrame:
 def manual_review_accepted(automation: Column, notes: Column, reviewed: Column, now: Column, least: int = 20) -> Column:
     """Whether an inspection by hand may be recorded: of a manual source, with notes, and not from the future."""
     return F.coalesce((automation == "manual") & (F.char_length(F.trim(notes)) >= least) & (reviewed.cast("timestamp") <= now.cast("timestamp")), F.lit(False))
+
+
+def title_kind(title: Column, classification: Column) -> Column:
+    """What a development is by its title, the first that fits; else a sighting of the radar, or a development."""
+    low = F.lower(title)
+    return F.coalesce(*(F.when(F.contains(low, F.lit(word)), F.lit(kind)) for word, kind in TITLE_KINDS), F.when(classification == "heuristic", "Radar").otherwise("Development"))
+
+
+def point_class(status: Column, date: Column, kind: Column, now: Column) -> Column:
+    """How a date of a record is drawn: new for thirty days, then by the record's state, an amendment before an active one."""
+    age = F.unix_micros(now.cast("timestamp")) - F.unix_micros(date.cast("timestamp"))
+    return F.when(age.between(0, NEW_DAYS * 86_400_000_000), "new").when(status == "proposed", "proposed").when(kind == "amended", "amended").when(status == "active", "active").otherwise("other")
+
+
+def bound_date(date: Column, precision: Column, metadata: Column, told: Column, kept: Column, by_metadata: Column) -> Column:
+    """(by, date, precision, notes, error): what backs a record's date. The source's metadata where they may, else what a
+    reviewer has told, else what an earlier review has kept; each must have the date and the precision.
+
+    metadata and kept: date, precision; told: date, precision, notes. A reviewer's that differs, or without notes of
+    ``NOTES_LENGTH``, is an error even where an earlier one would do.
+    """
+    fits = lambda e: F.coalesce((e["date"] == date) & (e["precision"] == precision), F.lit(False))
+    notes = F.regexp_replace(told["notes"], r"^\s+|\s+$", "")
+    short = F.coalesce(F.char_length(notes), F.lit(0)) < NOTES_LENGTH
+    by = F.when(by_metadata & fits(metadata), "metadata").when(told.isNotNull(), F.when(fits(told) & ~short, "reviewer")).when(fits(kept), "earlier review")
+    error = F.when(by.isNull(), F.when(told.isNull(), "no evidence").when(~fits(told), "reviewed date differs").otherwise("no notes"))
+    there = by.isNotNull()
+    return F.struct(by.alias("by"), F.when(there, date).alias("date"), F.when(there, precision).alias("precision"), F.when(by == "reviewer", notes).alias("notes"), error.alias("error"))

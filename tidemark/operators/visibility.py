@@ -95,3 +95,15 @@ def has_newer_version(reviews: DataFrame, target: str, sequence: str, discovered
     """reviews with ``superseded``: whether a later version of the same target is there."""
     newest = reviews.groupBy(target).agg(F.max(F.struct(sequence, discovered, key)).alias("_newest"))
     return reviews.join(newest, target).withColumn("superseded", F.struct(sequence, discovered, key) < F.col("_newest")).drop("_newest")
+
+
+def gated(artifacts: DataFrame, records: DataFrame, current: Column) -> DataFrame:
+    """Artifacts that the public sees: their record is public, they are ``current`` themselves, were checked no earlier than
+    their record, and stand on the same content where both have a hash.
+
+    artifacts: related, checked_at, hash and what ``current`` reads; records: id, checked_at, hash of the public ones.
+    """
+    held = records.select(F.col("id").alias("_id"), F.col("checked_at").alias("_checked"), F.col("hash").alias("_hash"))
+    met = artifacts.where(current).join(held, F.col("related") == F.col("_id"))
+    same = F.col("hash").isNull() | F.col("_hash").isNull() | (F.col("hash") == F.col("_hash"))
+    return met.where((F.col("checked_at") >= F.col("_checked")) & same).select(artifacts.columns)

@@ -334,3 +334,50 @@ def published_reviews(t: Tables) -> DataFrame:
     rows = t.lineitem.select((key * 10 + F.col("l_linenumber")).alias("id"), F.when(F.col("l_linenumber") % 2 == 0, "policy").otherwise("timeline_event").alias("kind"), key.alias("draft_id"), F.when(F.col("l_partkey") % 3 == 0, "other").otherwise(F.concat(F.lit("r"), key)).alias("revision"))
     records = t.orders.select(F.lit("policy").alias("kind"), F.col("o_orderkey").alias("id"), F.concat(F.lit("r"), "o_orderkey").alias("revision"))
     return predicates.published_from(rows, records)
+
+
+@query(PUBLIC_SQL + """, f AS (SELECT o_orderkey AS id, o_orderkey AS related, CASE WHEN o_orderpriority LIKE '1%' THEN 'stale' ELSE 'verified' END AS v_status, o_orderdate + to_days((o_custkey % 5)::INTEGER - 2) AS checked,
+    CASE WHEN o_totalprice > 250000 THEN sha256('other') WHEN o_totalprice > 150000 THEN sha256(o_orderkey::VARCHAR) END AS hash FROM orders)
+SELECT f.id FROM f JOIN pub ON pub.id = f.related WHERE f.v_status = 'verified' AND f.hash IS NOT NULL AND f.checked <= TIMESTAMP '2001-03-01' + INTERVAL 5 MINUTE AND f.checked >= TIMESTAMP '2001-03-01' - INTERVAL 90 DAY
+  AND f.checked >= pub.checked_at AND (pub.hash IS NULL OR pub.hash = f.hash)""")
+def framework_gate(t: Tables) -> DataFrame:
+    """Artifacts of records that the public sees with them."""
+    price, checked = F.col("o_totalprice"), F.col("o_orderdate") + F.make_dt_interval((F.col("o_custkey") % 5 - 2).cast("int"))
+    digest = F.when(price > 250_000, F.sha2(F.lit("other"), 256)).when(price > 150_000, F.sha2(F.col("o_orderkey").cast("string"), 256))
+    rows = t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("related"), F.when(F.col("o_orderpriority").startswith("1"), "stale").otherwise("verified").alias("v_status"), checked.alias("checked_at"), digest.alias("hash"))
+    current = visibility.is_current(F.col("v_status"), F.lit("manual"), F.lit("Reviewer"), F.col("checked_at"), F.col("hash"), now())
+    return visibility.gated(rows, public(t), current).select("id")
+
+
+@query("""SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id,
+  CASE WHEN l_quantity > 40 THEN 'Consultation' WHEN p_type = 'ECONOMY' THEN 'New' WHEN l_returnflag = 'R' THEN 'Update' WHEN l_linestatus = 'O' THEN 'Radar' ELSE 'Development' END AS kind,
+  CASE WHEN l_shipdate <= TIMESTAMP '2001-03-01' AND l_shipdate >= TIMESTAMP '2001-03-01' - INTERVAL 30 DAY THEN 'new' WHEN o_orderstatus = 'P' THEN 'proposed' WHEN l_returnflag = 'A' THEN 'amended' WHEN o_orderstatus = 'O' THEN 'active' ELSE 'other' END AS drawn
+FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""")
+def development_kinds(t: Tables) -> DataFrame:
+    """What lineitems, as developments, are by their titles, and how their dates are drawn."""
+    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    title = F.concat(F.lit("The Part "), F.when(F.col("p_type") == "ECONOMY", "RELEASED ").otherwise(""), F.when(F.col("l_returnflag") == "R", "as Amended ").otherwise(""), F.when(F.col("l_quantity") > 40, "for Consultation").otherwise(""))
+    status = F.when(F.col("o_orderstatus") == "P", "proposed").when(F.col("o_orderstatus") == "O", "active").otherwise("repealed")
+    kind = F.when(F.col("l_returnflag") == "A", "amended").otherwise("introduced")
+    return rows.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), predicates.title_kind(title, F.when(F.col("l_linestatus") == "O", "heuristic").otherwise("ai")).alias("kind"),
+        predicates.point_class(status, F.col("l_shipdate"), kind, now()).alias("drawn"),
+    )
+
+
+@query("""WITH r AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS shown,
+    CASE WHEN l_returnflag = 'N' THEN 'month' ELSE 'day' END AS shown_precision, l_linestatus = 'O' AS may, l_quantity > 25 AS told, l_tax < 0.05 AS right_date, l_discount < 0.06 AS noted, l_partkey % 3 = 0 AS kept FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+a AS (SELECT *, CASE WHEN may AND shown = date AND shown_precision = 'month' THEN 'metadata' WHEN told THEN CASE WHEN right_date AND noted THEN 'reviewer' END WHEN kept THEN 'earlier review' END AS by FROM r)
+SELECT id, by, CASE WHEN by IS NOT NULL THEN date END AS date, CASE WHEN by = 'reviewer' THEN 'Read at the foot of the page.' END AS notes,
+  CASE WHEN by IS NULL THEN CASE WHEN NOT told THEN 'no evidence' WHEN NOT right_date THEN 'reviewed date differs' ELSE 'no notes' END END AS error FROM a""")
+def bound_dates(t: Tables) -> DataFrame:
+    """What backs the months of records: their sources' metadata, a reviewer, or an earlier review."""
+    rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    first = lambda c: F.date_format(F.trunc(c, "month"), "yyyy-MM-dd")
+    month, date = F.lit("month"), first("o_orderdate")
+    metadata = F.struct(first("l_shipdate").alias("date"), F.when(F.col("l_returnflag") == "N", "month").otherwise("day").alias("precision"))
+    notes = F.when(F.col("l_discount") < 0.06, "  Read at the foot of the page. ").otherwise(" seen ")
+    told = F.when(F.col("l_quantity") > 25, F.struct(F.when(F.col("l_tax") < 0.05, date).otherwise("2001-01-01").alias("date"), F.when(F.col("l_tax") < 0.05, "month").otherwise("year").alias("precision"), notes.alias("notes")))
+    kept = F.when(F.col("l_partkey") % 3 == 0, F.struct(date.alias("date"), month.alias("precision")))
+    found = predicates.bound_date(date, month, metadata, told, kept, F.col("l_linestatus") == "O")
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), found.alias("f")).select("id", "f.by", "f.date", "f.notes", "f.error")

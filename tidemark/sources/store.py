@@ -107,3 +107,16 @@ def export(source: Snapshot, views: Mapping[str, Callable[[Snapshot], DataFrame]
     if base and target.pin(base).note == note and set(target.pin(base).tables) == set(views):
         return base
     return target.commit(base, {name: view(source) for name, view in views.items()}, note)
+
+
+def stored(store: Store, step: Callable[[Snapshot, DataFrame], Mapping[str, DataFrame]]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that changes tables by each batch exactly once: the manifest that makes a batch's tables current
+    also says that the batch is done, so a batch that comes again, whatever its first try has left, changes nothing more."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        held = store.pin()
+        done = int(held.note.removeprefix("batch ")) if held.note.startswith("batch ") else -1
+        if batch_id > done:
+            store.commit(held.version, step(held, batch), f"batch {batch_id}")
+
+    return run
