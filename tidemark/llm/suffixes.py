@@ -172,21 +172,54 @@ def halves(at: int, stretch: bytes, lo: int, hi: int) -> Iterator[tuple[int, int
             yield near, far, first, stretch[at - near : at - far + LENGTH], stretch[first : last + LENGTH]
 
 
-def cell_starts(parts: list[bytes], ats: list[int], times: list[int], large: int, lo: int = 0, hi: int = LENGTH - GRAM) -> list[np.ndarray]:
-    """As ``repeated_starts``, for the distinct stretches of one cell of any size, whose anchors stand at ``ats``."""
-    if len(parts) <= large or lo == hi:  # of one distance, equal bytes around the anchor are all there is
-        return repeated_starts(parts, times)
+Leaf = tuple[bytes, int, list[tuple[int, int]]]
+
+
+def small_cells(parts: list[tuple[bytes, int, int]], large: int, lo: int = 0, hi: int = LENGTH - GRAM) -> Iterator[list[Leaf]]:
+    """The cells of at most ``large`` distinct stretches into which one cell of (stretch, place of the anchor, times) is split;
+    each of its stretches with the times and the (number, first start) of those that hold it."""
     cells: dict[tuple[int, int, bytes], dict[bytes, list]] = {}
-    for i, (part, at) in enumerate(zip(parts, ats)):
+    for i, (part, at, times) in enumerate(parts):
         for near, far, first, shared, held in halves(at, part, lo, hi):
-            cells.setdefault((near, far, shared), {}).setdefault(held, []).append((i, first))
-    out = [np.zeros(len(p) - LENGTH + 1, bool) for p in parts]
+            cells.setdefault((near, far, shared), {}).setdefault(held, [at - first, 0, []])
+            found = cells[near, far, shared][held]
+            found[1] += times
+            found[2].append((i, first))
     for (near, far, _), held in cells.items():
-        places = list(held.values())
-        flags = cell_starts(list(held), [ats[of[0][0]] - of[0][1] for of in places], [sum(times[i] for i, _ in of) for of in places], large, near, far)
-        for of, starts in zip(places, flags):
-            for i, first in of:
-                out[i][first : first + len(starts)] |= starts
+        if len(held) <= large or near == far:  # of one distance, equal bytes around the anchor are all there is
+            yield [(part, times, of) for part, (_, times, of) in held.items()]
+            continue
+        above = [of for _, _, of in held.values()]
+        for cell in small_cells([(part, at, times) for part, (at, times, _) in held.items()], large, near, far):
+            yield [(part, times, [(i, first + more) for j, more in of for i, first in above[j]]) for part, times, of in cell]
+
+
+def cell_starts(parts: list[bytes], ats: list[int], times: list[int], large: int) -> list[np.ndarray]:
+    """As ``repeated_starts``, for the distinct stretches of one cell of any size, whose anchors stand at ``ats``."""
+    out = [np.zeros(len(p) - LENGTH + 1, bool) for p in parts]
+    waiting: list[Leaf] = []
+
+    def mark(leaf: Leaf, starts: np.ndarray) -> None:
+        for i, first in leaf[2]:
+            out[i][first : first + len(starts)] |= starts
+
+    def flush() -> None:  # strings of different cells can't be equal, so that many cells are sorted as one text
+        if waiting:
+            for leaf, starts in zip(waiting, repeated_starts([p for p, _, _ in waiting], [n for _, n, _ in waiting])):
+                mark(leaf, starts)
+            waiting.clear()
+
+    size = 0
+    for cell in small_cells(list(zip(parts, ats, times)), large):
+        if len(cell) == 1:  # the only one of its cell
+            mark(cell[0], np.full(len(cell[0][0]) - LENGTH + 1, cell[0][1] > 1))
+            continue
+        waiting += cell
+        size += sum(len(p) for p, _, _ in cell)
+        if size >= CHUNK:
+            flush()
+            size = 0
+    flush()
     return out
 
 
