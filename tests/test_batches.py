@@ -26,4 +26,4 @@ def test_a_failing_batch_is_halved(spark):
     got = {r["o"]: (r["score"], r["error"], r["calls"]) for r in batches.scored(batches.numbered(rows, "o", 20, 4), "o", "t", score).collect()}
     assert len(got) == 50 and got[23][:2] == (None, "RuntimeError: no") and got[44][:2] == (1.0, None)
     assert all(got[i][:2] == (float(i), None) for i in range(50) if i not in (23, 44))
-    assert {got[i][2] for i in range(20)} == {1} and got[23][2] == 5 and got[20][2] <= 5
+    assert {got[i][2] for i in range(20)} == {1} and 5 <= got[23][2] <= 6 and got[20][2] <= 6
