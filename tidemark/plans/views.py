@@ -367,9 +367,9 @@ def development_kinds(t: Tables) -> DataFrame:
 
 @query("""WITH r AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS date, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS shown,
     CASE WHEN l_returnflag = 'N' THEN 'month' ELSE 'day' END AS shown_precision, l_linestatus = 'O' AS may, l_quantity > 25 AS told, l_tax < 0.05 AS right_date, l_discount < 0.06 AS noted, l_partkey % 3 = 0 AS kept FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-a AS (SELECT *, CASE WHEN may AND shown = date AND shown_precision = 'month' THEN 'metadata' WHEN told THEN CASE WHEN right_date AND noted THEN 'reviewer' END WHEN kept THEN 'earlier review' END AS by FROM r)
-SELECT id, by, CASE WHEN by IS NOT NULL THEN date END AS date, CASE WHEN by = 'reviewer' THEN 'Read at the foot of the page.' END AS notes,
-  CASE WHEN by IS NULL THEN CASE WHEN NOT told THEN 'no evidence' WHEN NOT right_date THEN 'reviewed date differs' ELSE 'no notes' END END AS error FROM a""")
+a AS (SELECT *, CASE WHEN may AND shown = date AND shown_precision = 'month' THEN 'metadata' WHEN told THEN CASE WHEN right_date AND noted THEN 'reviewer' END WHEN kept THEN 'earlier review' END AS basis FROM r)
+SELECT id, basis, CASE WHEN basis IS NOT NULL THEN date END AS date, CASE WHEN basis = 'reviewer' THEN 'Read at the foot of the page.' END AS notes,
+  CASE WHEN basis IS NULL THEN CASE WHEN NOT told THEN 'no evidence' WHEN NOT right_date THEN 'reviewed date differs' ELSE 'no notes' END END AS error FROM a""")
 def bound_dates(t: Tables) -> DataFrame:
     """What backs the months of records: their sources' metadata, a reviewer, or an earlier review."""
     rows = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -380,4 +380,4 @@ def bound_dates(t: Tables) -> DataFrame:
     told = F.when(F.col("l_quantity") > 25, F.struct(F.when(F.col("l_tax") < 0.05, date).otherwise("2001-01-01").alias("date"), F.when(F.col("l_tax") < 0.05, "month").otherwise("year").alias("precision"), notes.alias("notes")))
     kept = F.when(F.col("l_partkey") % 3 == 0, F.struct(date.alias("date"), month.alias("precision")))
     found = predicates.bound_date(date, month, metadata, told, kept, F.col("l_linestatus") == "O")
-    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), found.alias("f")).select("id", "f.by", "f.date", "f.notes", "f.error")
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), found.alias("f")).select("id", F.col("f.by").alias("basis"), "f.date", "f.notes", "f.error")
