@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, salted, tidy
 
-LENGTH, GRAM, LARGE, MOST = 400, 100, 500, 100_000
+LENGTH, GRAM, LARGE, MOST = 400, 100, 500, 10_000
 PIECE, CHUNK = 1 << 19, 1 << 18
 FACTOR = 0x9E3779B97F4A7C15
 
