@@ -400,7 +400,7 @@ def test_suffixes_periodic_and_overfull_cells(spark, monkeypatch):
             if seen[b[s : s + 400]] > 1:
                 gone[s : s + 400] = b"\1" * 400
         want[i] = bytes(c for c, g in zip(b, gone) if not g)
-    for large, most in ((500, 100_000), (1, 100_000), (2, 2)):
+    for large, most in ((500, 10_000), (1, 10_000), (2, 2)):
         monkeypatch.setattr(suffixes, "LARGE", large)
         monkeypatch.setattr(suffixes, "MOST", most)
         assert {r.doc_id: bytes(r.kept) for r in suffixes.dedup(docs).collect()} == want
