@@ -44,6 +44,38 @@ def test_thematic_edges_with_repeated_tags(spark):
     assert got == want and want
 
 
+def test_edges_by_classes_equal_brute_force(spark):
+    import random
+
+    r = random.Random(7)
+    rows = [(i, (i * 37) % 101, r.choice(["a", "b", None]), [r.choice(["X", "x ", "y", "z", "Z", "w", None]) for _ in range(r.randint(1, 4))]) for i in range(100)]
+    rows += [(200 + i, 200 + i, "a", ["x", "y"]) for i in range(20)]
+    nodes = spark.createDataFrame(rows, "id long, ord long, jurisdiction string, tags array<string>").withColumn("superseded_by", F.when(F.col("id") == 5, 6))
+    want, fold = set(), lambda tags: [t.strip().lower() for t in tags if t is not None]
+    for a in rows:
+        for b in rows:
+            w = sum(t in fold(b[3]) for t in fold(a[3]))
+            cross = None if a[2] is None or b[2] is None else a[2] != b[2]
+            if a[1] < b[1] and w >= (3 if cross else 2):
+                want.add((a[0], b[0], w, cross))
+    for most in (3, 1000):
+        got = [tuple(x) for x in graph.thematic_edges(nodes, most=most).collect()]
+        assert set(got) == want and len(got) == len(want)
+    for node in (0, 7, 205, 999):
+        assert {tuple(x) for x in graph.thematic_edges_at(nodes, F.lit(node)).collect()} == {e for e in want if node in e[:2]}
+    for x in graph.degrees(nodes).collect():
+        at = [e for e in want if x.id in e[:2]]
+        assert (x.thematic, x.crossing, x.formal, x.replaced) == (len(at), sum(e[3] is True for e in at), int(x.id in (5, 6)), int(x.id == 5))
+    shown = graph.summary(nodes).first()
+    assert (shown.records, shown.cross_links, shown.formal_links) == (len(rows), sum(e[3] is True for e in want), 1)
+
+
+def test_degrees_of_many_alike_nodes(spark):
+    nodes = spark.range(40_000).select("id", F.col("id").alias("ord"), F.lit("a").alias("jurisdiction"), F.array(F.lit("x"), F.lit("y")).alias("tags"), F.lit(None).cast("long").alias("superseded_by"))
+    held = graph.degrees(nodes).agg(F.min("thematic").alias("least"), F.sum("thematic").alias("all")).first()  # 800 million edges
+    assert (held.least, held["all"]) == (39_999, 40_000 * 39_999)
+
+
 def test_unique_themes(spark):
     row = spark.createDataFrame([(["A", " a", "b", "B"],)], "t array<string>")
     assert row.select(graph.unique_themes(F.col("t"))).first()[0] == ["A", "b"]

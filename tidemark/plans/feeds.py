@@ -26,10 +26,11 @@ f AS (SELECT a.id AS source, b.id AS target FROM n a JOIN n b ON a.s = b.id),
 k AS (SELECT source, target, 'thematic' AS kind, weight, crossing FROM e UNION ALL SELECT source, target, 'formal', 0, FALSE FROM f)"""
 
 
-def edges(t: Tables) -> DataFrame:
-    thematic = graph.thematic_edges(nodes(t)).withColumn("kind", F.lit("thematic"))
-    formal = graph.formal_edges(nodes(t)).select("source", "target", F.lit(0).cast("long").alias("weight"), F.lit(False).alias("cross"), F.lit("formal").alias("kind"))
-    return thematic.unionByName(formal)
+def edges_at(t: Tables, node: int) -> DataFrame:
+    """Edges of both kinds at one node."""
+    thematic = graph.thematic_edges_at(nodes(t), F.lit(node)).withColumn("kind", F.lit("thematic"))
+    formal = graph.formal_edges(nodes(t)).where((F.col("source") == node) | (F.col("target") == node))
+    return thematic.unionByName(formal.select("source", "target", F.lit(0).cast("long").alias("weight"), F.lit(False).alias("cross"), F.lit("formal").alias("kind")))
 
 
 @query(f"WITH {NODES_SQL} SELECT source, target, weight::BIGINT AS weight, crossing AS \"cross\" FROM e")
@@ -44,7 +45,7 @@ def formal_edges(t: Tables) -> DataFrame:
 
 @query(f"WITH {NODES_SQL}, o AS (SELECT source AS id, kind FROM k UNION ALL SELECT target, kind FROM k) SELECT n.id, count(*) FILTER (kind = 'thematic') AS thematic, count(*) FILTER (kind = 'formal') AS formal FROM n LEFT JOIN o ON n.id = o.id GROUP BY n.id")
 def graph_degrees(t: Tables) -> DataFrame:
-    return graph.degrees(nodes(t), edges(t))
+    return graph.degrees(nodes(t)).select("id", "thematic", "formal")
 
 
 @query(f"WITH {NODES_SQL} SELECT tag AS key, count(DISTINCT id) AS records FROM (SELECT id, unnest(tags) AS tag FROM n) GROUP BY tag HAVING count(DISTINCT id) >= 2")
@@ -54,18 +55,18 @@ def graph_themes(t: Tables) -> DataFrame:
 
 @query(f"WITH {NODES_SQL}, o AS (SELECT target AS id, * FROM k WHERE source = 10 UNION ALL SELECT source, * FROM k WHERE target = 10) SELECT o.id, bool_or(kind = 'formal') AS formal, sum(weight)::BIGINT AS weight, bool_or(kind = 'formal' AND source = 10) AS outgoing, any_value(title) AS title FROM o JOIN n ON o.id = n.id GROUP BY o.id")
 def graph_connections(t: Tables) -> DataFrame:
-    return graph.connections(F.lit(10), edges(t), nodes(t))
+    return graph.connections(F.lit(10), edges_at(t, 10), nodes(t))
 
 
 @query(f"""WITH {NODES_SQL}, o AS (SELECT source AS id FROM k UNION ALL SELECT target FROM k), d AS (SELECT n.id, count(o.id) AS c FROM n LEFT JOIN o ON n.id = o.id GROUP BY n.id)
 SELECT count(*) AS records, count(*) FILTER (c > 0) AS connected, count(*) FILTER (c = 0) AS isolated, arg_max(id, (c, -id)) AS lead, (SELECT count(*) FROM e WHERE crossing) AS cross_links, (SELECT count(*) FROM f) AS formal_links FROM d""")
 def graph_summary(t: Tables) -> DataFrame:
-    return graph.summary(nodes(t), edges(t))
+    return graph.summary(nodes(t))
 
 
 @query(f"WITH {NODES_SQL}, g AS (SELECT target AS id FROM k WHERE source = 10 UNION SELECT source FROM k WHERE target = 10 UNION SELECT 10) SELECT id FROM g")
 def graph_neighbours(t: Tables) -> DataFrame:
-    near = graph.oriented(edges(t)).where("node = 10").select(F.col("other").alias("id"))
+    near = graph.oriented(edges_at(t, 10)).where("node = 10").select(F.col("other").alias("id"))
     return near.unionByName(t.spark.range(10, 11)).distinct()
 
 

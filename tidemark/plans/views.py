@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import audit, batches, changes, graph, predicates, views, visibility
 from tidemark.plans.base import NOW, REGISTER_SQL, REVIEWS_SQL, Tables, now, query, register
-from tidemark.plans.feeds import NODES_SQL, edges, nodes
+from tidemark.plans.feeds import NODES_SQL, edges_at, nodes
 from tidemark.plans.registers import PUBLIC_SQL, public
 from tidemark.plans.rules import plain, role
 
@@ -40,7 +40,7 @@ def network_visible(t: Tables) -> DataFrame:
 
 @query(f"WITH {NODES_SQL} SELECT source, target FROM k WHERE kind = 'formal'")
 def network_relations(t: Tables) -> DataFrame:
-    return edges(t).where(F.col("kind") == "formal").select("source", "target")
+    return graph.formal_edges(nodes(t))
 
 
 @query(f"WITH {NODES_SQL} SELECT j AS jurisdiction, count(*) AS n FROM n GROUP BY j")
@@ -52,7 +52,7 @@ def network_places(t: Tables) -> DataFrame:
 SELECT id, degree FROM d ORDER BY degree DESC, title, id LIMIT 1""")
 def network_focus(t: Tables) -> DataFrame:
     """The wanted node isn't there, so the one of most edges is shown."""
-    of = graph.degrees(nodes(t), edges(t)).select("id", (F.col("thematic") + F.col("formal")).alias("degree"))
+    of = graph.degrees(nodes(t)).select("id", (F.col("thematic") + F.col("formal")).alias("degree"))
     return views.focus(nodes(t).select("id", "title").join(of, "id"), -1).select("id", "degree")
 
 
@@ -60,12 +60,12 @@ def network_focus(t: Tables) -> DataFrame:
        "x AS (SELECT id, t, f, f || ' formal link' || CASE WHEN f = 1 THEN '' ELSE 's' END AS ft, t || ' thematic link' || CASE WHEN t = 1 THEN '' ELSE 's' END AS tt FROM d) "
        "SELECT id, CASE WHEN t = 0 AND f = 0 THEN 'No links' WHEN f = 0 THEN tt WHEN t = 0 THEN ft ELSE ft || ' and ' || tt END AS text FROM x")
 def network_texts(t: Tables) -> DataFrame:
-    return graph.degrees(nodes(t), edges(t)).select("id", predicates.node_text(F.col("formal"), F.col("thematic")).alias("text"))
+    return graph.degrees(nodes(t)).select("id", predicates.node_text(F.col("formal"), F.col("thematic")).alias("text"))
 
 
 @query(f"WITH {NODES_SQL}, o AS (SELECT target AS id, * FROM k WHERE source = 10 UNION ALL SELECT source, * FROM k WHERE target = 10) SELECT o.id, bool_or(kind = 'formal') AS formal, sum(weight)::BIGINT AS weight, any_value(title) AS title FROM o JOIN n ON o.id = n.id GROUP BY o.id ORDER BY formal DESC, weight DESC, title LIMIT 3")
 def strongest_connections(t: Tables) -> DataFrame:
-    return views.by_strength(graph.connections(F.lit(10), edges(t), nodes(t)).drop("outgoing")).limit(3)
+    return views.by_strength(graph.connections(F.lit(10), edges_at(t, 10), nodes(t)).drop("outgoing")).limit(3)
 
 
 @query(f"WITH {REGISTER_SQL}, n AS (SELECT * FROM reg WHERE type = '1-URGENT' AND jurisdiction <> 'ASIA') SELECT r_name AS jurisdiction, count(id) AS n, list(id ORDER BY checked_at DESC, id DESC) FILTER (id IS NOT NULL) AS ids FROM region LEFT JOIN n ON r_name = jurisdiction GROUP BY r_name")
