@@ -1,4 +1,4 @@
-"""Ordered folds that don't need a key's rows in one task."""
+"""Ordered folds and lookups that don't need a key's rows, or those without a key, in one task."""
 
 from __future__ import annotations
 
@@ -29,3 +29,14 @@ def running_max(rows: DataFrame, key: Sequence[str], order: str, value: str, out
     before = F.max("_top").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     held = tops.select(*key, "_range", before.alias("_before"))
     return dealt.withColumn("_inside", inside).join(held, [*key, "_range"]).withColumn(out, F.greatest("_inside", "_before")).drop("_range", "_inside", "_before")
+
+
+def matched(rows: DataFrame, found: DataFrame, key: str, found_key: str | None = None) -> DataFrame:
+    """rows with what ``found`` has under their ``key``, as a left join does; rows whose key is null, which match nothing,
+    are dealt by their other columns, where a join would send them all to one task."""
+    # fields of a struct are equal if both are null, and found has no null key
+    theirs = F.struct(F.col(found_key or key).alias("key"), F.lit(None).cast("long").alias("row"))
+    mine = F.struct(F.col(key).alias("key"), F.when(F.col(key).isNull(), F.xxhash64(*rows.columns)).alias("row"))
+    kept = [c for c in found.columns if c != key]
+    there = found.where(F.col(found_key or key).isNotNull()).select(theirs.alias("_key"), *kept)
+    return rows.withColumn("_key", mine).join(there, "_key", "left").drop("_key")
