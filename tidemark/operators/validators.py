@@ -284,8 +284,12 @@ def source_reviews(rows: DataFrame, policies: DataFrame, events: DataFrame, scop
         "reviewed before creation": final & F.col("kind").eqNullSafe("policy") & precedes("draft_created", "reviewed"),
         "final draft differs": final & given(F.col("draft_url")) & ~same(F.col("draft_url"), F.coalesce("url", F.lit(""))),
     }
+    found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit("error").alias("severity"))) for name, bad in rules.items()]
+    found.append(F.when(F.coalesce(web & ~official & ~final, F.lit(False)), F.struct(F.lit("source isn't official").alias("rule"), F.lit("warning").alias("severity"))))
+    each = rows.select(F.lit("reviews").alias("relation"), F.col("id").cast("string").alias("key"), F.explode(F.array_compact(F.array(*found))).alias("f")).select("relation", "key", "f.rule", "f.severity")
+    # only reviews that name a target meet the targets, and with what is compared alone
     named = lambda targets, url: targets.groupBy(F.col("id").alias(f"{url}_of")).agg(F.min("url").alias(url), F.lit(True).alias(f"{url}_there"))
-    met = rows.join(named(policies, "_policy"), F.col("policy") == F.col("_policy_of"), "left").join(named(events, "_event"), F.col("event") == F.col("_event_of"), "left")
+    met = rows.where(to_policy).select("id", "policy", "url", "status", "previous_url", "draft_url").join(named(policies, "_policy"), F.col("policy") == F.col("_policy_of"), "left")
     # of a policy's reviews, published ones that replaced its source: what another review published before is then right too
     later = rows.where((F.col("status") == "published") & given(F.col("previous_url"))).groupBy(F.col("policy").alias("_by"), urls.identity(F.col("previous_url")).alias("_old"), urls.identity(F.col("url")).alias("_new"))
     later = later.agg(F.min("id").alias("_one"), F.max("id").alias("_two"))
@@ -293,18 +297,18 @@ def source_reviews(rows: DataFrame, policies: DataFrame, events: DataFrame, scop
     met = met.join(later, (F.col("policy") == F.col("_by")) & (F.col("_was") == F.col("_old")) & (F.col("_is") == F.col("_new")), "left")
     followed = F.coalesce((F.col("_one") != F.col("id")) | (F.col("_two") != F.col("id")), F.lit(False)) & F.coalesce(F.col("status") == "published", F.lit(False)) & ~given(F.col("previous_url"))
     moved = F.when(given(F.col("previous_url")), _no_replacement()).otherwise(~same(F.col("url"), F.col("_policy")))
-    rules |= {
-        "policy target is none": to_policy & F.col("_policy_there").isNull(),
-        "event target is none": to_event & F.col("_event_there").isNull(),
-        "source isn't the policy target's": to_policy & F.col("_policy_there").isNotNull() & F.coalesce(moved, F.lit(False)) & ~followed,
-        "source isn't the event target's": to_event & F.col("_event_there").isNotNull() & ~same(F.col("url"), F.col("_event")),
-    }
-    found = [F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit("error").alias("severity"))) for name, bad in rules.items()]
-    found.append(F.when(F.coalesce(web & ~official & ~final, F.lit(False)), F.struct(F.lit("source isn't official").alias("rule"), F.lit("warning").alias("severity"))))
-    each = met.select(F.lit("reviews").alias("relation"), F.col("id").cast("string").alias("key"), F.explode(F.array_compact(F.array(*found))).alias("f")).select("relation", "key", "f.rule", "f.severity")
+    of_policies = quality.broken(met, "reviews", "id", {
+        "policy target is none": F.col("_policy_there").isNull(),
+        "source isn't the policy target's": F.col("_policy_there").isNotNull() & F.coalesce(moved, F.lit(False)) & ~followed,
+    })
+    told = rows.where(to_event).select("id", "event", "url").join(named(events, "_event"), F.col("event") == F.col("_event_of"), "left")
+    of_events = quality.broken(told, "reviews", "id", {
+        "event target is none": F.col("_event_there").isNull(),
+        "source isn't the event target's": F.col("_event_there").isNotNull() & ~same(F.col("url"), F.col("_event")),
+    })
     open_ = rows.where(web & ~F.col("status").eqNullSafe("rejected") & ~to_policy & ~to_event & ~given(F.col("event_hash")))
     again = quality.duplicates(open_, "reviews", "id", urls.identity(F.col("url")), order, "source repeats")
-    return quality.merged(identified(rows, "reviews", order), each, again)
+    return quality.merged(identified(rows, "reviews", order), each, of_policies, of_events, again)
 
 
 def same(a: Column, b: Column) -> Column:
