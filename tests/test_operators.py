@@ -76,6 +76,24 @@ def test_degrees_of_many_alike_nodes(spark):
     assert (held.least, held["all"]) == (39_999, 40_000 * 39_999)
 
 
+def test_rows_without_a_key_are_dealt_over_tasks(spark):
+    from tidemark.operators import folds
+
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).alias("k"))
+    found = spark.range(0, 4000, 20).select(F.col("id").alias("k"), F.lit("yes").alias("there")).unionByName(spark.createDataFrame([(None, "never")], "k long, there string"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        made = folds.matched(rows, found, "k")
+        assert {(r.id, r.k, r.there) for r in made.collect()} == {(i, i if i % 10 == 0 else None, "yes" if i % 20 == 0 else None) for i in range(4000)}
+        assert made.where("k IS NULL").select(F.spark_partition_id()).distinct().count() == 4
+        masked = visibility.mask_reference(rows, "k", found, "k")
+        assert masked.count() == 4000 and masked.where("k IS NOT NULL").count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_unique_themes(spark):
     row = spark.createDataFrame([(["A", " a", "b", "B"],)], "t array<string>")
     assert row.select(graph.unique_themes(F.col("t"))).first()[0] == ["A", "b"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import stripped
 from tidemark.functions.urls import identity
+from tidemark.operators.folds import matched
 
 # The editorial rules.
 REVIEW_DAYS, SKEW_MINUTES = 90, 5
@@ -63,9 +64,8 @@ def withheld_ids(reviews: DataFrame, records: DataFrame) -> DataFrame:
 
 def mask_reference(rows: DataFrame, column: str, visible: DataFrame, key: str = "id") -> DataFrame:
     """References to rows that aren't visible become null."""
-    seen = visible.select(F.col(key).alias("_seen")).distinct()
-    joined = rows.join(seen, F.col(column) == F.col("_seen"), "left")
-    return joined.withColumn(column, F.col("_seen")).drop("_seen")
+    seen = visible.select(F.col(key).alias("_id"), F.col(key).alias("_seen")).distinct()
+    return matched(rows, seen, column, "_id").withColumn(column, F.col("_seen")).drop("_seen", "_id")
 
 
 def public_records(records: DataFrame, withheld: DataFrame, current: Column, reference: str | None = "superseded_by") -> DataFrame:
