@@ -24,7 +24,10 @@ def held_ids(t: Tables) -> DataFrame:
 
 
 def public(t: Tables) -> DataFrame:
-    return visibility.public_records(register(t), held_ids(t), current_column())
+    """Reviews are held against the records that are current only; whether others are withheld changes nothing."""
+    current = register(t).where((F.col("status") != "trashed") & current_column())
+    held = visibility.withheld_ids(reviews(t), current.select("id", "url", F.col("hash").alias("revision")))
+    return visibility.public_records(current, held, F.lit(True))
 
 
 PUBLIC_SQL = f"""WITH {REGISTER_SQL}, {REVIEWS_SQL},
