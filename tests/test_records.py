@@ -155,3 +155,24 @@ def test_recovery_twice_is_recovery_once(spark):
         assert {r["key"]: r["status"] for r in state.seen.collect()} == want
         assert [tuple(r) for r in state.snapshots.collect()] == [("s", h["b"], 2, day(2), day(2), day(3))]
         assert [tuple(r) for r in state.checks.collect()] == [("s", day(2))]
+
+
+def test_rejections_need_no_records(spark):
+    from tidemark.operators import publication
+
+    reviews = spark.createDataFrame([("a", "pending_review", None, 1), ("b", "pending_review", 7, 1), ("c", "rejected", None, 1)], "id string, status string, target_id long, discovered long")
+    asked = [("1", "a", 3), ("2", "a", 2), ("3", "b", 2), ("4", "c", 2), ("5", "d", 2), ("6", "a", 0)]
+    requests = spark.createDataFrame(asked, "request_id string, review_id string, at long")
+    made = publication.rejections(requests, reviews, None)
+    assert {r.request_id: r.outcome for r in made.collect()} == {"1": "late", "2": "applied", "3": "tracked", "4": "rejected", "5": "missing", "6": "before_discovery"}
+
+
+def test_withheld_events_by_name_and_by_revision(spark):
+    from tidemark.operators import views
+
+    events = spark.createDataFrame([(i, f"https://www.example.org/e/{i}", f"h{i}") for i in range(8)], "id long, url string, revision string")
+    u = "https://www.example.org/e/"
+    rows = [(0, u + "0/?utm_source=x", "pending_review", None, None, None), (1, u + "x", "approved", None, None, None), (None, u + "2", "approved", 2, "h2", None), (None, u + "3", "pending_review", 3, "h3", None),
+            (None, u + "4", "pending_review", 4, None, "h4"), (None, u + "5", "approved", 5, "old", "old"), (6, u + "6", "rejected", None, None, None), (None, u + "7", "approved", None, "h7", "h7")]
+    reviews = spark.createDataFrame(rows, "event_id long, url string, status string, draft_id long, draft_hash string, event_hash string")
+    assert {r.id for r in views.withheld_events(reviews, events).collect()} == {0, 2, 4}

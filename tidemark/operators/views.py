@@ -42,10 +42,14 @@ def withheld_events(reviews: DataFrame, events: DataFrame, open_states=("pending
     event, else the draft's where a revision is stored; approved drafts and stored revisions must still be the event's.
     """
     target = F.coalesce("event_id", F.when((F.col("event_hash").isNotNull()) | (F.col("status") == "approved"), F.col("draft_id")))
-    active = reviews.where(F.col("status").isin(*open_states)).select(target.alias("id"), F.col("url").alias("_url"), "event_id", "draft_hash", "event_hash", "status")
-    met = active.join(events.select("id", "url", "revision"), "id").where(identity(F.col("_url")) == identity(F.col("url")))
-    same = (F.col("event_hash") == F.col("revision")) | ((F.col("status") == "approved") & (F.col("draft_hash") == F.col("revision")))
-    return met.where(F.col("event_id").isNotNull() | F.coalesce(same, F.lit(False))).select("id").distinct()
+    named = F.col("event_id").isNotNull()
+    hashes = F.when(~named, F.array_compact(F.array("event_hash", F.when(F.col("status") == "approved", F.col("draft_hash")))))
+    active = reviews.where(F.col("status").isin(*open_states)).select(target.alias("id"), F.col("url").alias("_url"), hashes.alias("_hashes")).where("id IS NOT NULL AND (_hashes IS NULL OR size(_hashes) > 0)")
+    met = active.join(events.select("id", "url", "revision"), "id")
+    # identities are made last, of rows that hold else, and only where the texts differ
+    held = F.col("_hashes").isNull() | F.coalesce(F.array_contains("_hashes", F.col("revision")), F.lit(False))
+    source = F.when(F.col("_url") == F.col("url"), True).otherwise(identity(F.col("_url")) == identity(F.col("url")))
+    return met.where(F.when(held, source).otherwise(False)).select("id").distinct()
 
 
 def event_as_development(events: DataFrame) -> DataFrame:
