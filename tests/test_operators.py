@@ -336,3 +336,24 @@ def test_helpers(spark, tmp_path):
     assert [r.id for r in workflow.publishable(reviews, F.lit("2024-05-01 12:00:00").cast("timestamp_ntz"), "live", "approved", "checked").collect()] == [1]
     title = spark.createDataFrame([("Guide SOUTHWEST",), ("Guide_east",), ("North",), ("Plan (Opens in new tab) DOCX 12 KB",), ("Northern rules",)], "t string").select(text.link_title(F.col("t")).alias("t"))
     assert [r.t for r in title.collect()] == ["Guide", "Guide", "", "Plan", "Northern rules"]
+
+
+def test_rules_are_tried_once(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, "b"), (3, None)], "id long, t string")
+    made = quality.broken(rows, "t", "id", {"has a": F.rlike("t", F.lit("once|a")), "none": F.col("t").isNull(), "never": F.lit(False)})
+    assert sorted(tuple(r) for r in made.collect()) == [("t", "1", "has a", "error"), ("t", "3", "none", "error")]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("once|a") == 1
+
+
+def test_short_ways_of_urls_give_what_the_long_ones_do(spark, monkeypatch):
+    from tidemark.functions import urls
+
+    ends = ["", "/", "//", "?", "?utm_source=x", "?&UTM_a&gclid=1=2&", "?utm_x&b=1", "?gclidx=1", "?utm_a=1&&fbclid#x", "#x", "/?utm_source=x#", "?utm_a b", "\n", " ", "# ", "?=utm_a", ":443", "?utm_"]
+    heads = ["https://a.example.org", "https://a.example.org/b", "http://a.example.org/b//c", "https://A.example.org/b", "https://u@a.example.org/b", "https://localhost/b", "https://a.example.org:8443/b", "https://example.org.evil/b", "x"]
+    rows = spark.createDataFrame([(h + e,) for h in heads for e in ends] + [(None,)], "u string")
+    made = lambda: [tuple(r) for r in rows.select("u", urls.canonical(F.col("u")), urls.is_allowed(F.col("u"), [".example.org"], ["example.org"])).collect()]
+    short = made()
+    for name in ("LOADED", "SIMPLE"):
+        monkeypatch.setattr(urls, name, "^(none)$")
+    assert short == made()
+    assert dict((u, c) for u, c, _ in short)["http://a.example.org/b//c/?utm_source=x#"] == "http://a.example.org/b//c"

@@ -18,7 +18,7 @@ TIMESTAMP = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
 def is_date(text: Column) -> Column:
     """YYYY-MM-DD that the calendar has."""
-    return F.coalesce(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$")) & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
+    return F.coalesce(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}\z")) & text.try_cast("date").isNotNull(), F.lit(False))
 
 
 def is_timestamp(text: Column) -> Column:

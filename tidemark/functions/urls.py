@@ -19,6 +19,14 @@ SHAPE = r"^(?i)([a-z][a-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 #: An address in canonical form that has no query.
 PLAIN = r"^https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/(?:[^?#\s]*[^?#/\s])?$"
+#: An address that is in canonical form but for what is dropped from its end: slashes, a query that is only campaign
+#: parameters, a fragment. The group is its canonical form.
+LOADED = (
+    r"^(https?://[a-z0-9-]+(?:\.[a-z0-9-]+)*/[^?#\s]*[^?#/\s])/*"
+    rf"(?:\?&*(?:(?i:utm_[^&#\s]*|(?:{'|'.join(TRACKING)})(?:=[^&#\s]*)?)(?:&+|(?=#|\z)))*)?(?:#[!-~]*)?\z"
+)
+#: An address over https with a plain host that has a dot, and no user or port. The group is its host.
+SIMPLE = r"^https://([a-z0-9-]+(?:\.[a-z0-9-]+)+)(?:[/?#][!-~]*)?\z"
 
 
 def part(url: Column, group: int) -> Column:
@@ -67,8 +75,8 @@ def canonical(url: Column) -> Column:
         path = F.regexp_replace(p["path"], "/+$", "")
         return _rebuilt(p, F.when(path == "", F.lit("/")).otherwise(path), F.transform(F.array_sort(indexed), lambda s: s["pair"]))
 
-    # most addresses have nothing to be changed, which one look shows
-    return F.when(F.rlike(url, F.lit(PLAIN)), url).otherwise(_built(url, build))
+    # most addresses have nothing to be changed, or something at their end only, which one look each shows
+    return F.when(url.isNull(), F.lit(None)).when(F.rlike(url, F.lit(PLAIN)), url).when(F.rlike(url, F.lit(LOADED)), F.regexp_extract(url, LOADED, 1)).otherwise(_built(url, build))
 
 
 def identity(url: Column) -> Column:
@@ -99,10 +107,15 @@ def is_public_https(url: Column) -> Column:
 
 
 def is_allowed(url: Column, suffixes: Sequence[str], hosts: Sequence[str] = ()) -> Column:
-    named = host(url).isin(*hosts) if hosts else F.lit(False)
-    for s in suffixes:
-        named = named | host(url).endswith(s)
-    return is_public_https(url) & named
+    def named(held: Column) -> Column:
+        out = held.isin(*hosts) if hosts else F.lit(False)
+        for s in suffixes:
+            out = out | held.endswith(s)
+        return out
+
+    # most hosts one look shows
+    simple = F.regexp_extract(url, SIMPLE, 1)
+    return F.when(url.isNull(), False).when(simple != "", named(simple)).otherwise(is_public_https(url) & named(host(url)))
 
 
 def title_from(url: Column) -> Column:

@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 
 
 def broken(rows: DataFrame, relation: str, key: str, rules: Mapping[str, Column], severity: str = "error") -> DataFrame:
-    """A row for each record and rule whose condition for breaking it holds; one pass over the records."""
+    """A row for each record and rule whose condition for breaking it holds; one pass over the records.
+
+    Names of rules are distinct. An explode that isn't outer has its array made again, to leave out records that break none,
+    and a function of a lambda has it made without compiled code; so neither is used here.
+    """
     found = F.array(*(F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()))
-    return rows.select(F.lit(relation).alias("relation"), F.col(key).cast("string").alias("key"), F.explode(F.array_compact(found)).alias("rule"), F.lit(severity).alias("severity"))
+    held = rows.select(F.col(key).cast("string").alias("key"), F.array_except(found, F.array(F.lit(None).cast("string"))).alias("_found"))
+    told = held.select(F.lit(relation).alias("relation"), "key", F.explode_outer("_found").alias("rule"), F.lit(severity).alias("severity"))
+    return told.where("rule IS NOT NULL")
 
 
 def duplicates(rows: DataFrame, relation: str, key: str, by: Column, order: str, rule: str, severity: str = "error") -> DataFrame:

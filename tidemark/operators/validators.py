@@ -77,29 +77,44 @@ def time(text: Column) -> Column:
     return F.when(dates.is_timestamp(text), F.try_to_timestamp(text))
 
 
-def verification_rules(url: Column, scope: Scope) -> dict[str, Column]:
+def read(rows: DataFrame, url: Column, scope: Scope) -> DataFrame:
+    """rows with what several rules of the verification ask, made once a row: the ``url`` that it should be of, canonical forms,
+    whether hosts are official, and times, null where they are none."""
+    asked = {"url": F.col("_url"), "v_url": F.col("v_url"), "v_final": F.col("v_final_url")}
+    return rows.withColumn("_url", url).withColumns(
+        {f"_canonical_{x}": urls.canonical(c) for x, c in asked.items()}
+        | {f"_official_{x}": scope.official(c) for x, c in asked.items()}
+        | {f"_time_{x}": time(F.col(f"v_{x}")) for x in ("retrieved", "checked_at", "audit")}
+    )
+
+
+def verification_rules(scope: Scope) -> dict[str, Column]:
+    """Rules over rows that were ``read``."""
     c = {x: F.col(f"v_{x}") for x in "status url final_url hash retrieved checked_at checked_by method audit published precision".split()}
     there, verified = c["status"].isNotNull() | c["url"].isNotNull(), F.coalesce(c["status"] == "verified", F.lit(False))
-    late = time(c["retrieved"]) > time(c["checked_at"]) + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES")
+    canonical, official, at = ({x: F.col(f"_{kind}_{x}") for x in of} for kind, of in (("canonical", ("url", "v_url", "v_final")), ("official", ("v_url", "v_final")), ("time", ("retrieved", "checked_at", "audit"))))
+    misspelled = lambda url, x: given(url) & ~F.coalesce(url == canonical[x], F.lit(False))
+    differs = F.coalesce(canonical["v_url"], F.trim(c["url"])) != F.coalesce(canonical["url"], F.trim("_url"))
+    late = at["retrieved"] > at["checked_at"] + F.expr(f"INTERVAL {SKEW_MINUTES} MINUTES")
     rules = {
         "verification status": outside(c["status"], VERIFICATION),
         "verification source": blank(c["url"]),
-        "verification source form": ~blank(c["url"]) & spelled(c["url"]),
-        "verification source differs": ~blank(c["url"]) & ~same(c["url"], url),
-        "verification source host": ~blank(c["url"]) & ~scope.official(c["url"]),
-        "verification final host": given(c["final_url"]) & ~scope.official(c["final_url"]),
-        "verification final form": given(c["final_url"]) & scope.official(c["final_url"]) & spelled(c["final_url"]),
+        "verification source form": ~blank(c["url"]) & misspelled(c["url"], "v_url"),
+        "verification source differs": ~blank(c["url"]) & differs,
+        "verification source host": ~blank(c["url"]) & ~official["v_url"],
+        "verification final host": given(c["final_url"]) & ~official["v_final"],
+        "verification final form": given(c["final_url"]) & official["v_final"] & misspelled(c["final_url"], "v_final"),
         "verification hash": given(c["hash"]) & ~digest(c["hash"]),
-        **{f"verification {x}": given(c[x]) & ~dates.is_timestamp(c[x]) for x in ("retrieved", "checked_at", "audit")},
+        **{f"verification {x}": given(c[x]) & at[x].isNull() for x in at},
         "verification published": given(c["published"]) & ~dates.is_date(c["published"]),
         "verification precision": given(c["precision"]) & outside(c["precision"], PRECISIONS),
         "verification precision alone": given(c["precision"]) & ~given(c["published"]),
         "verified without hash": verified & ~digest(c["hash"]),
-        "verified without time": verified & ~dates.is_timestamp(c["checked_at"]),
+        "verified without time": verified & at["checked_at"].isNull(),
         "verified without person": verified & blank(c["checked_by"]),
         "verified not by hand": verified & ~F.coalesce(c["method"] == "manual", F.lit(False)),
-        "verified ahead": verified & scope.ahead(time(c["checked_at"])),
-        "retrieved after check": verified & late & ~F.coalesce(time(c["audit"]) >= time(c["retrieved"]), F.lit(False)),
+        "verified ahead": verified & scope.ahead(at["checked_at"]),
+        "retrieved after check": verified & late & ~F.coalesce(at["audit"] >= at["retrieved"], F.lit(False)),
     }
     return {"verification missing": ~there, **{name: there & bad for name, bad in rules.items()}}
 
@@ -124,9 +139,10 @@ def agencies(rows: DataFrame, scope: Scope, order: str = "_ord") -> DataFrame:
         "level": outside(F.col("level"), ("federal", "state")),
         "published flag": F.col("published").isNull(),
         "website host": ~scope.official(F.col("website")),
-        **verification_rules(F.when(given(F.col("statement_url")), F.col("statement_url")).otherwise(F.col("website")), scope),
+        **verification_rules(scope),
     }
-    return quality.merged(identified(rows, "agencies", order), quality.broken(rows, "agencies", "id", rules), waiting(rows, "agencies"))
+    told = read(rows, F.when(given(F.col("statement_url")), F.col("statement_url")).otherwise(F.col("website")), scope)
+    return quality.merged(identified(rows, "agencies", order), quality.broken(told, "agencies", "id", rules), waiting(rows, "agencies"))
 
 
 def policies(rows: DataFrame, scope: Scope, types: Sequence[str], statuses: Sequence[str], date_types: Sequence[str], order: str = "_ord") -> DataFrame:
@@ -134,8 +150,9 @@ def policies(rows: DataFrame, scope: Scope, types: Sequence[str], statuses: Sequ
     last_review, url, superseded_by, the verification, and dates: type, date, precision, primary, s_url, s_published,
     s_precision, r_date, r_precision (evidence of a date: its source, what that says, and what a person read there)."""
     verified, day = F.coalesce(F.col("v_status") == "verified", F.lit(False)), F.lit("day")
-    primary = F.filter("dates", lambda d: F.coalesce(d["primary"], F.lit(False)))
-    first = F.get(primary, 0)
+    told = read(rows, F.coalesce("url", F.lit("")), scope).withColumn("_primary", F.filter("dates", lambda d: F.coalesce(d["primary"], F.lit(False))))
+    told = told.withColumn("_first", F.get("_primary", 0)).withColumns({"_dated": dates.is_date(F.col("_first.date")), "_effective": dates.is_date(F.col("effective")), "_created": time(F.col("created")), "_updated": time(F.col("updated"))})
+    first = F.col("_first")
     hollow = lambda c: F.exists(c, blank)
     backed = lambda d: F.coalesce((d["s_published"] == d["date"]) & (F.coalesce(d["s_precision"], day) == d["precision"]), F.lit(False)) | F.coalesce((d["r_date"] == d["date"]) & (F.coalesce(d["r_precision"], day) == d["precision"]), F.lit(False))
     rules = {
@@ -143,29 +160,29 @@ def policies(rows: DataFrame, scope: Scope, types: Sequence[str], statuses: Sequ
         "jurisdiction": outside(F.col("jurisdiction"), scope.jurisdictions),
         "type": outside(F.col("type"), types),
         "status": outside(F.col("status"), statuses),
-        "effective": ~dates.is_date(F.col("effective")),
+        "effective": ~F.col("_effective"),
         "no dates": F.coalesce(F.size("dates") <= 0, F.lit(True)),
-        "not one primary date": (F.size("dates") > 0) & (F.size(primary) != 1),
-        "effective isn't the primary date": dates.is_date(first["date"]) & dates.is_date(F.col("effective")) & (first["date"] != F.col("effective")),
-        "primary date not backed": verified & dates.is_date(first["date"]) & ~outside(first["precision"], PRECISIONS) & ~backed(first),
+        "not one primary date": (F.size("dates") > 0) & (F.size("_primary") != 1),
+        "effective isn't the primary date": F.col("_dated") & F.col("_effective") & (first["date"] != F.col("effective")),
+        "primary date not backed": verified & F.col("_dated") & ~outside(first["precision"], PRECISIONS) & ~backed(first),
         "no tags": F.col("tags").isNull(),
         "empty tag": hollow("tags"),
         "no agencies": F.col("agencies").isNull(),
         "empty agency": hollow("agencies"),
-        "created": ~dates.is_timestamp(F.col("created")),
-        "updated": ~dates.is_timestamp(F.col("updated")),
+        "created": F.col("_created").isNull(),
+        "updated": F.col("_updated").isNull(),
         "last review": given(F.col("last_review")) & ~dates.is_timestamp(F.col("last_review")) & ~dates.is_date(F.col("last_review")),
-        "created after update": time(F.col("created")) > time(F.col("updated")),
+        "created after update": F.col("_created") > F.col("_updated"),
         "no source": blank(F.col("url")),
-        "source host": ~blank(F.col("url")) & ~scope.official(F.col("url")),
-        "source form": ~blank(F.col("url")) & spelled(F.col("url")),
+        "source host": ~blank(F.col("url")) & ~F.col("_official_url"),
+        "source form": ~blank(F.col("url")) & (F.col("url") != F.coalesce("_canonical_url", F.lit(""))),
         "superseded by no id": F.col("superseded_by").isNotNull() & blank(F.col("superseded_by").cast("string")),
-        **verification_rules(F.coalesce("url", F.lit("")), scope),
+        **verification_rules(scope),
     }
     each = rows.select("id", "dates", F.posexplode("dates").alias("_at", "d"))
     each = each.select(F.concat_ws("/", F.coalesce("id", F.lit("")), F.col("_at").cast("string")).alias("key"), "d", F.exists(F.slice("dates", F.lit(1), F.col("_at")), lambda e: F.coalesce(e["type"] == F.col("d.type"), F.lit(False))).alias("_again"))
-    date, precision, valid = F.col("d.date"), F.col("d.precision"), dates.is_date(F.col("d.date"))
-    official = ~blank(F.col("d.s_url")) & scope.official(F.col("d.s_url"))
+    each = each.withColumns({"_valid": dates.is_date(F.col("d.date")), "_official": ~blank(F.col("d.s_url")) & scope.official(F.col("d.s_url"))})
+    date, precision, valid, official = F.col("d.date"), F.col("d.precision"), F.col("_valid"), F.col("_official")
     sourced = F.col("d.s_url").isNotNull() | F.col("d.r_date").isNotNull()
     date_rules = {
         "date type": outside(F.col("d.type"), date_types),
@@ -180,13 +197,14 @@ def policies(rows: DataFrame, scope: Scope, types: Sequence[str], statuses: Sequ
     }
     again = quality.duplicates(rows, "policies", "id", F.when(~blank(F.col("url")), urls.identity(F.col("url"))), order, "source repeats")
     lost = quality.dangling(rows, "policies", "id", "superseded_by", rows, "id", "superseded by none", "warning")
-    return quality.merged(identified(rows, "policies", order), quality.broken(rows, "policies", "id", rules), quality.broken(each, "policies", "key", date_rules), again, lost, waiting(rows, "policies"))
+    return quality.merged(identified(rows, "policies", order), quality.broken(told, "policies", "id", rules), quality.broken(each, "policies", "key", date_rules), again, lost, waiting(rows, "policies"))
 
 
 def timeline(rows: DataFrame, policies: DataFrame, scope: Scope, order: str = "_ord") -> DataFrame:
     """rows: id, title, description, date, precision, type, jurisdiction, related, url, and the verification; policies: id."""
+    told = read(rows, F.coalesce("url", F.lit("")), scope).withColumn("_valid", dates.is_date(F.col("date")))
     date, precision, verified = F.col("date"), F.col("precision"), F.coalesce(F.col("v_status") == "verified", F.lit(False))
-    valid = dates.is_date(date)
+    valid = F.col("_valid")
     backed = F.coalesce((F.col("v_published") == date) & (F.coalesce(F.col("v_precision"), F.lit("day")) == precision), F.lit(False))
     rules = {
         "title": blank(F.col("title")),
@@ -200,22 +218,23 @@ def timeline(rows: DataFrame, policies: DataFrame, scope: Scope, order: str = "_
         "type": outside(F.col("type"), scope.events),
         "jurisdiction": outside(F.col("jurisdiction"), scope.jurisdictions),
         "no source": blank(F.col("url")),
-        "source host": ~blank(F.col("url")) & ~scope.official(F.col("url")),
-        "source form": ~blank(F.col("url")) & scope.official(F.col("url")) & spelled(F.col("url")),
-        **verification_rules(F.coalesce("url", F.lit("")), scope),
+        "source host": ~blank(F.col("url")) & ~F.col("_official_url"),
+        "source form": ~blank(F.col("url")) & F.col("_official_url") & (F.col("url") != F.coalesce("_canonical_url", F.lit(""))),
+        **verification_rules(scope),
     }
     none = quality.dangling(rows, "timeline", "id", "related", policies, "id", "related to none")
-    return quality.merged(identified(rows, "timeline", order), quality.broken(rows, "timeline", "id", rules), none, waiting(rows, "timeline"))
+    return quality.merged(identified(rows, "timeline", order), quality.broken(told, "timeline", "id", rules), none, waiting(rows, "timeline"))
 
 
 def developments(rows: DataFrame, policies: DataFrame, events: DataFrame, scope: Scope, order: str = "_ord") -> DataFrame:
     """rows: id, title, url, source_id, source_name, jurisdiction, status, reason, policy, event, classification, score,
     detected, published, precision, a_method, a_time, a_prompt, and the verification. References are tested where targets exist."""
+    told = read(rows, F.coalesce("url", F.lit("")), scope)
     kind, method, assessed = F.col("classification"), F.col("a_method"), F.col("a_method").isNotNull() | F.col("a_time").isNotNull()
     rules = {
         **{x: blank(F.col(x)) for x in ("title", "url", "source_id", "source_name")},
-        "url host": ~blank(F.col("url")) & ~scope.official(F.col("url")),
-        "url form": ~blank(F.col("url")) & scope.official(F.col("url")) & spelled(F.col("url")),
+        "url host": ~blank(F.col("url")) & ~F.col("_official_url"),
+        "url form": ~blank(F.col("url")) & F.col("_official_url") & (F.col("url") != F.coalesce("_canonical_url", F.lit(""))),
         "jurisdiction": outside(F.col("jurisdiction"), scope.jurisdictions),
         "status": outside(F.col("status"), DEVELOPMENT),
         "dismissed without reason": (F.col("status") == "dismissed") & blank(F.col("reason")),
@@ -231,11 +250,11 @@ def developments(rows: DataFrame, policies: DataFrame, events: DataFrame, scope:
         "assessment prompt": assessed & blank(F.col("a_prompt")),
         "assessed otherwise": assessed & ~kind.eqNullSafe("curated") & ~method.eqNullSafe(kind),
         "curated, not editorial": assessed & kind.eqNullSafe("curated") & ~method.eqNullSafe("editorial"),
-        **verification_rules(F.coalesce("url", F.lit("")), scope),
+        **verification_rules(scope),
     }
     some = lambda targets: targets.limit(1).agg((F.count("*") > 0).alias("_some"))
     to = lambda name, targets: quality.dangling(rows, "developments", "id", name, targets, "id", f"{name} is none").crossJoin(F.broadcast(some(targets))).where("_some").drop("_some")  # noqa: E731  one row
-    return quality.merged(identified(rows, "developments", order), quality.broken(rows, "developments", "id", rules), to("policy", policies), to("event", events))
+    return quality.merged(identified(rows, "developments", order), quality.broken(told, "developments", "id", rules), to("policy", policies), to("event", events))
 
 
 def source_reviews(rows: DataFrame, policies: DataFrame, events: DataFrame, scope: Scope, order: str = "_ord") -> DataFrame:
