@@ -357,3 +357,30 @@ def test_short_ways_of_urls_give_what_the_long_ones_do(spark, monkeypatch):
         monkeypatch.setattr(urls, name, "^(none)$")
     assert short == made()
     assert dict((u, c) for u, c, _ in short)["http://a.example.org/b//c/?utm_source=x#"] == "http://a.example.org/b//c"
+
+
+def test_common_urls_are_read_as_all_others(spark, monkeypatch):
+    from tidemark.functions import urls
+
+    ends = ["", "/", "//", "//b", "/b", "/b/", "/b//c//", "/b?", "/b?utm_source=x", "/b/?&utm_a&&utm_b=1&", "/b?utm_x&b=1", "/b?UTM_a=1", "/b#x?y", "/?utm_source=x#", "/b?utm_a b", "/b\n", "/b c", "/b?=utm_a", ":443/b", "/b?utm_é"]
+    heads = ["https://a.example.org", "http://a..b", "https://A.example.org", "https://u@a.example.org", "ftp://a.example.org", "https://", " https://a.example.org"]
+    rows = spark.createDataFrame([(h + e,) for h in heads for e in ends] + [(None,), ("",)], "u string")
+    made = lambda: [tuple(r) for r in rows.select("u", urls.canonical(F.col("u")), urls.host(F.col("u"))).collect()]
+    short = made()
+    for name in ("COMMON", "COMMON_HOST"):
+        monkeypatch.setattr(urls, name, "^(none)$")
+    assert short == made()
+    assert dict((u, (c, h)) for u, c, h in short)["https://a.example.org/b/?&utm_a&&utm_b=1&"] == ("https://a.example.org/b", "a.example.org")
+
+
+def test_an_audit_takes_the_latest_answer_of_all_spellings(spark):
+    from tidemark.operators import audit
+
+    records = spark.createDataFrame([(1, "active", "https://a.org/b", "h", "http"), (2, "active", "https://a.org/c", "h", "http")], "id int, status string, url string, hash string, method string")
+    fields = "url string, ok boolean, http_status int, final_url string, hash string, method string, at int, error string"
+    asked = [("https://a.org/b/", 3, "h"), ("https://a.org/b?utm_x=1", 5, "g"), ("https://a.org/b", 4, "h"), ("https://a.org/b?utm_x=1", 1, "h")]
+    answers = spark.createDataFrame([(u, True, 200, u, h, "http", at, None) for u, at, h in asked], fields)
+    made = audit.audited(records, answers)
+    assert sorted((r.id, r.outcome, r.checked_at) for r in made.collect()) == [(1, "changed", 5), (2, "retrieval_failed", None)]
+    # answers meet by their address as it is first, so that its identity isn't made for each of them
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [url") == 1

@@ -33,11 +33,14 @@ def audited(records: DataFrame, retrieved: DataFrame, only: Column | None = None
     unchanged, changed, incomparable (read in another way than the record's evidence), source_missing (gone, or led to
     another host) and retrieval_failed. Trashed records, and those that ``only`` leaves out, aren't audited.
     """
-    answers = retrieved.withColumn("_identity", identity(F.col("url"))).groupBy("_identity").agg(F.max_by(F.struct("ok", "http_status", "final_url", F.col("hash").alias("new_hash"), F.col("method").alias("new_method"), "at", "error"), F.struct("at", F.coalesce("final_url", F.lit("")))).alias("a"))
+    told, latest = F.struct("ok", "http_status", "final_url", F.col("hash").alias("new_hash"), F.col("method").alias("new_method"), "at", "error"), F.struct("at", F.coalesce("final_url", F.lit("")))
+    # an address is asked again and again, so that its identity is made once for its latest answer
+    asked = retrieved.groupBy("url").agg(F.max_by(told, latest).alias("a"), F.max(latest).alias("_latest"))
+    answers = asked.groupBy(identity(F.col("url")).alias("_identity")).agg(F.max_by("a", "_latest").alias("a"))
     due = records.where(F.col("status") != "trashed")
     due = (due.where(only) if only is not None else due).withColumn("_identity", identity(F.col("url")))
-    held = due.join(answers, "_identity", "left").select("id", "url", "hash", "method", "a.*")
-    moved = F.coalesce(host(F.col("final_url")) != host(F.col("url")), F.lit(False))
+    held = due.join(answers, "_identity", "left").select("id", "hash", "method", "a.*", F.coalesce(host(F.col("a.final_url")) != host(F.col("url")), F.lit(False)).alias("_moved"))
+    moved = F.col("_moved")
     gone = F.coalesce(F.col("http_status").isin(*GONE), F.lit(False)) | moved
     outcome = (
         F.when(gone, "source_missing")
