@@ -384,3 +384,13 @@ def test_an_audit_takes_the_latest_answer_of_all_spellings(spark):
     assert sorted((r.id, r.outcome, r.checked_at) for r in made.collect()) == [(1, "changed", 5), (2, "retrieval_failed", None)]
     # answers meet by their address as it is first, so that its identity isn't made for each of them
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [url") == 1
+
+
+def test_reviews_that_come_twice_are_read_once(spark):
+    from tests.conftest import DATA
+    from tidemark.plans import base, records
+
+    made = records.version_reviews(base.Tables(spark, DATA))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1
+    again = made.where(F.col("ord") >= 1 << 61)
+    assert again.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_quantity > 30").count() > 0

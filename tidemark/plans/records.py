@@ -112,8 +112,10 @@ def version_reviews(t: Tables) -> DataFrame:
         day(F.lit(5)).alias("updated"),
         (F.col("l_quantity") > 30).alias("twice"),
     )
-    again = held.where("twice").withColumn("ord", F.col("ord") + F.lit(1 << 61))
-    return held.unionByName(again).drop("twice")
+    # each line and its order are read and met once, also where the review comes twice
+    first, again = F.lit(0).cast("long"), F.lit(1 << 61)
+    each = held.withColumn("_more", F.explode(F.when(F.col("twice"), F.array(first, again)).otherwise(F.array(first))))
+    return each.withColumn("ord", F.col("ord") + F.col("_more")).drop("twice", "_more")
 
 
 def recovered_state(t: Tables) -> recovery.State:
