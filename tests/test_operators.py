@@ -394,3 +394,11 @@ def test_reviews_that_come_twice_are_read_once(spark):
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") == 1
     again = made.where(F.col("ord") >= 1 << 61)
     assert again.count() == spark.read.parquet(f"{DATA}/lineitem.parquet").where("l_quantity > 30").count() > 0
+
+
+def test_ranges_like_other_rows_change_no_running_maximum(spark):
+    from tidemark.operators import folds
+
+    rows = spark.createDataFrame([(i % 3, i, i * 7 % 50) for i in range(200)], "k int, o long, v int")
+    made = lambda **more: sorted(tuple(r) for r in folds.running_max(rows, ["k"], "o", "v", "m", 5, **more).collect())
+    assert made() == made(like=rows.where("o < 20")) == made(like=rows.where("o < 0"))

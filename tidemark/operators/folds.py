@@ -8,22 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranges(rows: DataFrame, order: str, n: int | None = None) -> Column:
+def ranges(rows: DataFrame, order: str, n: int | None = None, like: DataFrame | None = None) -> Column:
     """A number for the range of ``order`` that a row is in; about as many rows in each of ``n`` ranges.
 
-    The bounds are constants of the plan, so every reading of it deals the rows alike.
+    The bounds are constants of the plan, so every reading of it deals the rows alike. They are those of ``like``, if it has rows.
     """
     n = n or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.agg(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000).alias("b")).first()["b"] or []
+    found = lambda held: held.agg(F.percentile_approx(order, [i / n for i in range(1, n)] or [0.5], 10_000).alias("b")).first()["b"]
+    bounds = (None if like is None else found(like)) or found(rows) or []
     return F.size(F.filter(F.array(*(F.lit(b) for b in sorted(set(bounds)))), lambda b: b < F.col(order))) if bounds else F.lit(0)
 
 
-def running_max(rows: DataFrame, key: Sequence[str], order: str, value: str, out: str, n: int | None = None) -> DataFrame:
+def running_max(rows: DataFrame, key: Sequence[str], order: str, value: str, out: str, n: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """rows with the greatest ``value`` before each row of its key, null for the first.
 
     A key's rows are dealt by ranges of the order: each range is gone through by itself, and then only the ranges' maxima.
+    Where the ranges lie changes no result; ``like`` are rows whose order is about that of ``rows`` and cheaper to make.
     """
-    dealt = rows.withColumn("_range", ranges(rows, order, n))
+    dealt = rows.withColumn("_range", ranges(rows, order, n, like))
     inside = F.max(value).over(Window.partitionBy(*key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
     tops = dealt.groupBy(*key, "_range").agg(F.max(value).alias("_top"))
     before = F.max("_top").over(Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))

@@ -66,13 +66,13 @@ def seen(held: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
-def accepted(held: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """The approved and published versions that move their source's snapshot."""
+def accepted(held: DataFrame, snapshots: DataFrame, reviews: DataFrame | None = None) -> DataFrame:
+    """The approved and published versions that move their source's snapshot; ``reviews`` are what ``held`` comes from."""
     start = snapshots.select("source_id", "hash", "sequence", F.lit(-1).cast("long").alias("ord"))
     told = held.where(F.col("status").isin("approved", "published"))
     rows = told.unionByName(start, allowMissingColumns=True)
     holder = rows.groupBy("source_id", "sequence").agg(F.min_by("hash", "ord").alias("_holder"))
-    placed = folds.running_max(rows, ["source_id"], "ord", "sequence", "_sofar").where("ord >= 0").join(holder, ["source_id", "sequence"])
+    placed = folds.running_max(rows, ["source_id"], "ord", "sequence", "_sofar", like=reviews).where("ord >= 0").join(holder, ["source_id", "sequence"])
     newer = F.col("_sofar").isNull() | (F.col("sequence") > F.col("_sofar"))
     return placed.where(newer | ((F.col("sequence") == F.col("_sofar")) & (F.col("hash") == F.col("_holder"))))
 
@@ -84,7 +84,7 @@ def recovered(state: State, reviews: DataFrame, sources: DataFrame) -> State:
     source_id, url, ord. Reviews that repeat change nothing the second time.
     """
     held = versions(reviews, sources)
-    moves = accepted(held, state.snapshots).groupBy("source_id").agg(
+    moves = accepted(held, state.snapshots, reviews).groupBy("source_id").agg(
         F.max_by(F.struct("hash", "sequence", F.col("checked").alias("last_checked"), F.coalesce("reviewed", "processed").alias("last_changed")), "ord").alias("last"),
         F.min_by("checked", "ord").alias("first_checked"),
         F.max("checked").alias("checked"),
