@@ -127,3 +127,12 @@ def test_open_references_in_pages_equal_sql(spark, duck, tmp_path):
         ours = sorted(tuple(plain(v) for v in r) for r in made.select(*sorted(made.columns)).collect())
         held = con.sql(catalog.oracle_sql()[name])
         assert ours == sorted(tuple(plain(v) for v in r) for r in held.select(*(f'"{c}"' for c in sorted(made.columns))).fetchall())
+
+
+def test_few_pages_are_parsed_at_a_time():
+    import pyarrow as pa
+
+    met = []
+    task = html._parsed(lambda xs: met.append(len(xs)) or pa.array(xs, pa.string()))
+    made = [len(x) for x in task(iter([pa.array(["a"] * (2 * html.PAGES + 1)), pa.array([], pa.string())]))]
+    assert met == made == [html.PAGES, html.PAGES, 1]

@@ -9,8 +9,11 @@ from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from tidemark.functions import json_text
 from tidemark.functions.dates import source_date
@@ -30,13 +33,30 @@ FILE_ACTIONS, FILE_NAMES = ("download", "view", "open", "read"), ("document", "f
 
 LINK = "array<struct<at:int,href:string,title:string,text:string,dates:array<string>>>"
 EVIDENCE = "struct<shown:string,metas:array<string>,times:array<struct<value:string,property:string,context:string>>,others:array<string>>"
-FIELDS = f"og string, h1 string, title string, evidence {EVIDENCE}, text string"
+FIELDS = f"og:string,h1:string,title:string,evidence:{EVIDENCE},text:string"
 FILE = "array<struct<at:int,tag:string,value:string,words:string,type:string,download:boolean,headings:string>>"
 
 
+#: Pages that a worker has parsed at a time; it gets as many as make a batch of Spark's.
+PAGES = 100
+
+
+def _parsed(function: Callable) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """A task that gives what is read from few pages at a time, as Arrow, so that no batch stands as trees or Python objects."""
+
+    def task(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for held in batches:
+            for at in range(0, len(held), PAGES):
+                yield function(held.slice(at, PAGES).to_pylist())
+
+    return task
+
+
 def _rows(function: Callable, schema: str) -> Callable[[Column], Column]:
     def applied(column: Column) -> Column:
-        return F.pandas_udf(lambda xs: pd.Series([function(x) for x in xs], dtype=object), schema)(column)
+        kind = to_arrow_type(StructType.fromDDL(f"held {schema}")["held"].dataType)
+        task = _parsed(lambda xs: pa.array([function(x) for x in xs], kind))
+        return F.arrow_udf(task, schema, F.ArrowUDFType.SCALAR_ITER)(column)
 
     return applied
 
@@ -62,8 +82,7 @@ def links(html: Column) -> Column:
 
 def page_fields(html: Column) -> Column:
     """og title, first heading, title, what may date the page, and its text; a page is parsed once."""
-    made = F.pandas_udf(lambda xs: pd.DataFrame([page_tree.fields(page_tree.page(x)) for x in xs], columns=["og", "h1", "title", "evidence", "text"]), FIELDS)
-    return made(html)
+    return _rows(lambda x: page_tree.fields(page_tree.page(x)), f"struct<{FIELDS}>")(html)
 
 
 def _first_date(texts: Column) -> Column:
