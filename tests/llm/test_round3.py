@@ -246,3 +246,20 @@ def test_three_columns(spark):
         ("op13_centroid_clustering", "vec_id cluster distance cluster_inertia inertia centroid_sha256"),
     ):
         assert queries.queries()[name](spark, DATA).columns == columns.split()
+
+
+def test_pii_leaves_out_only_windows_without_a_span(monkeypatch):
+    from tidemark.llm import pii
+
+    tagger = pii.train()
+    held = pii.labelled(200, 9)[2]
+    plain = "some plain words of prose, and nothing that is of any use to others. " * 30
+    texts = held[:100] + ["\n".join(held[a : a + 20]) for a in range(0, 200, 20)] + [plain[: 900 + 7 * k] + x + plain for k, x in enumerate(held[:40])]
+    seen = []
+    decode = pii.Tagger.decode
+    monkeypatch.setattr(pii.Tagger, "decode", lambda self, x: seen.append(len(x)) or decode(self, x))
+    some, few = pii.find(texts, tagger.w), sum(seen)
+    monkeypatch.setattr(pii, "hopeful", lambda text: range(len(pii.windows(len(text)))))
+    seen.clear()
+    assert some == pii.find(texts, tagger.w) and any(not s["base"] for found in some for s in found)
+    assert few < sum(seen)
