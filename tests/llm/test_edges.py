@@ -477,6 +477,55 @@ def test_suffixes_hold_identical_rows_once(spark, monkeypatch):
             assert 0 < dealt.value <= sum(len(suffixes.anchors(t.encode(), powers)[0]) for _, t in set(rows))
 
 
+def test_suffixes_read_texts_once_for_cells_of_all_sizes(spark, monkeypatch):
+    """Large cells cost no pass of their own: every text is read for its anchors twice, to count them and to deal them."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    often, twice = word(700), word(700)
+    rows = [(i, word(300) + (often if i < 30 else twice if i < 32 else "") + word(300)) for i in range(60)]
+    docs, read = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.sparkContext.accumulator(0)
+    task = suffixes._anchors
+
+    def counted(batches):
+        def seen():
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        yield from task(seen())
+
+    monkeypatch.setattr(suffixes, "_anchors", counted)
+    monkeypatch.setattr(suffixes, "MOST", 10)
+    got = {r.doc_id: (bytes(r.kept).decode(), r.n_removed, r.n_spans) for r in suffixes.dedup(docs).collect()}
+    assert read.value == 2 * len(rows)
+    cut = [(i, next((t.find(p) for p in (often, twice) if p in t), None), t) for i, t in rows]
+    for i, at, t in cut:
+        if at is None:
+            assert got[i] == (t, 0, 0)
+        else:  # a neighbour's byte may be alike by chance
+            assert got[i][1] - 700 in range(8) and got[i][2] == 1 and len(got[i][0]) == len(t) - got[i][1]
+
+
+def test_lean_cut_leaves_no_shuffle_files(spark):
+    import time
+
+    from tidemark.llm.common import SHUFFLES_GO, cut
+
+    def shuffles():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle_")}
+
+    before, setting = shuffles(), spark.conf.get(SHUFFLES_GO)
+    held = cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), lean=True)
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not shuffles() - before and spark.conf.get(SHUFFLES_GO) == setting
+    assert held.agg(F.sum("count")).first()[0] == 1000
+
+
 def test_jaccard(docs, none):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(docs).collect()}
     n = len(TWICE.split()) - 4
