@@ -129,6 +129,26 @@ def test_open_references_in_pages_equal_sql(spark, duck, tmp_path):
         assert ours == sorted(tuple(plain(v) for v in r) for r in held.select(*(f'"{c}"' for c in sorted(made.columns))).fetchall())
 
 
+def test_headings_that_end_in_white_space_equal_sql(spark, tmp_path):
+    """A heading that was cut after a word that looks like an icon's name and before the next word."""
+    import duckdb
+
+    from tests.conftest import plain
+    from tidemark import catalog
+
+    heads = ["Enan onble the wheast ", "Rules north_ east\n", "  West ", " ", "Rules south  west", "Rules easterly "]
+    page = "<html><head><title>x</title></head><body><article><h1>{}</h1><p>and more</p></article><footer>f</footer></body></html>"
+    rows = spark.createDataFrame([(i, f"https://www.example.org/p/{i}", page.format(h)) for i, h in enumerate(heads)], "page_id long, url string, html string")
+    rows.write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    made = catalog.queries()["document_candidates"](spark, str(tmp_path))
+    ours = sorted(tuple(plain(v) for v in r) for r in made.select(*sorted(made.columns)).collect())
+    held = con.sql(catalog.oracle_sql()["document_candidates"])
+    assert ours == sorted(tuple(plain(v) for v in r) for r in held.select(*(f'"{c}"' for c in sorted(made.columns))).fetchall())
+    assert "Enan onble the wh" in {r[-2] for r in ours}
+
+
 def test_few_pages_are_parsed_at_a_time():
     import pyarrow as pa
 

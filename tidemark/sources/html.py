@@ -102,10 +102,11 @@ def published(evidence: Column) -> Column:
 
 
 def document_candidate(pages: DataFrame, html: str = "html", url: str = "url", fallback: str | None = None, most: int = 600) -> DataFrame:
-    """(url, title, text, date, precision): one candidate a page; the first title that isn't empty, cleaned, else ``fallback``."""
+    """(url, title, text, date, precision): one candidate a page; the first title that isn't empty, cleaned, else ``fallback``.
+    White space around a title is no part of it, so that an icon's name before it is at the title's end."""
     held = pages.select(url, F.col(fallback or url).alias("_fallback"), page_fields(F.col(html)).alias("f"))
     full = lambda c: F.nullif(c, F.lit(""))
-    title = full(link_title(F.coalesce(full(F.col("f.og")), full(F.col("f.h1")), full(F.col("f.title")), F.col("_fallback"))))
+    title = full(link_title(squeezed(F.coalesce(full(F.col("f.og")), full(F.col("f.h1")), full(F.col("f.title")), F.col("_fallback")))))
     dated = held.withColumn("_d", published(F.col("f.evidence")))
     return dated.select(url, F.coalesce(title, "_fallback").alias("title"), F.left("f.text", F.lit(most)).alias("text"), F.col("_d.date").alias("date"), F.col("_d.precision").alias("precision"))
 
