@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.json_text import revision
 from tidemark.operators import publication
 from tidemark.plans.base import Tables, query
+from tidemark.tables import cut
 
 SITE = "https://www.example.com"
 
@@ -18,9 +19,14 @@ def records(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(f"{SITE}/parts/"), "p_partkey", F.lit("?utm_source=a")).alias("url"), content.alias("content"))
 
 
-def staged(t: Tables) -> DataFrame:
-    """Lineitems as reviews of parts or of new sources; what varies depends on columns of its own."""
-    rows = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
+def lines(t: Tables) -> DataFrame:
+    """Lineitems with their part, met once and written as a small table: reviews and requests are both read from it."""
+    rows = t.lineitem.join(t.part.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    return cut(rows.drop("p_partkey")).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+
+
+def staged(rows: DataFrame, *more: str) -> DataFrame:
+    """Lines as reviews of parts or of new sources; what varies depends on columns of its own."""
     flag, tax, part = F.col("l_returnflag"), F.round("l_tax", 2), F.col("l_partkey")
     target = F.when(F.col("l_quantity") > 12, part)
     status = F.when(flag == "A", "approved").when(flag == "R", "rejected").when(F.col("l_linestatus") == "O", "pending_review").otherwise("published")
@@ -29,7 +35,7 @@ def staged(t: Tables) -> DataFrame:
     size = F.when(F.col("l_linenumber") == 3, F.col("p_size")).otherwise(F.col("l_quantity").cast("int"))
     day = lambda n: F.col("l_shipdate") + F.make_dt_interval(F.lit(n))
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        "id",
         status.alias("status"),
         url.alias("url"),
         F.sha2(F.col("l_suppkey").cast("string"), 256).alias("hash"),
@@ -43,22 +49,29 @@ def staged(t: Tables) -> DataFrame:
         F.when(status.isin("approved", "published"), day(10)).alias("reviewed"),
         F.when(status == "published", day(20)).alias("published"),
         F.lit(None).cast("string").alias("reason"),
-        F.struct("l_quantity", tax.alias("tax"), "l_extendedprice", "l_linenumber", "l_suppkey", "l_shipdate").alias("_of"),
+        F.struct("l_quantity", tax.alias("tax"), "l_extendedprice", "l_linenumber", "l_suppkey", "l_shipdate", *more).alias("_of"),
     )
 
 
-def requests(t: Tables, reviews: DataFrame) -> DataFrame:
-    """A request for each review, two for the first lines of an order, and one for a review that isn't there for each order."""
+def requests(t: Tables, rows: DataFrame) -> DataFrame:
+    """A request for each review, two for the first lines of an order, and one for a review that isn't there for each order.
+
+    The lines are dealt by the review's id before requests are made of them, as their columns take less room and requests are
+    then where their reviews come to.
+    """
     of = lambda c: F.col(f"_of.{c}")
-    at = of("l_shipdate") + F.make_dt_interval((of("l_extendedprice") / 500).cast("int") - 3)
-    held = reviews.select(
-        F.col("id").alias("review_id"), F.when(of("l_extendedprice") > 8000, F.col("hash")).otherwise(F.sha2(F.lit("x"), 256)).alias("live_hash"), at.alias("at"),
-        F.when(of("tax") == 0.03, " ").otherwise("Ann").alias("by"), F.when(of("l_suppkey") % 5 != 0, publication.review_revision()).otherwise("old").alias("expected"), of("l_linenumber").alias("_line"),
+    lost = t.orders.select(F.concat(F.lit("none-"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("l_shipdate"), F.lit(True).alias("_lost"))
+    dealt = rows.withColumn("_lost", F.lit(False)).unionByName(lost, allowMissingColumns=True).repartition("id")
+    mine = lambda c, none: F.when(of("_lost"), none).otherwise(c)
+    days = mine((of("l_extendedprice") / 500).cast("int") - 3, 0)
+    asks = [F.struct(F.lit(tail).alias("tail"), F.lit(n).alias("later")) for tail, n in (("", 0), ("/a", 0), ("/b", 1))]
+    each = F.when(of("_lost"), F.array(asks[0])).when(of("l_linenumber") < 3, F.array(*asks[1:])).otherwise(F.array(asks[1]))
+    held = staged(dealt, "_lost").select(
+        F.col("id").alias("review_id"), mine(F.when(of("l_extendedprice") > 8000, F.col("hash")).otherwise(F.sha2(F.lit("x"), 256)), "").alias("live_hash"),
+        (of("l_shipdate") + F.make_dt_interval(days)).alias("at"), mine(F.when(of("tax") == 0.03, " ").otherwise("Ann"), "Ann").alias("by"),
+        mine(F.when(of("l_suppkey") % 5 != 0, publication.review_revision()).otherwise("old"), "").alias("expected"), F.explode(each).alias("_ask"),
     )
-    one = held.withColumn("request_id", F.concat("review_id", F.lit("/a")))
-    two = held.where("_line < 3").withColumn("request_id", F.concat("review_id", F.lit("/b"))).withColumn("at", F.col("at") + F.make_dt_interval(F.lit(1)))
-    lost = t.orders.select(F.concat(F.lit("none-"), "o_orderkey").alias("review_id"), F.lit("").alias("live_hash"), F.col("o_orderdate").alias("at"), F.lit("Ann").alias("by"), F.lit("").alias("expected"), F.concat(F.lit("none-"), "o_orderkey").alias("request_id"))
-    return one.unionByName(two).drop("_line").unionByName(lost)
+    return held.select("review_id", "live_hash", (F.col("at") + F.make_dt_interval("_ask.later")).alias("at"), "by", "expected", F.concat("review_id", "_ask.tail").alias("request_id"))
 
 
 ROLES_SQL = """WITH p AS (SELECT p_partkey AS id, 'https://www.example.com/parts/' || p_partkey AS url, p_name AS name, p_size AS size, sha256('{"size":' || p_size || ',"title":"' || p_name || '"}') AS revision FROM part),
@@ -96,16 +109,16 @@ u AS MATERIALIZED (SELECT * EXCLUDE (outcome), """ + EARLIEST_SQL.format(key="ne
 @query(APPROVALS_SQL)
 def workflow_approvals(t: Tables) -> DataFrame:
     """What each request to approve comes to."""
-    reviews = staged(t)
-    made = publication.approvals(requests(t, reviews), reviews.drop("_of"), records(t))
+    rows = lines(t)
+    made = publication.approvals(requests(t, rows), staged(rows).drop("_of"), records(t))
     return made.select("request_id", "review_id", "outcome", "target_revision")
 
 
 @query(PUBLISHED_SQL + "SELECT request_id, review_id, outcome, own, t_revision AS target_revision FROM u")
 def workflow_publications(t: Tables) -> DataFrame:
     """What each request to publish comes to, own half-written changes marked."""
-    reviews = staged(t)
-    made = publication.publications(requests(t, reviews), reviews.drop("_of"), records(t))
+    rows = lines(t)
+    made = publication.publications(requests(t, rows), staged(rows).drop("_of"), records(t))
     return made.select("request_id", "review_id", "outcome", "own", "target_revision")
 
 
@@ -115,15 +128,16 @@ SELECT v.id, CASE WHEN b.tm IS NOT NULL THEN 'rejected' ELSE v.status END AS sta
 FROM v LEFT JOIN b ON b.review_id = v.id AND b.outcome = 'applied'""")
 def workflow_rejected(t: Tables) -> DataFrame:
     """Reviews after the requests to reject them."""
-    reviews = staged(t)
-    bare = reviews.drop("_of")
-    return publication.rejected(publication.rejections(requests(t, reviews), bare, records(t)), bare).select("id", "status", "reviewed", "reason")
+    rows = lines(t)
+    bare = staged(rows).drop("_of")
+    return publication.rejected(publication.rejections(requests(t, rows), bare, records(t)), bare).select("id", "status", "reviewed", "reason")
 
 
 def _published(t: Tables) -> tuple[DataFrame, DataFrame]:
-    reviews = staged(t)
-    bare, held = reviews.drop("_of"), records(t)
-    return publication.published(publication.publications(requests(t, reviews), bare, held), bare, held)
+    rows = lines(t)
+    bare, held = staged(rows).drop("_of"), records(t)
+    # the few that pass are written, so that what decided them is done once and its shuffles go
+    return publication.published(cut(publication.publications(requests(t, rows), bare, held, passing=True)), bare, held)
 
 
 @query(PUBLISHED_SQL + """, x AS (SELECT target, max(struct_pack(s := coalesce(sequence, -1), d := discovered, i := id)) AS newest FROM u WHERE outcome = 'applied' AND target IS NOT NULL GROUP BY target),
