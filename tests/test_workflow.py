@@ -31,7 +31,7 @@ def shuffled(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-NAMES = ["workflow_reviews_published"]
+NAMES = ["workflow_reviews_published", "workflow_publications"]
 
 
 @pytest.mark.parametrize("name", NAMES)

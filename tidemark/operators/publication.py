@@ -190,10 +190,9 @@ def publications(requests: DataFrame, reviews: DataFrame, records: DataFrame, da
     reason = F.when(reason == APPLIED, c("_barred")).otherwise(reason)
     judged = _asked(requests, cut(facts), "live_hash", how="inner" if passing else "left").withColumn("outcome", reason)
     judged = _earliest(judged.where(c("outcome") == APPLIED) if passing else judged, "q_review_id", "late")
-    # those that don't ask for a new source's identity have a key of their own each, so that they don't come together
-    alone = F.concat(F.lit("\0"), F.coalesce("q_review_id", F.lit("")), F.lit("\0"), F.coalesce("q_request_id", F.lit("")))
-    judged = judged.withColumn("_for", F.coalesce(F.when(c("outcome") == APPLIED, c("_new_identity")), alone))
-    judged = _earliest(judged, "_for", "source_taken")
+    # only those that ask for a new source's identity meet by it; the others stay where they are
+    asking = (c("outcome") == APPLIED) & c("_new_identity").isNotNull()
+    judged = judged.where(~asking).unionByName(_earliest(judged.where(asking), "_new_identity", "source_taken"))
     told = _told(judged, _text(c("_revision")), F.coalesce("own", F.lit(False)))
     return told.where(c("outcome") == APPLIED) if passing else told
 
