@@ -31,7 +31,7 @@ def shuffled(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-NAMES = ["workflow_reviews_published", "workflow_publications"]
+NAMES = ["workflow_reviews_published", "workflow_publications", "workflow_approvals"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -65,3 +65,17 @@ def test_passing_requests_are_those_of_all(spark):
         "p7": ("applied", False), "p8": ("applied", True), "p9": ("applied", False), "p10": ("not_approved", False), "p11": ("missing", False),
     }
     assert told(publication.publications(requests, reviews, records, passing=True)) == {q: made for q, made in every.items() if made[0] == "applied"}
+
+
+def test_owners_of_an_update_s_address(spark):
+    """At the target's own address, at one that it leaves for another record's or for a free one, and where it has none."""
+    records = spark.createDataFrame([(1, "https://a.example.com/x", "{}"), (2, "https://a.example.com/y", "{}"), (3, "https://a.example.com/y/", "{}"), (4, None, "{}")], RECORD)
+    cases = {
+        "home": (1, "https://a.example.com/x#p", None, "applied"), "shared": (3, "https://a.example.com/y", None, "source_taken"), "first": (2, "https://a.example.com/y", None, "applied"),
+        "taken": (1, "https://a.example.com/y", "https://a.example.com/x/", "source_taken"), "free": (1, "https://b.example.com/", "https://a.example.com/x", "applied"),
+        "moved": (1, "https://b.example.com/", "https://c.example.com/", "target_moved"), "missing": (9, "https://a.example.com/x", None, "target_missing"), "blank": (4, "https://a.example.com/x", None, "source_taken"),
+    }
+    reviews = spark.createDataFrame([(i, "pending_review", url, "h", 1, day(1), target, was, None, None, "{}", None, None, None) for i, (target, url, was, _) in cases.items()], REVIEW)
+    looked = {r["id"]: r["r"] for r in reviews.select("id", publication.review_revision().alias("r")).collect()}
+    requests = spark.createDataFrame([(i, i, "h", day(2), "Ann", looked[i]) for i in cases], REQUEST)
+    assert {i: made[0] for i, made in told(publication.approvals(requests, reviews, records)).items()} == {i: c[3] for i, c in cases.items()}
