@@ -8,6 +8,7 @@ from tests.conftest import DATA
 from tests.test_store import RECORD, REQUEST, REVIEW
 from tidemark import catalog
 from tidemark.operators import publication
+from tidemark.tables import cut, drop
 
 
 @pytest.fixture
@@ -31,7 +32,7 @@ def shuffled(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
-NAMES = ["workflow_reviews_published", "workflow_publications", "workflow_approvals"]
+NAMES = ["workflow_reviews_published", "workflow_publications", "workflow_approvals", "workflow_records_published"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -79,3 +80,12 @@ def test_owners_of_an_update_s_address(spark):
     looked = {r["id"]: r["r"] for r in reviews.select("id", publication.review_revision().alias("r")).collect()}
     requests = spark.createDataFrame([(i, i, "h", day(2), "Ann", looked[i]) for i in cases], REQUEST)
     assert {i: made[0] for i, made in told(publication.approvals(requests, reviews, records)).items()} == {i: c[3] for i, c in cases.items()}
+
+
+def test_dropped_table_is_gone(spark):
+    import os
+
+    held = cut(spark.range(3))
+    assert held.count() == 3
+    drop(held)
+    assert not os.path.exists(held._written)
