@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.json_text import revision
@@ -22,7 +22,13 @@ def records(t: Tables) -> DataFrame:
 def lines(t: Tables) -> DataFrame:
     """Lineitems with their part, met once and written as a small table: reviews and requests are both read from it."""
     rows = t.lineitem.join(t.part.select("p_partkey", "p_name", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
-    return cut(rows.drop("p_partkey")).withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    return cut(rows.drop("p_partkey")).withColumn("_none", F.lit(None).cast("string"))
+
+
+def name() -> Column:
+    """The id of a line's review, or of one that isn't there; that of an order without a key is null."""
+    known = F.col("_none").isNull() | F.col("l_orderkey").isNotNull()
+    return F.when(known, F.concat_ws("-", "_none", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
 
 
 def staged(rows: DataFrame, *more: str) -> DataFrame:
@@ -35,7 +41,7 @@ def staged(rows: DataFrame, *more: str) -> DataFrame:
     size = F.when(F.col("l_linenumber") == 3, F.col("p_size")).otherwise(F.col("l_quantity").cast("int"))
     day = lambda n: F.col("l_shipdate") + F.make_dt_interval(F.lit(n))
     return rows.select(
-        "id",
+        name().alias("id"),
         status.alias("status"),
         url.alias("url"),
         F.sha2(F.col("l_suppkey").cast("string"), 256).alias("hash"),
@@ -56,17 +62,17 @@ def staged(rows: DataFrame, *more: str) -> DataFrame:
 def requests(t: Tables, rows: DataFrame) -> DataFrame:
     """A request for each review, two for the first lines of an order, and one for a review that isn't there for each order.
 
-    The lines are dealt by the review's id before requests are made of them, as their columns take less room and requests are
-    then where their reviews come to.
+    The lines are dealt by the review's id before it and requests are made of them, as their columns take less room and requests
+    are then where their reviews come to.
     """
     of = lambda c: F.col(f"_of.{c}")
-    lost = t.orders.select(F.concat(F.lit("none-"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("l_shipdate"), F.lit(True).alias("_lost"))
-    dealt = rows.withColumn("_lost", F.lit(False)).unionByName(lost, allowMissingColumns=True).repartition("id")
-    mine = lambda c, none: F.when(of("_lost"), none).otherwise(c)
+    lost = t.orders.select(F.lit("none").alias("_none"), F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate").alias("l_shipdate"))
+    dealt = rows.unionByName(lost, allowMissingColumns=True).repartition(name())
+    mine = lambda c, none: F.when(of("_none").isNotNull(), none).otherwise(c)
     days = mine((of("l_extendedprice") / 500).cast("int") - 3, 0)
     asks = [F.struct(F.lit(tail).alias("tail"), F.lit(n).alias("later")) for tail, n in (("", 0), ("/a", 0), ("/b", 1))]
-    each = F.when(of("_lost"), F.array(asks[0])).when(of("l_linenumber") < 3, F.array(*asks[1:])).otherwise(F.array(asks[1]))
-    held = staged(dealt, "_lost").select(
+    each = F.when(of("_none").isNotNull(), F.array(asks[0])).when(of("l_linenumber") < 3, F.array(*asks[1:])).otherwise(F.array(asks[1]))
+    held = staged(dealt, "_none").select(
         F.col("id").alias("review_id"), mine(F.when(of("l_extendedprice") > 8000, F.col("hash")).otherwise(F.sha2(F.lit("x"), 256)), "").alias("live_hash"),
         (of("l_shipdate") + F.make_dt_interval(days)).alias("at"), mine(F.when(of("tax") == 0.03, " ").otherwise("Ann"), "Ann").alias("by"),
         mine(F.when(of("l_suppkey") % 5 != 0, publication.review_revision()).otherwise("old"), "").alias("expected"), F.explode(each).alias("_ask"),
